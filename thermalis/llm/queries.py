@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from thermalis.llm import bpe_codec, chat_format, token_counts, url_filter
+from thermalis.llm import bpe_codec, chat_format, decontaminate, token_counts, token_shards, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +26,35 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def crc_fold(doc_id="doc_id"):
+    """crc32 of the id as text, modulo 5."""
+    return F.crc32(F.col(doc_id).cast("string")) % 5
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(documents, labels.where(crc_fold() != 0))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", (crc_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+#: Key of the training order.
+ORDER_KEY = 20240607
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{token_shards.shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    return token_shards.write_shards(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256, ORDER_KEY)
+
+
 #: A conversation whose texts are the template's own control strings.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
