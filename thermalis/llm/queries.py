@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermalis.llm import bpe_codec, chat_format, decontaminate, token_counts, token_shards, toxicity, url_filter
+from thermalis.llm import bpe_codec, chat_format, decontaminate, jaccard_join, scratch, token_counts, token_shards, toxicity, url_filter, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -51,10 +55,14 @@ ORDER_KEY = 20240607
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{token_shards.shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    out = f"{scratch.shared_folder(spark)}/shards-{uuid.uuid4().hex}"
     return token_shards.write_shards(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256, ORDER_KEY)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.cluster_sets(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 #: A conversation whose texts are the template's own control strings.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import base64
 import json
-import os
 import re
 import uuid
 
@@ -34,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermalis.llm.arrowio import map_columns, slices
+from thermalis.llm.scratch import Scratch
 
 _LOADED: dict = {}
 #: Words remembered by a worker process.
@@ -151,16 +151,6 @@ def _renamed(batches):
         yield b.rename_columns(["id", "text"])
 
 
-def shared_folder(spark) -> str:
-    """``spark.checkpoint.dir`` where it is set; a folder of this library's own otherwise."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = "file://" + os.path.join(tempfile.gettempdir(), "thermalis-checkpoints")
-    return found if "://" in found else "file://" + os.path.abspath(found)
-
-
 def write_shards(df: DataFrame, out_uri: str, tokenizer_path: str, pattern: str, end: int, key: int, length: int = 1024, per_shard: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards and return one row for each sequence.
 
@@ -171,9 +161,7 @@ def write_shards(df: DataFrame, out_uri: str, tokenizer_path: str, pattern: str,
     from pyarrow import fs
 
     spark = df.sparkSession
-    work = f"{shared_folder(spark)}/sequences-{uuid.uuid4().hex}"
-    sequences(df, tokenizer_path, pattern, end, length, id_col, text_col).write.option("compression", "none").parquet(work)
-    cut = spark.read.parquet(work)
+    cut = Scratch(spark).save(sequences(df, tokenizer_path, pattern, end, length, id_col, text_col), "none")
     counts = sorted((r["part"], r["count"]) for r in cut.groupBy("part").count().collect())
     total = sum(n for _, n in counts)
     starts = np.cumsum([0] + [n for _, n in counts])
