@@ -22,9 +22,9 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
-    def save(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
+    def save(self, df: DataFrame, compression: str = "snappy", **options: str) -> DataFrame:
         path = f"{self.root}/{len(self.paths)}"
-        df.write.option("compression", compression).parquet(path)
+        df.write.options(compression=compression, **options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch_path = path  # keeps the id in use as long as the path is

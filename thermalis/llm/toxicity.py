@@ -169,12 +169,11 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return dict(zip(model["id"].tolist(), model["weight"].tolist(), strict=True))
 
 
-def score(df: DataFrame, model: dict[int, float], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Per row: id and ``score``; with ``keep`` all columns of ``df`` before ``score`` (which replaces a column of that name)."""
+def score(df: DataFrame, model: dict[int, float], id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str = "score") -> DataFrame:
+    """Per row: id and ``name``; with ``keep`` all columns of ``df`` and ``name`` (which must be new then)."""
     sent = df.sparkSession.sparkContext.broadcast(model)
     texts = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    kept = [c for c in df.columns if c != "score"] if keep else []
-    rows = df.select(F.struct(*kept).alias("id") if keep else F.col(id_col).alias("id"), texts)
+    rows = df.select(F.struct(*df.columns).alias("id") if keep else F.col(id_col).alias("id"), texts)
 
     def run(batches):
         scorer = Scorer(sent.value)
@@ -182,8 +181,8 @@ def score(df: DataFrame, model: dict[int, float], id_col: str = "doc_id", text_c
             for part in slices(batch, "text"):
                 yield part.column("id"), [scorer.texts(part.column("text"))]
 
-    out = map_columns(rows, "id long, score double", run)
-    return out.select("id.*", "score") if keep else out.withColumnRenamed("id", id_col)
+    out = map_columns(rows, f"id long, {name} double", run)
+    return out.select("id.*", name) if keep else out.select(F.col("id").alias(id_col), name)
 
 
 def locate_sentences(df: DataFrame, model: dict[int, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
