@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermalis.llm import bpe_codec, chat_format, decontaminate, jaccard_join, scratch, token_counts, token_shards, toxicity, url_filter, vector_dedup
+from thermalis.llm import bpe_codec, chat_format, decontaminate, jaccard_join, pitman_yor, scratch, token_counts, token_shards, toxicity, url_filter, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def crc_fold(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pitman_yor.score_texts(table(spark, sf_dir, "documents"), crc_fold() != 1)
+    return scored
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(documents, labels.where(crc_fold() != 0))
