@@ -1,4 +1,6 @@
 """Every query of the library's own operators, with the SQL that checks it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from thermalis.plans import index_queries
+
+QUERIES: dict = dict(index_queries.QUERIES)
+ORACLE_SQL: dict = dict(index_queries.ORACLE_SQL)
