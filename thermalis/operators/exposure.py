@@ -154,7 +154,7 @@ def winner_grid(winners: DataFrame, classes: list[str] = CLASSES) -> DataFrame:
 
     The grid is the fixed list of classes exploded beside the types found.
     """
-    counts = winners.groupBy("type", "class").pivot("winner", WINNERS).agg(F.count("*"))
+    counts = winners.groupBy("type", "class").pivot("winner", WINNERS).agg(F.count(F.lit(1)))
     cities = winners.groupBy("type", "class").agg(F.count("*").alias("city_num"))
     grid = winners.select("type").distinct().withColumn("class", F.explode(F.array(*map(F.lit, classes))))
     out = grid.join(cities, ["type", "class"], "left").join(counts, ["type", "class"], "left")

@@ -23,9 +23,12 @@ def retrieve_candidates(df: DataFrame, text_col: str = "sentence", keep_all: boo
     require(df, text_col)
     out = df.withColumn("normalized_text", text.normalise(text.clean(F.col(text_col)), lemmas=lemmas))
     n = F.col("normalized_text")
-    strong = F.greatest(*(text.has_category(n, c) for c in ("physiological", "psychological", "coping_individual")))
-    ambient = text.has_category(n, "ambient_heat")
-    first, outdoor, negated = (text.any_of(n, p) for p in (lexicon.FIRST_PERSON, lexicon.OUTDOOR, lexicon.NEGATION))
+    cues = {"has_first_person_cue": lexicon.FIRST_PERSON, "has_outdoor_cue": lexicon.OUTDOOR, "has_negation_pattern": lexicon.NEGATION}
+    out = out.withColumns({"retrieval_matches": text.lexicon_matches(n), **{k: text.any_of(n, p).cast("int") for k, p in cues.items()}})
+    found = F.map_keys("retrieval_matches")
+    strong = F.arrays_overlap(found, F.array(*map(F.lit, ("physiological", "psychological", "coping_individual"))))
+    ambient = F.array_contains(found, "ambient_heat")
+    first, outdoor, negated = (F.col(k) == 1 for k in cues)
     reason = (
         F.when(negated & ~strong, "negated_heat_expression")
         .when(strong, "strong_positive_lexicon")
@@ -33,15 +36,7 @@ def retrieve_candidates(df: DataFrame, text_col: str = "sentence", keep_all: boo
         .when(ambient, "ambient_heat_without_personal_cue")
         .otherwise("no_positive_match")
     )
-    out = out.withColumns(
-        {
-            "retrieval_matches": text.lexicon_matches(n),
-            "has_first_person_cue": first.cast("int"),
-            "has_outdoor_cue": outdoor.cast("int"),
-            "has_negation_pattern": negated.cast("int"),
-            "candidate_reason": reason,
-        }
-    )
+    out = out.withColumn("candidate_reason", reason)
     out = out.withColumn("retrieval_categories", F.array_join(F.array_sort(F.map_keys("retrieval_matches")), "|"))
     out = out.withColumn("candidate_flag", F.col("candidate_reason").isin("strong_positive_lexicon", "ambient_heat_plus_personal_or_outdoor_cue").cast("int"))
     return out if keep_all else out.where("candidate_flag = 1")

@@ -74,7 +74,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels with a prediction that errs on every third document, month and continent as in ``tweets``."""
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     docs = tweets(spark, sf_dir).select(F.col("row_index").alias("doc_id"), "continent", "month")
-    flipped = F.when(F.col("doc_id") % 3 == 0, 1 - F.col("label")).otherwise(F.col("label"))
+    flipped = F.when(F.col("row_index") % 3 == 0, 1 - F.col("label")).otherwise(F.col("label"))
     return docs.join(labels, "doc_id").withColumnRenamed("doc_id", "row_index").withColumn("pred_label", flipped)
 
 
