@@ -37,18 +37,18 @@ def normalise(text: Column, kind: str = "words", lemmas: dict[str, str] | None =
     return F.array_join(lemmatise(tokens(text, kind), lemmas), " ")
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, lowered: bool = False) -> Column:
     """One pattern, behind a plain substring test where the pattern has a literal to look for."""
-    literal = re.fullmatch(r"\\b([a-z0-9' &]+)\\b", pattern) or re.match(r"\(\?<!\\w\)([a-z]+)", pattern)
+    literal = re.fullmatch(r"\\b([a-z0-9' &]+)\\b", pattern)
     found = text.rlike("(?iU)" + pattern)
-    return F.lower(text).contains(literal[1]) & found if literal else found
+    return (text if lowered else F.lower(text)).contains(literal[1]) & found if literal else found
 
 
-def any_of(text: Column, patterns: list[str]) -> Column:
+def any_of(text: Column, patterns: list[str], lowered: bool = False) -> Column:
     """Whether any pattern occurs: long literals behind substring tests, the others in one alternation."""
     tested = [p for p in patterns if re.fullmatch(r"\\b[a-z0-9' &]{4,}\\b", p)]
     rest = [p for p in patterns if p not in tested]
-    found = [matches(text, p) for p in tested] + ([text.rlike("(?iU)(?:" + "|".join(rest) + ")")] if rest else [])
+    found = [matches(text, p, lowered) for p in tested] + ([text.rlike("(?iU)(?:" + "|".join(rest) + ")")] if rest else [])
     out = found[0]
     for f in found[1:]:
         out = out | f
@@ -64,16 +64,18 @@ def term_pattern(term: str) -> str:
 
 
 def lexicon_matches(text: Column) -> Column:
-    """Map from category to the terms found, in the list's order; no empty categories."""
+    """Map from category to the terms found, in the list's order; no empty categories.
+
+    ``text`` is a normal form (lower case, single spaces), so a substring test goes before each pattern.
+    """
     keys = F.array(*(F.lit(k) for k in lexicon.POSITIVE_LEXICON))
-    values = F.array(*(F.filter(F.array(*(F.when(matches(text, term_pattern(t)), F.lit(t)) for t in terms)), lambda x: x.isNotNull()) for terms in lexicon.POSITIVE_LEXICON.values()))
+    values = F.array(*(F.filter(F.array(*(F.when(text.contains(t) & text.rlike("(?iU)" + term_pattern(t)), F.lit(t)) for t in terms)), lambda x: x.isNotNull()) for terms in lexicon.POSITIVE_LEXICON.values()))
     return F.map_filter(F.map_from_arrays(keys, values), lambda _, v: F.size(v) > 0)
 
 
 def rule_hits(text: Column) -> Column:
-    """Array of (family, subcategory), one for each exclusion pattern that matches, in order."""
-    low = F.lower(text)
-    found = [F.when(matches(low, p), F.struct(F.lit(f).alias("family"), F.lit(s).alias("subcategory"))) for f, s, patterns in lexicon.EXCLUSION_RULES for p in patterns]
+    """Array of (family, subcategory), one for each exclusion pattern that lower-cased ``text`` matches, in order."""
+    found = [F.when(matches(text, p, True), F.struct(F.lit(f).alias("family"), F.lit(s).alias("subcategory"))) for f, s, patterns in lexicon.EXCLUSION_RULES for p in patterns]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
