@@ -79,6 +79,36 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = {
+    "op5_vector_dedup": r"""
+with recursive v as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+n as (
+  select r, vec_id, e, sqrt(list_inner_product(e, e)) as l from v
+  where e is not null and vec_id is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (
+  select a.r, a.vec_id as a, b.vec_id as b from n a join n b on a.r <> b.r and len(a.e) = len(b.e)
+  where list_inner_product(a.e, b.e) / (a.l * b.l) >= 0.95),
+reach(a, b) as (
+  select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
+c as (select a, min(b) as m from reach group by a),
+k as (select r, count(*) as n from links group by r)
+select v.vec_id, coalesce(k.n, 0)::bigint as n_links, least(v.vec_id, coalesce(c.m, v.vec_id)) as component_id,
+  coalesce(least(v.vec_id, coalesce(c.m, v.vec_id)) = v.vec_id, true) as kept
+from v left join k on v.r = k.r left join c on v.vec_id = c.a
+""",
+    "op10_jaccard_join": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(generate_series(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from w),
+t as (select doc_id, len(s) as n, unnest(s) as g from s),
+o as (select x.doc_id as a, y.doc_id as b, any_value(x.n) as n, any_value(y.n) as m, count(*) as k from t x join t y on x.g = y.g and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id),
+links as (select a, b from o where 100 * k >= 85 * (n + m - k)),
+reach(a, b) as (
+  select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
+c as (select a, min(b) as m from reach group by a)
+select s.doc_id, len(s.s)::bigint as n_shingles, least(s.doc_id, coalesce(c.m, s.doc_id)) as component_id from s left join c on s.doc_id = c.a
+""",
     "op2_url_filter": r"""
 with u as (
   select page_id,
