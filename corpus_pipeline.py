@@ -25,15 +25,11 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model learns from labelled rows outside the held-out fold, among the stage's own documents."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(crc_fold() != 0))
-    name = "toxicity_score"
-    while name in docs.columns:
-        name += "_"
-    scored = toxicity.score(docs, model, keep=True, name=name)
-    return scored.where(F.col(name) < 0.5).select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8; of rows with the same id, too, one stays where texts repeat."""
+    """Five-word shingles, similarity 0.8; rows that share an id stay or go together."""
     groups = jaccard_join.cluster_sets(docs, n=5, percent=80)
     return without(docs, groups.where("component_id <> doc_id"))
 

@@ -66,38 +66,40 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_noisy_or(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, label: np.ndarray, min_docs: int, max_words: int, min_z: float = 4.0, rounds: int = 300, rate: float = 0.5, decay: float = 2e-5) -> dict[int, float]:
-    """Weights by word hash; the bias under ``BIAS``."""
-    if not len(label) or not len(words):
+def screen(docs: list[np.ndarray], label: np.ndarray, min_docs: int, min_z: float, max_words: int) -> np.ndarray:
+    """Ascending features that enough documents have and that tell toxic ones from others, the clearest if there are too many."""
+    once = [np.unique(d) for d in docs]
+    none = [np.zeros(0, np.uint64)]
+    features, n = np.unique(np.concatenate(once or none), return_counts=True)
+    toxic, c = np.unique(np.concatenate([d for d, y in zip(once, label, strict=True) if y == 1] or none), return_counts=True)
+    ones = np.zeros(len(features), np.int64)
+    ones[np.searchsorted(features, toxic)] = c
+    n1, n0 = max(1, int((label == 1).sum())), max(1, int((label == 0).sum()))
+    share = n / max(1, len(label))
+    z = np.abs((ones / n1 - (n - ones) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0)))
+    kept = np.flatnonzero((n >= min_docs) & (z >= min_z))
+    return np.sort(features[kept[np.lexsort((features[kept], -z[kept]))][:max_words]])
+
+
+def fit_noisy_or(vocabulary: np.ndarray, feature: np.ndarray, sentence: np.ndarray, text: np.ndarray, label: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 2e-5) -> dict[int, float]:
+    """Weights by feature hash; the bias under ``BIAS``. ``feature`` numbers the vocabulary, ``sentence`` and ``text`` say where it stands."""
+    if not len(label):
         return {}
-    vocabulary, index = np.unique(words, return_inverse=True)
-    pairs = np.unique(index * np.int64(len(label)) + text[sentence])
-    docs = np.bincount(pairs // len(label), minlength=len(vocabulary))
-    ones = np.bincount(pairs // len(label), label[pairs % len(label)] == 1, minlength=len(vocabulary))
-    n1, n0 = max(1, (label == 1).sum()), max(1, (label == 0).sum())
-    share = docs / len(label)
-    z = (ones / n1 - (docs - ones) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    kept = np.flatnonzero((docs >= min_docs) & (np.abs(z) >= min_z))
-    kept = np.sort(kept[np.lexsort((vocabulary[kept], -np.abs(z[kept])))][:max_words])
-    number = np.full(len(vocabulary), -1)
-    number[kept] = np.arange(len(kept))
-    has = number[index] >= 0
-    feature, sentence = number[index][has], sentence[has]
-    n_sentences, weights, bias = len(text), np.zeros(len(kept)), -4.0
+    n_sentences, weights, bias = len(text), np.zeros(len(vocabulary)), -4.0
     toxic = label[text] == 1
-    seen, seen_bias = np.full(len(kept), 1e-2), 1e-2
+    seen, seen_bias = np.full(len(vocabulary), 1e-2), 1e-2
     for _ in range(rounds):
         p = _sigmoid(bias + np.bincount(sentence, weights[feature], n_sentences))
         none = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), len(label))  # log of P(no offence)
         some = np.maximum(-np.expm1(none), 1e-9)
         pull = np.where(toxic, p * (np.exp(none) / some)[text], -p)
-        step = np.bincount(feature, pull[sentence], len(kept)) / len(label) * 1000 - decay * 1000 * weights
+        step = np.bincount(feature, pull[sentence], len(vocabulary)) / len(label) * 1000 - decay * 1000 * weights
         seen += step * step
         weights += rate * step / np.sqrt(seen)
         step_bias = pull.sum() / len(label) * 1000
         seen_bias += step_bias * step_bias
         bias += rate * step_bias / np.sqrt(seen_bias)
-    return {BIAS: float(bias)} | dict(zip(vocabulary[kept].view(np.int64).tolist(), weights.tolist(), strict=True))
+    return {BIAS: float(bias)} | dict(zip(vocabulary.view(np.int64).tolist(), weights.tolist(), strict=True))
 
 
 class Scorer:
@@ -125,7 +127,7 @@ class Scorer:
         return -np.expm1(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts))) + 0.0
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 12_000, max_bytes: int = 96 << 20, min_docs: int = 4, max_words: int = 1 << 17) -> dict[int, float]:
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 12_000, max_bytes: int = 96 << 20, min_docs: int = 4, min_z: float = 4.0, max_words: int = 1 << 17) -> dict[int, float]:
     """Fit to a bounded sample of the labelled rows; the model comes back to the driver (at most ``max_words`` rows)."""
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -159,9 +161,18 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     words.append(np.frombuffer(w, "<u8"))
                     sizes.append(np.frombuffer(z, "<i4"))
                     label.append(y)
-        text = np.repeat(np.arange(len(label)), [len(z) for z in sizes])
-        counts = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        model = fit_noisy_or(np.concatenate(words) if words else np.zeros(0, np.uint64), np.repeat(np.arange(len(counts)), counts), text, np.array(label), min_docs, max_words)
+        label = np.array(label, np.int64)
+        vocabulary = screen(words, label, min_docs, min_z, max_words)
+        feature, sentence, text, base = [], [], [], 0
+        for k, (w, z) in enumerate(zip(words, sizes, strict=True)):
+            at = np.minimum(np.searchsorted(vocabulary, w), max(0, len(vocabulary) - 1))
+            on = np.flatnonzero(vocabulary[at] == w) if len(vocabulary) else np.zeros(0, np.int64)
+            feature.append(at[on])
+            sentence.append(base + np.repeat(np.arange(len(z)), z)[on])
+            text.append(np.full(len(z), k))
+            base += len(z)
+        join = lambda x: np.concatenate(x or [np.zeros(0, np.int64)]).astype(np.int64)
+        model = fit_noisy_or(vocabulary, join(feature), join(sentence), join(text), label)
         yield pa.array(list(model), pa.int64()), [list(model.values())]
 
     one = table.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "sizes", "words")
@@ -169,11 +180,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return dict(zip(model["id"].tolist(), model["weight"].tolist(), strict=True))
 
 
-def score(df: DataFrame, model: dict[int, float], id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str = "score") -> DataFrame:
-    """Per row: id and ``name``; with ``keep`` all columns of ``df`` and ``name`` (which must be new then)."""
+def score(df: DataFrame, model: dict[int, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id and ``score``."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    texts = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    rows = df.select(F.struct(*df.columns).alias("id") if keep else F.col(id_col).alias("id"), texts)
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
         scorer = Scorer(sent.value)
@@ -181,8 +191,20 @@ def score(df: DataFrame, model: dict[int, float], id_col: str = "doc_id", text_c
             for part in slices(batch, "text"):
                 yield part.column("id"), [scorer.texts(part.column("text"))]
 
-    out = map_columns(rows, f"id long, {name} double", run)
-    return out.select("id.*", name) if keep else out.select(F.col("id").alias(id_col), name)
+    return map_columns(rows, "id long, score double", run).withColumnRenamed("id", id_col)
+
+
+def without_toxic(df: DataFrame, model: dict[int, float], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df`` whose score is below ``threshold``, as they are."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = Scorer(sent.value)
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(scorer.texts(part.column(text_col)) < threshold))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def locate_sentences(df: DataFrame, model: dict[int, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
