@@ -10,7 +10,7 @@ range-partitioned by shard, and a task writes its shards as files of raw little-
 ids, sequence ``slot`` at byte ``(slot % per_shard) * length * width`` of its shard, so a
 reader starts or resumes at any slot with one seek and reads on sequentially.
 
-The numbered sequences are written once to the shared checkpoint folder (zstd inside),
+The numbered sequences are written once to the shared checkpoint folder (zstd),
 since their number is needed before the first slot is known; what the driver gets is
 one count for each input partition. A shard is written under a name of its own and
 renamed when complete, so tasks that are run again or twice leave the same files.
@@ -104,20 +104,13 @@ def permute(index: np.ndarray, count: int, key: int, rounds: int = 6) -> np.ndar
 
 
 def sequences(df: DataFrame, tokenizer_path: str, pattern: str, end: int, length: int, id_col: str, text_col: str) -> DataFrame:
-    """(part, number in part, tokens before padding, ids of documents, zstd-packed ids), cut within each partition."""
+    """(part, number in part, tokens before padding, ids of documents, ids as bytes), cut within each partition."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3).compress
         part, number, held, docs = TaskContext.get().partitionId(), 0, bytearray(), []
         tokens = word_tokens(tokenizer_path, pattern, end)
         size = length * tokens.dtype.itemsize
-        planes = tokens.dtype.itemsize
-
-        def packed(body: bytes) -> bytes:  # bytes of equal weight together pack better
-            return pack(np.frombuffer(body, np.uint8).reshape(-1, planes).T.tobytes())
 
         def emit(out):
             cols = list(zip(*out, strict=True))
@@ -131,7 +124,7 @@ def sequences(df: DataFrame, tokenizer_path: str, pattern: str, end: int, length
                     docs.append(doc)
                     at = 0
                     while len(held) - at >= size:
-                        out.append((part, number, length, docs, packed(bytes(held[at : at + size]))))
+                        out.append((part, number, length, docs, bytes(held[at : at + size])))
                         at += size
                         number, docs = number + 1, [doc] if len(held) > at else []
                     if at:
@@ -140,7 +133,7 @@ def sequences(df: DataFrame, tokenizer_path: str, pattern: str, end: int, length
                     yield emit(out)
         if held:
             n = len(held) // tokens.dtype.itemsize
-            yield emit([(part, number, n, docs, packed(bytes(held) + tokens.end_bytes * (length - n)))])
+            yield emit([(part, number, n, docs, bytes(held) + tokens.end_bytes * (length - n))])
 
     out = map_columns(rows.withColumnRenamed("id", "doc"), "part int, number long, n_tokens int, doc_ids array<long>, body binary", lambda b: run(_renamed(b)))
     return out
@@ -151,6 +144,29 @@ def _renamed(batches):
         yield b.rename_columns(["id", "text"])
 
 
+#: Sequences (two megabytes at the default length) that the packing dictionary is made from.
+DICTIONARY_FROM, DICTIONARY_BYTES = 1500, 32 << 10
+
+
+def packing_dictionary(bodies: list[bytes]) -> bytes:
+    """What short bodies have in common, for packing them one by one in the shuffle; empty if there are few."""
+    import zstandard
+
+    return zstandard.train_dictionary(DICTIONARY_BYTES, bodies).as_bytes() if sum(map(len, bodies)) > 16 * DICTIONARY_BYTES else b""
+
+
+def packer(dictionary: bytes):
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+
+
+def unpacker(dictionary: bytes):
+    import zstandard
+
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+
+
 def write_shards(df: DataFrame, out_uri: str, tokenizer_path: str, pattern: str, end: int, key: int, length: int = 1024, per_shard: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards and return one row for each sequence.
 
@@ -161,7 +177,8 @@ def write_shards(df: DataFrame, out_uri: str, tokenizer_path: str, pattern: str,
     from pyarrow import fs
 
     spark = df.sparkSession
-    cut = Scratch(spark).save(sequences(df, tokenizer_path, pattern, end, length, id_col, text_col), "none")
+    cut = Scratch(spark).save(sequences(df, tokenizer_path, pattern, end, length, id_col, text_col), "zstd")
+    shared = spark.sparkContext.broadcast(packing_dictionary([bytes(r["body"]) for r in cut.select("body").limit(DICTIONARY_FROM).collect()]))
     counts = sorted((r["part"], r["count"]) for r in cut.groupBy("part").count().collect())
     total = sum(n for _, n in counts)
     starts = np.cumsum([0] + [n for _, n in counts])
@@ -173,21 +190,21 @@ def write_shards(df: DataFrame, out_uri: str, tokenizer_path: str, pattern: str,
         f.write(json.dumps({"sequences": total, "length": length, "width": width, "per_shard": per_shard, "key": key, "end": end}).encode())
 
     def place(batches):
+        pack = packer(shared.value).compress
         for b in batches:
             part = np.searchsorted(parts, b.column("part").to_numpy())
             slot = permute(starts[part] + b.column("number").to_numpy(), total, key)
-            yield b.column("part"), [slot, slot // per_shard, b.column("n_tokens"), b.column("doc_ids"), b.column("body")]
+            yield b.column("part"), [slot, slot // per_shard, b.column("n_tokens"), b.column("doc_ids"), [pack(x) for x in b.column("body").to_pylist()]]
 
     placed = map_columns(cut.select("part", "number", "n_tokens", "doc_ids", "body"), "part int, slot long, shard long, n_tokens int, doc_ids array<long>, body binary", place).drop("part")
     n_shards = max(1, -(-total // per_shard))
-    dealt = placed.repartitionByRange(n_shards, "shard").sortWithinPartitions("slot")
+    # the ranges are known, so they are dealt by number: no sampling pass over what is packed
+    dealt = placed.repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
 
     def write(batches):
         import hashlib
 
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack = unpacker(shared.value).decompress
         store, root = fs.FileSystem.from_uri(out_uri)
         now, stream, name = None, None, None
 
@@ -203,7 +220,7 @@ def write_shards(df: DataFrame, out_uri: str, tokenizer_path: str, pattern: str,
                         close()
                     now, name = shard, f"{root}/.writing-{shard:08d}-{uuid.uuid4().hex}"
                     stream = store.open_output_stream(name)
-                raw = np.frombuffer(unpack(body), np.uint8).reshape(width, -1).T.tobytes()
+                raw = unpack(body)
                 stream.write(raw)
                 digest.append(hashlib.sha256(raw).hexdigest())
             slot = b.column("slot").to_numpy()
