@@ -1,6 +1,7 @@
 """Text expressions: normal forms, pattern predicates, shingles and similarity.
 
-Patterns use Java's ``(?iU)`` so that letters with accents count as word characters.
+Patterns use Java's ``(?iU)`` so that letters with accents count as word characters; a
+normal form holds a-z, apostrophes and spaces only and needs neither flag (``plain``).
 Every function takes and returns Columns and stays inside code generation.
 """
 
@@ -37,18 +38,18 @@ def normalise(text: Column, kind: str = "words", lemmas: dict[str, str] | None =
     return F.array_join(lemmatise(tokens(text, kind), lemmas), " ")
 
 
-def matches(text: Column, pattern: str, lowered: bool = False) -> Column:
+def matches(text: Column, pattern: str, lowered: bool = False, plain: bool = False) -> Column:
     """One pattern, behind a plain substring test where the pattern has a literal to look for."""
     literal = re.fullmatch(r"\\b([a-z0-9' &]+)\\b", pattern)
-    found = text.rlike("(?iU)" + pattern)
-    return (text if lowered else F.lower(text)).contains(literal[1]) & found if literal else found
+    found = text.rlike(("" if plain else "(?iU)") + pattern)
+    return (text if lowered or plain else F.lower(text)).contains(literal[1]) & found if literal else found
 
 
-def any_of(text: Column, patterns: list[str], lowered: bool = False) -> Column:
+def any_of(text: Column, patterns: list[str], lowered: bool = False, plain: bool = False) -> Column:
     """Whether any pattern occurs: long literals behind substring tests, the others in one alternation."""
     tested = [p for p in patterns if re.fullmatch(r"\\b[a-z0-9' &]{4,}\\b", p)]
     rest = [p for p in patterns if p not in tested]
-    found = [matches(text, p, lowered) for p in tested] + ([text.rlike("(?iU)(?:" + "|".join(rest) + ")")] if rest else [])
+    found = [matches(text, p, lowered, plain) for p in tested] + ([text.rlike(("" if plain else "(?iU)") + "(?:" + "|".join(rest) + ")")] if rest else [])
     out = found[0]
     for f in found[1:]:
         out = out | f
@@ -69,7 +70,7 @@ def lexicon_matches(text: Column) -> Column:
     ``text`` is a normal form (lower case, single spaces), so a substring test goes before each pattern.
     """
     keys = F.array(*(F.lit(k) for k in lexicon.POSITIVE_LEXICON))
-    values = F.array(*(F.filter(F.array(*(F.when(text.contains(t) & text.rlike("(?iU)" + term_pattern(t)), F.lit(t)) for t in terms)), lambda x: x.isNotNull()) for terms in lexicon.POSITIVE_LEXICON.values()))
+    values = F.array(*(F.filter(F.array(*(F.when(text.contains(t) & text.rlike(term_pattern(t)), F.lit(t)) for t in terms)), lambda x: x.isNotNull()) for terms in lexicon.POSITIVE_LEXICON.values()))
     return F.map_filter(F.map_from_arrays(keys, values), lambda _, v: F.size(v) > 0)
 
 

@@ -24,7 +24,7 @@ def retrieve_candidates(df: DataFrame, text_col: str = "sentence", keep_all: boo
     out = df.withColumn("normalized_text", text.normalise(text.clean(F.col(text_col)), lemmas=lemmas))
     n = F.col("normalized_text")
     cues = {"has_first_person_cue": lexicon.FIRST_PERSON, "has_outdoor_cue": lexicon.OUTDOOR, "has_negation_pattern": lexicon.NEGATION}
-    out = out.withColumns({"retrieval_matches": text.lexicon_matches(n), **{k: text.any_of(n, p, True).cast("int") for k, p in cues.items()}})
+    out = out.withColumns({"retrieval_matches": text.lexicon_matches(n), **{k: text.any_of(n, p, plain=True).cast("int") for k, p in cues.items()}})
     found = F.map_keys("retrieval_matches")
     strong = F.arrays_overlap(found, F.array(*map(F.lit, ("physiological", "psychological", "coping_individual"))))
     ambient = F.array_contains(found, "ambient_heat")
