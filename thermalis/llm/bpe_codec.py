@@ -27,7 +27,7 @@ from thermalis.llm.arrowio import map_texts
 SPACES = b" \t\n\r\x0b\x0c"
 #: A cut every so many bytes on average (a power of two).
 CHUNK_BYTES = 2048
-WORDS_KEPT, CHUNK_BYTES_KEPT, LONGEST_WORD = 400_000, 24 << 20, 64
+WORDS_KEPT, CHUNK_BYTES_KEPT = 300_000, 24 << 20
 _LOADED: dict = {}
 
 
