@@ -8,8 +8,8 @@ the same way. A cut may fall inside a word: there the two fragments are joined a
 encoded again together with their neighbour words, and the window grows until its
 encoding agrees with what both sides already have (at worst it becomes the text).
 
-Chunks and words are kept per worker process in tables bounded by bytes and entries;
-what falls out is encoded again, so the bounds cost time and never change a result.
+Chunks and words are kept per worker process in tables bounded by bytes and entries
+(words in two generations, so that those in use stay); what falls out is encoded again, so the bounds cost time and never change a result.
 Keys are the bytes themselves, not their hashes.
 
 Null texts count as empty (no ids, empty decoded text). Rows are independent: ties,
@@ -18,6 +18,9 @@ repeated rows, extra columns and empty tables need no rule. No shuffle.
 
 from __future__ import annotations
 
+import os
+import struct
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +30,8 @@ from thermalis.llm.arrowio import map_texts
 SPACES = b" \t\n\r\x0b\x0c"
 #: A cut every so many bytes on average (a power of two).
 CHUNK_BYTES = 2048
-WORDS_KEPT, CHUNK_BYTES_KEPT = 300_000, 24 << 20
+#: Words of the younger generation before it becomes the older one; bytes of chunks.
+WORDS_KEPT, CHUNK_BYTES_KEPT = 250_000, 24 << 20
 _LOADED: dict = {}
 
 
@@ -53,6 +57,7 @@ def cut_points(raw: bytes, table, average: int = CHUNK_BYTES) -> list[int]:
 
 class Codec:
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,18 +65,24 @@ class Codec:
         self.tokenizer.no_padding()
         self.table = gear_table()
         self.words: dict[bytes, tuple[bytes, str]] = {}
+        self.older: dict[bytes, tuple[bytes, str]] = {}
         self.chunks: dict[bytes, tuple[bytes, str]] = {}
         self.chunk_bytes = 0
 
     def library(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        import numpy as np
-
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         shown = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        return [(np.array(i, dtype="<u4").tobytes(), s) for i, s in zip(ids, shown, strict=True)]
+        return [(struct.pack(f"<{len(i)}I", *i), s) for i, s in zip(ids, shown, strict=True)]
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.words]
+        new = []
+        for w in words:
+            if w not in self.words:
+                known = self.older.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    self.words[w] = known
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             self.words.update(zip(part, self.library([w.decode() for w in part]), strict=True))
@@ -132,7 +143,7 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text, of each text."""
         if len(self.words) > WORDS_KEPT:  # between slices only: a slice needs what it has learnt
-            self.words.clear()
+            self.older, self.words = self.words, {}
         cut = [self.parts(t) for t in texts]
         new = set()
         for raw, spans in cut:
