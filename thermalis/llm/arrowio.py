@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,6 +28,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
+def give_back() -> None:
+    """Return memory that a finished task left unused; the worker process lives on and waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable]) -> DataFrame:
     """Apply ``make()(texts) -> list of columns`` to whole texts, without a shuffle.
 
@@ -59,5 +68,6 @@ def map_columns(df: DataFrame, schema: str, run: Callable) -> DataFrame:
             cells = [ids, *columns]
             arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cells, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        give_back()
 
     return df.mapInArrow(outer, kinds)
