@@ -20,14 +20,14 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.saved = 0
 
     def save(self, df: DataFrame, compression: str = "snappy", **options: str) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
+        path = f"{self.root}/{self.saved}"
+        self.saved += 1
         df.write.options(compression=compression, **options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._scratch_path = path  # keeps the id in use as long as the path is
+        out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
