@@ -157,6 +157,33 @@ def test_contamination_equals_brute_force(spark):
     assert decontaminate.find_contamination(df, bench.limit(0)).count() == 0
 
 
+def test_swapped_and_moved_passages_equal_brute_force(spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(400)]
+    items = [" ".join(rng.choices(vocabulary, k=rng.randint(40, 90))) for _ in range(20)]
+    docs = []
+    for k in range(40):
+        w = items[k % 20].split()
+        cut = rng.randint(1, len(w) - 1) if k % 3 else len(w) // 2
+        w = w[cut:] + w[:cut]
+        if k % 4 == 3:
+            w[cut // 2] = "new"
+        docs.append(" ".join(rng.choices(vocabulary, k=rng.randint(0, 30)) + w + rng.choices(vocabulary, k=rng.randint(0, 30))))
+    want = {(i, k) for i, t in enumerate(docs) for k in brute_matches(t, items)}
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows = decontaminate.find_contamination(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want) > 10
+
+
+def test_window_prints_are_simhashes():
+    found = np.random.default_rng(4).integers(0, 1 << 63, 300, dtype=np.uint64)
+    found[50:90] = found[50]
+    at = np.array([0, 1, 7, 48, 60, 200, 280])
+    for span in (5, 1 << 13):
+        want = [decontaminate.simhash(*np.unique(found[a : a + 20], return_counts=True)) for a in at]
+        assert decontaminate.window_prints(found, at, 20, span).tolist() == want
+
+
 def test_hamming_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
     prints = [int(x) for x in rng.integers(0, 1 << 63, 300, dtype=np.uint64)]

@@ -1,15 +1,17 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Texts become 64-bit word hashes (A-Z lower-cased, split at ASCII white space) and
-five-word shingles. A window as long as an item can be similar to it only if they
-share a shingle, so every shared shingle proposes the window that aligns it with its
-item (no window is lost this way: without one, similarity is 0). Each proposed window
+five-word shingles. Of an item, every window of the document with as many words counts
+(a shorter document is one window). The shingles shared in a window cannot be more than
+its positions whose shingle the item has, so the windows proposed are all those with
+enough such positions to reach ``threshold``, wherever these stand in the item. Each proposed window
 gets a SimHash of its shingles, weighted by their counts. Fingerprints are looked up
 in a multi-index: the 64 bits fall into ``blocks`` blocks, and two fingerprints within
 ``radius`` bits must agree within ``radius // blocks`` bits in one block at least, so
 the tables of block values return every item within the radius. Those items are then
 verified by exact weighted-shingle similarity, sum of least over sum of greatest
-counts. At 0.8 the expected distance is under 10 bits with a deviation under 3.
+counts. At 0.8 the expected distance is under 10 bits with a deviation under 3. A window
+is passed over unseen only if its positions cannot beat a similarity already found.
 
 The benchmark is sent to all tasks in parts of at most ``part_bytes`` of text, one scan
 of the documents for each part. Documents stay where they are: no shuffle, and neither
@@ -48,6 +50,22 @@ def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float(least / (a[1].sum() + b[1].sum() - least)) if len(i) else 0.0
 
 
+def window_prints(found: np.ndarray, at: np.ndarray, m: int, span: int = 1 << 13) -> np.ndarray:
+    """SimHash of the ``m`` shingles from each of the ascending places ``at``, by running sums of bits."""
+    out, k = np.zeros(len(at), np.uint64), 0
+    while k < len(at):
+        stop = int(np.searchsorted(at, at[k] + span))
+        own = found[at[k] : at[stop - 1] + m].astype("<u8")
+        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.zeros((len(own) + 1, BITS), np.int32)
+        np.cumsum(bits, axis=0, out=sums[1:])
+        first = at[k:stop] - at[k]
+        votes = 2 * (sums[first + m] - sums[first]) > m
+        out[k:stop] = np.packbits(votes, axis=1, bitorder="little").view("<u8")[:, 0]
+        k = stop
+    return out
+
+
 class HammingIndex:
     """All fingerprints within ``radius`` bits of a given one, by blocks of bits."""
 
@@ -75,15 +93,18 @@ class Benchmark:
         hashes, offsets = words(texts)
         self.n, self.ids, self.size = n, ids, np.diff(offsets)
         found, rows = shingles(hashes, offsets, n)
-        first = np.searchsorted(rows, np.arange(len(ids)))
         keep = self.size[rows] >= n
-        order = np.argsort(found[keep], kind="stable")
-        self.shingles, self.rows = found[keep][order], rows[keep][order]
-        self.place = (np.arange(len(rows)) - first[rows])[keep][order]
+        found_, rows_ = found[keep], rows[keep]
+        order = np.lexsort((rows_, found_))
+        found_, rows_ = found_[order], rows_[order]
+        once = np.ones(len(found_), bool)
+        once[1:] = (found_[1:] != found_[:-1]) | (rows_[1:] != rows_[:-1])
+        self.shingles, self.rows = found_[once], rows_[once]
         self.known = np.zeros(1 << 20, bool)
         self.known[(self.shingles & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.bags = [np.unique(found[rows == r], return_counts=True) for r in range(len(ids))]
         self.long = [r for r in range(len(ids)) if self.size[r] >= n]
+        self.number = {r: k for k, r in enumerate(self.long)}
         self.index = HammingIndex([simhash(*self.bags[r]) for r in self.long], radius)
         self.short: dict[tuple, list[int]] = {}
         for r in range(len(ids)):
@@ -108,21 +129,49 @@ class Benchmark:
         row_start = np.searchsorted(rows, rows[hits])  # a row's first shingle
         times = hi - lo
         which = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        at = np.repeat(hits - row_start, times) - self.place[which]
-        doc, size = np.repeat(rows[hits], times), self.size[self.rows[which]]
-        at = np.maximum(0, np.minimum(at, counts[doc] - size))
-        windows = np.unique(np.stack([doc, at, np.minimum(size, counts[doc])]), axis=1)
+        doc, item, at = np.repeat(rows[hits], times), self.rows[which], np.repeat(hits - row_start, times)
+        order = np.lexsort((at, item, doc))
+        doc, item, at = doc[order], item[order], at[order]
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
+        group = np.cumsum(new) - 1
+        size = np.minimum(self.size[item], counts[doc])
+        m, whole = size - self.n + 1, self.size[item] - self.n + 1
+        need = np.maximum(1, np.ceil(threshold * (m + whole) / (1 + threshold) - 1e-6).astype(np.int64))
+        # runs of ``need`` hits that one window can hold, and the starts of all windows that do
+        last = np.arange(len(at)) + need - 1
+        inside = np.minimum(last, len(at) - 1)
+        run = np.flatnonzero((last < len(at)) & (group[inside] == group) & (at[inside] - at < m))
+        if not len(run):
+            return out
+        low = np.maximum(0, at[inside[run]] - m[run] + 1)
+        high = np.minimum(at[run], (counts[doc] - size)[run])
+        # runs of a group start in ascending order: each adds the starts after those of the run before
+        again = group[run[1:]] == group[run[:-1]]
+        low[1:] = np.where(again, np.maximum(low[1:], high[:-1] + 1), low[1:])
+        times = np.maximum(0, high - low + 1)
+        own = np.repeat(run, times)
+        start = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        wide = np.int64(counts.max() + 1)
+        key, begin = group * wide + at, group[own] * wide + start
+        held = np.searchsorted(key, begin + m[own]) - np.searchsorted(key, begin)
+        bound = held / (m[own] + whole[own] - held)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        base = np.searchsorted(rows, windows[0])
-        for r, a, size, start in zip(*windows.tolist(), base.tolist(), strict=True):
-            if size < self.n:
-                continue
-            bag = np.unique(found[start + a : start + a + size - self.n + 1], return_counts=True)
-            for k in self.index.within(simhash(*bag)):
-                item = self.long[k]
-                s = weighted_similarity(bag, self.bags[item])
-                if s >= threshold and s > best.get((r, item), (0.0,))[0]:
-                    best[r, item] = (s, a, size)
+        edges = np.flatnonzero(np.diff(group[own], prepend=-1, append=-1))
+        bases = np.searchsorted(rows, doc[own[edges[:-1]]])
+        for x, y, base in zip(edges[:-1], edges[1:], bases.tolist(), strict=True):
+            r, k, words_, w = int(doc[own[x]]), int(item[own[x]]), int(size[own[x]]), int(m[own[x]])
+            prints = window_prints(found[base:], start[x:y], w)
+            place, s_best, a_best = self.number[k], 0.0, 0
+            for z in np.argsort(-held[x:y], kind="stable").tolist():
+                a, most = int(start[x + z]), bound[x + z]
+                if most < s_best:
+                    break
+                if (most == s_best and a > a_best) or place not in self.index.within(int(prints[z])):
+                    continue
+                s = weighted_similarity(np.unique(found[base + a : base + a + w], return_counts=True), self.bags[k])
+                if s >= threshold and (s > s_best or (s == s_best and a < a_best)):
+                    s_best, a_best = s, a
+                    best[r, k] = (s, a, words_)
         return out + [(r, item, *v) for (r, item), v in best.items()]
 
 
