@@ -52,6 +52,23 @@ def test_counts_and_gain(spark, bundles):
     assert sum(g for g, _ in gain) / sum(k for _, k in gain) > 0.25
 
 
+def zipf_corpus(n=500, length=80, words_=1500):
+    """Most pairs belong to a few contexts, which many cells make hot."""
+    rng = np.random.default_rng(8)
+    draw = rng.zipf(1.3, (n, length)) % words_
+    return [" ".join("w%d" % w for w in row) for row in draw]
+
+
+def test_scores_do_not_depend_on_how_pairs_are_dealt(spark):
+    texts = zipf_corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    scores = {}
+    for bundles in (1, 24):
+        rows = pitman_yor.score_texts(df, F.col("doc_id") % 5 != 1, bundles=bundles).collect()
+        scores[bundles] = [sum(r.score for r in rows if r.held_out == h) / sum(r.n_tokens for r in rows if r.held_out == h) for h in (True, False)]
+    assert np.allclose(scores[1], scores[24], atol=0.004), scores
+
+
 def test_no_training_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     rows = pitman_yor.score_texts(df, F.lit(False)).collect()

@@ -18,10 +18,13 @@ How it spreads. Texts become pairs (context, word) of 64-bit hashes, dealt to *c
 context. A few cells make a *bundle*, which is what travels: each task packs its pairs per
 bundle into columns, so one shuffle brings all pairs of a context together, and a task
 works through a bundle one cell at a time. A context with over a quarter of a cell's share of pairs is hot: it is split
-over cells by its words, and its totals are exchanged. Seating runs inside the cells;
-tables are summed over bundles by word (pre-aggregated), the parent is seated word by word,
-and each bundle gets back only what its own words need. Then cells sample on, score their
-pairs, and sums per document, packed like the pairs, meet again. Nothing that grows with the data is broadcast
+over cells by its words; until its tables are known, each part takes those of the whole to be
+its own in proportion to the parts it holds. Seating runs inside the cells;
+tables are summed over bundles by word (pre-aggregated) and by hot context, the parent is seated word by word,
+and each bundle gets back only what its own words need. That exchange is made once on a guessed
+parent and ``rounds`` times more, after a sweep with the parent's ``p`` and the exchanged tables of hot
+contexts. Then cells sample on, hot contexts like all others (their other parts' tables
+as last exchanged), score their pairs, and sums per document, packed like the pairs, meet again. Nothing that grows with the data is broadcast
 or reaches the driver: hot contexts number at most four times the cells.
 
 All statistics cover all training documents. Null and empty texts are the end token
@@ -190,20 +193,65 @@ class Cell:
         self.customers = np.bincount(self.context, self.count, len(self.contexts))
         self.word_count = np.bincount(self.word, self.count, len(words))
 
-    def start(self, theta: float, d: float, sweeps: int, seed: int):
-        """(tables of the pairs seen, tables of the contexts) with a parent guessed from this cell alone."""
+    def parts(self, hot: np.ndarray, splits: np.ndarray, number: int, n_cells: int):
+        """(contexts here that are hot, into how many parts each is split for one that cell ``number`` holds)."""
+        if not len(hot):
+            return np.zeros(0, np.int64), np.ones(0)
+        place = np.minimum(np.searchsorted(hot, self.contexts), len(hot) - 1)
+        at = np.flatnonzero(hot[place] == self.contexts)
+        s = splits[place[at]].astype(np.int64)
+        part = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) + 1
+        with np.errstate(over="ignore"):
+            here = mix(np.repeat(self.contexts[at], s) + part.astype(np.uint64)) % np.uint64(n_cells) == number
+        return at, s / np.maximum(1, np.bincount(np.repeat(np.arange(len(at)), s), here, len(at)))
+
+    def own_tables(self, tables: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context[self.seen], tables, len(self.contexts)).astype(float)  # whole numbers if empty
+
+    def start(self, theta: float, d: float, sweeps: int, seed: int, hot: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """Tables of the pairs seen, with a parent guessed from this cell alone."""
         self.rng = np.random.default_rng(seed)
         self.logs = stirling_logs(d)
         types = np.bincount(self.word[self.seen], minlength=len(self.words))
         p = ((types + 0.5) / (types.sum() + 0.5 * len(types)))[self.word[self.seen]]
         c, u = self.count[self.seen], self.context[self.seen]
-        t, totals = np.ones(len(c)), np.bincount(u, minlength=len(self.contexts)).astype(float)
+        t = np.ones(len(c))
         for _ in range(sweeps):
+            totals = self.own_tables(t)
+            totals[hot] *= scale
             t = sweep(c, u, p, t, totals, theta, d, self.logs, self.rng)
-        return t, totals
+        return t
 
+    def settle(self, t: np.ndarray, p: np.ndarray, theta: float, d: float, hot: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """One sweep of ``t`` with the parent's ``p`` and hot contexts' exchanged tables; the contexts' tables then."""
+        totals = self.own_tables(t)
+        totals[hot] = np.maximum(whole, totals[hot])
+        sweep(self.count[self.seen], self.context[self.seen], p, t, totals, theta, d, self.logs, self.rng)
+        totals = self.own_tables(t)
+        totals[hot] = np.maximum(whole, totals[hot])
+        return totals
 
-def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", theta: float = 1.0, d: float = 0.8, root_theta: float = 1.0, root_d: float = 0.5, burn_in: int = 2, samples: int = 3, bundles: int | None = None) -> DataFrame:
+
+class Known:
+    """What a bundle asked for: its words' customers and probabilities, and hot contexts' customers and tables."""
+
+    def __init__(self, t: pa.Table):
+        kind, keys = t.column("kind").to_numpy(), t.column("key").to_numpy().view(np.uint64)
+        c, p, v, n = (t.column(x).to_numpy() for x in ("c", "p", "v", "n"))
+        own = np.flatnonzero(kind == 0)
+        own = own[np.argsort(keys[own])]  # exactly this bundle's words, as it asked for them
+        self.word_c, self.word_p = c[own].astype(float), p[own]
+        self.v, self.n = float(v[own[0]]), int(n[own[0]])
+        hot = np.flatnonzero(kind == 1)
+        hot = hot[np.argsort(keys[hot])]
+        self.hot, self.hot_c, self.hot_t = keys[hot], c[hot].astype(float), p[hot]
+
+    def of(self, contexts: np.ndarray) -> np.ndarray:
+        """Where ``contexts``, all of them hot, stand among the hot ones."""
+        return np.searchsorted(self.hot, contexts)
+
+
+def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", theta: float = 1.0, d: float = 0.8, root_theta: float = 1.0, root_d: float = 0.5, burn_in: int = 2, samples: int = 3, rounds: int = 2, bundles: int | None = None) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     ``training`` says which rows the model learns from (null: not). ``base_score`` is the
@@ -312,27 +360,31 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
 
     none = np.zeros(0, np.uint64)
 
-    def seat(t: pa.Table) -> pa.Table:
+    def seated(t: pa.Table, known: pa.Table | None) -> pa.Table:
         """Customers and tables of the bundle's words, and of the hot contexts in each of its cells."""
         k = t.column("bundle")[0].as_py()
         if k < 0:
             return columns(k, none, none, ("c", none), ("t", none))
         bundle = Bundle(t)
+        parent = None if known is None else Known(known)
         c, tables, shared, shared_c, shared_t = np.zeros(len(bundle.words)), np.zeros(len(bundle.words)), [none], [none], [none]
         for j, cell in bundle.cells():
-            seated, totals = cell.start(theta, d, burn_in, k * CELLS + j)
+            at, scale = cell.parts(*sent.value, k * CELLS + j, n_cells)
+            own = cell.start(theta, d, burn_in, k * CELLS + j, at, scale)
+            if parent is not None:
+                cell.settle(own, parent.word_p[cell.word[cell.seen]], theta, d, at, parent.hot_t[parent.of(cell.contexts[at])])
             c += cell.word_count
-            tables += np.bincount(cell.word[cell.seen], seated, len(bundle.words))
-            at = np.flatnonzero(np.isin(cell.contexts, sent.value[0]))
+            tables += np.bincount(cell.word[cell.seen], own, len(bundle.words))
             shared.append(cell.contexts[at])
             shared_c.append(cell.customers[at])
-            shared_t.append(totals[at])
+            shared_t.append(cell.own_tables(own)[at])
         return columns(k, bundle.words, np.concatenate(shared), ("c", np.concatenate([c, *shared_c])), ("t", np.concatenate([tables, *shared_t])))
 
-    seated = made.groupBy("bundle").applyInArrow(seat, "bundle long, kind int, key long, c long, t long")
-    sums = seated.groupBy("kind", "key").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    seen = F.when((F.col("kind") == 0) & (F.col("c") > 0), 1)
-    whole = sums.agg(F.sum(seen).alias("v"), F.sum(seen * F.col("c")).alias("n"), F.sum(seen * F.col("t")).alias("customers"), F.sum(seen * F.log1p(F.col("t") - 1)).alias("spread"))
+    def seat(t: pa.Table) -> pa.Table:
+        return seated(t, None)
+
+    def seat_on(key, t: pa.Table, known: pa.Table) -> pa.Table:
+        return seated(t, known)
 
     def seat_parent(batches):
         """Tables of each word in the parent restaurant, given the weight of a new one."""
@@ -347,18 +399,23 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
                 own[on] = seat_in_order(t[on], np.full(len(on), fresh), root_d, np.random.default_rng(seed))
             yield b.column("kind"), [b.column("key"), b.column("c"), b.column("t"), own, v, b.column("n"), b.column("customers")]
 
-    rooted = map_columns(sums.join(F.broadcast(whole)), "kind int, key long, c long, t long, own double, v long, n long, customers long", seat_parent)
-    tables = rooted.agg(F.sum("own").alias("tables"))
-    parent = rooted.join(F.broadcast(tables)).select(
-        "kind",
-        "key",
-        "c",
-        F.when(F.col("kind") == 1, F.col("t").cast("double"))
-        .otherwise((F.col("t") - root_d * F.col("own") + (root_theta + root_d * F.coalesce("tables", F.lit(0.0))) / (F.coalesce("v", F.lit(0)) + 1)) / (root_theta + F.coalesce("customers", F.lit(0))))
-        .alias("p"),
-        F.coalesce("v", F.lit(0)).alias("v"),
-        F.coalesce("n", F.lit(0)).alias("n"),
-    )
+    def exchange(tables: DataFrame) -> DataFrame:
+        """Per word its probability in the parent, per hot context its tables (both ``p``)."""
+        sums = tables.groupBy("kind", "key").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+        seen = F.when((F.col("kind") == 0) & (F.col("c") > 0), 1)
+        whole = sums.agg(F.sum(seen).alias("v"), F.sum(seen * F.col("c")).alias("n"), F.sum(seen * F.col("t")).alias("customers"), F.sum(seen * F.log1p(F.col("t") - 1)).alias("spread"))
+        rooted = map_columns(sums.join(F.broadcast(whole)), "kind int, key long, c long, t long, own double, v long, n long, customers long", seat_parent)
+        root = rooted.agg(F.sum("own").alias("tables"))
+        return rooted.join(F.broadcast(root)).select(
+            "kind",
+            "key",
+            "c",
+            F.when(F.col("kind") == 1, F.col("t").cast("double"))
+            .otherwise((F.col("t") - root_d * F.col("own") + (root_theta + root_d * F.coalesce("tables", F.lit(0.0))) / (F.coalesce("v", F.lit(0)) + 1)) / (root_theta + F.coalesce("customers", F.lit(0))))
+            .alias("p"),
+            F.coalesce("v", F.lit(0)).alias("v"),
+            F.coalesce("n", F.lit(0)).alias("n"),
+        )
 
     def ask(t: pa.Table) -> pa.Table:
         """The words and hot contexts of a bundle."""
@@ -370,7 +427,11 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
         return columns(k, bundle.words, np.unique(np.concatenate(shared)))
 
     asked = made.groupBy("bundle").applyInArrow(ask, "bundle long, kind int, key long")
-    down = asked.join(parent, ["kind", "key"])
+    seats = "bundle long, kind int, key long, c long, t long"
+    down = asked.join(exchange(made.groupBy("bundle").applyInArrow(seat, seats)), ["kind", "key"])
+    for _ in range(rounds):
+        again = made.groupBy("bundle").cogroup(down.groupBy("bundle")).applyInArrow(seat_on, seats)
+        down = asked.join(exchange(again), ["kind", "key"])
 
     def by_pack(rows: np.ndarray, **more) -> pa.Table:
         return pa.table({"pack": rows >> ROW_BITS, "row": rows, **more})
@@ -381,32 +442,21 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
             return by_pack(t.column("row").to_numpy(), **{c: t.column(c) for c in ("doc", "held_out", "n_tokens", "body")})
         k = key[0].as_py()
         bundle = Bundle(t)
-        kind, keys = known.column("kind").to_numpy(), known.column("key").to_numpy().view(np.uint64)
-        c, p, v, n = (known.column(x).to_numpy() for x in ("c", "p", "v", "n"))
-        own = np.flatnonzero(kind == 0)
-        own = own[np.argsort(keys[own])]  # exactly this bundle's words, as it asked for them
-        word_c, word_p = c[own].astype(float), p[own]
-        v, n = float(v[own[0]]), int(n[own[0]])
-        log_base = np.log10((word_c + 0.5) / (n + 0.5 * (v + 1)))
-        hot_rows = np.flatnonzero(kind == 1)
+        parent = Known(known)
+        word_c, word_p, n = parent.word_c, parent.word_p, parent.n
+        log_base = np.log10((word_c + 0.5) / (n + 0.5 * (parent.v + 1)))
         found = []
         for j, cell in bundle.cells():
-            tables, totals = cell.start(theta, d, burn_in, k * CELLS + j)
+            at, scale = cell.parts(*sent.value, k * CELLS + j, n_cells)
+            tables = cell.start(theta, d, burn_in, k * CELLS + j, at, scale)
+            shared = parent.of(cell.contexts[at])
             customers = cell.customers.copy()
-            at = np.minimum(np.searchsorted(cell.contexts, keys[hot_rows]), len(cell.contexts) - 1)
-            here = cell.contexts[at] == keys[hot_rows]
-            at, shared = at[here], hot_rows[here]
-            is_shared = np.zeros(len(cell.contexts), bool)
-            is_shared[at], customers[at] = True, c[shared]
+            customers[at] = parent.hot_c[shared]
             own_c, own_u, own_p = cell.count[cell.seen], cell.context[cell.seen], word_p[cell.word[cell.seen]]
-            move = np.flatnonzero(~is_shared[own_u])  # hot contexts keep the seating whose totals were exchanged
-            moved, mean = tables[move].copy(), np.zeros(len(cell.context))
+            totals, mean = cell.settle(tables, own_p, theta, d, at, parent.hot_t[shared]), np.zeros(len(cell.context))
             for _ in range(samples):
-                moved = sweep(own_c[move], own_u[move], own_p[move], moved, totals, theta, d, cell.logs, cell.rng)
-                tables[move] = moved
-                context_tables = totals.copy()
-                context_tables[at] = p[shared]
-                top = (theta + d * context_tables[cell.context]) * word_p[cell.word]
+                sweep(own_c, own_u, own_p, tables, totals, theta, d, cell.logs, cell.rng)
+                top = (theta + d * totals[cell.context]) * word_p[cell.word]
                 top[cell.seen] += own_c - d * tables
                 mean += top / (theta + customers[cell.context])
             log_p = np.log10(mean / samples)
