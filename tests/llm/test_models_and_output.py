@@ -5,6 +5,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from thermalis.llm import decontaminate, queries, token_shards, toxicity, words
 
@@ -57,6 +58,17 @@ def test_toxicity_held_out_and_located(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.train(docs, known.limit(0))).collect()} == {0.0}
 
 
+def test_a_long_labelled_text_costs_only_itself(spark):
+    texts, labels = toxic_corpus(60)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    first = spark.range(1000, 1400).selectExpr("id").orderBy(F.xxhash64("id")).first().id
+    assert spark.range(1).selectExpr(f"xxhash64({first}L) < (select min(xxhash64(id)) from range(60)) as least").first().least
+    docs = spark.createDataFrame([*rows, (first, "long text. " * 20000)], "doc_id long, text string")
+    known = spark.createDataFrame([*enumerate(labels), (first, 0)], "doc_id long, toxic int")
+    without = toxicity.train(docs, known.where(F.col("doc_id") != first), min_docs=2, min_z=1.0)
+    assert len(without) > 1 and toxicity.train(docs, known, max_bytes=200_000, min_docs=2, min_z=1.0) == without
+
+
 def test_shards_round_trip(spark, tmp_path):
     texts = ["the cat", None, "", " a  b\n\n c ", "x" * 400, "word " * 900, "é漢 don't\x1cgo  now"] + ["the cat"] * 30
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN

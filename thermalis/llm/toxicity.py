@@ -8,7 +8,7 @@ texts' labels alone by gradient descent on the noisy-or likelihood; the sentence
 probabilities then say where the offence stands.
 
 Fitting takes at most ``max_docs`` labelled rows, chosen by a hash of their ids, and of
-those at most ``max_bytes`` of features, in one task. Features in fewer than ``min_docs``
+those at most ``max_bytes`` of features, in one task: a text that no longer fits is left out, later ones that fit are not. Features in fewer than ``min_docs``
 of these documents have no weight, nor have those whose share of toxic documents is
 within ``min_z`` standard errors of their share of the others. The model is a table (hash of word, weight) of at
 most ``max_words`` rows. Scoring covers every row where it lies, without a shuffle.
@@ -137,7 +137,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .limit(max_docs)
     )
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # at most max_docs pairs of id and label are broadcast; texts beyond the byte bound are cut off by id hash
+    # at most max_docs pairs of id and label are broadcast; texts that no longer fit the byte bound, in order of id hash, are left out
     sample = texts.join(F.broadcast(chosen), "id").select("id", "label", "text")
 
     def features(batches):
@@ -156,8 +156,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         words, sizes, label, used = [], [], [], 0
         for batch in batches:
             for y, w, z in zip(*(batch.column(c).to_pylist() for c in ("label", "words", "sizes")), strict=True):
-                used += len(w)
-                if used <= max_bytes:
+                if used + len(w) <= max_bytes:  # a text that does not fit costs only itself
+                    used += len(w)
                     words.append(np.frombuffer(w, "<u8"))
                     sizes.append(np.frombuffer(z, "<i4"))
                     label.append(y)
