@@ -1,36 +1,47 @@
-"""Language-model scoring with a hierarchical Pitman-Yor bigram model.
+"""Language-model scoring with a hierarchical Pitman-Yor trigram model.
 
-Every word that precedes another is a context with a restaurant of its own; its
-customers are the words seen after it, its tables send customers to the one restaurant
-that all contexts share as their parent, whose own base is uniform over the training
-words and one word more for all others. A word's probability after a context is
+The two words before a token are a context with a restaurant of its own. Its customers
+are the words seen after them, and its tables send customers to the restaurant of the
+last of the two words, which all contexts that end in this word share as their parent.
+The tables there send customers to the root that these restaurants share in turn, whose
+base is uniform over the training words and one word more for all others. A word's
+probability in a restaurant is
 
     (c - d t + (theta + d T) p(word)) / (theta + C)
 
-with its customers c and tables t there, all customers C and tables T of the context,
-and ``p`` by the same formula from the parent. Gibbs sampling draws the number of tables
-of each dish from its conditional distribution given all others (table counts with the
-arrangement summed out, by generalised Stirling numbers; for dishes with over
-``STIRLING`` customers by seating them in order). Probabilities are averaged over
-samples before their logarithm is taken.
-
-How it spreads. Texts become pairs (context, word) of 64-bit hashes, dealt to *cells* by
-context. A few cells make a *bundle*, which is what travels: each task packs its pairs per
-bundle into columns, so one shuffle brings all pairs of a context together, and a task
-works through a bundle one cell at a time. A context with over a quarter of a cell's share of pairs is hot: it is split
-over cells by its words; until its tables are known, each part takes those of the whole to be
-its own in proportion to the parts it holds. Seating runs inside the cells;
-tables are summed over bundles by word (pre-aggregated) and by hot context, the parent is seated word by word,
-and each bundle gets back only what its own words need. That exchange is made once on a guessed
-parent and ``rounds`` times more, after a sweep with the parent's ``p`` and the exchanged tables of hot
-contexts. Then cells sample on, hot contexts like all others (their other parts' tables
-as last exchanged), score their pairs, and sums per document, packed like the pairs, meet again. Nothing that grows with the data is broadcast
-or reaches the driver: hot contexts number at most four times the cells.
+with its customers c and tables t there, all customers C and tables T, and ``p`` by the
+same formula from the parent.
+
+Gibbs sampling draws every dish's number of tables, arrangements summed out. Given an
+auxiliary variable ``y ~ Gamma(theta / d + T)`` for each restaurant, its dishes are
+independent of each other, ``P(t) ~ S_d(c, t) (d y p)^t`` (``seating.py``), with the dish's own
+tables taken out of ``p``; so all dishes of a level are drawn together, wherever they lie,
+trigram restaurants first, then their parents, then the root. Draws are keyed by context, word and
+step: scores don't depend on how the corpus is dealt out, but for rounding of sums. A
+text's probability averages each token's over ``samples`` states after ``burn_in``; its
+``perplexity`` follows.
+
+How it spreads. A token (context of two words, word; 64-bit hashes) is dealt to a *cell* by the last
+context word; if that word has more than a cell's share, a number of parts by the
+predicted word. How many is read from a table of counts of 65,536 hash buckets of
+context words, the only thing collected that looks at frequencies, and of fixed size. A few cells make a
+*bundle*, the unit that travels and is worked through cell by cell.
+
+1. Tasks count distinct (context, word) in packs of texts, one body for each bundle met;
+   bundles add them up and keep what sampling needs (dishes with two customers or more).
+2. Rounds: bundles draw their tables; sums by word, and by context where a context is
+   split over cells, go to *parts* (hash ranges), which add them up, draw the root's
+   tables and send back what each bundle asked for, as lists in the order of its keys.
+3. Texts are dealt once more, now with the place of every token; bundles add up each
+   document's scores, which meet by pack.
+
+Each step is written to the shared scratch folder. The driver sees three totals of the root per round.
 
 All statistics cover all training documents. Null and empty texts are the end token
-alone. A null id counts as held out. Repeated rows are scored each on its own; without
-training rows every known count is 0 and probabilities fall to the base. Extra columns
-are ignored; an empty table gives an empty result.
+alone. A null id counts as held out. Repeated rows are scored each on its own, so ties
+need no rule; one very long text forms a pack of its own. Without training rows every
+known count is 0 and probabilities fall to the base. Extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,458 +53,520 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermalis.llm.arrowio import map_columns, slices
+from thermalis.llm.scratch import Scratch
+from thermalis.llm.seating import draw_tables, gamma
 from thermalis.llm.words import mix, words
 
 BEGIN, END = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xA24BAED4963EE407)
-STIRLING = 32
-#: Text bytes per cell, cells in a bundle, and text bytes per packed group of pairs inside a task.
+#: Text bytes per cell, cells in a bundle, and text bytes per packed group of tokens inside a task.
 CELL_BYTES, CELLS, PACK_BYTES = 6 << 20, 4, 18 << 20
-#: Bits of a row's number that count rows inside its pack, and packs inside its task.
-ROW_BITS, PACK_BITS = 23, 18
-
-
-def stirling_logs(d: float, most: int = STIRLING) -> np.ndarray:
-    """log S_d(c, t): weight of all seatings of c customers at t tables."""
-    s = np.full((most + 1, most + 2), -np.inf)
-    s[1, 1] = 0.0
-    for c in range(1, most):
-        t = np.arange(1, c + 2)
-        s[c + 1, t] = np.logaddexp(s[c, t - 1], np.log(np.maximum(c - d * t, 1e-300)) + s[c, t])
-    return s
-
-
-def seat_in_order(c: np.ndarray, fresh: np.ndarray, d: float, rng) -> np.ndarray:
-    """Tables after seating c customers, where a new table has weight ``fresh``; late customers in small groups."""
-    t, j = np.ones(len(c)), 1.0
-    top = c.max() if len(c) else 0
-    while j < top:
-        step = max(1.0, np.floor(j / 12))
-        n = np.clip(c - j, 0, step)
-        share = fresh / (fresh + j - d * t)
-        t = np.minimum(t + (rng.binomial(n.astype(np.int64), np.clip(share, 0, 1))), c)
-        j += step
-    return t
-
-
-def sweep(c, context, p, t, totals, theta: float, d: float, logs, rng) -> np.ndarray:
-    """One Gibbs sweep over the dishes' table counts ``t``; ``totals`` are the contexts' tables and follow."""
-    many = np.flatnonzero(c > 1)
-    order = many[np.argsort(c[many], kind="stable")]
-    edges = np.flatnonzero(np.diff(c[order], prepend=-1, append=-1))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        for x in range(a, b, 1 << 16):
-            at = order[x : min(b, x + (1 << 16))]
-            k, u = int(c[at[0]]), context[at]
-            if k > STIRLING:
-                continue
-            rest = totals[u] - t[at]
-            open_ = np.log(theta + d * (rest[:, None] + np.arange(k)[None, :])) + np.log(p[at])[:, None]
-            weight = np.cumsum(open_, axis=1) + logs[k, 1 : k + 1]
-            weight = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
-            new = 1.0 + (weight < rng.random(len(at))[:, None] * weight[:, -1:]).sum(axis=1)
-            totals += np.bincount(u, new - t[at], len(totals))
-            t[at] = new
-    large = np.flatnonzero(c > STIRLING)
-    if len(large):
-        u = context[large]
-        new = seat_in_order(c[large], (theta + d * (totals[u] - t[large])) * p[large], d, rng)
-        totals += np.bincount(u, new - t[large], len(totals))
-        t[large] = new
-    return t
-
-
-def _fit(a: np.ndarray) -> np.ndarray:
-    top = int(a.max()) if len(a) else 0
-    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+#: Hash buckets of context words whose sizes decide into how many parts a context is dealt.
+BUCKETS = 1 << 16
+#: Bits of a pack's number that count packs inside a task.
+PACK_BITS = 20
+#: Kinds of rows: asked by word, asked by context, statistics of a bundle, its tables, packed tokens, documents of a pack.
+WORD, CONTEXT, STATISTICS, TABLES, TOKENS, DOCUMENTS = range(6)
+ROWS = "kind int, bundle long, part int, sample int, keys array<long>, body binary"
 
 
-def pack(parts: list[np.ndarray]) -> bytes:
-    import zstandard
+def fit(a: np.ndarray) -> np.ndarray:
+    top = int(a.max()) if len(a) else 0
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
-    planes = [np.ascontiguousarray(a) for a in parts]
-    head = np.array([len(planes), *(x for a in planes for x in (a.dtype.itemsize, a.nbytes))], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in planes))
 
+def to_body(**arrays: np.ndarray) -> bytes:
+    """Arrays of any lengths as one compressed Arrow stream: a record with a list for each."""
+    lists = {k: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a)) for k, a in arrays.items()}
+    batch, sink = pa.record_batch(lists), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-def bind(frames: list[bytes]) -> bytes:
-    """One value of several packs, each of which can be read alone."""
-    return np.array([len(f) for f in frames], "<i8").tobytes() + b"".join(frames)
 
+def from_body(body) -> dict[str, np.ndarray]:
+    with pa.ipc.open_stream(pa.py_buffer(body), options=pa.ipc.IpcReadOptions(use_threads=False)) as stream:
+        batch = stream.read_next_batch()
+    return {k: batch.column(k).values.to_numpy(zero_copy_only=False) for k in batch.schema.names}
 
-def frame(body: memoryview, k: int) -> list[np.ndarray]:
-    """Pack ``k`` of a value that binds one for the words and one for each cell."""
-    ends = 8 * (CELLS + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(body, "<i8", CELLS + 1))])
-    return unpack(body[ends[k] : ends[k + 1]])
 
+def keyed(columns: list[np.ndarray], sizes: list[int]) -> np.ndarray:
+    """One integer for each row of ``columns`` (numbers below ``sizes``), in their order."""
+    key, size = columns[0].astype(np.int64), sizes[0]
+    for c, n in zip(columns[1:], sizes[1:], strict=True):
+        if size * n >= 1 << 62:
+            distinct, key = np.unique(key, return_inverse=True)
+            size = len(distinct)
+        key, size = key * n + c, size * n
+    return key
 
-def unpack(body: memoryview) -> list[np.ndarray]:
-    import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(body)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    sizes = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(n, 2)
-    out, at = [], 8 + 16 * n
-    for width, size in sizes.tolist():
-        out.append(np.frombuffer(raw, f"<u{width}", size // width, at))
-        at += size
-    return out
+def context_hash(b: np.ndarray, a: np.ndarray | None = None) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(b + np.uint64(0x51ED270B)) if a is None else mix(mix(a + np.uint64(0x2545F491)) + b)
 
 
-class Bundle:
-    """Packed pairs of a bundle's cells, which share one list of words; cells are unpacked one at a time."""
+class Cell:
+    """Distinct (context, word) of one cell, each with its training count, in order of hashes."""
+
+    def __init__(self, vocabulary: np.ndarray, b, a, w, count):
+        n = len(vocabulary)
+        key = keyed([b, a, w], [n, n, n])
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.place = np.empty(len(key), np.int32)  # of each given row among the distinct ones
+        self.place[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(key))))
+        at = order[first]
+        self.b, self.a, self.w = b[at], a[at], w[at]
+        self.c = np.add.reduceat(count[order], first)
+        new = np.concatenate([[True], (self.b[1:] != self.b[:-1]) | (self.a[1:] != self.a[:-1])])
+        self.context = np.cumsum(new) - 1
+        self.context_b, self.context_a = self.b[new], self.a[new]
+        pairs, self.pair = np.unique(self.b * np.int64(n) + self.w, return_inverse=True)
+        pair_b, self.pair_word = pairs // n, pairs % n
+        self.parents, self.pair_parent = np.unique(pair_b, return_inverse=True)
+        self.context_parent = np.searchsorted(self.parents, self.context_b)
+        self.pair_total = np.bincount(self.pair, self.c, len(pairs)).astype(np.int64)
+        self.many, self.many_pairs = np.flatnonzero(self.c > 1), np.flatnonzero(self.pair_total > 1)
+
+    def customers(self) -> np.ndarray:
+        return np.bincount(self.context, self.c, len(self.context_b)).astype(np.int64)
+
+    def statistics(self) -> dict[str, np.ndarray]:
+        """What sampling needs: dishes of two customers or more, and the sums of all others."""
+        contexts, context3 = np.unique(self.context[self.many], return_inverse=True)
+        place = np.full(len(self.pair_total), -1)
+        place[self.many_pairs] = np.arange(len(self.many_pairs))
+        single = self.c == 1
+        lone = self.pair_total == 1
+        return {
+            "c3": fit(self.c[self.many]),
+            "context3": fit(context3),
+            "pair3": fit(place[self.pair[self.many]]),
+            "a": fit(self.context_a[contexts]),
+            "parent_of": fit(self.context_parent[contexts]),
+            "singles": fit(np.bincount(self.context[single], minlength=len(self.context_b))[contexts]),
+            "word": fit(self.pair_word[self.many_pairs]),
+            "parent2": fit(self.pair_parent[self.many_pairs]),
+            "singles2": fit(np.bincount(self.pair[single], minlength=len(self.pair_total))[self.many_pairs]),
+            "b": fit(self.parents),
+            "lone": fit(np.bincount(self.pair_parent[lone], minlength=len(self.parents))),
+        }
+
+
+def tables_of(n_contexts: int, s: dict, t3: np.ndarray, t2: np.ndarray):
+    """(customers of pairs, customers and tables of parents, tables of contexts) by a cell's statistics and tables."""
+    c2 = s["singles2"] + np.bincount(s["pair3"], t3, len(s["word"])).astype(np.int64)
+    base = s["lone"].astype(np.int64)
+    c1 = base + np.bincount(s["parent2"], c2, len(base)).astype(np.int64)
+    t1 = base + np.bincount(s["parent2"], t2, len(base)).astype(np.int64)
+    return c2, c1, t1, s["singles"] + np.bincount(s["context3"], t3, n_contexts).astype(np.int64)
 
-    def __init__(self, t: pa.Table):
-        column = t.column("body").take(pa.array(np.argsort(t.column("row").to_numpy(), kind="stable")))
-        self.bodies = [memoryview(x.as_buffer()) for x in column]
-        found = [frame(b, 0)[0] for b in self.bodies]
-        self.words, at = np.unique(np.concatenate(found), return_inverse=True)
-        self.places = np.split(at.astype(np.int32), np.cumsum([len(w) for w in found])[:-1])
 
-    def cells(self):
-        for k in range(CELLS):
-            packs = [frame(b, k + 1) for b in self.bodies]
-            parts = [(place, *g) for place, g in zip(self.places, packs, strict=True) if len(g[1])]
-            del packs
-            if parts:
-                yield k, Cell(self.words, parts)
+class Known:
+    """What a bundle got back: by word (count, customers, tables in the root), by split context (customers, parents' customers, tables)."""
 
+    def __init__(self, rows: pa.Table, keys: dict[tuple[int, int], np.ndarray]):
+        got = {WORD: [], CONTEXT: []}
+        for kind, part, body in zip(*(rows.column(c).to_pylist() for c in ("kind", "part")), rows.column("body"), strict=True):
+            values = from_body(body.as_buffer())
+            got[kind].append((keys[kind, part], *(values[c].astype(np.int64) for c in "xyz")))
+        for kind, name in ((WORD, "words"), (CONTEXT, "contexts")):
+            k, x, y, z = (np.concatenate(v) for v in zip(*got[kind], strict=True)) if got[kind] else [np.zeros(0, np.int64)] * 4
+            order = np.argsort(k.view(np.uint64))
+            setattr(self, name, tuple(v[order] for v in (k.view(np.uint64), x, y, z)))
 
-class Cell:
-    """All pairs of one cell, decoded: contexts, distinct pairs and documents' runs."""
-
-    def __init__(self, words: np.ndarray, parts: list[tuple]):
-        self.words = words
-        self.contexts, at_u = np.unique(np.concatenate([g[1] for g in parts]), return_inverse=True)
-        total = sum(len(g[2]) for g in parts)
-        keys, train, rows, many = np.empty(total, np.int64), np.empty(total, bool), [], []
-        base = at = 0
-        for place, contexts, iw, iu, code, runs in parts:
-            end = at + len(iw)
-            keys[at:end] = at_u[base : base + len(contexts)][iu]
-            keys[at:end] *= len(words)
-            keys[at:end] += place[iw]
-            base += len(contexts)
-            row = np.cumsum(code.astype(np.uint64))
-            rows.append(row >> np.uint64(1))
-            many.append(runs)
-            train[at:end] = np.repeat((row & np.uint64(1)).astype(bool), runs)
-            at = end
-        self.rows, self.many = np.concatenate(rows).astype(np.int64), np.concatenate(many).astype(np.int64)
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
-        self.pair = np.empty(total, np.int32)
-        self.pair[order] = np.cumsum(first, dtype=np.int32) - 1
-        pairs = keys[first]
-        del order, keys, first
-        counts = np.bincount(self.pair[train], minlength=len(pairs))
-        self.context, self.word = pairs // len(words), pairs % len(words)
-        self.count = counts.astype(float)
-        self.seen = np.flatnonzero(counts)  # pairs with customers
-        self.customers = np.bincount(self.context, self.count, len(self.contexts))
-        self.word_count = np.bincount(self.word, self.count, len(words))
-
-    def parts(self, hot: np.ndarray, splits: np.ndarray, number: int, n_cells: int):
-        """(contexts here that are hot, into how many parts each is split for one that cell ``number`` holds)."""
-        if not len(hot):
-            return np.zeros(0, np.int64), np.ones(0)
-        place = np.minimum(np.searchsorted(hot, self.contexts), len(hot) - 1)
-        at = np.flatnonzero(hot[place] == self.contexts)
-        s = splits[place[at]].astype(np.int64)
-        part = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) + 1
-        with np.errstate(over="ignore"):
-            here = mix(np.repeat(self.contexts[at], s) + part.astype(np.uint64)) % np.uint64(n_cells) == number
-        return at, s / np.maximum(1, np.bincount(np.repeat(np.arange(len(at)), s), here, len(at)))
-
-    def own_tables(self, tables: np.ndarray) -> np.ndarray:
-        return np.bincount(self.context[self.seen], tables, len(self.contexts)).astype(float)  # whole numbers if empty
-
-    def start(self, theta: float, d: float, sweeps: int, seed: int, hot: np.ndarray, scale: np.ndarray) -> np.ndarray:
-        """Tables of the pairs seen, with a parent guessed from this cell alone."""
-        self.rng = np.random.default_rng(seed)
-        self.logs = stirling_logs(d)
-        types = np.bincount(self.word[self.seen], minlength=len(self.words))
-        p = ((types + 0.5) / (types.sum() + 0.5 * len(types)))[self.word[self.seen]]
-        c, u = self.count[self.seen], self.context[self.seen]
-        t = np.ones(len(c))
-        for _ in range(sweeps):
-            totals = self.own_tables(t)
-            totals[hot] *= scale
-            t = sweep(c, u, p, t, totals, theta, d, self.logs, self.rng)
-        return t
-
-    def settle(self, t: np.ndarray, p: np.ndarray, theta: float, d: float, hot: np.ndarray, whole: np.ndarray) -> np.ndarray:
-        """One sweep of ``t`` with the parent's ``p`` and hot contexts' exchanged tables; the contexts' tables then."""
-        totals = self.own_tables(t)
-        totals[hot] = np.maximum(whole, totals[hot])
-        sweep(self.count[self.seen], self.context[self.seen], p, t, totals, theta, d, self.logs, self.rng)
-        totals = self.own_tables(t)
-        totals[hot] = np.maximum(whole, totals[hot])
-        return totals
+    def shared(self, hashes: np.ndarray):
+        """(which of ``hashes`` are split contexts, where these stand)."""
+        keys = self.contexts[0]
+        if not len(keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        on = np.flatnonzero(keys[at] == hashes)
+        return on, at[on]
 
 
-class Known:
-    """What a bundle asked for: its words' customers and probabilities, and hot contexts' customers and tables."""
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [c[i].values.to_numpy() if c[i].is_valid else None for c in column.chunks for i in range(len(c))]
 
-    def __init__(self, t: pa.Table):
-        kind, keys = t.column("kind").to_numpy(), t.column("key").to_numpy().view(np.uint64)
-        c, p, v, n = (t.column(x).to_numpy() for x in ("c", "p", "v", "n"))
-        own = np.flatnonzero(kind == 0)
-        own = own[np.argsort(keys[own])]  # exactly this bundle's words, as it asked for them
-        self.word_c, self.word_p = c[own].astype(float), p[own]
-        self.v, self.n = float(v[own[0]]), int(n[own[0]])
-        hot = np.flatnonzero(kind == 1)
-        hot = hot[np.argsort(keys[hot])]
-        self.hot, self.hot_c, self.hot_t = keys[hot], c[hot].astype(float), p[hot]
 
-    def of(self, contexts: np.ndarray) -> np.ndarray:
-        """Where ``contexts``, all of them hot, stand among the hot ones."""
-        return np.searchsorted(self.hot, contexts)
+def root_probability(customers: np.ndarray, tables: np.ndarray, all_customers, all_tables: int, base: float, theta: float, d: float) -> np.ndarray:
+    return (customers - d * tables + (theta + d * all_tables) * base) / (theta + all_customers)
 
 
-def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", theta: float = 1.0, d: float = 0.8, root_theta: float = 1.0, root_d: float = 0.5, burn_in: int = 2, samples: int = 3, rounds: int = 2, bundles: int | None = None) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
+def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", theta: float = 1.0, d: float = 0.8, root_theta: float = 1.0, root_d: float = 0.5, burn_in: int = 1, samples: int = 3, bundles: int | None = None) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and perplexity.
 
     ``training`` says which rows the model learns from (null: not). ``base_score`` is the
-    unigram score with 0.5 added to every count.
+    unigram score with 0.5 added to every count. ``bundles`` changes the work's cut, never a score.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
-    bundles = bundles or max(2, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (CELLS * CELL_BYTES)))
-    n_cells = bundles * CELLS
-
-    # Contexts so frequent that one cell should not hold them alone: exact counts of what any task sees often.
-    def frequent(batches):
-        pool, held = [], 0
+    spark, scratch, fields = df.sparkSession, Scratch(df.sparkSession), [f.split(" ")[0] for f in ROWS.split(", ")]
+    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
+
+    def sizes(batches):
+        found, size = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for part in slices(batch.filter(batch.column("train")), "text"):
+            for part in slices(batch, "text"):
                 h, o = words(part.column("text"))
-                pool.append(np.concatenate([h, np.full(len(o) - 1, BEGIN)]))
-                held += len(pool[-1])
-                if held > 1 << 20:
-                    yield count(pool)
-                    held = 0
-        if pool:
-            yield count(pool)
-
-    def count(pool):
-        k, c = np.unique(np.concatenate(pool), return_counts=True)
-        often = c * (16 * n_cells) >= c.sum()
-        total = c.sum()
-        pool.clear()
-        return pa.array(np.append(k[often].view(np.int64), 0)), [np.append(c[often], total), np.append(np.zeros(often.sum(), np.int32), np.int32(1))]
-
-    often = map_columns(rows, "key long, n long, kind int", frequent).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    found = often.orderBy(F.desc("kind"), F.desc("n"), "key").limit(4 * n_cells + 1).collect()
-    total = sum(r["n"] for r in found if r["kind"] == 1)
-    hot = sorted((r["key"], -(-r["n"] * 4 * n_cells // total)) for r in found if r["kind"] == 0 and r["n"] * 4 * n_cells > total)
-    hot = [(k, s) for k, s in hot if s > 1]
-    hot_keys = np.array([k for k, _ in hot], np.int64).view(np.uint64)
-    order = np.argsort(hot_keys)
-    sent = spark.sparkContext.broadcast((hot_keys[order], np.array([s for _, s in hot], np.uint64)[order]))
-
-    def emit(held):
-        """One packed row for each bundle, from texts' (row, train, word hashes) with end tokens."""
-        hot_keys, splits = sent.value
-        w = np.concatenate([x for _, _, x in held])
-        many = np.array([len(x) for _, _, x in held])
-        ends = np.cumsum(many)
-        u = np.empty_like(w)
-        u[1:] = w[:-1]
-        u[ends - many] = BEGIN
-        cell = u.copy()
-        if len(hot_keys):
-            at = np.minimum(np.searchsorted(hot_keys, u), len(hot_keys) - 1).astype(np.int32)
-            is_hot = np.flatnonzero(hot_keys[at] == u)
-            with np.errstate(over="ignore"):
-                cell[is_hot] += mix(w[is_hot]) % splits[at[is_hot]] + np.uint64(1)
-            del at, is_hot
-        cell = _fit(mix(cell) % np.uint64(n_cells))
-        code = np.array([r << 1 | int(t) for r, t, _ in held], np.uint64)
-        owner = np.repeat(np.arange(len(held), dtype=np.int32), many)
+                found += np.bincount((mix(h) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+                found[int(mix(np.array([BEGIN]))[0] >> np.uint64(48))] += part.num_rows
+                size += part.column("text").nbytes
+        at = np.flatnonzero(found)
+        yield pa.array(np.append(at, -1)), [np.append(found[at], size)]
+
+    measured = {r["bucket"]: r["n"] for r in map_columns(rows, "bucket long, n long", sizes).groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    bundles = bundles or max(2, -(-measured.pop(-1, 0) // (CELLS * CELL_BYTES)))
+    measured.pop(-1, None)
+    n_cells, bucket = bundles * CELLS, np.zeros(BUCKETS)
+    bucket[list(measured)] = list(measured.values())
+    sent = spark.sparkContext.broadcast(np.maximum(1, np.ceil(bucket * n_cells / max(1.0, bucket.sum()))).astype(np.uint64))
+    part_bits = min(16, max(1, (bundles - 1).bit_length() + 1))
+
+    def splits(b: np.ndarray) -> np.ndarray:
+        return sent.value[(mix(b) >> np.uint64(48)).astype(np.int64)]
+
+    def deal(hashes: list[np.ndarray], train: list[bool], scoring: bool):
+        """(bundle, body) of a pack's tokens: distinct (context, word) by cell with training counts or, for scoring, with their rows."""
+        many = np.array([len(x) + 1 for x in hashes])
+        ends, w = np.cumsum(many), np.concatenate([y for x in hashes for y in (x, [END])])
+        b, a = np.empty_like(w), np.empty_like(w)
+        b[1:] = w[:-1]
+        b[ends - many] = BEGIN
+        a[1:] = b[:-1]
+        a[ends - many] = BEGIN
+        with np.errstate(over="ignore"):
+            cell = fit(mix(b + mix(w) % splits(b)) % np.uint64(n_cells))
         order = np.argsort(cell, kind="stable").astype(np.int32)
         cuts = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=n_cells))])
-        for k in range(bundles):
+        row = np.repeat(np.arange(len(hashes), dtype=np.int32), many)
+        learns = np.array(train, bool)
+        for k in np.unique(np.flatnonzero(np.diff(cuts)) // CELLS).tolist():
             at = order[cuts[k * CELLS] : cuts[(k + 1) * CELLS]]
-            if not len(at):
-                continue
-            dw, iw = np.unique(w[at], return_inverse=True)
-            frames, base = [pack([dw])], cuts[k * CELLS]
-            for c in range(k * CELLS, (k + 1) * CELLS):
-                own = slice(cuts[c] - base, cuts[c + 1] - base)
-                du, iu = np.unique(u[at[own]], return_inverse=True)
-                runs, n = np.unique(owner[at[own]], return_counts=True)
-                frames.append(pack([du, _fit(iw[own]), _fit(iu), np.diff(code[runs], prepend=np.uint64(0)), _fit(n)]))
-            yield k, bind(frames)
-
-    def pairs(batches):
-        part, number, packs, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                h, o = words(piece.column("text"))
-                ids, train = piece.column("id"), piece.column("train").to_pylist()
-                keys = (((part << PACK_BITS) + packs) << ROW_BITS) + number + np.arange(piece.num_rows)
-                number += piece.num_rows
-                info = np.diff(o) + 1
-                yield pa.array(np.full(piece.num_rows, -1)), [keys, ids, [not x for x in train], info, pa.nulls(piece.num_rows, pa.binary())]
-                held += [(int(k), t, np.append(h[a:b], END)) for k, t, a, b in zip(keys, train, o[:-1], o[1:], strict=True)]
-                size += piece.column("text").nbytes + 4 * piece.num_rows
-                if size > PACK_BYTES:
-                    yield packed(held)
-                    number, packs, held, size = 0, packs + 1, [], 0
-        if held:
-            yield packed(held)
-
-    def packed(held):
-        got = list(emit(held))
-        n = len(got)
-        return pa.array([k for k, _ in got], pa.int64()), [[held[0][0]] * n, pa.nulls(n, pa.int64()), [False] * n, [0] * n, pa.array([b for _, b in got], pa.binary())]
-
-    # document rows (below 0) are dealt by their own number, packed pairs by bundle
-    made = map_columns(rows, "bundle long, row long, doc long, held_out boolean, n_tokens long, body binary", pairs)
-    made = made.withColumn("bundle", F.when(F.col("bundle") < 0, -1 - F.pmod("row", F.lit(bundles))).otherwise(F.col("bundle")))
-
-    def columns(k, words, shared, *more):
-        n, m = len(words), len(shared)
-        named = {"bundle": np.full(n + m, k), "kind": np.repeat(np.array([0, 1], np.int32), [n, m]), "key": np.concatenate([words, shared]).view(np.int64)}
-        return pa.table(named | {name: v.astype(np.int64) for name, v in more})
+            vocabulary, place = np.unique(np.concatenate([b[at], a[at], w[at]]), return_inverse=True)
+            ib, ia, iw = place[: len(at)], place[len(at) : 2 * len(at)], place[2 * len(at) :]
+            key = keyed([cell[at] - k * CELLS, ib, ia, iw], [CELLS, *[len(vocabulary)] * 3])
+            own = np.argsort(key, kind="stable")
+            key = key[own]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            entry = own[first]
+            counts = {"count": fit(np.add.reduceat(learns[row[at[own]]].astype(np.int64), first))}
+            if scoring:
+                counts |= {"many": fit(np.diff(np.append(first, len(own)))), "row": fit(row[at[own]])}
+            cells = np.bincount(cell[at[entry]] - k * CELLS, minlength=CELLS)
+            yield k, to_body(words=vocabulary, cells=fit(cells), b=fit(ib[entry]), a=fit(ia[entry]), w=fit(iw[entry]), **counts)
+
+    def packs(scoring: bool):
+        def run(batches):
+            part, number, hashes, train, ids, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+
+            def close():
+                name = (part << PACK_BITS) + number
+                got = list(deal(hashes, train, scoring))
+                if scoring:
+                    held = np.array([not t for t in train])
+                    got.append((-1 - name % bundles, to_body(known_id=np.array([i is not None for i in ids]), id=np.array([i or 0 for i in ids], np.int64), held=held, n=np.array([len(h) + 1 for h in hashes]))))
+                kinds = [TOKENS if k >= 0 else DOCUMENTS for k, _ in got]
+                return pa.array(kinds, pa.int32()), [[k for k, _ in got], [0] * len(got), [0] * len(got), [[name]] * len(got), pa.array([x for _, x in got], pa.binary())]
+
+            for batch in batches:
+                for piece in slices(batch, "text"):
+                    h, o = words(piece.column("text"))
+                    hashes += np.split(h, o[1:-1])
+                    train += piece.column("train").to_pylist()
+                    ids += piece.column("doc").to_pylist()
+                    size += piece.column("text").nbytes + 4 * piece.num_rows
+                    if size > PACK_BYTES:
+                        yield close()
+                        number, hashes, train, ids, size = number + 1, [], [], [], 0
+            if hashes:
+                yield close()
+
+        return map_columns(rows, ROWS, run)
+
+    class Bundle:
+        """Bodies of a bundle's packs over one list of words."""
+
+        def __init__(self, t: pa.Table):
+            tokens = t.filter(pa.compute.equal(t.column("kind"), TOKENS))
+            self.names = np.array([k[0] for k in _lists(tokens.column("keys"))], np.int64)
+            order = np.argsort(self.names, kind="stable")
+            self.names = self.names[order]
+            bodies = tokens.column("body").take(pa.array(order))
+            self.packs = [from_body(x.as_buffer()) for x in bodies]
+            self.words, place = np.unique(np.concatenate([p["words"] for p in self.packs]), return_inverse=True)
+            self.place = np.split(place.astype(np.int32), np.cumsum([len(p["words"]) for p in self.packs])[:-1])
+            self.cuts = [np.concatenate([[0], np.cumsum(p["cells"].astype(np.int64))]) for p in self.packs]
+
+        def cells(self):
+            """(number, entries of each pack, cell)."""
+            for k in range(CELLS):
+                own = [slice(c[k], c[k + 1]) for c in self.cuts]
+                if not any(s.stop > s.start for s in own):
+                    yield k, own, None
+                    continue
+                b, a, w = (np.concatenate([at[p[x][s]] for p, at, s in zip(self.packs, self.place, own, strict=True)]) for x in "baw")
+                count = np.concatenate([p["count"][s].astype(np.int64) for p, s in zip(self.packs, own, strict=True)])
+                yield k, own, Cell(self.words, b.astype(np.int64), a.astype(np.int64), w.astype(np.int64), count)
+
+    def split_contexts(cell: Cell, vocabulary: np.ndarray):
+        """(hashes of contexts dealt to several cells: parents, then contexts; which these are)."""
+        parents = np.flatnonzero(splits(vocabulary[cell.parents]) > 1)
+        contexts = np.flatnonzero(np.isin(cell.context_parent, parents))
+        return context_hash(vocabulary[cell.parents[parents]]), context_hash(vocabulary[cell.context_b[contexts]], vocabulary[cell.context_a[contexts]]), parents, contexts
+
+    def asked(found) -> list[tuple]:
+        """(kind, part, keys, body) by part, from (kind, ascending keys, values aligned with them)."""
+        out = []
+        for kind, keys, x, y, z in found:
+            edges = np.searchsorted(keys >> np.uint64(64 - part_bits), np.arange((1 << part_bits) + 1, dtype=np.uint64))
+            for p in np.flatnonzero(np.diff(edges)).tolist():
+                cut = slice(edges[p], edges[p + 1])
+                out.append((kind, p, keys[cut].view(np.int64), to_body(x=fit(x[cut]), y=fit(y[cut]), z=fit(z[cut]))))
+        return out
+
+    def table(found: list[tuple], bundle: list[int] | int, sample: int = 0) -> pa.Table:
+        n, cols = len(found), list(zip(*found, strict=True)) or [()] * 4
+        kinds = ((pa.int32(), cols[0]), (pa.int64(), bundle if isinstance(bundle, list) else [bundle] * n), (pa.int32(), cols[1]), (pa.int32(), [sample] * n), (pa.list_(pa.int64()), cols[2]), (pa.binary(), cols[3]))
+        return pa.table([pa.array(list(v), k) for k, v in kinds], names=fields)
+
+    def summed(keys: list[np.ndarray], *columns: list[np.ndarray]):
+        """Ascending distinct keys with sums of the columns."""
+        k, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return k, *(np.bincount(at, np.concatenate(c), len(k)).astype(np.int64) for c in columns)
 
     none = np.zeros(0, np.uint64)
 
-    def seated(t: pa.Table, known: pa.Table | None) -> pa.Table:
-        """Customers and tables of the bundle's words, and of the hot contexts in each of its cells."""
-        k = t.column("bundle")[0].as_py()
-        if k < 0:
-            return columns(k, none, none, ("c", none), ("t", none))
-        bundle = Bundle(t)
-        parent = None if known is None else Known(known)
-        c, tables, shared, shared_c, shared_t = np.zeros(len(bundle.words)), np.zeros(len(bundle.words)), [none], [none], [none]
-        for j, cell in bundle.cells():
-            at, scale = cell.parts(*sent.value, k * CELLS + j, n_cells)
-            own = cell.start(theta, d, burn_in, k * CELLS + j, at, scale)
-            if parent is not None:
-                cell.settle(own, parent.word_p[cell.word[cell.seen]], theta, d, at, parent.hot_t[parent.of(cell.contexts[at])])
-            c += cell.word_count
-            tables += np.bincount(cell.word[cell.seen], own, len(bundle.words))
-            shared.append(cell.contexts[at])
-            shared_c.append(cell.customers[at])
-            shared_t.append(cell.own_tables(own)[at])
-        return columns(k, bundle.words, np.concatenate(shared), ("c", np.concatenate([c, *shared_c])), ("t", np.concatenate([tables, *shared_t])))
-
-    def seat(t: pa.Table) -> pa.Table:
-        return seated(t, None)
-
-    def seat_on(key, t: pa.Table, known: pa.Table) -> pa.Table:
-        return seated(t, known)
-
-    def seat_parent(batches):
-        """Tables of each word in the parent restaurant, given the weight of a new one."""
-        for b in batches:
-            t = b.column("t").to_numpy().astype(float)
-            v, spread = b.column("v").to_pylist(), b.column("spread").to_pylist()
-            own = np.zeros(len(t))
-            on = np.flatnonzero((t > 0) & (b.column("kind").to_numpy() == 0))
-            if len(on):
-                fresh = root_d / max(0.05, 1 - root_d * spread[0] / v[0])
-                seed = int(mix(b.column("key").to_numpy()[on[:1]].view(np.uint64))[0])
-                own[on] = seat_in_order(t[on], np.full(len(on), fresh), root_d, np.random.default_rng(seed))
-            yield b.column("kind"), [b.column("key"), b.column("c"), b.column("t"), own, v, b.column("n"), b.column("customers")]
-
-    def exchange(tables: DataFrame) -> DataFrame:
-        """Per word its probability in the parent, per hot context its tables (both ``p``)."""
-        sums = tables.groupBy("kind", "key").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-        seen = F.when((F.col("kind") == 0) & (F.col("c") > 0), 1)
-        whole = sums.agg(F.sum(seen).alias("v"), F.sum(seen * F.col("c")).alias("n"), F.sum(seen * F.col("t")).alias("customers"), F.sum(seen * F.log1p(F.col("t") - 1)).alias("spread"))
-        rooted = map_columns(sums.join(F.broadcast(whole)), "kind int, key long, c long, t long, own double, v long, n long, customers long", seat_parent)
-        root = rooted.agg(F.sum("own").alias("tables"))
-        return rooted.join(F.broadcast(root)).select(
-            "kind",
-            "key",
-            "c",
-            F.when(F.col("kind") == 1, F.col("t").cast("double"))
-            .otherwise((F.col("t") - root_d * F.col("own") + (root_theta + root_d * F.coalesce("tables", F.lit(0.0))) / (F.coalesce("v", F.lit(0)) + 1)) / (root_theta + F.coalesce("customers", F.lit(0))))
-            .alias("p"),
-            F.coalesce("v", F.lit(0)).alias("v"),
-            F.coalesce("n", F.lit(0)).alias("n"),
-        )
-
-    def ask(t: pa.Table) -> pa.Table:
-        """The words and hot contexts of a bundle."""
-        k = t.column("bundle")[0].as_py()
-        if k < 0:
-            return columns(k, none, none)
-        bundle = Bundle(t)
-        shared = [np.intersect1d(frame(b, c + 1)[0], sent.value[0]) for b in bundle.bodies for c in range(CELLS)]
-        return columns(k, bundle.words, np.unique(np.concatenate(shared)))
-
-    asked = made.groupBy("bundle").applyInArrow(ask, "bundle long, kind int, key long")
-    seats = "bundle long, kind int, key long, c long, t long"
-    down = asked.join(exchange(made.groupBy("bundle").applyInArrow(seat, seats)), ["kind", "key"])
-    for _ in range(rounds):
-        again = made.groupBy("bundle").cogroup(down.groupBy("bundle")).applyInArrow(seat_on, seats)
-        down = asked.join(exchange(again), ["kind", "key"])
-
-    def by_pack(rows: np.ndarray, **more) -> pa.Table:
-        return pa.table({"pack": rows >> ROW_BITS, "row": rows, **more})
-
-    def score(key, t: pa.Table, known: pa.Table) -> pa.Table:
-        """A bundle's sums per document, packed as their pairs came: one row for each pack of documents."""
-        if key[0].as_py() < 0:
-            return by_pack(t.column("row").to_numpy(), **{c: t.column(c) for c in ("doc", "held_out", "n_tokens", "body")})
-        k = key[0].as_py()
-        bundle = Bundle(t)
-        parent = Known(known)
-        word_c, word_p, n = parent.word_c, parent.word_p, parent.n
-        log_base = np.log10((word_c + 0.5) / (n + 0.5 * (parent.v + 1)))
-        found = []
-        for j, cell in bundle.cells():
-            at, scale = cell.parts(*sent.value, k * CELLS + j, n_cells)
-            tables = cell.start(theta, d, burn_in, k * CELLS + j, at, scale)
-            shared = parent.of(cell.contexts[at])
-            customers = cell.customers.copy()
-            customers[at] = parent.hot_c[shared]
-            own_c, own_u, own_p = cell.count[cell.seen], cell.context[cell.seen], word_p[cell.word[cell.seen]]
-            totals, mean = cell.settle(tables, own_p, theta, d, at, parent.hot_t[shared]), np.zeros(len(cell.context))
-            for _ in range(samples):
-                sweep(own_c, own_u, own_p, tables, totals, theta, d, cell.logs, cell.rng)
-                top = (theta + d * totals[cell.context]) * word_p[cell.word]
-                top[cell.seen] += own_c - d * tables
-                mean += top / (theta + customers[cell.context])
-            log_p = np.log10(mean / samples)
-            starts = np.cumsum(cell.many) - cell.many
-            word_of = cell.word[cell.pair]
-            found.append((cell.rows, np.add.reduceat((word_c[word_of] > 0).astype(np.int64), starts), np.add.reduceat(log_base[word_of], starts), np.add.reduceat(log_p[cell.pair], starts)))
-        rows_, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-        total = lambda i: np.bincount(at, np.concatenate([f[i] for f in found]), len(rows_))
-        sums = [total(1).astype(np.uint64), total(2).view(np.uint64), total(3).view(np.uint64)]
-        starts = np.flatnonzero(np.diff(rows_ >> ROW_BITS, prepend=-1))
-        bodies = [pack([np.array([n], np.uint64), (rows_[a:b] & ((1 << ROW_BITS) - 1)).astype(np.uint32), _fit(sums[0][a:b]), sums[1][a:b], sums[2][a:b]]) for a, b in zip(starts, [*starts[1:], len(rows_)], strict=True)]
-        out = len(starts)
-        return by_pack(rows_[starts], doc=pa.nulls(out, pa.int64()), held_out=pa.nulls(out, pa.bool_()), n_tokens=np.zeros(out, np.int64), body=pa.array(bodies, pa.binary()))
-
-    def add_up(t: pa.Table) -> pa.Table:
+    def count_up(t: pa.Table) -> pa.Table:
+        """A bundle's statistics, what it asks for, and its first tables: one for each dish."""
+        number, bundle = t.column("bundle")[0].as_py(), Bundle(t)
+        word, count, tables, keys, customers, parents_c, context_t, kept = [], [], [], [none], [none], [none], [none], {}
+        for k, _, cell in bundle.cells():
+            if cell is None:
+                continue
+            has = (cell.pair_total > 0).astype(np.int64)
+            word.append(bundle.words[cell.pair_word])
+            count.append(cell.pair_total)
+            tables.append(has)
+            up, own, parents, contexts = split_contexts(cell, bundle.words)
+            c1 = np.bincount(cell.pair_parent, np.bincount(cell.pair, cell.c > 0, len(has)), len(cell.parents))
+            keys += [up, own]
+            customers += [np.zeros(len(up)), cell.customers()[contexts]]
+            parents_c += [c1[parents], np.zeros(len(own))]
+            context_t += [np.bincount(cell.pair_parent, has, len(cell.parents))[parents], np.bincount(cell.context, cell.c > 0, len(cell.context_b))[contexts]]
+            kept |= {f"{name}_{k}": v for name, v in cell.statistics().items()}
+        word, count, tables = summed(word, count, tables)
+        split = summed(keys, customers, parents_c, context_t)
+        return table([*asked([(WORD, word, count, tables, np.zeros_like(tables)), (CONTEXT, *split)]), (STATISTICS, -1, None, to_body(words=bundle.words, **kept))], number)
+
+    def add_up(t: pa.Table, alpha: float, step: int, base: float) -> pa.Table:
+        """A part's sums by key, the root's tables by word, and for each bundle what it asked for."""
+        kinds, bundle, keys_, bodies = t.column("kind").to_pylist(), t.column("bundle").to_pylist(), _lists(t.column("keys")), t.column("body")
+        out, owners, total = [], [], np.zeros(4, np.int64)
+        part = t.column("part")[0].as_py()
+        for kind in (WORD, CONTEXT):
+            asks = {b: i for i, (k, b) in enumerate(zip(kinds, bundle, strict=True)) if k == kind and keys_[i] is not None}
+            last = {b: i for i, (k, b) in enumerate(zip(kinds, bundle, strict=True)) if k == kind and keys_[i] is None} or asks
+            order = sorted(asks)
+            if not order:
+                continue
+            keys, at = np.unique(np.concatenate([keys_[asks[b]] for b in order]).view(np.uint64), return_inverse=True)
+            first, now = ([from_body(bodies[which[b]].as_buffer()) for b in order] for which in (asks, last))
+            add = lambda c, found, at=at, n=len(keys): np.bincount(at, np.concatenate([f[c] for f in found]), n).astype(np.int64)
+            x, y = add("x", first), add("y", now)
+            if kind == WORD:
+                z = draw_tables(y, np.full(len(y), alpha * base), keys, step, root_d)
+                total += [(x > 0).sum(), x.sum(), y.sum(), z.sum()]
+            else:
+                z = add("z", now)
+            for b, own in zip(order, np.split(at, np.cumsum([len(f["x"]) for f in first])[:-1]), strict=True):
+                out.append((kind, part, None, to_body(x=fit(x[own]), y=fit(y[own]), z=fit(z[own]))))
+                owners.append(b)
+        return table([*out, (STATISTICS, part, total, None)], [*owners, -1], step)
+
+    def keys_of(t: pa.Table) -> dict:
+        asks = t.filter(pa.compute.is_valid(t.column("keys")))
+        return {(k, p): v for k, p, v in zip(asks.column("kind").to_pylist(), asks.column("part").to_pylist(), _lists(asks.column("keys")), strict=True)}
+
+    def replies(t: pa.Table, sample: int) -> pa.Table:
+        return t.filter(pa.compute.and_(pa.compute.and_(pa.compute.is_null(t.column("keys")), pa.compute.equal(t.column("sample"), sample)), pa.compute.less(t.column("kind"), STATISTICS)))
+
+    def body_of(t: pa.Table, kind: int, sample: int | None = None) -> dict | None:
+        on = pa.compute.equal(t.column("kind"), kind)
+        if sample is not None:
+            on = pa.compute.and_(on, pa.compute.equal(t.column("sample"), sample))
+        found = t.filter(on).column("body")
+        return from_body(found[0].as_buffer()) if len(found) else None
+
+    def sample_tables(t: pa.Table, step: int, root: tuple) -> pa.Table:
+        """One Gibbs sweep over a bundle's dishes: contexts of two words, then their parents."""
+        number = t.column("bundle")[0].as_py()
+        statistics, state, keys = body_of(t, STATISTICS), body_of(t, TABLES), keys_of(t)
+        known = Known(replies(t, step - 1), keys)
+        v, _, root_c, root_t = root
+        word, tables, context, more_c, more_t, kept = [], [], [none], [none], [none], {}
+        vocabulary = statistics["words"]
+        for k in range(CELLS):
+            if f"c3_{k}" not in statistics:
+                continue
+            s = {name.rsplit("_", 1)[0]: x for name, x in statistics.items() if name.endswith(f"_{k}")}
+            for name in ("c3", "context3", "pair3", "a", "parent_of", "word", "parent2", "b"):
+                s[name] = s[name].astype(np.int64)
+            t3 = state[f"t3_{k}"].astype(np.int64) if state else np.ones(len(s["c3"]), np.int64)
+            t2 = state[f"t2_{k}"].astype(np.int64) if state else np.ones(len(s["word"]), np.int64)
+            c2, c1, t1, t3_sum = tables_of(len(s["a"]), s, t3, t2)
+            parent_key = context_hash(vocabulary[s["b"]])
+            context_key = context_hash(vocabulary[s["b"][s["parent_of"]]], vocabulary[s["a"]])
+            on, at = known.shared(parent_key)
+            c1[on], t1[on] = known.contexts[2][at], known.contexts[3][at]
+            over, at3 = known.shared(context_key)
+            t3_sum[over] = known.contexts[3][at3]
+            # the root without each pair's own tables
+            at = np.searchsorted(known.words[0], vocabulary[s["word"]])
+            rest = known.words[2][at] - t2
+            p1 = root_probability(rest, np.minimum(known.words[3][at], rest), root_c - t2, root_t, 1 / (v + 1), root_theta, root_d)
+            # the parent without each dish's own tables
+            pair, parent = s["pair3"], s["parent2"][s["pair3"]]
+            rest = c2[pair] - t3
+            lost = t2[pair] - np.minimum(t2[pair], rest)
+            p2 = (rest - d * (t2[pair] - lost) + (theta + d * (t1[parent] - lost)) * p1[pair]) / (theta + c1[parent] - t3)
+            pair_key = mix(parent_key[s["parent2"]] ^ mix(vocabulary[s["word"]]))
+            y = gamma(theta / d + t3_sum, context_key, 2 * step)
+            key3 = mix(context_key[s["context3"]] ^ mix(vocabulary[s["word"][pair]]))
+            t3 = draw_tables(s["c3"], d * y[s["context3"]] * p2, key3, 2 * step, d)
+            y = gamma(theta / d + t1, parent_key, 2 * step + 1)
+            c2 = s["singles2"] + np.bincount(pair, t3, len(s["word"])).astype(np.int64)
+            t2 = draw_tables(c2, d * y[s["parent2"]] * p1, pair_key, 2 * step + 1, d)
+            # what the dishes drawn have beyond the one table each that they began with
+            word.append(vocabulary[s["word"]])
+            tables.append(t2 - 1)
+            more = lambda at, v, n: np.bincount(at, v, n)
+            context += [parent_key[on], context_key[over]]
+            more_c += [more(s["parent2"], np.bincount(pair, t3 - 1, len(t2)), len(s["b"]))[on], np.zeros(len(over))]
+            more_t += [more(s["parent2"], t2 - 1, len(s["b"]))[on], more(s["context3"], t3 - 1, len(s["a"]))[over]]
+            kept |= {f"t3_{k}": fit(t3), f"t2_{k}": fit(t2)}
+        beyond = {WORD: summed(word or [none], tables or [none]), CONTEXT: summed(context, more_c, more_t)}
+        out, asks = [], t.filter(pa.compute.is_valid(t.column("keys")))
+        for kind, part, own, body in zip(asks.column("kind").to_pylist(), asks.column("part").to_pylist(), _lists(asks.column("keys")), asks.column("body"), strict=True):
+            first, (changed, *by) = from_body(body.as_buffer()), beyond[kind]
+            values = [first["y"].astype(np.int64), first["z"].astype(np.int64)]
+            if len(changed):
+                at = np.minimum(np.searchsorted(changed, own.view(np.uint64)), len(changed) - 1)
+                on = np.flatnonzero(changed[at] == own.view(np.uint64))
+                for v, b in zip(values, by, strict=False):
+                    v[on] += b[at[on]]
+            out.append((kind, part, None, to_body(y=fit(values[0]), z=fit(values[1]))))
+        return table([*out, (TABLES, -1, None, to_body(**kept))], number, step)
+
+    counted = scratch.save(packs(False).groupBy("bundle").applyInArrow(count_up, ROWS), "zstd")
+    asks, statistics = counted.where(f"kind < {STATISTICS}"), counted.where(f"kind = {STATISTICS}")
+
+    def to_parts(up: DataFrame | None, step: int, root: tuple) -> tuple[DataFrame, tuple]:
+        """Add up by part; the root's totals (words, training tokens, customers, tables)."""
+        v, _, _, tables = root
+        rng = np.random.default_rng(step)
+        alpha = root_d * rng.gamma(root_theta / root_d + tables)
+        both = asks if up is None else asks.unionByName(up.where(f"kind < {STATISTICS}"))
+        down = scratch.save(both.groupBy("part").applyInArrow(lambda t: add_up(t, alpha, step, 1 / (v + 1)), ROWS), "zstd")
+        got = down.where(f"kind = {STATISTICS}").select(*(F.sum(F.get("keys", F.lit(i))).alias(f"s{i}") for i in range(4))).first()
+        return down.where(f"kind < {STATISTICS}"), tuple(int(got[i] or 0) for i in range(4))
+
+    def draw(step: int, root: tuple):
+        return lambda t: sample_tables(t, step, root)
+
+    words_asked = asks.where(f"kind = {WORD}").agg(F.sum(F.size("keys"))).first()[0] or 0
+    down, root = to_parts(None, 0, (words_asked, 0, 0, words_asked))
+    states, roots, before = [], [], None
+    for step in range(1, burn_in + samples + 1):
+        given = asks.unionByName(statistics).unionByName(down)
+        given = given if before is None else given.unionByName(before)
+        drawn = scratch.save(given.groupBy("bundle").applyInArrow(draw(step, root), ROWS), "zstd")
+        before = drawn.where(f"kind = {TABLES}")
+        down, root = to_parts(drawn, step, root)
+        if step > burn_in:
+            states += [before, down]
+            roots.append((step, root))
+
+    def score(t: pa.Table) -> pa.Table:
+        """A bundle's sums for each document, as one row for each pack."""
+        names, at_row, sums, bodies = [], [], [[], [], []], []
+        if t.column("bundle")[0].as_py() < 0:
+            names, bodies = [k[0] for k in _lists(t.column("keys"))], t.column("body").to_pylist()
+        elif pa.compute.any(pa.compute.equal(t.column("kind"), TOKENS)).as_py():
+            bundle, keys = Bundle(t), keys_of(t)
+            found = [{} for _ in bundle.names]
+            known = [(Known(replies(t, step), keys), body_of(t, TABLES, step), root) for step, root in roots]
+            for k, own, cell in bundle.cells():
+                if cell is not None:
+                    values = probabilities(cell, bundle.words, k, known)
+                    base = 0
+                    for p, s, sums_of in zip(bundle.packs, own, found, strict=True):
+                        n = s.stop - s.start
+                        many = p["many"][s].astype(np.int64)
+                        place = np.repeat(cell.place[base : base + n], many)
+                        skip = int(p["many"][: s.start].sum(dtype=np.int64))
+                        row = p["row"][skip : skip + len(place)].astype(np.int64)
+                        base += n
+                        for i, v in enumerate(values):
+                            sums_of[i] = sums_of.get(i, 0) + np.bincount(row, v[place], int(p["row"].max()) + 1)
+                        sums_of[3] = sums_of.get(3, 0) + np.bincount(row, minlength=int(p["row"].max()) + 1)
+            for name, f in zip(bundle.names.tolist(), found, strict=True):
+                on = np.flatnonzero(f[3])
+                names.append(name)
+                at_row.append(on)
+                for i in range(3):
+                    sums[i].append(f[i][on])
+            bodies = [None] * len(names)
+        lists = lambda v, kind: pa.array(v or [None] * len(names), pa.list_(kind))
+        return pa.table({"pack": pa.array(names, pa.int64()), "row": lists(at_row, pa.int32()), "known": lists([s.astype(np.int64) for s in sums[0]], pa.int64()), "base": lists(sums[1], pa.float64()), "own": lists(sums[2], pa.float64()), "body": pa.array(bodies, pa.binary())})
+
+    def probabilities(cell: Cell, vocabulary: np.ndarray, k: int, known: list):
+        """By distinct (context, word): whether the word is known, log10 of its base probability and of the model's."""
+        parent_key, context_key = context_hash(vocabulary[cell.parents]), context_hash(vocabulary[cell.context_b], vocabulary[cell.context_a])
+        customers, mean = cell.customers(), 0.0
+        for got, state, (v, n, root_c, root_t) in known:
+            t3, t2 = np.minimum(cell.c, 1), np.minimum(cell.pair_total, 1)
+            t3[cell.many], t2[cell.many_pairs] = state[f"t3_{k}"], state[f"t2_{k}"]
+            c2 = np.bincount(cell.pair, t3, len(t2))
+            c1, t1 = np.bincount(cell.pair_parent, c2, len(cell.parents)), np.bincount(cell.pair_parent, t2, len(cell.parents))
+            t3_sum = np.bincount(cell.context, t3, len(customers))
+            on, at = got.shared(parent_key)
+            c1[on], t1[on] = got.contexts[2][at], got.contexts[3][at]
+            on, at = got.shared(context_key)
+            customers[on], t3_sum[on] = got.contexts[1][at], got.contexts[3][at]
+            at = np.searchsorted(got.words[0], vocabulary[cell.pair_word])
+            p1 = root_probability(got.words[2][at], got.words[3][at], root_c, root_t, 1 / (v + 1), root_theta, root_d)
+            p2 = (c2 - d * t2 + (theta + d * t1[cell.pair_parent]) * p1) / (theta + c1[cell.pair_parent])
+            mean = mean + (cell.c - d * t3 + (theta + d * t3_sum[cell.context]) * p2[cell.pair]) / (theta + customers[cell.context])
+            count = got.words[1][at]
+        return (count > 0).astype(float)[cell.pair], np.log10((count + 0.5) / (n + 0.5 * (v + 1)))[cell.pair], np.log10(mean / len(known))
+
+    train_tokens = root[1]
+
+    def documents(t: pa.Table) -> pa.Table:
         """Documents of one pack with their sums over all bundles."""
-        bodies = t.column("body")
-        docs = t.filter(bodies.is_null())
-        at = docs.column("row").to_numpy() & ((1 << ROW_BITS) - 1)
-        sums, n = np.zeros((3, int(at.max()) + 1)), 0
-        for body in bodies.take(pa.array(np.argsort(t.column("row").to_numpy(), kind="stable"))).drop_null():
-            whole, place, n_known, base, own = unpack(memoryview(body.as_buffer()))
-            n = int(whole[0])
-            sums[0, place] += n_known
-            sums[1, place] += base.view(float)
-            sums[2, place] += own.view(float)
+        on = pa.compute.is_valid(t.column("body"))
+        docs = from_body(t.filter(on).column("body")[0].as_buffer())
+        sums = np.zeros((3, len(docs["n"])))
+        found = t.filter(pa.compute.invert(on))
+        for row, *values in zip(*(_lists(found.column(c)) for c in ("row", "known", "base", "own")), strict=True):
+            for i, v in enumerate(values):
+                sums[i, row] += v
+        n = docs["n"]
         return pa.table(
             {
-                id_col: docs.column("doc"),
-                "held_out": docs.column("held_out"),
-                "n_tokens": docs.column("n_tokens"),
-                "n_known": sums[0, at].astype(np.int64),
-                "train_tokens": np.full(len(at), n),
-                "base_score": sums[1, at],
-                "score": sums[2, at],
+                id_col: pa.array(docs["id"], pa.int64(), mask=~docs["known_id"].astype(bool)),
+                "held_out": docs["held"].astype(bool),
+                "n_tokens": n,
+                "n_known": np.rint(sums[0]).astype(np.int64),
+                "train_tokens": np.full(len(n), train_tokens),
+                "base_score": sums[1],
+                "score": sums[2],
+                "perplexity": 10 ** np.minimum(300, -sums[2] / n),
             }
         )
 
-    scored = made.groupBy("bundle").cogroup(down.groupBy("bundle")).applyInArrow(score, "pack long, row long, doc long, held_out boolean, n_tokens long, body binary")
-    return scored.groupBy("pack").applyInArrow(add_up, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    together = packs(True)
+    for more in (asks, *states):
+        together = together.unionByName(more.select(*fields))
+    scored = together.groupBy("bundle").applyInArrow(score, "pack long, row array<int>, known array<long>, base array<double>, own array<double>, body binary")
+    return scored.groupBy("pack").applyInArrow(documents, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
