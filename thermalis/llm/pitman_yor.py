@@ -52,14 +52,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermalis.llm.arrowio import map_columns, slices
+from thermalis.llm.arrowio import give_back, map_columns, slices
 from thermalis.llm.scratch import Scratch
 from thermalis.llm.seating import draw_tables, gamma
 from thermalis.llm.words import mix, words
 
 BEGIN, END = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xA24BAED4963EE407)
 #: Text bytes per cell, cells in a bundle, and text bytes per packed group of tokens inside a task.
-CELL_BYTES, CELLS, PACK_BYTES = 6 << 20, 4, 18 << 20
+CELL_BYTES, CELLS, PACK_BYTES = 5 << 20, 8, 18 << 20
 #: Hash buckets of context words whose sizes decide into how many parts a context is dealt.
 BUCKETS = 1 << 16
 #: Bits of a pack's number that count packs inside a task.
@@ -75,8 +75,17 @@ def fit(a: np.ndarray) -> np.ndarray:
 
 
 def to_body(**arrays: np.ndarray) -> bytes:
-    """Arrays of any lengths as one compressed Arrow stream: a record with a list for each."""
-    lists = {k: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a)) for k, a in arrays.items()}
+    """Arrays of any lengths as one compressed Arrow stream: a record with a list for each.
+
+    Whole numbers of 16 bits or more are two lists, of their low bytes and of the rest, which pack better.
+    """
+    split = {}
+    for k, a in arrays.items():
+        if a.dtype.kind == "u" and a.dtype.itemsize > 1:
+            split[k + "/low"], split[k + "/rest"] = (a & a.dtype.type(255)).astype(np.uint8), fit(a >> a.dtype.type(8))
+        else:
+            split[k] = a
+    lists = {k: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a)) for k, a in split.items()}
     batch, sink = pa.record_batch(lists), pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
         out.write_batch(batch)
@@ -86,7 +95,34 @@ def to_body(**arrays: np.ndarray) -> bytes:
 def from_body(body) -> dict[str, np.ndarray]:
     with pa.ipc.open_stream(pa.py_buffer(body), options=pa.ipc.IpcReadOptions(use_threads=False)) as stream:
         batch = stream.read_next_batch()
-    return {k: batch.column(k).values.to_numpy(zero_copy_only=False) for k in batch.schema.names}
+    found = {k: batch.column(k).values.to_numpy(zero_copy_only=False) for k in batch.schema.names}
+    for k in [k.removesuffix("/low") for k in found if k.endswith("/low")]:
+        low, rest = found.pop(k + "/low"), found.pop(k + "/rest")
+        wide = np.dtype(f"u{min(8, 2 * rest.dtype.itemsize)}")
+        found[k] = rest.astype(wide) << wide.type(8) | low
+    return found
+
+
+def word_arrays(hashes: np.ndarray) -> dict[str, np.ndarray]:
+    """Ascending hashes as differences, whose low 48 bits pack no further and whose high ones are mostly zero."""
+    step = np.diff(hashes, prepend=np.uint64(0))
+    return {"low": step.astype("<u4").view(np.int32), "middle": (step >> np.uint64(32)).astype("<u2").view(np.int16), "high": fit(step >> np.uint64(48))}
+
+
+def word_hashes(body: dict[str, np.ndarray]) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumsum(body["low"].view("<u4").astype(np.uint64) | body["middle"].view("<u2").astype(np.uint64) << np.uint64(32) | body["high"].astype(np.uint64) << np.uint64(48), dtype=np.uint64)
+
+
+def freed(work):
+    """``work`` on a group's table; what it leaves unused goes back before the next group."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = work(t)
+        give_back()
+        return out
+
+    return run
 
 
 def keyed(columns: list[np.ndarray], sizes: list[int]) -> np.ndarray:
@@ -100,6 +136,13 @@ def keyed(columns: list[np.ndarray], sizes: list[int]) -> np.ndarray:
     return key
 
 
+def runs(cells: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where entries of another cell or another last context word begin."""
+    new = np.concatenate([[True], b[1:] != b[:-1]])
+    new[np.cumsum(cells.astype(np.int64))[:-1][np.cumsum(cells.astype(np.int64))[:-1] < len(b)]] = True
+    return np.flatnonzero(new)
+
+
 def context_hash(b: np.ndarray, a: np.ndarray | None = None) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(b + np.uint64(0x51ED270B)) if a is None else mix(mix(a + np.uint64(0x2545F491)) + b)
@@ -253,7 +296,10 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
             if scoring:
                 counts |= {"many": fit(np.diff(np.append(first, len(own)))), "row": fit(row[at[own]])}
             cells = np.bincount(cell[at[entry]] - k * CELLS, minlength=CELLS)
-            yield k, to_body(words=vocabulary, cells=fit(cells), b=fit(ib[entry]), a=fit(ia[entry]), w=fit(iw[entry]), **counts)
+            starts = runs(cells, ib[entry])
+            ahead = np.diff(ia[entry], prepend=0)  # first words of contexts ascend while the last one is the same
+            ahead[starts] = ia[entry[starts]]
+            yield k, to_body(**word_arrays(vocabulary), cells=fit(cells), b=fit(ib[entry]), a=fit(ahead), w=fit(iw[entry]), **counts)
 
     def packs(scoring: bool):
         def run(batches):
@@ -293,8 +339,11 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
             self.names = self.names[order]
             bodies = tokens.column("body").take(pa.array(order))
             self.packs = [from_body(x.as_buffer()) for x in bodies]
-            self.words, place = np.unique(np.concatenate([p["words"] for p in self.packs]), return_inverse=True)
-            self.place = np.split(place.astype(np.int32), np.cumsum([len(p["words"]) for p in self.packs])[:-1])
+            self.words, place = np.unique(np.concatenate([word_hashes(p) for p in self.packs]), return_inverse=True)
+            self.place = np.split(place.astype(np.int32), np.cumsum([len(p["low"]) for p in self.packs])[:-1])
+            for p in self.packs:
+                starts, a = runs(p["cells"], p["b"]), np.cumsum(p["a"].astype(np.int64))
+                p["a"] = (a - np.repeat(a[starts] - p["a"][starts], np.diff(np.append(starts, len(a))))).astype(np.int32)
             self.cuts = [np.concatenate([[0], np.cumsum(p["cells"].astype(np.int64))]) for p in self.packs]
 
         def cells(self):
@@ -356,7 +405,7 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
             kept |= {f"{name}_{k}": v for name, v in cell.statistics().items()}
         word, count, tables = summed(word, count, tables)
         split = summed(keys, customers, parents_c, context_t)
-        return table([*asked([(WORD, word, count, tables, np.zeros_like(tables)), (CONTEXT, *split)]), (STATISTICS, -1, None, to_body(words=bundle.words, **kept))], number)
+        return table([*asked([(WORD, word, count, tables, np.zeros_like(tables)), (CONTEXT, *split)]), (STATISTICS, -1, None, to_body(**word_arrays(bundle.words), **kept))], number)
 
     def add_up(t: pa.Table, alpha: float, step: int, base: float) -> pa.Table:
         """A part's sums by key, the root's tables by word, and for each bundle what it asked for."""
@@ -404,7 +453,7 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
         known = Known(replies(t, step - 1), keys)
         v, _, root_c, root_t = root
         word, tables, context, more_c, more_t, kept = [], [], [none], [none], [none], {}
-        vocabulary = statistics["words"]
+        vocabulary = word_hashes(statistics)
         for k in range(CELLS):
             if f"c3_{k}" not in statistics:
                 continue
@@ -457,7 +506,7 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
             out.append((kind, part, None, to_body(y=fit(values[0]), z=fit(values[1]))))
         return table([*out, (TABLES, -1, None, to_body(**kept))], number, step)
 
-    counted = scratch.save(packs(False).groupBy("bundle").applyInArrow(count_up, ROWS), "zstd")
+    counted = scratch.save(packs(False).groupBy("bundle").applyInArrow(freed(count_up), ROWS), "zstd")
     asks, statistics = counted.where(f"kind < {STATISTICS}"), counted.where(f"kind = {STATISTICS}")
 
     def to_parts(up: DataFrame | None, step: int, root: tuple) -> tuple[DataFrame, tuple]:
@@ -466,12 +515,12 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
         rng = np.random.default_rng(step)
         alpha = root_d * rng.gamma(root_theta / root_d + tables)
         both = asks if up is None else asks.unionByName(up.where(f"kind < {STATISTICS}"))
-        down = scratch.save(both.groupBy("part").applyInArrow(lambda t: add_up(t, alpha, step, 1 / (v + 1)), ROWS), "zstd")
+        down = scratch.save(both.groupBy("part").applyInArrow(freed(lambda t: add_up(t, alpha, step, 1 / (v + 1))), ROWS), "zstd")
         got = down.where(f"kind = {STATISTICS}").select(*(F.sum(F.get("keys", F.lit(i))).alias(f"s{i}") for i in range(4))).first()
         return down.where(f"kind < {STATISTICS}"), tuple(int(got[i] or 0) for i in range(4))
 
     def draw(step: int, root: tuple):
-        return lambda t: sample_tables(t, step, root)
+        return freed(lambda t: sample_tables(t, step, root))
 
     words_asked = asks.where(f"kind = {WORD}").agg(F.sum(F.size("keys"))).first()[0] or 0
     down, root = to_parts(None, 0, (words_asked, 0, 0, words_asked))
@@ -568,5 +617,5 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
     together = packs(True)
     for more in (asks, *states):
         together = together.unionByName(more.select(*fields))
-    scored = together.groupBy("bundle").applyInArrow(score, "pack long, row array<int>, known array<long>, base array<double>, own array<double>, body binary")
-    return scored.groupBy("pack").applyInArrow(documents, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    scored = together.groupBy("bundle").applyInArrow(freed(score), "pack long, row array<int>, known array<long>, base array<double>, own array<double>, body binary")
+    return scored.groupBy("pack").applyInArrow(freed(documents), f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
