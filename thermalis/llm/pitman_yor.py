@@ -64,9 +64,10 @@ CELL_BYTES, CELLS, PACK_BYTES = 5 << 20, 8, 18 << 20
 BUCKETS = 1 << 16
 #: Bits of a pack's number that count packs inside a task.
 PACK_BITS = 20
-#: Kinds of rows: asked by word, asked by context, statistics of a bundle, its tables, packed tokens, documents of a pack.
-WORD, CONTEXT, STATISTICS, TABLES, TOKENS, DOCUMENTS = range(6)
-ROWS = "kind int, bundle long, part int, sample int, keys array<long>, body binary"
+#: Kinds of rows: asked by word, asked by context, statistics of a bundle, its tables, packed tokens, documents of a pack,
+#: and where a bundle's words and contexts stand among those it asked for.
+WORD, CONTEXT, STATISTICS, TABLES, TOKENS, DOCUMENTS, PLACES = range(7)
+ROWS = "kind int, bundle long, part int, sample int, keys array<long>, body binary, cells array<binary>"
 
 
 def fit(a: np.ndarray) -> np.ndarray:
@@ -136,11 +137,9 @@ def keyed(columns: list[np.ndarray], sizes: list[int]) -> np.ndarray:
     return key
 
 
-def runs(cells: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Where entries of another cell or another last context word begin."""
-    new = np.concatenate([[True], b[1:] != b[:-1]])
-    new[np.cumsum(cells.astype(np.int64))[:-1][np.cumsum(cells.astype(np.int64))[:-1] < len(b)]] = True
-    return np.flatnonzero(new)
+def runs(b: np.ndarray) -> np.ndarray:
+    """Where entries of another last context word begin."""
+    return np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
 
 
 def context_hash(b: np.ndarray, a: np.ndarray | None = None) -> np.ndarray:
@@ -207,26 +206,22 @@ def tables_of(n_contexts: int, s: dict, t3: np.ndarray, t2: np.ndarray):
 
 
 class Known:
-    """What a bundle got back: by word (count, customers, tables in the root), by split context (customers, parents' customers, tables)."""
+    """What a bundle got back, in the order of its keys: by word (count, customers, tables in the root), by split context (customers, parents' customers, tables)."""
 
-    def __init__(self, rows: pa.Table, keys: dict[tuple[int, int], np.ndarray]):
+    def __init__(self, rows: pa.Table):
         got = {WORD: [], CONTEXT: []}
-        for kind, part, body in zip(*(rows.column(c).to_pylist() for c in ("kind", "part")), rows.column("body"), strict=True):
-            values = from_body(body.as_buffer())
-            got[kind].append((keys[kind, part], *(values[c].astype(np.int64) for c in "xyz")))
-        for kind, name in ((WORD, "words"), (CONTEXT, "contexts")):
-            k, x, y, z = (np.concatenate(v) for v in zip(*got[kind], strict=True)) if got[kind] else [np.zeros(0, np.int64)] * 4
-            order = np.argsort(k.view(np.uint64))
-            setattr(self, name, tuple(v[order] for v in (k.view(np.uint64), x, y, z)))
-
-    def shared(self, hashes: np.ndarray):
-        """(which of ``hashes`` are split contexts, where these stand)."""
-        keys = self.contexts[0]
-        if not len(keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        on = np.flatnonzero(keys[at] == hashes)
-        return on, at[on]
+        for kind, _, body in sorted(zip(*(rows.column(c).to_pylist() for c in ("kind", "part")), rows.column("body"), strict=True), key=lambda r: r[:2]):
+            got[kind].append(from_body(body.as_buffer()))
+        self.words, self.contexts = (tuple(np.concatenate([v[c] for v in got[kind]]) if got[kind] else np.zeros(0, np.int64) for c in "xyz") for kind in (WORD, CONTEXT))
+
+
+def found_in(keys: np.ndarray, wanted: np.ndarray):
+    """(which of ``wanted`` are among the ascending ``keys``, where)."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    on = np.flatnonzero(keys[at] == wanted)
+    return on, at[on]
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -287,19 +282,21 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
             at = order[cuts[k * CELLS] : cuts[(k + 1) * CELLS]]
             vocabulary, place = np.unique(np.concatenate([b[at], a[at], w[at]]), return_inverse=True)
             ib, ia, iw = place[: len(at)], place[len(at) : 2 * len(at)], place[2 * len(at) :]
-            key = keyed([cell[at] - k * CELLS, ib, ia, iw], [CELLS, *[len(vocabulary)] * 3])
-            own = np.argsort(key, kind="stable")
-            key = key[own]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            entry = own[first]
-            counts = {"count": fit(np.add.reduceat(learns[row[at[own]]].astype(np.int64), first))}
-            if scoring:
-                counts |= {"many": fit(np.diff(np.append(first, len(own)))), "row": fit(row[at[own]])}
-            cells = np.bincount(cell[at[entry]] - k * CELLS, minlength=CELLS)
-            starts = runs(cells, ib[entry])
-            ahead = np.diff(ia[entry], prepend=0)  # first words of contexts ascend while the last one is the same
-            ahead[starts] = ia[entry[starts]]
-            yield k, to_body(**word_arrays(vocabulary), cells=fit(cells), b=fit(ib[entry]), a=fit(ahead), w=fit(iw[entry]), **counts)
+            cells, mine = [], cell[at] - k * CELLS
+            for j in range(CELLS):
+                on = np.flatnonzero(mine == j)
+                key = keyed([ib[on], ia[on], iw[on]], [len(vocabulary)] * 3)
+                own = np.argsort(key, kind="stable")
+                key = key[own]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else own
+                entry, owner = on[own[first]], row[at[on[own]]]
+                starts, ahead = runs(ib[entry]) if len(entry) else entry, np.diff(ia[entry], prepend=0)
+                ahead[starts] = ia[entry[starts]]  # first words of contexts ascend while the last one is the same
+                counts = {"count": fit(np.add.reduceat(learns[owner].astype(np.int64), first) if len(first) else first)}
+                if scoring:
+                    counts |= {"many": fit(np.diff(np.append(first, len(own)))), "row": fit(owner)}
+                cells.append(to_body(b=fit(ib[entry]), a=fit(ahead), w=fit(iw[entry]), **counts) if len(entry) else None)
+            yield k, to_body(**word_arrays(vocabulary), documents=np.array([len(hashes)])), cells
 
     def packs(scoring: bool):
         def run(batches):
@@ -310,9 +307,10 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
                 got = list(deal(hashes, train, scoring))
                 if scoring:
                     held = np.array([not t for t in train])
-                    got.append((-1 - name % bundles, to_body(known_id=np.array([i is not None for i in ids]), id=np.array([i or 0 for i in ids], np.int64), held=held, n=np.array([len(h) + 1 for h in hashes]))))
-                kinds = [TOKENS if k >= 0 else DOCUMENTS for k, _ in got]
-                return pa.array(kinds, pa.int32()), [[k for k, _ in got], [0] * len(got), [0] * len(got), [[name]] * len(got), pa.array([x for _, x in got], pa.binary())]
+                    known_id = np.array([i is not None for i in ids])
+                    got.append((-1 - name % bundles, to_body(known_id=known_id, id=np.array([i or 0 for i in ids], np.int64), held=held, n=np.array([len(h) + 1 for h in hashes])), None))
+                kinds = [TOKENS if k >= 0 else DOCUMENTS for k, _, _ in got]
+                return pa.array(kinds, pa.int32()), [[k for k, _, _ in got], [0] * len(got), [0] * len(got), [[name]] * len(got), pa.array([x for _, x, _ in got], pa.binary()), pa.array([c for _, _, c in got], pa.list_(pa.binary()))]
 
             for batch in batches:
                 for piece in slices(batch, "text"):
@@ -337,25 +335,24 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
             self.names = np.array([k[0] for k in _lists(tokens.column("keys"))], np.int64)
             order = np.argsort(self.names, kind="stable")
             self.names = self.names[order]
-            bodies = tokens.column("body").take(pa.array(order))
-            self.packs = [from_body(x.as_buffer()) for x in bodies]
-            self.words, place = np.unique(np.concatenate([word_hashes(p) for p in self.packs]), return_inverse=True)
-            self.place = np.split(place.astype(np.int32), np.cumsum([len(p["low"]) for p in self.packs])[:-1])
-            for p in self.packs:
-                starts, a = runs(p["cells"], p["b"]), np.cumsum(p["a"].astype(np.int64))
-                p["a"] = (a - np.repeat(a[starts] - p["a"][starts], np.diff(np.append(starts, len(a))))).astype(np.int32)
-            self.cuts = [np.concatenate([[0], np.cumsum(p["cells"].astype(np.int64))]) for p in self.packs]
+            heads = [from_body(x.as_buffer()) for x in tokens.column("body").take(pa.array(order))]
+            self.documents = [int(h["documents"][0]) for h in heads]
+            self.bodies = tokens.column("cells").take(pa.array(order))
+            self.words, place = np.unique(np.concatenate([word_hashes(h) for h in heads]), return_inverse=True)
+            self.place = np.split(place.astype(np.int32), np.cumsum([len(h["low"]) for h in heads])[:-1])
 
         def cells(self):
-            """(number, entries of each pack, cell)."""
+            """(number, entries by number of pack, cell) of each cell that has any; one is unpacked at a time."""
             for k in range(CELLS):
-                own = [slice(c[k], c[k + 1]) for c in self.cuts]
-                if not any(s.stop > s.start for s in own):
-                    yield k, own, None
-                    continue
-                b, a, w = (np.concatenate([at[p[x][s]] for p, at, s in zip(self.packs, self.place, own, strict=True)]) for x in "baw")
-                count = np.concatenate([p["count"][s].astype(np.int64) for p, s in zip(self.packs, own, strict=True)])
-                yield k, own, Cell(self.words, b.astype(np.int64), a.astype(np.int64), w.astype(np.int64), count)
+                packs = {i: from_body(c[k].as_buffer()) for i, c in enumerate(self.bodies) if c[k].is_valid}
+                if packs:
+                    for i, p in packs.items():
+                        starts, a = runs(p["b"]), np.cumsum(p["a"].astype(np.int64))
+                        p["a"] = a - np.repeat(a[starts] - p["a"][starts], np.diff(np.append(starts, len(a))))
+                        for c in "baw":
+                            p[c] = self.place[i][p[c]]
+                    b, a, w, count = (np.concatenate([p[c] for p in packs.values()]).astype(np.int64) for c in ("b", "a", "w", "count"))
+                    yield k, packs, Cell(self.words, b, a, w, count)
 
     def split_contexts(cell: Cell, vocabulary: np.ndarray):
         """(hashes of contexts dealt to several cells: parents, then contexts; which these are)."""
@@ -376,7 +373,7 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
     def table(found: list[tuple], bundle: list[int] | int, sample: int = 0) -> pa.Table:
         n, cols = len(found), list(zip(*found, strict=True)) or [()] * 4
         kinds = ((pa.int32(), cols[0]), (pa.int64(), bundle if isinstance(bundle, list) else [bundle] * n), (pa.int32(), cols[1]), (pa.int32(), [sample] * n), (pa.list_(pa.int64()), cols[2]), (pa.binary(), cols[3]))
-        return pa.table([pa.array(list(v), k) for k, v in kinds], names=fields)
+        return pa.table([*(pa.array(list(v), k) for k, v in kinds), pa.nulls(n, pa.list_(pa.binary()))], names=fields)
 
     def summed(keys: list[np.ndarray], *columns: list[np.ndarray]):
         """Ascending distinct keys with sums of the columns."""
@@ -388,10 +385,8 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
     def count_up(t: pa.Table) -> pa.Table:
         """A bundle's statistics, what it asks for, and its first tables: one for each dish."""
         number, bundle = t.column("bundle")[0].as_py(), Bundle(t)
-        word, count, tables, keys, customers, parents_c, context_t, kept = [], [], [], [none], [none], [none], [none], {}
+        word, count, tables, keys, customers, parents_c, context_t, numbers, kept = [], [], [], [none], [none], [none], [none], [], {}
         for k, _, cell in bundle.cells():
-            if cell is None:
-                continue
             has = (cell.pair_total > 0).astype(np.int64)
             word.append(bundle.words[cell.pair_word])
             count.append(cell.pair_total)
@@ -399,13 +394,17 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
             up, own, parents, contexts = split_contexts(cell, bundle.words)
             c1 = np.bincount(cell.pair_parent, np.bincount(cell.pair, cell.c > 0, len(has)), len(cell.parents))
             keys += [up, own]
+            numbers.append(k)
             customers += [np.zeros(len(up)), cell.customers()[contexts]]
             parents_c += [c1[parents], np.zeros(len(own))]
             context_t += [np.bincount(cell.pair_parent, has, len(cell.parents))[parents], np.bincount(cell.context, cell.c > 0, len(cell.context_b))[contexts]]
             kept |= {f"{name}_{k}": v for name, v in cell.statistics().items()}
         word, count, tables = summed(word, count, tables)
         split = summed(keys, customers, parents_c, context_t)
-        return table([*asked([(WORD, word, count, tables, np.zeros_like(tables)), (CONTEXT, *split)]), (STATISTICS, -1, None, to_body(**word_arrays(bundle.words), **kept))], number)
+        places = {"asked": np.packbits(np.isin(bundle.words, word))}
+        for i, k in enumerate(numbers):
+            places |= {f"parents_{k}": fit(np.searchsorted(split[0], keys[1 + 2 * i])), f"contexts_{k}": fit(np.searchsorted(split[0], keys[2 + 2 * i]))}
+        return table([(PLACES, -1, None, to_body(**places)), *asked([(WORD, word, count, tables, np.zeros_like(tables)), (CONTEXT, *split)]), (STATISTICS, -1, None, to_body(**word_arrays(bundle.words), **kept))], number)
 
     def add_up(t: pa.Table, alpha: float, step: int, base: float) -> pa.Table:
         """A part's sums by key, the root's tables by word, and for each bundle what it asked for."""
@@ -432,9 +431,10 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
                 owners.append(b)
         return table([*out, (STATISTICS, part, total, None)], [*owners, -1], step)
 
-    def keys_of(t: pa.Table) -> dict:
-        asks = t.filter(pa.compute.is_valid(t.column("keys")))
-        return {(k, p): v for k, p, v in zip(asks.column("kind").to_pylist(), asks.column("part").to_pylist(), _lists(asks.column("keys")), strict=True)}
+    def asks_of(t: pa.Table) -> list[tuple]:
+        """(kind, part, keys, body) of a bundle, in the order of its keys."""
+        asks = t.filter(pa.compute.and_(pa.compute.is_valid(t.column("keys")), pa.compute.less(t.column("kind"), STATISTICS)))
+        return sorted(zip(asks.column("kind").to_pylist(), asks.column("part").to_pylist(), (k.view(np.uint64) for k in _lists(asks.column("keys"))), asks.column("body"), strict=True), key=lambda r: r[:2])
 
     def replies(t: pa.Table, sample: int) -> pa.Table:
         return t.filter(pa.compute.and_(pa.compute.and_(pa.compute.is_null(t.column("keys")), pa.compute.equal(t.column("sample"), sample)), pa.compute.less(t.column("kind"), STATISTICS)))
@@ -449,8 +449,9 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
     def sample_tables(t: pa.Table, step: int, root: tuple) -> pa.Table:
         """One Gibbs sweep over a bundle's dishes: contexts of two words, then their parents."""
         number = t.column("bundle")[0].as_py()
-        statistics, state, keys = body_of(t, STATISTICS), body_of(t, TABLES), keys_of(t)
-        known = Known(replies(t, step - 1), keys)
+        statistics, state, asks = body_of(t, STATISTICS), body_of(t, TABLES), asks_of(t)
+        known = Known(replies(t, step - 1))
+        word_keys, context_keys = (np.concatenate([none, *(a[2] for a in asks if a[0] == kind)]) for kind in (WORD, CONTEXT))
         v, _, root_c, root_t = root
         word, tables, context, more_c, more_t, kept = [], [], [none], [none], [none], {}
         vocabulary = word_hashes(statistics)
@@ -465,14 +466,14 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
             c2, c1, t1, t3_sum = tables_of(len(s["a"]), s, t3, t2)
             parent_key = context_hash(vocabulary[s["b"]])
             context_key = context_hash(vocabulary[s["b"][s["parent_of"]]], vocabulary[s["a"]])
-            on, at = known.shared(parent_key)
-            c1[on], t1[on] = known.contexts[2][at], known.contexts[3][at]
-            over, at3 = known.shared(context_key)
-            t3_sum[over] = known.contexts[3][at3]
+            on, at = found_in(context_keys, parent_key)
+            c1[on], t1[on] = known.contexts[1][at], known.contexts[2][at]
+            over, at = found_in(context_keys, context_key)
+            t3_sum[over] = known.contexts[2][at]
             # the root without each pair's own tables
-            at = np.searchsorted(known.words[0], vocabulary[s["word"]])
-            rest = known.words[2][at] - t2
-            p1 = root_probability(rest, np.minimum(known.words[3][at], rest), root_c - t2, root_t, 1 / (v + 1), root_theta, root_d)
+            at = np.searchsorted(word_keys, vocabulary[s["word"]])
+            rest = known.words[1][at] - t2
+            p1 = root_probability(rest, np.minimum(known.words[2][at], rest), root_c - t2, root_t, 1 / (v + 1), root_theta, root_d)
             # the parent without each dish's own tables
             pair, parent = s["pair3"], s["parent2"][s["pair3"]]
             rest = c2[pair] - t3
@@ -494,15 +495,13 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
             more_t += [more(s["parent2"], t2 - 1, len(s["b"]))[on], more(s["context3"], t3 - 1, len(s["a"]))[over]]
             kept |= {f"t3_{k}": fit(t3), f"t2_{k}": fit(t2)}
         beyond = {WORD: summed(word or [none], tables or [none]), CONTEXT: summed(context, more_c, more_t)}
-        out, asks = [], t.filter(pa.compute.is_valid(t.column("keys")))
-        for kind, part, own, body in zip(asks.column("kind").to_pylist(), asks.column("part").to_pylist(), _lists(asks.column("keys")), asks.column("body"), strict=True):
+        out = []
+        for kind, part, own, body in asks:
             first, (changed, *by) = from_body(body.as_buffer()), beyond[kind]
             values = [first["y"].astype(np.int64), first["z"].astype(np.int64)]
-            if len(changed):
-                at = np.minimum(np.searchsorted(changed, own.view(np.uint64)), len(changed) - 1)
-                on = np.flatnonzero(changed[at] == own.view(np.uint64))
-                for v, b in zip(values, by, strict=False):
-                    v[on] += b[at[on]]
+            on, at = found_in(changed, own)
+            for v, b in zip(values, by, strict=False):
+                v[on] += b[at]
             out.append((kind, part, None, to_body(y=fit(values[0]), z=fit(values[1]))))
         return table([*out, (TABLES, -1, None, to_body(**kept))], number, step)
 
@@ -541,23 +540,17 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
         if t.column("bundle")[0].as_py() < 0:
             names, bodies = [k[0] for k in _lists(t.column("keys"))], t.column("body").to_pylist()
         elif pa.compute.any(pa.compute.equal(t.column("kind"), TOKENS)).as_py():
-            bundle, keys = Bundle(t), keys_of(t)
-            found = [{} for _ in bundle.names]
-            known = [(Known(replies(t, step), keys), body_of(t, TABLES, step), root) for step, root in roots]
-            for k, own, cell in bundle.cells():
-                if cell is not None:
-                    values = probabilities(cell, bundle.words, k, known)
-                    base = 0
-                    for p, s, sums_of in zip(bundle.packs, own, found, strict=True):
-                        n = s.stop - s.start
-                        many = p["many"][s].astype(np.int64)
-                        place = np.repeat(cell.place[base : base + n], many)
-                        skip = int(p["many"][: s.start].sum(dtype=np.int64))
-                        row = p["row"][skip : skip + len(place)].astype(np.int64)
-                        base += n
-                        for i, v in enumerate(values):
-                            sums_of[i] = sums_of.get(i, 0) + np.bincount(row, v[place], int(p["row"].max()) + 1)
-                        sums_of[3] = sums_of.get(3, 0) + np.bincount(row, minlength=int(p["row"].max()) + 1)
+            bundle, places = Bundle(t), body_of(t, PLACES)
+            asked_words = np.cumsum(np.unpackbits(places.pop("asked"), count=len(bundle.words)), dtype=np.int32) - 1
+            found = [np.zeros((4, n)) for n in bundle.documents]
+            known = [(Known(replies(t, step)), body_of(t, TABLES, step), root) for step, root in roots]
+            for k, packs, cell in bundle.cells():
+                values, base = probabilities(cell, bundle.words, k, known, asked_words, places), 0
+                for i, p in packs.items():
+                    place = np.repeat(cell.place[base : base + len(p["w"])], p["many"])
+                    base += len(p["w"])
+                    for j, v in enumerate([*values, np.ones(len(cell.c))]):
+                        found[i][j] += np.bincount(p["row"], v[place], found[i].shape[1])
             for name, f in zip(bundle.names.tolist(), found, strict=True):
                 on = np.flatnonzero(f[3])
                 names.append(name)
@@ -568,25 +561,24 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
         lists = lambda v, kind: pa.array(v or [None] * len(names), pa.list_(kind))
         return pa.table({"pack": pa.array(names, pa.int64()), "row": lists(at_row, pa.int32()), "known": lists([s.astype(np.int64) for s in sums[0]], pa.int64()), "base": lists(sums[1], pa.float64()), "own": lists(sums[2], pa.float64()), "body": pa.array(bodies, pa.binary())})
 
-    def probabilities(cell: Cell, vocabulary: np.ndarray, k: int, known: list):
+    def probabilities(cell: Cell, vocabulary: np.ndarray, k: int, known: list, asked_words: np.ndarray, places: dict):
         """By distinct (context, word): whether the word is known, log10 of its base probability and of the model's."""
-        parent_key, context_key = context_hash(vocabulary[cell.parents]), context_hash(vocabulary[cell.context_b], vocabulary[cell.context_a])
-        customers, mean = cell.customers(), 0.0
+        customers, mean, word = cell.customers(), 0.0, asked_words[cell.pair_word]
+        parents = np.flatnonzero(splits(vocabulary[cell.parents]) > 1)
+        contexts = np.flatnonzero(np.isin(cell.context_parent, parents))
+        parents_at, contexts_at = places[f"parents_{k}"], places[f"contexts_{k}"]
         for got, state, (v, n, root_c, root_t) in known:
             t3, t2 = np.minimum(cell.c, 1), np.minimum(cell.pair_total, 1)
             t3[cell.many], t2[cell.many_pairs] = state[f"t3_{k}"], state[f"t2_{k}"]
             c2 = np.bincount(cell.pair, t3, len(t2))
             c1, t1 = np.bincount(cell.pair_parent, c2, len(cell.parents)), np.bincount(cell.pair_parent, t2, len(cell.parents))
             t3_sum = np.bincount(cell.context, t3, len(customers))
-            on, at = got.shared(parent_key)
-            c1[on], t1[on] = got.contexts[2][at], got.contexts[3][at]
-            on, at = got.shared(context_key)
-            customers[on], t3_sum[on] = got.contexts[1][at], got.contexts[3][at]
-            at = np.searchsorted(got.words[0], vocabulary[cell.pair_word])
-            p1 = root_probability(got.words[2][at], got.words[3][at], root_c, root_t, 1 / (v + 1), root_theta, root_d)
+            c1[parents], t1[parents] = got.contexts[1][parents_at], got.contexts[2][parents_at]
+            customers[contexts], t3_sum[contexts] = got.contexts[0][contexts_at], got.contexts[2][contexts_at]
+            p1 = root_probability(got.words[1][word], got.words[2][word], root_c, root_t, 1 / (v + 1), root_theta, root_d)
             p2 = (c2 - d * t2 + (theta + d * t1[cell.pair_parent]) * p1) / (theta + c1[cell.pair_parent])
             mean = mean + (cell.c - d * t3 + (theta + d * t3_sum[cell.context]) * p2[cell.pair]) / (theta + customers[cell.context])
-            count = got.words[1][at]
+            count = got.words[0][word]
         return (count > 0).astype(float)[cell.pair], np.log10((count + 0.5) / (n + 0.5 * (v + 1)))[cell.pair], np.log10(mean / len(known))
 
     train_tokens = root[1]
@@ -614,8 +606,10 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
             }
         )
 
+    places = scratch.save(counted.where(f"kind = {PLACES}"), "zstd")
+    scratch.drop(counted)
     together = packs(True)
-    for more in (asks, *states):
+    for more in (places, *states):
         together = together.unionByName(more.select(*fields))
     scored = together.groupBy("bundle").applyInArrow(freed(score), "pack long, row array<int>, known array<long>, base array<double>, own array<double>, body binary")
     return scored.groupBy("pack").applyInArrow(freed(documents), f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
