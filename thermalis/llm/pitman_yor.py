@@ -59,7 +59,7 @@ from thermalis.llm.words import mix, words
 
 BEGIN, END = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xA24BAED4963EE407)
 #: Text bytes per cell, cells in a bundle, and text bytes per packed group of tokens inside a task.
-CELL_BYTES, CELLS, PACK_BYTES = 5 << 20, 8, 18 << 20
+CELL_BYTES, CELLS, PACK_BYTES = 4 << 20, 4, 18 << 20
 #: Hash buckets of context words whose sizes decide into how many parts a context is dealt.
 BUCKETS = 1 << 16
 #: Bits of a pack's number that count packs inside a task.
@@ -331,20 +331,20 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
         """Bodies of a bundle's packs over one list of words."""
 
         def __init__(self, t: pa.Table):
-            tokens = t.filter(pa.compute.equal(t.column("kind"), TOKENS))
-            self.names = np.array([k[0] for k in _lists(tokens.column("keys"))], np.int64)
-            order = np.argsort(self.names, kind="stable")
-            self.names = self.names[order]
-            heads = [from_body(x.as_buffer()) for x in tokens.column("body").take(pa.array(order))]
+            at = np.flatnonzero(t.column("kind").to_numpy() == TOKENS)
+            names = np.array([t.column("keys")[int(i)].values[0].as_py() for i in at], np.int64)
+            order = np.argsort(names, kind="stable")
+            self.names, self.at, self.bodies = names[order], at[order].tolist(), t.column("cells")
+            heads = [from_body(t.column("body")[i].as_buffer()) for i in self.at]
             self.documents = [int(h["documents"][0]) for h in heads]
-            self.bodies = tokens.column("cells").take(pa.array(order))
             self.words, place = np.unique(np.concatenate([word_hashes(h) for h in heads]), return_inverse=True)
             self.place = np.split(place.astype(np.int32), np.cumsum([len(h["low"]) for h in heads])[:-1])
 
         def cells(self):
             """(number, entries by number of pack, cell) of each cell that has any; one is unpacked at a time."""
             for k in range(CELLS):
-                packs = {i: from_body(c[k].as_buffer()) for i, c in enumerate(self.bodies) if c[k].is_valid}
+                found = ((i, self.bodies[at].values[k]) for i, at in enumerate(self.at))
+                packs = {i: from_body(c.as_buffer()) for i, c in found if c.is_valid}
                 if packs:
                     for i, p in packs.items():
                         starts, a = runs(p["b"]), np.cumsum(p["a"].astype(np.int64))
