@@ -536,8 +536,8 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
 
     def score(t: pa.Table) -> pa.Table:
         """A bundle's sums for each document, as one row for each pack."""
-        names, at_row, sums, bodies = [], [], [[], [], []], []
-        if t.column("bundle")[0].as_py() < 0:
+        names, bodies, held = [], [], t.column("bundle")[0].as_py() < 0
+        if held:
             names, bodies = [k[0] for k in _lists(t.column("keys"))], t.column("body").to_pylist()
         elif pa.compute.any(pa.compute.equal(t.column("kind"), TOKENS)).as_py():
             bundle, places = Bundle(t), body_of(t, PLACES)
@@ -551,15 +551,11 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
                     base += len(p["w"])
                     for j, v in enumerate([*values, np.ones(len(cell.c))]):
                         found[i][j] += np.bincount(p["row"], v[place], found[i].shape[1])
-            for name, f in zip(bundle.names.tolist(), found, strict=True):
-                on = np.flatnonzero(f[3])
+            for name, (known_words, base, own, many) in zip(bundle.names.tolist(), found, strict=True):
+                on = np.flatnonzero(many)
                 names.append(name)
-                at_row.append(on)
-                for i in range(3):
-                    sums[i].append(f[i][on])
-            bodies = [None] * len(names)
-        lists = lambda v, kind: pa.array(v or [None] * len(names), pa.list_(kind))
-        return pa.table({"pack": pa.array(names, pa.int64()), "row": lists(at_row, pa.int32()), "known": lists([s.astype(np.int64) for s in sums[0]], pa.int64()), "base": lists(sums[1], pa.float64()), "own": lists(sums[2], pa.float64()), "body": pa.array(bodies, pa.binary())})
+                bodies.append(to_body(row=fit(np.diff(on, prepend=0)), known=fit(np.rint(known_words[on]).astype(np.int64)), base=base[on], own=own[on]))
+        return pa.table({"pack": pa.array(names, pa.int64()), "documents": pa.array([held] * len(names), pa.bool_()), "body": pa.array(bodies, pa.binary())})
 
     def probabilities(cell: Cell, vocabulary: np.ndarray, k: int, known: list, asked_words: np.ndarray, places: dict):
         """By distinct (context, word): whether the word is known, log10 of its base probability and of the model's."""
@@ -585,13 +581,16 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
 
     def documents(t: pa.Table) -> pa.Table:
         """Documents of one pack with their sums over all bundles."""
-        on = pa.compute.is_valid(t.column("body"))
-        docs = from_body(t.filter(on).column("body")[0].as_buffer())
+        bodies = {True: [], False: []}
+        for on, body in zip(t.column("documents").to_pylist(), t.column("body"), strict=True):
+            bodies[on].append(body.as_buffer())
+        docs = from_body(bodies[True][0])
         sums = np.zeros((3, len(docs["n"])))
-        found = t.filter(pa.compute.invert(on))
-        for row, *values in zip(*(_lists(found.column(c)) for c in ("row", "known", "base", "own")), strict=True):
-            for i, v in enumerate(values):
-                sums[i, row] += v
+        for body in bodies[False]:
+            found = from_body(body)
+            row = np.cumsum(found["row"], dtype=np.int64)
+            for i, c in enumerate(("known", "base", "own")):
+                sums[i, row] += found[c]
         n = docs["n"]
         return pa.table(
             {
@@ -611,5 +610,5 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
     together = packs(True)
     for more in (places, *states):
         together = together.unionByName(more.select(*fields))
-    scored = together.groupBy("bundle").applyInArrow(freed(score), "pack long, row array<int>, known array<long>, base array<double>, own array<double>, body binary")
+    scored = together.groupBy("bundle").applyInArrow(freed(score), "pack long, documents boolean, body binary")
     return scored.groupBy("pack").applyInArrow(freed(documents), f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
