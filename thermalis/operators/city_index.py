@@ -26,6 +26,7 @@ class IndexConfig:
     min_heat_posts: int = 1000
     min_active_days: int = 50
     min_seasonal_coverage: float = 0.15
+    apply_eligibility_filters: bool = True
     classes: int = 7
 
 
@@ -37,6 +38,16 @@ def first_known(c: str) -> Column:
     return F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row_index"))).alias(c)
 
 
+def settled(c: str) -> Column:
+    """A sum of doubles rounded so far that the order of its terms can't decide a comparison."""
+    return F.round(c, 9)
+
+
+def percent(df: DataFrame, *columns: str) -> DataFrame:
+    """Each ``..._hpii...`` column times 100, named with ``percent`` after ``hpii`` (or ``hpvi``)."""
+    return df.withColumns({c.replace("hpii", "hpii_percent", 1).replace("hpvi", "hpvi_percent", 1): F.col(c) * 100 for c in columns})
+
+
 def share(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.col(a) / F.col(b))
 
@@ -63,7 +74,8 @@ def city_day(posts: DataFrame, totals: DataFrame | None = None, total_col: str |
     else:
         days = days.withColumn("total_posts", F.col("observed_posts")).withColumn("denominator_source", proxy)
     days = days.withColumn("denominator_is_proxy", (F.col("denominator_source") == proxy).cast("int"))
-    return days.withColumn("daily_hpii_raw", share("heat_posts", "total_posts")).withColumn("daily_hpii_used", F.col("daily_hpii_raw"))
+    days = days.withColumn("daily_hpii_raw", share("heat_posts", "total_posts")).withColumn("daily_hpii_used", F.col("daily_hpii_raw"))
+    return percent(days, "daily_hpii_raw", "daily_hpii_used")
 
 
 def normalise_city_month(days: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
@@ -73,7 +85,7 @@ def normalise_city_month(days: DataFrame, cfg: IndexConfig = IndexConfig()) -> D
     out = out.withColumn("residual", F.col("daily_hpii_raw") - F.percentile("daily_hpii_raw", F.lit(0.5)).over(w))
     lo, hi = (F.percentile("residual", F.lit(q)).over(w) for q in (cfg.winsor_lower, cfg.winsor_upper))
     out = out.withColumn("daily_hpii_norm", F.when(F.col("residual").isNotNull(), F.least(F.greatest("residual", lo), hi)))
-    return out.drop("residual").withColumn("daily_hpii_used", F.col("daily_hpii_norm"))
+    return percent(out.drop("residual").withColumn("daily_hpii_used", F.col("daily_hpii_norm")), "daily_hpii_norm", "daily_hpii_used")
 
 
 def coverage(days: DataFrame) -> DataFrame:
@@ -87,15 +99,16 @@ def coverage(days: DataFrame) -> DataFrame:
 
 
 def eligibility(days: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
-    """Per city: posts, days, coverage and whether it passes all three bounds."""
+    """Per city: posts, days, coverage and whether it passes all three bounds (all cities do with the filters switched off)."""
     summary = days.where("city is not null").groupBy("city").agg(F.sum("heat_posts").alias("total_heat_posts"), F.count_distinct("date").alias("active_days"), F.count_distinct("season").alias("season_n"))
     cover = coverage(days).groupBy("city").agg(F.min("coverage_frac").alias("coverage_min_frac"), F.avg("coverage_frac").alias("coverage_mean_frac"), F.sum("expected_days").alias("expected_days_total"), F.sum("observed_unique_days").alias("observed_days_total"))
     passes = (F.col("total_heat_posts") >= cfg.min_heat_posts) & (F.col("active_days") >= cfg.min_active_days) & (F.col("coverage_min_frac") >= cfg.min_seasonal_coverage)
-    return summary.join(cover, "city", "left").withColumn("eligible_city", F.coalesce(passes, F.lit(False)).cast("int"))
+    passes = F.coalesce(passes, F.lit(False)) if cfg.apply_eligibility_filters else F.lit(True)
+    return summary.join(cover, "city", "left").withColumn("eligible_city", passes.cast("int"))
 
 
 def eligible_days(days: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
-    return days.join(eligibility(days, cfg).where("eligible_city = 1"), "city", "left_semi")
+    return days.join(eligibility(days, cfg).where("eligible_city = 1"), "city", "left_semi") if cfg.apply_eligibility_filters else days
 
 
 def known(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,7 +125,7 @@ def monthly(days: DataFrame) -> DataFrame:
         F.sum("daily_hpii_used").alias("month_hpii_norm_sum"),
         F.count_distinct("date").alias("month_active_days"),
     )
-    return out.withColumn("month_hpii", share("month_heat_posts", "month_total_posts"))
+    return percent(out.withColumn("month_hpii", share("month_heat_posts", "month_total_posts")), "month_hpii")
 
 
 def variability(days: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
@@ -121,6 +134,7 @@ def variability(days: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
     keys = [*PLACE, "season"]
     out = known(days.withColumn("daily_hpii_7d", smooth), keys).groupBy(*keys).agg(F.avg("daily_hpii_7d").alias("m"), F.stddev_pop("daily_hpii_7d").alias("s"), F.count("daily_hpii_7d").alias("hpvi_days_used"))
     out = out.withColumn("hpvi", F.when((F.abs("m") < 1e-15) & (F.abs("s") < 1e-15), F.lit(0.0)).otherwise(F.col("s") / (F.abs("m") + cfg.epsilon))).drop("m", "s")
+    out = percent(out, "hpvi")
     tier = F.when(F.col("hpvi").isNull(), "unknown").when(F.col("hpvi") <= 0.1, "low").when(F.col("hpvi") <= 0.3, "moderate").otherwise("high")
     return out.withColumn("hpvi_tier", tier).withColumn("hpvi_high_binary", F.coalesce(F.col("hpvi") > 0.3, F.lit(False)).cast("int"))
 
@@ -134,6 +148,7 @@ def peak_months(by_month: DataFrame, keys: list[str]) -> DataFrame:
 def seasonal(days: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
     """City-season sums, peak month and variability (levels are added by ``with_levels``)."""
     keys = [*PLACE, "season"]
+    flags = [F.max(c).alias(c) for c in ("date_is_synthetic", "denominator_is_proxy") if c in days.columns]
     out = known(days, keys).groupBy(*keys).agg(
         F.sum("heat_posts").alias("seasonal_heat_posts"),
         F.sum("total_posts").alias("seasonal_total_posts"),
@@ -141,9 +156,10 @@ def seasonal(days: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
         F.sum("daily_hpii_raw").alias("seasonal_hpii_daily_sum"),
         F.sum("daily_hpii_used").alias("seasonal_hpii_norm_sum"),
         F.count_distinct("date").alias("seasonal_active_days"),
+        *flags,
     )
-    out = out.withColumn("seasonal_hpii", share("seasonal_heat_posts", "seasonal_total_posts")).withColumn("seasonal_hpii_percent", F.col("seasonal_hpii") * 100)
-    peaks = peak_months(monthly(days), ["city", "season"]).select("city", "season", F.col("month").alias("peak_month_in_season"), F.col("month_hpii").alias("peak_month_hpii"))
+    out = percent(out.withColumn("seasonal_hpii", share("seasonal_heat_posts", "seasonal_total_posts")), "seasonal_hpii")
+    peaks = peak_months(monthly(days), ["city", "season"]).select("city", "season", F.col("month").alias("peak_month_in_season"), F.col("month_hpii").alias("peak_month_hpii"), F.col("month_hpii_percent").alias("peak_month_hpii_percent"))
     return out.join(peaks, ["city", "season"], "left").join(variability(days, cfg), keys, "left")
 
 
@@ -206,33 +222,61 @@ def with_levels(seasons: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFra
 
 
 def typology(seasons: DataFrame, by_month: DataFrame) -> DataFrame:
-    """Per city: peak and dominant season, high seasons and counter-seasonal label; one aggregation for all seasons."""
-    peak = peak_months(by_month, ["city"]).select("city", F.col("season").alias("peak_season"), F.col("month").alias("peak_month"), F.col("month_hpii").alias("peak_month_hpii_global"))
-    w = Window.partitionBy("city").orderBy(F.desc_nulls_last("seasonal_hpii_daily_sum"), "season")
-    top = seasons.withColumn("k", F.row_number().over(w)).where("k = 1").select("city", F.col("season").alias("total_dominant_season"), F.col("seasonal_hpii_daily_sum").alias("total_dominant_hpii_sum"))
-    pick = lambda s, c: F.coalesce(F.max(F.when(F.col("season") == s, F.col(c))), F.lit(float("-inf")))
+    """Per city: peak and dominant season, summer and winter values, high seasons and counter-seasonal label; one aggregation for all seasons.
+
+    Of seasons with equal sums (to nine decimals) the first by name dominates.
+    """
+    names = {"season": "peak_season", "month": "peak_month", "month_hpii": "peak_month_hpii_global", "month_hpii_percent": "peak_month_hpii_percent_global"}
+    peak = peak_months(by_month, ["city"]).select(*PLACE, *(F.col(a).alias(b) for a, b in names.items()))
+    w = Window.partitionBy("city").orderBy(settled("seasonal_hpii_daily_sum").desc_nulls_last(), "season")
+    names = {"season": "total_dominant_season", "seasonal_hpii_daily_sum": "total_dominant_hpii_sum", "seasonal_hpii": "total_dominant_hpii", "seasonal_hpii_percent": "total_dominant_hpii_percent"}
+    top = seasons.withColumn("k", F.row_number().over(w)).where("k = 1").select("city", *(F.col(a).alias(b) for a, b in names.items()))
+    wanted = {"total_hpii_sum": "seasonal_hpii_daily_sum", "peak_month_hpii": "peak_month_hpii", "peak_month_hpii_percent": "peak_month_hpii_percent"}
     cells = seasons.groupBy("city").agg(
         F.sum("high_hpii_binary").alias("n_high_hpii_seasons"),
-        (pick("Winter", "peak_month_hpii") > pick("Summer", "peak_month_hpii")).alias("peak_cs"),
-        (pick("Winter", "seasonal_hpii_daily_sum") > pick("Summer", "seasonal_hpii_daily_sum")).alias("total_cs"),
+        *(F.max(F.when(F.col("season") == s, F.col(c))).alias(f"{s.lower()}_{name}") for s in ("Summer", "Winter") for name, c in wanted.items()),
     )
-    out = peak.join(top, "city", "full_outer").join(cells, "city", "left")
-    label = F.when(F.col("peak_cs") & F.col("total_cs"), "Both").when(F.col("peak_cs"), "Peak").when(F.col("total_cs"), "Total").otherwise("NoCounterSeasonal")
-    return out.select(
-        "city",
-        "peak_season",
-        "peak_month",
-        "peak_month_hpii_global",
-        "total_dominant_season",
-        "total_dominant_hpii_sum",
-        F.coalesce(F.col("peak_season") == F.col("total_dominant_season"), F.lit(False)).cast("int").alias("peak_total_coincide"),
-        "n_high_hpii_seasons",
-        (F.col("n_high_hpii_seasons") >= 2).cast("int").alias("multi_season_high_hpii"),
-        label.alias("counter_seasonal_label"),
-        (label != "NoCounterSeasonal").cast("int").alias("counter_seasonal_binary"),
+    over = lambda c: F.coalesce(settled(f"winter_{c}"), F.lit(float("-inf"))) > F.coalesce(settled(f"summer_{c}"), F.lit(float("-inf")))
+    by_peak, by_total = over("peak_month_hpii"), over("total_hpii_sum")
+    label = F.when(by_peak & by_total, "Both").when(by_peak, "Peak").when(by_total, "Total").otherwise("NoCounterSeasonal")
+    return (
+        peak.join(top, "city", "full_outer")
+        .join(cells, "city", "left")
+        .withColumns(
+            {
+                "peak_total_coincide": F.coalesce(F.col("peak_season") == F.col("total_dominant_season"), F.lit(False)).cast("int"),
+                "multi_season_high_hpii": (F.col("n_high_hpii_seasons") >= 2).cast("int"),
+                "counter_seasonal_label": label,
+                "counter_seasonal_binary": (label != "NoCounterSeasonal").cast("int"),
+            }
+        )
     )
 
 
+def index_run(posts: DataFrame, totals: DataFrame | None = None, total_col: str | None = None, cfg: IndexConfig = IndexConfig(), normalise: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables of an index run by name, and its summary (one row), which says what the run rests on.
+
+    The tables: city days, months, seasons, typology, polarisation, volume strata, eligibility.
+    """
+    raw = city_day(posts, totals, total_col, cfg)
+    every = normalise_city_month(raw, cfg) if normalise else raw
+    days = eligible_days(every, cfg)
+    by_month, seasons = monthly(days), with_levels(seasonal(days, cfg), cfg)
+    strata = volume_strata(days)
+    tables = {
+        "city_day": days,
+        "city_month": by_month,
+        "city_season": with_volume(seasons, strata),
+        "city_typology": with_volume(typology(seasons, by_month), strata),
+        "polarization": polarisation(seasons, cfg),
+        "volume_strata": strata,
+        "city_eligibility": eligibility(every, cfg),
+    }
+    part = lambda c: (F.avg(F.col(c).cast("double")) if c in days.columns else F.lit(0.0)).alias(c.replace("is_", "") + "_fraction")
+    summary = days.agg(F.count("*").alias("city_days"), F.count_distinct("city").alias("cities"), F.sum("heat_posts").alias("heat_posts"), F.sum("total_posts").alias("total_posts"), part("denominator_is_proxy"), part("date_is_synthetic"), part("hemisphere_is_inferred"))
+    return tables, summary.crossJoin(F.broadcast(breaks_table(seasons, "seasonal_hpii_percent", cfg.classes)))  # one row each
+
+
 def volume_strata(days: DataFrame) -> DataFrame:
     """Cities by annual posts: Low to the 30th percentile, Medium to the 70th, else High."""
     annual = days.where("city is not null").groupBy("city").agg(F.sum("total_posts").alias("annual_total_posts"), F.sum("heat_posts").alias("annual_heat_posts"), F.count_distinct("date").alias("active_days"))

@@ -53,13 +53,13 @@ def winrate_rollup(s, d):
 
 
 def winrate_annotation(s, d):
-    return rounded(ex.win_summary(ex.win_rates(_grid(s, d)))).drop("annotation")
+    return rounded(ex.win_summary(ex.win_rates(_grid(s, d))))
 
 
-def _effects(s, d):
+def _effects(s, d, unit="type"):
     """Relative risks with intervals from simple shares, exact in SQL."""
-    rows = b.panel(s, d).groupBy("type", "class").agg(F.avg("heatPerception").alias("m"), F.sum("count").alias("n"))
-    return rows.select("type", "class", F.exp(F.col("m") / 100 - 0.3).alias("rr"), F.exp(F.col("m") / 100 - 0.3 - 20 / F.sqrt("n")).alias("rrlow"), F.exp(F.col("m") / 100 - 0.3 + 20 / F.sqrt("n")).alias("rrhigh"))
+    rows = b.panel(s, d).groupBy(unit, "class").agg(F.avg("heatPerception").alias("m"), F.sum("count").alias("n"))
+    return rows.select(unit, "class", F.exp(F.col("m") / 100 - 0.3).alias("rr"), F.exp(F.col("m") / 100 - 0.3 - 20 / F.sqrt("n")).alias("rrlow"), F.exp(F.col("m") / 100 - 0.3 + 20 / F.sqrt("n")).alias("rrhigh"))
 
 
 def ivw_pool(s, d):
@@ -71,9 +71,13 @@ def truncated_effects(s, d):
 
 
 def figure5_rows(s, d):
-    pooled = _effects(s, d).where("class = 'BUILDING'").drop("class").withColumn("case", F.lit(ex.CASES[3]))
-    city = pooled.select(F.lit("Site").alias("city"), "case", "rr", "rrlow", "rrhigh").limit(0)
-    return rounded(ex.forest_rows(city, pooled, {"Pooled: Death": 6.5, "Pooled: Hospitlization": 2.0, "Combined": 0.5}).drop("case", "is_pooled", "is_combined"))
+    """Rows of every city, pooled by type and combined; three classes stand for the cases 2 to 4."""
+    case = F.when(F.col("class") == "MACHINERY", ex.CASES[1]).when(F.col("class") == "AUTOMOBILE", ex.CASES[2]).when(F.col("class") == "BUILDING", ex.CASES[3])
+    pooled = _effects(s, d).withColumn("case", case).where("case is not null").drop("class")
+    city = _effects(s, d, "city").withColumn("case", case).where("case is not null")
+    names = sorted(r[0] for r in b.read(s, d, "nation").select("n_name").collect())  # 25 at every scale
+    places = {name: 10.0 + k for k, name in enumerate(names)}
+    return rounded(ex.forest_rows(city, pooled, places | {"Pooled: Death": 6.5, "Pooled: Hospitlization": 2.0, "Combined": 0.5}))
 
 
 def glm_model_comparison(s, d):
@@ -125,11 +129,14 @@ select city, class, sum(t)::bigint as cb_temp, sum(p)::bigint as cb_perc, sum(c2
     "winner_grid": f"with {GRID} select * from grid",
     "winner_long": f"with {GRID}, lng as ({LONG}) select *, round(n * 100.0 / city_num::double, 6) as pct from lng",
     "winrate_rollup": f"with {GRID}{RATES} select type, n_pairs, {', '.join(f'n_{k}' for k in _F)}, {', '.join(f'round(pct_{k}, 6) as pct_{k}' for k in _F)} from rates",
-    "winrate_annotation": f"with {GRID}{RATES} " + " union all ".join(f"select type, '{k}' as category, round(pct_{k}, 6) as pct from rates" for k in ("P_both", "P_QAIC_only", "P_R2_only", "S_both", "T_R2_only", "T_QAIC_only", "T_both")),
+    "winrate_annotation": f"with {GRID}{RATES} " + " union all ".join(f"select type, '{k}' as category, round(pct_{k}, 6) as pct, 'P ' || round(pct_P_either)::int || '% | S ' || round(pct_S_both)::int || '% | T ' || round(pct_T_either)::int || '%' as annotation from rates" for k in ("P_both", "P_QAIC_only", "P_R2_only", "S_both", "T_R2_only", "T_QAIC_only", "T_both")),
     "ivw_pool": f"with {EFFECTS}, w as (select class, sum({_W} * ln(rr)) / sum({_W}) as m, sqrt(1 / sum({_W})) as s, count(*) as n from eff group by class) select class, n, round(exp(m), 6) as rr, round(exp(m - 1.96 * s), 6) as rrlow, round(exp(m + 1.96 * s), 6) as rrhigh from w",
     "truncated_effects": f"with {EFFECTS} select type, class, round(rr, 6) as rr, round(rrlow, 6) as rrlow, round(rrhigh, 6) as rrhigh, round(rrlow, 6) as ymin_plot, round(least(rrhigh, 1.25), 6) as ymax_plot, rrhigh > 1.25 as high_trunc from eff",
-    "figure5_rows": f"""with {EFFECTS}, e as (select 'Pooled: ' || type as row_label, rr, rrlow, rrhigh from eff where class = 'BUILDING'),
-c as (select 'Combined' as row_label, exp(m) as rr, exp(m - 1.96 * s) as rrlow, exp(m + 1.96 * s) as rrhigh from (select sum({_W} * ln(rr)) / sum({_W}) as m, sqrt(1 / sum({_W})) as s from e)),
-a as (select * from e union all select * from c), y as (select *, case row_label when 'Pooled: Death' then 6.5 when 'Pooled: Hospitlization' then 2.0 when 'Combined' then 0.5 end as y_center from a)
-select row_label, round(rr, 6) as rr, round(rrlow, 6) as rrlow, round(rrhigh, 6) as rrhigh, 'Cat4' as cat, y_center::double as y_center, round(y_center::double - 0.2, 6) as y_plot, round(least(rrhigh, 4), 6) as rr_hi_p, rrhigh > 4 as "trunc" from y where y_center is not null""",
+    "figure5_rows": f"""with {EFFECTS}, cs as (select * from (values ('MACHINERY', '{ex.CASES[1]}', 'Cat2', 0.2::double), ('AUTOMOBILE', '{ex.CASES[2]}', 'Cat3', 0.0::double), ('BUILDING', '{ex.CASES[3]}', 'Cat4', -0.2::double)) v(class, "case", cat, shift)),
+ceff as (select city, class, exp(m / 100 - 0.3) as rr, exp(m / 100 - 0.3 - 20 / sqrt(n)) as rrlow, exp(m / 100 - 0.3 + 20 / sqrt(n)) as rrhigh from (select city, class, avg(hp) as m, sum(count) as n from panel group by all)),
+e as (select city as row_label, class, rr, rrlow, rrhigh, false as is_pooled, false as is_combined from ceff union all select 'Pooled: ' || type, class, rr, rrlow, rrhigh, true, false from eff
+  union all select 'Combined', 'BUILDING', exp(m), exp(m - 1.96 * s), exp(m + 1.96 * s), true, true from (select sum({_W} * ln(rr)) / sum({_W}) as m, sqrt(1 / sum({_W})) as s from eff where class = 'BUILDING')),
+pos as (select n_name as row_label, 9.0 + row_number() over (order by n_name) as y from nation union all select * from (values ('Pooled: Death', 6.5), ('Pooled: Hospitlization', 2.0), ('Combined', 0.5)) v(a, y))
+select e.row_label, "case", round(rr, 6) as rr, round(rrlow, 6) as rrlow, round(rrhigh, 6) as rrhigh, is_pooled, is_combined, cat, y::double as y_center, round(y::double + shift, 6) as y_plot, round(least(rrhigh, 4), 6) as rr_hi_p, rrhigh > 4 as "trunc"
+from e join cs on e.class = cs.class join pos on e.row_label = pos.row_label""",
 }

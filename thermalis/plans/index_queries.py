@@ -38,7 +38,7 @@ def city_month_index(s, d):
 
 
 def city_season_index(s, d):
-    out = ix.seasonal(_days(s, d)).select("city", "season", "seasonal_heat_posts", "seasonal_total_posts", "seasonal_hpii_daily_mean", "seasonal_hpii_daily_sum", "seasonal_active_days", "seasonal_hpii", "seasonal_hpii_percent", "peak_month_in_season")
+    out = ix.seasonal(_days(s, d)).select("city", "season", "seasonal_heat_posts", "seasonal_total_posts", "seasonal_hpii_daily_mean", "seasonal_hpii_daily_sum", "seasonal_active_days", "seasonal_hpii", "seasonal_hpii_percent", "peak_month_in_season", "peak_month_hpii_percent", "denominator_is_proxy")
     return rounded(out)
 
 
@@ -84,7 +84,16 @@ def polarization(s, d):
 
 def city_typology(s, d):
     days = _days(s, d)
-    return rounded(ix.typology(ix.with_levels(ix.seasonal(days)), ix.monthly(days)).drop("n_high_hpii_seasons", "multi_season_high_hpii"))
+    return rounded(ix.typology(ix.with_levels(ix.seasonal(days)), ix.monthly(days)))
+
+
+def index_run_summary(s, d):
+    _, summary = ix.index_run(b.posts(s, d), totals=b.totals(s, d), cfg=ix.IndexConfig(apply_eligibility_filters=False))
+    return rounded(summary.withColumn("breaks", F.array_join(F.transform("breaks", lambda x: F.format_string("%.4f", x)), " ")))
+
+
+def all_cities_eligible(s, d):
+    return rounded(ix.eligibility(_days(s, d), ix.IndexConfig(apply_eligibility_filters=False)))
 
 
 def jenks_levels(s, d):
@@ -119,7 +128,7 @@ def event_city_days(s, d):
     return rounded(_dates(days.select("city", "date", "heat_posts", "observed_posts", "daily_hpii_raw")))
 
 
-QUERIES = {f.__name__: f for f in (city_day_counts, city_day_external_denominator, city_day_own_denominator, city_month_index, city_season_index, hpvi_city_season, normalized_city_month, coverage, eligible_cities, eligible_city_days, peak_month, volume_strata, season_with_volume, polarization, city_typology, jenks_levels, season_calendar, month_and_hemisphere, synthetic_dates, event_city_days)}
+QUERIES = {f.__name__: f for f in (city_day_counts, city_day_external_denominator, city_day_own_denominator, city_month_index, city_season_index, hpvi_city_season, normalized_city_month, coverage, eligible_cities, eligible_city_days, peak_month, volume_strata, season_with_volume, polarization, city_typology, index_run_summary, all_cities_eligible, jenks_levels, season_calendar, month_and_hemisphere, synthetic_dates, event_city_days)}
 
 SEASON = """list_extract(['Winter','Spring','Summer','Fall'], 1 + ((({m}) % 12) // 3 + case when {h} = 'south' then 2 else 0 end) % 4)"""
 POSTS = f"""
@@ -168,6 +177,21 @@ annual as (select city, sum(total_posts)::bigint as annual_total_posts, sum(heat
 volume as (
   select *, case when annual_total_posts <= (select quantile_cont(annual_total_posts, 0.3) from annual) then 'Low'
     when annual_total_posts <= (select quantile_cont(annual_total_posts, 0.7) from annual) then 'Medium' else 'High' end as tweet_volume_stratum from annual)"""
+#: Natural breaks of the seasons' percentages: least squared deviation of j classes up to each value, from that of j - 1.
+BREAKS = """,
+vals as (select row_number() over (order by seasonal_hpii * 100) as i, seasonal_hpii * 100 as v from seasons where seasonal_hpii is not null),
+sums as (select 0 as i, null::double as v, 0::double as s1, 0::double as s2 union all select i, v, sum(v) over (order by i), sum(v * v) over (order by i) from vals),
+own as (select a.i as f, e.i as e, l.v as b, e.s2 - l.s2 - (e.s1 - l.s1) ** 2 / (e.i - l.i) as sse from vals a join sums l on l.i = a.i - 1 join sums e on e.i >= a.i),
+c1 as (select e, sse as cost, []::double[] as cuts from own where f = 1)""" + "".join(
+    f""",
+c{j} as (select own.e, min(sse + p.cost) as cost, arg_min(list_append(p.cuts, b), sse + p.cost) as cuts from own join c{j - 1} p on p.e = own.f - 1 where own.f >= 2 group by own.e)"""
+    for j in range(2, 8)
+) + """,
+breaks as (select [(select min(v) from vals)] || cuts || [(select max(v) from vals)] as breaks from c7 where e = (select max(i) from vals)),
+levels as (
+  select s.*, h.v as hpvi, list_position(list_transform(breaks[2:], lambda b: seasonal_hpii * 100 <= b), true)::int as hpii_level from seasons s join hpvi0 h on s.city = h.city and s.season = h.season, breaks)"""
+TOTALS = """, tot as (
+  select n_name as city, cast(o_orderdate as date) as date, count(*) as t from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all)"""
 COVER = (
     DAYS
     + f""",
@@ -204,17 +228,16 @@ def _signal(column: str, kind: str) -> str:
 
 ORACLE_SQL = {
     "city_day_counts": f"with {DAYS} select city, strftime(date, '%Y-%m-%d') as date, continent, country, hemisphere, year, month, season, heat_posts, observed_posts, total_posts, denominator_is_proxy, round(h, 6) as daily_hpii_raw from days",
-    "city_day_external_denominator": f"""with {DAYS}, tot as (
-  select n_name as city, cast(o_orderdate as date) as date, count(*) as t from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all having dayofyear(cast(o_orderdate as date)) % 7 <> 0)
+    "city_day_external_denominator": f"""with {DAYS}{TOTALS}
 select d.city, strftime(d.date, '%Y-%m-%d') as date, heat_posts, observed_posts, coalesce(t, observed_posts)::bigint as total_posts,
   case when t is null then 'observed_input_rows_proxy' else 'external_city_day_totals' end as denominator_source, (t is null)::int as denominator_is_proxy, round(heat_posts / coalesce(t, observed_posts)::double, 6) as daily_hpii_raw
 from days d left join tot on d.city = tot.city and d.date = tot.date""",
     "city_day_own_denominator": f"""with {POSTS}, d as (
   select city, date, count(*) as n, coalesce(arg_min(row_index % 5, row_index) filter (where row_index % 3 <> 0), count(*)) as t from posts group by all)
 select city, case when t = n then 'observed_input_rows_proxy' else 'input_total_posts_col' end as denominator_source, count(*) as days, sum(t)::bigint as posts from d group by all""",
-    "city_month_index": f"with {MONTHLY} select city, continent, country, hemisphere, year, month, month_num, season, month_heat_posts, month_total_posts, round(month_hpii_daily_sum, 6) as month_hpii_daily_sum, round(month_hpii_daily_mean, 6) as month_hpii_daily_mean, round(month_hpii_norm_sum, 6) as month_hpii_norm_sum, month_active_days, round(month_hpii, 6) as month_hpii from monthly",
-    "city_season_index": f"with {SEASONS} select s.city, s.season, seasonal_heat_posts, seasonal_total_posts, round(seasonal_hpii_daily_mean, 6) as seasonal_hpii_daily_mean, round(seasonal_hpii_daily_sum, 6) as seasonal_hpii_daily_sum, seasonal_active_days, round(seasonal_hpii, 6) as seasonal_hpii, round(seasonal_hpii * 100, 6) as seasonal_hpii_percent, p.month as peak_month_in_season from seasons s left join peak p on s.city = p.city and s.season = p.season",
-    "hpvi_city_season": f"with {DAYS}{HPVI} select city, continent, country, hemisphere, season, hpvi_days_used, round(v, 6) as hpvi, case when v is null then 'unknown' when v <= 0.1 then 'low' when v <= 0.3 then 'moderate' else 'high' end as hpvi_tier, coalesce(v > 0.3, false)::int as hpvi_high_binary from hpvi0",
+    "city_month_index": f"with {MONTHLY} select city, continent, country, hemisphere, year, month, month_num, season, month_heat_posts, month_total_posts, round(month_hpii_daily_sum, 6) as month_hpii_daily_sum, round(month_hpii_daily_mean, 6) as month_hpii_daily_mean, round(month_hpii_norm_sum, 6) as month_hpii_norm_sum, month_active_days, round(month_hpii, 6) as month_hpii, round(month_hpii * 100, 6) as month_hpii_percent from monthly",
+    "city_season_index": f"with {SEASONS} select s.city, s.season, seasonal_heat_posts, seasonal_total_posts, round(seasonal_hpii_daily_mean, 6) as seasonal_hpii_daily_mean, round(seasonal_hpii_daily_sum, 6) as seasonal_hpii_daily_sum, seasonal_active_days, round(seasonal_hpii, 6) as seasonal_hpii, round(seasonal_hpii * 100, 6) as seasonal_hpii_percent, p.month as peak_month_in_season, round(p.month_hpii * 100, 6) as peak_month_hpii_percent, 1 as denominator_is_proxy from seasons s left join peak p on s.city = p.city and s.season = p.season",
+    "hpvi_city_season": f"with {DAYS}{HPVI} select city, continent, country, hemisphere, season, hpvi_days_used, round(v, 6) as hpvi, round(v * 100, 6) as hpvi_percent, case when v is null then 'unknown' when v <= 0.1 then 'low' when v <= 0.3 then 'moderate' else 'high' end as hpvi_tier, coalesce(v > 0.3, false)::int as hpvi_high_binary from hpvi0",
     "normalized_city_month": f"""with {DAYS}, med as (select city, month, median(h) as m from days group by all), res as (select d.city, d.month, h - m as r from days d join med on d.city = med.city and d.month = med.month),
 q as (select city, month, quantile_cont(r, 0.01) as lo, quantile_cont(r, 0.99) as hi from res group by all), norm as (select res.city, res.month, least(greatest(r, lo), hi) as v from res join q on res.city = q.city and res.month = q.month)
 select city, month, count(*) as days, round(min(v), 6) + 0.0 as lo, round(max(v), 6) + 0.0 as hi, round(sum(v), 6) + 0.0 as total from norm group by all""",
@@ -228,13 +251,27 @@ select city, month, count(*) as days, round(min(v), 6) + 0.0 as lo, round(max(v)
 select n.continent, n.season, n.n_cities, round(hppi_hpii, 6) as hppi_hpii, round(hppi_hpvi, 6) as hppi_hpvi,
   case when hppi_hpii < 0.05 then 'low' when hppi_hpii <= 0.15 then 'moderate' else 'high' end as hppi_hpii_tier, case when hppi_hpvi < 0.05 then 'low' when hppi_hpvi <= 0.15 then 'moderate' else 'high' end as hppi_hpvi_tier
 from (select continent, season, count(distinct city) as n_cities from both_ group by all) n join {_tier("pct", "hppi_hpii")} a on n.continent = a.continent and n.season = a.season join {_tier("v", "hppi_hpvi")} c on n.continent = c.continent and n.season = c.season""",
-    "city_typology": f"""with {SEASONS}, top as (select * from (select city, season, month, month_hpii, row_number() over (partition by city order by month_hpii desc nulls last, year, month_num) as k from monthly) where k = 1),
-dom as (select * from (select city, season, seasonal_hpii_daily_sum as s, row_number() over (partition by city order by seasonal_hpii_daily_sum desc nulls last, season) as k from seasons) where k = 1),
-x as (select s.city, coalesce(max(p.month_hpii) filter (where s.season = 'Winter'), '-inf'::double) > coalesce(max(p.month_hpii) filter (where s.season = 'Summer'), '-inf'::double) as pc,
-  coalesce(max(seasonal_hpii_daily_sum) filter (where s.season = 'Winter'), '-inf'::double) > coalesce(max(seasonal_hpii_daily_sum) filter (where s.season = 'Summer'), '-inf'::double) as tc from seasons s left join peak p on s.city = p.city and s.season = p.season group by s.city)
-select top.city, top.season as peak_season, top.month as peak_month, round(top.month_hpii, 6) as peak_month_hpii_global, dom.season as total_dominant_season, round(dom.s, 6) as total_dominant_hpii_sum, (top.season = dom.season)::int as peak_total_coincide,
+    "city_typology": f"""with {SEASONS}{BREAKS}, top as (select * from (select *, row_number() over (partition by city order by month_hpii desc nulls last, year, month_num) as k from monthly) where k = 1),
+dom as (select * from (select *, row_number() over (partition by city order by round(seasonal_hpii_daily_sum, 9) desc nulls last, season) as k from seasons) where k = 1),
+x as (select s.city, sum((coalesce(hpii_level, 0) >= 5)::int)::bigint as n_high,
+  max(seasonal_hpii_daily_sum) filter (where s.season = 'Summer') as st, max(seasonal_hpii_daily_sum) filter (where s.season = 'Winter') as wt, max(p.month_hpii) filter (where s.season = 'Summer') as sp, max(p.month_hpii) filter (where s.season = 'Winter') as wp
+  from levels s left join peak p on s.city = p.city and s.season = p.season group by s.city),
+y as (select *, coalesce(round(wp, 9), '-inf'::double) > coalesce(round(sp, 9), '-inf'::double) as pc, coalesce(round(wt, 9), '-inf'::double) > coalesce(round(st, 9), '-inf'::double) as tc from x)
+select top.city, top.continent, top.country, top.hemisphere, top.season as peak_season, top.month as peak_month, round(top.month_hpii, 6) as peak_month_hpii_global, round(top.month_hpii * 100, 6) as peak_month_hpii_percent_global,
+  dom.season as total_dominant_season, round(dom.seasonal_hpii_daily_sum, 6) as total_dominant_hpii_sum, round(dom.seasonal_hpii, 6) as total_dominant_hpii, round(dom.seasonal_hpii * 100, 6) as total_dominant_hpii_percent,
+  (top.season = dom.season)::int as peak_total_coincide, n_high as n_high_hpii_seasons, (n_high >= 2)::int as multi_season_high_hpii,
+  round(st, 6) as summer_total_hpii_sum, round(sp, 6) as summer_peak_month_hpii, round(sp * 100, 6) as summer_peak_month_hpii_percent, round(wt, 6) as winter_total_hpii_sum, round(wp, 6) as winter_peak_month_hpii, round(wp * 100, 6) as winter_peak_month_hpii_percent,
   case when pc and tc then 'Both' when pc then 'Peak' when tc then 'Total' else 'NoCounterSeasonal' end as counter_seasonal_label, (pc or tc)::int as counter_seasonal_binary
-from top join dom on top.city = dom.city join x on top.city = x.city""",
+from top join dom on top.city = dom.city join y on top.city = y.city""",
+    "jenks_levels": f"""with {SEASONS}{BREAKS}, t as (select *, coalesce(hpii_level >= 5, false) as hi, coalesce(hpvi > 0.3, false) as hv from levels)
+select city, season, round(seasonal_hpii * 100, 6) as seasonal_hpii_percent, hpii_level, list_extract(['I','II','III','IV','V','VI','VII'], hpii_level) as hpii_level_roman, hi::int as high_hpii_binary,
+  case when hi and hv then 'Perception Hotspots' when hi then 'Stable High' when not hv then 'Stable Low' else 'Variability Low' end as intensity_variability_typology from t""",
+    "index_run_summary": f"""with {DAYS.replace("count(*) as total_posts, 1 as denominator_is_proxy, sum(indicator) / count(*)::double as h", "count(*) as n").replace("days as (", "days0 as (")}{TOTALS},
+days as (select d.* exclude (n), coalesce(t, n)::bigint as total_posts, (t is null)::int as denominator_is_proxy, heat_posts / coalesce(t, n)::double as h from days0 d left join tot on d.city = tot.city and d.date = tot.date),
+seasons as (select city, season, sum(heat_posts) / sum(total_posts)::double as seasonal_hpii from days group by all){BREAKS.split(",\nlevels as")[0]}
+select count(*) as city_days, count(distinct city) as cities, sum(heat_posts)::bigint as heat_posts, sum(total_posts)::bigint as total_posts, round(avg(denominator_is_proxy), 6) as denominator_proxy_fraction, 0.0::double as date_synthetic_fraction, 0.0::double as hemisphere_inferred_fraction,
+  array_to_string(list_transform((select breaks from breaks), lambda x: printf('%.4f', x)), ' ') as breaks from days""",
+    "all_cities_eligible": f"with {ELIGIBLE} select city, total_heat_posts, active_days, season_n, round(coverage_min_frac, 6) as coverage_min_frac, round(coverage_mean_frac, 6) as coverage_mean_frac, expected_days_total, observed_days_total, 1 as eligible_city from elig",
     "season_calendar": f"with {POSTS}, s as (select date, unnest(['north', 'south']) as hemisphere from posts) select hemisphere, month(date)::int as month_num, {SEASON.format(m='month(date)', h='hemisphere')} as season, count(*) as n, min(year(date))::int as first_year from s group by all",
     "month_and_hemisphere": """with e as (select list_extract(['2022-03-05','Mar','sept',' 7 ','13','junk','11.0','October',''], (event_id % 9 + 1)::int) as raw, list_extract(['AUS',' bra','USA','XXX'], (event_id % 4 + 1)::int) as country, list_extract(['Oceania','europe','South America'], (event_id % 3 + 1)::int) as continent from events)
 select raw, country, continent, count(*) as n, case raw when '2022-03-05' then 3 when 'Mar' then 3 when 'sept' then 9 when ' 7 ' then 7 when '11.0' then 11 when 'October' then 10 end as month_num,

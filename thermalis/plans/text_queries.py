@@ -127,8 +127,9 @@ def group_kfold(s, d):
 
 
 def baseline_classifier(s, d):
-    t = _labelled(s, d).select("row_index", "sentence", "label", "month")
-    return rounded(ev.monthly_metrics(ev.predict_baseline(ev.fit_baseline(t), t)))
+    """Monthly metrics of predictions by models that did not see a row's group."""
+    t = _labelled(s, d).select("row_index", "sentence", "label", "month", "city_id")
+    return rounded(ev.monthly_metrics(ev.cross_validate(t, "city_id", folds=3)))
 
 
 QUERIES = {f.__name__: f for f in (normalize_text, candidate_retrieval, retrieval_reason_counts, rule_filter, rule_summary, exact_dedup, rt_qt_filter, promo_score, account_hygiene, shingle_jaccard_pairs, near_dup_greedy, dedup_funnel, gold_union, gold_labels, overall_metrics, monthly_metrics, classification_report, fold_summary, class_weights, monthly_positive_rate, audit_allocation, audit_sample, group_kfold, baseline_classifier)}
@@ -205,6 +206,21 @@ union all select 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f),
     "fold_summary": f"""with {PRED}, q as (select month, avg((label = pred_label)::int) as a, coalesce(sum((label = 1 and pred_label = 1)::int) / nullif(sum((pred_label = 1)::int), 0)::double, 0) as p,
   coalesce(sum((label = 1 and pred_label = 1)::int) / nullif(sum((label = 1)::int), 0)::double, 0) as r, coalesce(2.0 * sum((label = 1 and pred_label = 1)::int) / nullif(sum((pred_label = 1)::int) + sum((label = 1)::int), 0)::double, 0) as f from pred group by month having count(distinct label) >= 2)
 select round(avg(a), 6) as accuracy_mean, round(stddev_pop(a), 6) as accuracy_std, round(avg(p), 6) as precision_mean, round(stddev_pop(p), 6) as precision_std, round(avg(r), 6) as recall_mean, round(stddev_pop(r), 6) as recall_std, round(avg(f), 6) as f1_mean, round(stddev_pop(f), 6) as f1_std from q""",
+    "group_kfold": f"""with recursive {TWEETS}, g as (select author_id as city_id, count(*) as n, row_number() over (order by count(*) desc, author_id) as k from tweets t join labels l on t.row_index = l.doc_id where author_id is not null group by author_id),
+r(k, city_id, n, fold, loads) as (
+  select 0::bigint, null::varchar, 0::bigint, 0::bigint, list_transform(range((select least(5, count(*)) from g)), lambda x: 0::bigint)
+  union all select g.k, g.city_id, g.n, list_position(loads, list_min(loads)) - 1, list_transform(loads, lambda v, i: case when i = list_position(loads, list_min(loads)) then v + g.n else v end) from r join g on g.k = r.k + 1)
+select city_id, n, fold::int as fold from r where k > 0""",
+    "near_dup_greedy": f"""with recursive w as (select doc_id as row_index, regexp_extract_all(lower(trim(coalesce(text, 'nan'))), '[{ALNUM}]+') as w from documents where doc_id is not null),
+n as (select row_index, length(array_to_string(w, ' ')) as n, array_to_string(w[1:4], ' ') || chr(1) || len(w) // 5 || chr(1) || length(array_to_string(w, ' ')) // 20 as block,
+  case when len(w) = 0 then [] else list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], ' '))) end as s from w),
+p as (select *, row_number() over (partition by block order by row_index) as k, count(*) over (partition by block) as many from n), x as (select * from p where many > 1 and k <= 200),
+r(block, k, row_index, rep, reps) as (
+  select block, 1::bigint, row_index, null::bigint, [{{'row_index': row_index, 'n': n, 's': s}}] from x where k = 1
+  union all select block, k, row_index, rep, case when rep is null then list_append(reps, {{'row_index': row_index, 'n': n, 's': s}}) else reps end from (
+    select x.block, x.k, x.row_index, x.n, x.s, r.reps, list_filter(r.reps, lambda q: abs(q.n - x.n) <= 40 and case when len(list_distinct(list_concat(q.s, x.s))) = 0 then 1 else len(list_intersect(q.s, x.s)) / len(list_distinct(list_concat(q.s, x.s)))::double end >= 0.85)[1].row_index as rep
+    from r join x on x.block = r.block and x.k = r.k + 1))
+select row_index, rep as near_duplicate_of from r where rep is not null""",
     "class_weights": f"with {PRED}, k as (select label, count(*) as n_class from pred group by label) select label, n_class, round((select count(*) from pred) / ((select count(*) from k) * n_class)::double, 6) as class_weight from k",
     "monthly_positive_rate": f"with {PRED} select month, count(*) as n, round(avg(label), 6) as positive_rate from pred group by month",
     "audit_allocation": f"""with {PRED}, {ALLOC} select month, stratum, n, least(n, greatest(0, share + sign(diff) * (abs(diff) // strata + (k < abs(diff) % strata)::int)))::bigint as n_take from df""",
