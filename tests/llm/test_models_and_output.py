@@ -192,19 +192,77 @@ def test_window_prints_are_simhashes():
     found[50:90] = found[50]
     at = np.array([0, 1, 7, 48, 60, 200, 280])
     for span in (5, 1 << 13):
-        want = [decontaminate.simhash(*np.unique(found[a : a + 20], return_counts=True)) for a in at]
-        assert decontaminate.window_prints(found, at, 20, span).tolist() == want
+        want = [decontaminate.simhash(*np.unique(found[a : a + 20], return_counts=True)).tolist() for a in at]
+        got = np.stack([decontaminate.window_prints(own, at, 20, span) for own in decontaminate.both(found)], axis=1)
+        assert got.tolist() == want
 
 
-def test_hamming_index_finds_all_within_radius():
+def test_blocks_let_all_within_the_radius_through():
     rng = np.random.default_rng(1)
-    prints = [int(x) for x in rng.integers(0, 1 << 63, 300, dtype=np.uint64)]
-    index = decontaminate.HammingIndex(prints, 24)
+    prints = rng.integers(0, 1 << 63, (300, 2), dtype=np.uint64)
     for _ in range(60):
-        q = prints[rng.integers(300)]
-        for bit in rng.choice(64, rng.integers(0, 30), replace=False):
-            q ^= 1 << int(bit)
-        assert index.within(q).tolist() == [k for k, p in enumerate(prints) if (p ^ q).bit_count() <= 24]
+        q = prints[rng.integers(300)].copy()
+        for bit in rng.choice(128, rng.integers(0, 50), replace=False):
+            q[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        want = [int(p[0] ^ q[0]).bit_count() + int(p[1] ^ q[1]).bit_count() <= 40 for p in prints]
+        assert decontaminate.within(prints, q, 40).tolist() == want
+
+
+def test_few_unrelated_fingerprints_pass_a_block():
+    prints = np.random.default_rng(2).integers(0, 1 << 64, (4000, 2), dtype=np.uint64)
+    apart = np.bitwise_count(prints[:, None] ^ prints[None, :400])
+    assert (apart.min(axis=2) <= 20).mean() < 0.006  # of these, and of itself
+
+
+def test_contaminated_rows_go_in_place(spark):
+    leak = " ".join("q%d" % k for k in range(30))
+    docs = [(1, "a b c " + leak, "x"), (None, leak + " tail", "y"), (2, "clean words only here and there", "z"), (2, "p " + leak, "w"), (None, None, "v"), (3, "", "u")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
+    items = spark.createDataFrame([(7, leak, 1), (8, None, 2), (9, "", 3)], "item_id long, text string, doc_id int")
+    kept = decontaminate.without_contaminated(df, items)
+    assert kept.columns == df.columns and {r.item_id for r in kept.collect()} == {"z", "v", "u"}
+    assert decontaminate.without_contaminated(df, items.limit(0)).count() == 6 and decontaminate.without_contaminated(df.limit(0), items).count() == 0
+
+
+def test_noisy_or_against_plain_python(spark):
+    """A given model's scores, counts and worst sentences, by a plain reading of the definition."""
+    import math
+    import re
+    import string
+
+    texts = ["Bad grub here. all fine! really vile? yes", "", None, "nothing\nat all", "grub grub grub", ". . .", "vilezu " * 500, "Fine. GRUB, (grub)! vile"]
+    weights = {"grub": 3.5, "vile": 2.0, "fine": -1.0, "vilez": 1.5}
+    bias = -2.0
+    long_words = {w: k for w in weights for k in [len(w)]}
+    raw, offsets = words.text_bytes(pa.array(list(weights)))
+    starts, ends = words.word_spans(raw, offsets)
+    model = {toxicity.BIAS: bias} | dict(zip(words.hash_words(raw, starts, ends).view(np.int64).tolist(), weights.values(), strict=True))
+    stems = {}
+    for n in toxicity.STEMS:
+        longer = pa.array([w + "zz" for w in weights if long_words[w] == n])
+        if len(longer):
+            raw, offsets = words.text_bytes(longer)
+            starts, ends = words.word_spans(raw, offsets)
+            for x, w in zip(words.hash_prefixes(raw, starts, ends, n)[0].view(np.int64).tolist(), [w for w in weights if long_words[w] == n], strict=True):
+                stems[x] = weights[w]
+    model |= stems
+
+    def plain(text):
+        p = []
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            found = [w for w in re.split("[" + re.escape(string.punctuation) + r"\s]+", sentence.lower()) if w]
+            if found:
+                features = set(found) | {("stem", w[:n]) for w in found for n in toxicity.STEMS if len(w) > n}
+                score = bias + sum(weights.get(f, 0.0) if isinstance(f, str) else weights.get(f[1], 0.0) if len(f[1]) in toxicity.STEMS else 0.0 for f in features)
+                p.append(1 / (1 + math.exp(-score)))
+        worst = max(range(len(p)), key=lambda k: (p[k], -k)) if p else None
+        return 1 - math.prod(1 - x for x in p), sum(x >= 0.5 for x in p), worst, p[worst] if p else 0.0
+
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "grub", 1)], "doc_id long, text string, score int")
+    for r in toxicity.score(df, model).collect():
+        score, n, worst, most = plain("grub" if r.doc_id is None else texts[r.doc_id])
+        assert (r.offensive_sentences, r.worst_sentence) == (n, worst), r
+        assert math.isclose(r.score, score, abs_tol=1e-9) and math.isclose(r.worst_probability, most, abs_tol=1e-9)
 
 
 def test_leaks_in_the_sample_are_found(spark, sf):

@@ -68,3 +68,20 @@ def test_empty_documents(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_edge_cases_pass_every_stage(spark, sf, tmp_path):
+    """Null ids and texts, very long and repeated rows, ties, a clashing column, and no labels or benchmark."""
+    long = " ".join("w%d" % (k % 900) for k in range(60_000))
+    copy = " ".join("c%d" % k for k in range(40))
+    rows = [(1, None, "a"), (None, "one two three", "b"), (None, None, "c"), (2, long, "d"), (3, copy, "e"), (4, copy, "f"), (4, copy, "g"), (5, "", "h"), (6, "x", "i"), (7, "x", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "item_id"]
+    kept = docs.collect()
+    assert sorted(r.item_id for r in kept) == ["a", "b", "c", "d", "e", "h", "i"]
+    done = corpus_pipeline.STAGES[3][1](spark, spark.createDataFrame(kept, docs.schema), str(tmp_path))
+    assert done.count() == 7 and done.where("n_tokens = 0").count() == 3

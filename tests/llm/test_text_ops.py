@@ -1,6 +1,7 @@
 """op2, op3, op6 and op8 against the libraries, brute force and round trips."""
 
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -128,3 +129,43 @@ def test_chat_digests(spark):
     assert got[2].n_turns == 3 and got[2].loss_sha256 == sha("<\\|x<\\|xü<|im_start|>assistant\n")
     assert got[None].turns_sha256 == sha("\na\n")
     assert chat_format.conversation_digests(chat_format.format_turns(df.limit(0))).count() == 0
+
+
+def test_conversations_are_read_back_whole():
+    turns = [("user", "a<|im_end|>\n<|im_start|>x\n"), ("assistant", ""), ("we\nird", "<\\|im_end|>")]
+    rendered = [chat_format.render_turn(*t) for t in turns]
+    whole, reader, got = "".join(rendered), chat_format.Reader(), []
+    for k in range(0, len(whole), 7):  # pieces that end inside marks
+        got += reader.feed(whole[k : k + 7])
+    reader.close()
+    assert [g[:2] for g in got] == turns
+    assert [chat_format.unescape_text(whole[a:z]) for _, _, a, z in got] == [t for _, t in turns]
+    with pytest.raises(ValueError):
+        bad = chat_format.Reader()
+        list(bad.feed(whole + "rest"))
+        bad.close()
+
+
+def test_the_mask_decides_what_is_under_loss(spark):
+    """A wrong span shows in the digest: what counts is the text it cuts out."""
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "x<|y"), (None, 0, "assistant", None), (2, 0, "assistant", "z" * 200_000)], "conv_id long, turn long, role string, text string")
+    formatted = chat_format.format_turns(df)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat_format.conversation_digests(formatted).collect()} == {1: (4, sha("x<|y")), None: (0, sha("")), 2: (200_000, sha("z" * 200_000))}
+    moved = formatted.withColumn("loss_start", formatted.loss_start + 1)
+    assert {r.conv_id: r.loss_sha256 for r in chat_format.conversation_digests(moved).collect()}[1] == sha("<|y")
+
+
+def test_codec_uses_an_unproven_tokenizer_whole(tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        settings_ = json.load(f)
+    assert bpe_codec.independent_words(settings_)
+    settings_["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]+ [\p{L}]+|[\p{L}]+|[^\s\p{L}]+"
+    assert not bpe_codec.independent_words(settings_)
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(settings_), encoding="utf-8")
+    codec, texts = bpe_codec.Codec(str(other)), ["Ab cd ef", "", "x  y\nz", "<|endoftext|> q"]
+    assert not codec.proven
+    ids, shown = codec.encode(texts)
+    assert list(zip(ids, shown, strict=True)) == codec.library(texts)

@@ -11,7 +11,7 @@ Turns are rendered and checked row by row where they lie. Only digests need a
 conversation's turns together: they are dealt by conversation, sorted inside the
 partitions and hashed as a stream, so no conversation, however long, is held whole.
 
-Null texts and roles count as empty, null conversation ids form one conversation, turns
+A turn is held whole, however long its text. Null texts and roles count as empty, null conversation ids form one conversation, turns
 are ordered by turn (nulls first), then role and text, and repeated rows stay. Extra
 columns are ignored; an empty table gives an empty result.
 """
@@ -69,6 +69,35 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]] | None:
     return turns
 
 
+class Reader:
+    """The grammar over a conversation's text that arrives in pieces; holds one unfinished turn at most."""
+
+    def __init__(self):
+        self.held, self.at = "", 0
+
+    def feed(self, piece: str):
+        """(role, text, start and end of the text's span in the conversation) of every turn completed by ``piece``."""
+        self.held += piece
+        done = 0
+        while True:
+            line = self.held.find("\n", done)
+            stop = self.held.find(END + "\n", line + 1) if line >= 0 else -1
+            if stop < 0:
+                break
+            end = stop + len(END) + 1
+            turn = parse(self.held[done:end])
+            if turn is None or len(turn) != 1:
+                raise ValueError("a conversation's text left the grammar")
+            role, text, a, z = turn[0]
+            yield role, text, self.at + done + a, self.at + done + z
+            done = end
+        self.held, self.at = self.held[done:], self.at + done
+
+    def close(self) -> None:
+        if self.held:
+            raise ValueError("a conversation's text ends inside a turn")
+
+
 def render_turn(role: str, text: str) -> str:
     """The turn as written once its reparse equals the source."""
     shown_role, shown_text = role, text
@@ -113,14 +142,18 @@ def format_turns(df: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) ->
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, read back from ``rendered``: turns, loss text and their digests."""
-    dealt = formatted.select("conv_id", "turn", "role", "text", "rendered", "loss_start").repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
+    """Per conversation, read back from its joined text: turns by the parser, loss text by the mask, and their digests.
+
+    The mask's spans are cut out of the joined text and unescaped; the parser does not decide what is under it.
+    """
+    dealt = formatted.select("conv_id", "turn", "role", "text", "rendered", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
 
     def run(batches):
         out, now, state = [], None, None
 
         def close():
-            conv, n, turns, chars, loss, length = state
+            conv, n, turns, chars, loss, length, reader = state
+            reader.close()
             out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), length))
 
         def emit():
@@ -129,15 +162,16 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
             return pa.array(cols[0], pa.int64()), [list(c) for c in cols[1:]]
 
         for b in batches:
-            for conv, rendered, masked in zip(b.column("id").to_pylist(), b.column("rendered").to_pylist(), b.column("loss_start").to_pylist(), strict=True):
+            for conv, rendered, start, end in zip(*(b.column(c).to_pylist() for c in ("id", "rendered", "loss_start", "loss_end")), strict=True):
                 if state is None or conv != now:
                     if state:
                         close()
-                    now, state = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ((role, text, _, _),) = parse(rendered)
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-                if masked is not None:
+                    now, state = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, Reader()]
+                for role, text, _, _ in state[6].feed(rendered):
+                    state[1] += 1
+                    state[2].update(f"{role}\n{text}\n".encode())
+                if start is not None:
+                    text = unescape_text(rendered[start:end])
                     state[3] += len(text)
                     state[4].update(text.encode())
                 state[5] += len(rendered)
@@ -147,4 +181,4 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
             close()
             yield emit()
 
-    return map_columns(dealt.withColumnRenamed("conv_id", "id").select("id", "rendered", "loss_start"), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", run)
+    return map_columns(dealt.withColumnRenamed("conv_id", "id").select("id", "rendered", "loss_start", "loss_end"), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", run)

@@ -5,20 +5,22 @@ five-word shingles. Of an item, every window of the document with as many words
 (a shorter document is one window). The shingles shared in a window cannot be more than
 its positions whose shingle the item has, so the windows proposed are all those with
 enough such positions to reach ``threshold``, wherever these stand in the item. Each proposed window
-gets a SimHash of its shingles, weighted by their counts. Fingerprints are looked up
-in a multi-index: the 64 bits fall into ``blocks`` blocks, and two fingerprints within
-``radius`` bits must agree within ``radius // blocks`` bits in one block at least, so
-the tables of block values return every item within the radius. Those items are then
-verified by exact weighted-shingle similarity, sum of least over sum of greatest
-counts. At 0.8 the expected distance is under 10 bits with a deviation under 3. A window
-is passed over unseen only if its positions cannot beat a similarity already found.
+gets a SimHash of 128 bits from its shingles, weighted by their counts. Fingerprints are
+compared by blocks: two within ``radius`` bits differ in at most ``radius // 2`` bits in one
+of two blocks of 64 at least, so the blocks let every fingerprint within the radius
+through (and of unrelated ones less than 1 in 200). What is left is verified by exact weighted-shingle similarity, sum of least over sum of
+greatest counts. At 0.8 the expected distance is 19.4 bits with a deviation of 4.1, so
+the default radius of 40 is five deviations away. A window
+is passed over unseen only if its positions cannot beat a similarity already found; of
+windows with equal similarity the first is returned.
 
 The benchmark is sent to all tasks in parts of at most ``part_bytes`` of text, one scan
 of the documents for each part. Documents stay where they are: no shuffle, and neither
 a hot source nor long texts or repeated passages gather anywhere.
 
 Null and empty texts match nothing. An item of fewer than five words matches only
-documents that consist of just its words; an item without words matches nothing.
+documents that consist of just its words; an item without words matches nothing. Texts
+of any length count whole. Rows with a null id are judged like others.
 Repeated documents and repeated items all give rows. Extra columns are ignored; empty
 tables give an empty result.
 """
@@ -30,17 +32,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermalis.llm.arrowio import map_columns, slices
-from thermalis.llm.words import shingles, words
+from thermalis.llm.arrowio import give_back, map_columns, slices
+from thermalis.llm.words import mix, shingles, words
 
-BITS = 64
+#: Bits of a block, and what tells the second block's hashes from the first's.
+BITS, SECOND = 64, np.uint64(0x6A09E667F3BCC909)
 
 
-def simhash(hashes: np.ndarray, weights: np.ndarray) -> int:
-    """Each bit is set if the weight of shingles with it exceeds that of those without."""
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
-    votes = ((2 * bits - 1) * weights[:, None]).sum(axis=0)
-    return int(np.packbits(votes > 0, bitorder="little").view("<u8")[0])
+def both(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles for the two blocks of a fingerprint."""
+    return hashes, mix(hashes ^ SECOND)
+
+
+def simhash(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Two blocks of 64 bits; each bit is set if the weight of shingles with it exceeds that of those without."""
+    out = np.zeros(2, np.uint64)
+    for k, own in enumerate(both(hashes)):
+        bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
+        votes = ((2 * bits - 1) * weights[:, None]).sum(axis=0)
+        out[k] = np.packbits(votes > 0, bitorder="little").view("<u8")[0]
+    return out
 
 
 def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -66,28 +77,22 @@ def window_prints(found: np.ndarray, at: np.ndarray, m: int, span: int = 1 << 13
     return out
 
 
-class HammingIndex:
-    """All fingerprints within ``radius`` bits of a given one, by blocks of bits."""
+def within(prints: np.ndarray, other: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the fingerprints (rows of two blocks) differ from ``other`` in at most ``radius`` bits.
 
-    def __init__(self, prints: list[int], radius: int, blocks: int = 8):
-        self.prints, self.radius = np.array(prints, np.uint64), radius
-        self.width = BITS // blocks
-        near = radius // blocks
-        values = np.arange(1 << self.width, dtype=np.uint64)
-        self.tables = []
-        for k in range(blocks):
-            own = (self.prints >> np.uint64(k * self.width)) & np.uint64((1 << self.width) - 1)
-            close = np.bitwise_count(values[:, None] ^ own[None, :]) <= near
-            self.tables.append([np.flatnonzero(row) for row in close])
-
-    def within(self, fingerprint: int) -> np.ndarray:
-        mask = (1 << self.width) - 1
-        found = np.unique(np.concatenate([t[(fingerprint >> (k * self.width)) & mask] for k, t in enumerate(self.tables)]))
-        return found[np.bitwise_count(self.prints[found] ^ np.uint64(fingerprint)) <= self.radius]
+    The second block of a fingerprint is looked at only if the first does not decide.
+    """
+    first = np.bitwise_count(prints[:, 0] ^ other[0]).astype(np.int64)
+    maybe = np.flatnonzero(first <= radius)
+    second = np.bitwise_count(prints[maybe, 1] ^ other[1]).astype(np.int64)
+    near = np.minimum(first[maybe], second) <= radius // 2
+    out = np.zeros(len(prints), bool)
+    out[maybe] = near & (first[maybe] + second <= radius)
+    return out
 
 
 class Benchmark:
-    """Items' shingles, fingerprints and the index over them."""
+    """Items' shingles, their index and fingerprints; built in time linear in the items but for sorting."""
 
     def __init__(self, ids: list, texts: pa.Array, n: int, radius: int):
         hashes, offsets = words(texts)
@@ -102,10 +107,9 @@ class Benchmark:
         self.shingles, self.rows = found_[once], rows_[once]
         self.known = np.zeros(1 << 20, bool)
         self.known[(self.shingles & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.bags = [np.unique(found[rows == r], return_counts=True) for r in range(len(ids))]
-        self.long = [r for r in range(len(ids)) if self.size[r] >= n]
-        self.number = {r: k for k, r in enumerate(self.long)}
-        self.index = HammingIndex([simhash(*self.bags[r]) for r in self.long], radius)
+        cut = np.searchsorted(rows, np.arange(len(ids) + 1))
+        self.bags = [np.unique(found[a:b], return_counts=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        self.prints, self.radius = [simhash(*bag) for bag in self.bags], radius
         self.short: dict[tuple, list[int]] = {}
         for r in range(len(ids)):
             if 0 < self.size[r] < n:
@@ -160,13 +164,14 @@ class Benchmark:
         bases = np.searchsorted(rows, doc[own[edges[:-1]]])
         for x, y, base in zip(edges[:-1], edges[1:], bases.tolist(), strict=True):
             r, k, words_, w = int(doc[own[x]]), int(item[own[x]]), int(size[own[x]]), int(m[own[x]])
-            prints = window_prints(found[base:], start[x:y], w)
-            place, s_best, a_best = self.number[k], 0.0, 0
+            prints = np.stack([window_prints(own, start[x:y], w) for own in both(found[base : base + int(counts[r])])], axis=1)
+            near = within(prints, self.prints[k], self.radius)
+            s_best, a_best = 0.0, 0
             for z in np.argsort(-held[x:y], kind="stable").tolist():
                 a, most = int(start[x + z]), bound[x + z]
                 if most < s_best:
                     break
-                if (most == s_best and a > a_best) or place not in self.index.within(int(prints[z])):
+                if (most == s_best and a > a_best) or not near[z]:
                     continue
                 s = weighted_similarity(np.unique(found[base + a : base + a + w], return_counts=True), self.bags[k])
                 if s >= threshold and (s > s_best or (s == s_best and a < a_best)):
@@ -175,18 +180,23 @@ class Benchmark:
         return out + [(r, item, *v) for (r, item), v in best.items()]
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 5, threshold: float = 0.8, radius: int = 24, part_bytes: int = 16 << 20) -> DataFrame:
-    """Rows (id, item id, similarity, first word and words of the best window) at or over ``threshold``."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
+def benchmark_parts(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int):
+    """The items as broadcast (ids, texts), in parts of about ``part_bytes`` of text."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"{id_col} long, item_id long, similarity double, first_word long, n_words long"
-    out = None
     for k in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
         got = own.orderBy("item", "text").toPandas()
-        sent = df.sparkSession.sparkContext.broadcast((got["item"].tolist(), got["text"].tolist()))
+        yield benchmark.sparkSession.sparkContext.broadcast((got["item"].tolist(), got["text"].tolist()))
+
+
+def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 5, threshold: float = 0.8, radius: int = 40, part_bytes: int = 16 << 20) -> DataFrame:
+    """Rows (id, item id, similarity, first word and words of the best window) at or over ``threshold``."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"{id_col} long, item_id long, similarity double, first_word long, n_words long"
+    out = None
+    for sent in benchmark_parts(benchmark, item_col, item_text_col, part_bytes):
 
         def run(batches, sent=sent):
             ids, texts = sent.value
@@ -200,3 +210,21 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
         one = map_columns(rows, schema, run)
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def without_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 5, threshold: float = 0.8, radius: int = 40, part_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``df`` without a passage of any item, as they are: judged and dropped where they lie, one by one."""
+    for sent in benchmark_parts(benchmark, item_col, item_text_col, part_bytes):
+
+        def run(batches, sent=sent):
+            ids, texts = sent.value
+            bench = Benchmark(ids, pa.array(texts, pa.string()), n, radius)
+            for batch in batches:
+                for part in slices(batch, text_col):
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[f[0] for f in bench.matches(part.column(text_col), threshold)]] = False
+                    yield part.filter(pa.array(clean))
+            give_back()
+
+        df = df.mapInArrow(run, df.schema)
+    return df

@@ -364,7 +364,8 @@ def cluster_sets(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
                 yield part.column("component").take(pa.array(same, pa.int64())), [part.column("uid").take(pa.array(same, pa.int64())), part.column("chunk").take(pa.array(same, pa.int64())), _pack([sets[k] for k in same])]
 
     bodies = map_columns(wanted.select("component", "uid", "chunk", "text"), "component long, uid long, chunk int, body binary", fetch)
-    meeting = _chunk_pairs(scratch.save(bodies), "component", "chunk", scratch).select("meet", "side", "uid", "body").repartition("meet").sortWithinPartitions("meet", "side", "uid")
+    bodies = scratch.save(bodies)
+    meeting = _chunk_pairs(bodies, "component", "chunk", scratch).select("meet", "side", "uid", "body").repartition("meet").sortWithinPartitions("meet", "side", "uid")
 
     def verify(batches):
         for t in grouped(batches, "meet"):
@@ -379,6 +380,7 @@ def cluster_sets(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
                     yield pa.array([uid[a] for a, _ in edges]), [[uid[b] for _, b in edges]]
 
     links = components(map_columns(meeting, "a long, b long", verify).distinct(), scratch)
+    scratch.drop(seen, listed, bodies)
     known = docs.where("id is not null and n > 0").groupBy("uid").agg(F.min("id").alias("id")).join(links.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = known.groupBy("component").agg(F.min("id").alias("component_id"))
     named = known.join(least, "component").select("uid", "component_id")

@@ -40,7 +40,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(documents, labels.where(crc_fold() != 0))
     scored = toxicity.score(documents, model)
-    return scored.select("doc_id", (crc_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", (crc_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offensive_sentences", "worst_sentence", "worst_probability")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@ word marks alone, no merge crosses from a word's last character into the next ma
 so the text falls into segments (marks, then a word) whose pieces never depend on
 each other. Likewise a character that is in no longer piece, such as the line feed
 here, stands alone. ``Counter`` proves both facts from the vocabulary when it is
-loaded and finds, by encoding each one alone, the vocabulary strings that give
+loaded, tries on probes that the model's normalizer changes nothing but spaces, keeps
+their number and puts one in front, uses the library for whole texts if anything fails, and finds, by encoding each one alone, the vocabulary strings that give
 exactly one token; those are counted as they stand, and only other segments are
 merged by the library, once each as long as they stay in a bounded table.
 
-Null texts count as empty (0 bytes, 0 tokens); rows are independent, so ties,
+Null texts count as empty (0 bytes, 0 tokens); very long texts count whole; rows are independent, so ties,
 repeated rows and empty tables need no rule; other columns are ignored. No shuffle.
 """
 
@@ -49,6 +50,13 @@ class Counter(dict):
         self.whole_tokens = len(self)
         self.vocabulary = dict(self)
         self.segments = re.compile(r" *[^ \n]+|\n| +").findall
+        # whatever the normalizer does to spaces, width, case or composition shows here
+        probes = ["a", " a", "a ", "  a   b  ", "a\tb", "\u00a0a\u3000b", "\uff21\ufb01\u2460", "e\u0301 \u00c9", "A\r\n b\n\n c", "\u200b\ufeffx", MARK + "a" + MARK * 2, "<s> </s> <unk> <pad>"]
+        kept = [" " + p.replace(MARK, " ") for p in probes]
+        if self.proven and hasattr(model, "normalize"):
+            self.proven = [model.normalize(p).replace(MARK, " ") for p in probes] == kept
+        if self.proven:
+            self.proven = self.count(probes) == [len(ids) for ids in model.encode(probes, num_threads=1)]
 
     def __missing__(self, segment: str) -> int:
         """Put off: what a slice of texts lacks is merged in one call."""

@@ -13,7 +13,8 @@ of these documents have no weight, nor have those whose share of toxic documents
 within ``min_z`` standard errors of their share of the others. The model is a table (hash of word, weight) of at
 most ``max_words`` rows. Scoring covers every row where it lies, without a shuffle.
 
-Null and empty texts have no sentence and score 0. A document with several labels
+Null and empty texts have no sentence and score 0; texts of any length are scored whole. A null
+id has no label, and is scored. Ties need no rule. A document with several labels
 counts as toxic if one says so. Repeated rows are scored alike; without labelled rows
 every score is 0; extra columns are ignored; an empty table gives an empty result.
 """
@@ -122,9 +123,23 @@ class Scorer:
             weight = np.where(self.keys[at] == hashes, self.weights[at], 0.0)
         return _sigmoid(self.bias + np.bincount(sentence, weight, len(text))), text, spans
 
+    def worst(self, texts: pa.Array):
+        """Per text: its probability, how many sentences are offensive (0.5 or more), and the place and probability of the worst (-1, 0 for none; of equal ones the first)."""
+        p, text, _ = self.sentences(texts)
+        order = np.lexsort((np.arange(len(p)), -p, text))
+        first = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])] if len(p) else order
+        place, most = np.full(len(texts), -1), np.zeros(len(texts))
+        place[text[first]], most[text[first]] = first - np.searchsorted(text, text[first]), p[first]
+        return self.combined(p, text, len(texts)), np.bincount(text[p >= 0.5], minlength=len(texts)), place, most
+
     def texts(self, texts: pa.Array) -> np.ndarray:
         p, text, _ = self.sentences(texts)
-        return -np.expm1(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts))) + 0.0
+        return self.combined(p, text, len(texts))
+
+    @staticmethod
+    def combined(p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+        """Noisy-or of each text's sentences."""
+        return -np.expm1(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), n)) + 0.0
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 12_000, max_bytes: int = 96 << 20, min_docs: int = 4, min_z: float = 4.0, max_words: int = 1 << 17) -> dict[int, float]:
@@ -181,7 +196,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(df: DataFrame, model: dict[int, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id and ``score``."""
+    """Per row: id, ``score``, offensive sentences, and the place (from 0, null if there is none) and probability of the worst sentence."""
     sent = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -189,9 +204,10 @@ def score(df: DataFrame, model: dict[int, float], id_col: str = "doc_id", text_c
         scorer = Scorer(sent.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                yield part.column("id"), [scorer.texts(part.column("text"))]
+                score, n, place, most = scorer.worst(part.column("text"))
+                yield part.column("id"), [score, n, pa.array(place, mask=place < 0), most]
 
-    return map_columns(rows, "id long, score double", run).withColumnRenamed("id", id_col)
+    return map_columns(rows, "id long, score double, offensive_sentences long, worst_sentence long, worst_probability double", run).withColumnRenamed("id", id_col)
 
 
 def without_toxic(df: DataFrame, model: dict[int, float], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
