@@ -23,22 +23,30 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The model learns from labelled rows outside the held-out fold, among the stage's own documents."""
+    """The model learns from labelled rows outside the held-out fold, among the stage's own documents.
+
+    Rows go one by one, whatever their ids; null and empty texts score 0 and stay, and without labels every row does.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(crc_fold() != 0))
     return toxicity.without_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8; rows that share an id stay or go together."""
+    """Five-word shingles, similarity 0.8; of each group the rows with the least id stay.
+
+    Rows that share an id stay or go together; null ids, and null, empty and wordless texts, link with nothing and stay.
+    """
     groups = jaccard_join.cluster_sets(docs, n=5, percent=80)
     return without(docs, groups.where("component_id <> doc_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
+    """Rows with a passage of a benchmark item go, judged one by one where they lie (null ids, repeats and all); null and empty texts stay."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of digests for each document; null texts count as empty, repeated rows give repeated rows."""
     return bpe_codec.digests(bpe_codec.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
@@ -54,7 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's table is dropped once the next one is written. Empty tables and extra columns pass through."""
+    scratch, docs, before = Scratch(spark), table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
