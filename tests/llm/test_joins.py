@@ -125,3 +125,17 @@ def test_vector_links_equal_brute_force(spark, tile):
     assert {r.vec_id: r.n_links for r in got} == degree
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert len(links) > 400
+
+
+def test_tiles_by_halving_and_boxes(spark):
+    """Leaves are even, and the pairs of near tiles are those of a plain comparison of boxes."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 5)) * [1, 0.8, 0.5, 0.2, 0.1]
+    axis, cut = vector_dedup.halving(x, 32)
+    leaf = vector_dedup.leaf_of(x, axis, cut)
+    assert np.bincount(leaf, minlength=32).min() >= 120 and leaf.max() == 31
+    boxes = [(int(k), x[leaf == k].min(axis=0).tolist(), x[leaf == k].max(axis=0).tolist()) for k in range(32)]
+    for reach in (0.05, 0.6):
+        got = {tuple(r) for r in vector_dedup.near_tiles(spark.createDataFrame(boxes, "tile long, lo array<double>, hi array<double>"), reach).collect()}
+        want = {(i, j) for i, a, b in boxes for j, c, d in boxes if i <= j and sum(max(p - s, r - q, 0) ** 2 for p, q, r, s in zip(a, b, c, d, strict=True)) <= reach * reach}
+        assert got == want

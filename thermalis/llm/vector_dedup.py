@@ -1,9 +1,11 @@
 """Embedding near-duplicates by PCA-ordered tiles with suffix-norm bounds.
 
 Vectors are scaled to length 1 and rotated to their principal axes, so the leading
-coordinates hold the most. They are cut into tiles along the first axis; only tiles
-whose ranges there come as near as the threshold allows can hold a link
-(cosine >= t means a distance of at most sqrt(2 - 2t) on every axis). For a pair of
+coordinates hold the most. They are cut into tiles by halving, each time along that
+leading axis on which a tile spreads the most; a tile's box holds its vectors' ranges on
+all leading axes. Cosine >= t means a distance of at most sqrt(2 - 2t), so only tiles whose boxes
+are as near as that can hold a link; they meet by a join on bins of the first axis, which is
+then narrowed by the boxes. For a pair of
 tiles the products of the leading coordinates are accumulated first; what the others
 can add is at most the product of the two suffix norms (Cauchy-Schwarz), and a pair
 stops as soon as that cannot reach the threshold. The survivors of one group of
@@ -16,7 +18,9 @@ quadratic output. The rotation is fitted to a bounded sample; it affects speed a
 
 Vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; vectors of different lengths never link. Repeated rows are vectors of their
-own. Rows with a null id are kept and link with nothing. Extra columns are ignored.
+own. Rows with a null id are kept and link with nothing. Extra columns are ignored; an
+empty table gives an empty result. A cosine within rounding of the threshold counts as
+double precision gives it.
 """
 
 from __future__ import annotations
@@ -32,6 +36,9 @@ from thermalis.llm.scratch import Scratch
 
 #: Coordinates after which the bound is tried.
 STEPS = (16, 32)
+#: Leading axes that tiles are cut along and boxed in; about so many vectors' leading coordinates
+#: (at most twice as many) decide where the cuts lie, which affects speed alone.
+LEADING, CUT_FROM = 8, 1 << 19
 #: Allowance for rounding in single precision; survivors are decided in double.
 SLACK = 1e-4
 
@@ -41,6 +48,28 @@ def principal_axes(sample: np.ndarray) -> np.ndarray:
     return np.linalg.eigh(sample.T @ sample)[1][:, ::-1] if len(sample) else np.eye(sample.shape[1])
 
 
+def halving(sample: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """(axis, cut) of each node of a complete binary tree with ``leaves`` leaves, a power of two: medians of the widest axis."""
+    axis, cut = np.zeros(leaves, np.int64), np.zeros(leaves)
+    held = {1: sample}
+    for node in range(1, leaves):
+        own = held.pop(node)
+        if len(own):
+            axis[node] = int(np.argmax(own.std(axis=0)))
+            cut[node] = np.median(own[:, axis[node]])
+        below = own[:, axis[node]] < cut[node]
+        held[2 * node], held[2 * node + 1] = own[below], own[~below]
+    return axis, cut
+
+
+def leaf_of(lead: np.ndarray, axis: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Number of the leaf of each row of leading coordinates."""
+    node, leaves = np.ones(len(lead), np.int64), len(axis)
+    for _ in range(leaves.bit_length() - 1):
+        node = 2 * node + (lead[np.arange(len(lead)), axis[node]] >= cut[node])
+    return node - leaves
+
+
 def _bounded(x: np.ndarray, steps) -> list[np.ndarray]:
     """For each step, leading coordinates with the norm of the others as one more."""
     return [np.column_stack([x[:, :m], np.linalg.norm(x[:, m:], axis=1)]).astype(np.float32) for m in steps if m < x.shape[1]]
@@ -103,7 +132,7 @@ def _compare(ids_x, wx, x, ids_y, wy, y, axes, threshold, same):
     return ids[found], links[found], ids[parent[found]]
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tile: int = 4096, sample_bytes: int = 32 << 20) -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tile: int = 4096, tile_bytes: int = 16 << 20, sample_bytes: int = 32 << 20) -> DataFrame:
     """Per row: id, n_links (other vectors linked directly), component_id (least id reachable) and kept."""
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -115,7 +144,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     whole = scratch.save(rows.where("vector is not null").groupBy("uid", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     nodes = None
     for d, count in sorted((r["d"], r["count"]) for r in whole.groupBy(F.size("vector").alias("d")).count().collect()):
-        found = _one_length(whole.where(F.size("vector") == d), d, count, threshold, tile, sample_bytes, scratch)
+        found = _one_length(whole.where(F.size("vector") == d), d, count, threshold, max(1, min(tile, tile_bytes // (8 * d))), sample_bytes, scratch)
         nodes = found if nodes is None else nodes.union(found)
     if nodes is None:
         nodes = spark.createDataFrame([], "uid long, links double, other long")
@@ -133,6 +162,19 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     )
 
 
+def near_tiles(tiles: DataFrame, reach: float) -> DataFrame:
+    """Pairs (i, j), i <= j, of tiles whose boxes are at most ``reach`` apart, by bins on the first axis."""
+    width = max(reach, 0.02)
+    box = tiles.select("tile", "lo", "hi")
+    bins = lambda low, high: F.explode(F.sequence(F.floor(F.get(low, F.lit(0)) / width), F.floor(F.get(high, F.lit(0)) / width))).alias("bin")
+    wider = F.transform("hi", lambda v: v + F.lit(reach))
+    a = box.select(F.col("tile").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"), bins(F.transform("lo", lambda v: v - F.lit(reach)), wider))
+    b = box.select(F.col("tile").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"), bins(F.col("lo"), F.col("hi")))
+    gap = F.zip_with(F.zip_with("lo_i", "hi_j", lambda x, y: x - y), F.zip_with("lo_j", "hi_i", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    apart = F.aggregate(gap, F.lit(0.0), lambda acc, g: acc + g * g)
+    return a.join(b, "bin").where((F.col("i") <= F.col("j")) & (apart <= F.lit(reach * reach))).select("i", "j").distinct()
+
+
 def _one_length(whole: DataFrame, d: int, count: int, threshold: float, tile: int, sample_bytes: int, scratch: Scratch) -> DataFrame:
     spark = whole.sparkSession
     n_sample = max(1, min(20_000, sample_bytes // (8 * d)))
@@ -142,66 +184,56 @@ def _one_length(whole: DataFrame, d: int, count: int, threshold: float, tile: in
         x = [np.stack([np.asarray(v) for v in b.column("vector").to_pylist()]) for b in batches if b.num_rows]
         x = np.concatenate(x)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        axes = principal_axes(x)
-        yield pa.array([0]), [[axes.tobytes()], [np.sort(x @ axes[:, 0]).tobytes()]]
+        yield pa.array([0]), [[principal_axes(x).tobytes()]]
 
-    one = map_columns(sample.repartition(1), "k long, axes binary, first binary", axes_of).first()
-    axes, first = np.frombuffer(one["axes"]).reshape(d, d), np.frombuffer(one["first"])
-    n_cells = max(1, round(count / tile))
-    cuts = first[np.arange(1, n_cells) * len(first) // n_cells]
-    sent = spark.sparkContext.broadcast((axes, cuts))
+    axes = np.frombuffer(map_columns(sample.repartition(1), "k long, axes binary", axes_of).first()["axes"]).reshape(d, d)
+    leaves = 1 << max(0, min(-(-count // tile), CUT_FROM // 16) - 1).bit_length()
 
-    def cell(batches):
-        axes, cuts = sent.value
+    def leading(b: pa.RecordBatch):
+        flat = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        return flat, (flat / np.linalg.norm(flat, axis=1, keepdims=True)) @ axes[:, :LEADING]
+
+    def project(batches):
         for b in batches:
-            flat = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            lead = (flat / np.linalg.norm(flat, axis=1, keepdims=True)) @ axes[:, 0]
-            yield b.column("uid"), [b.column("copies"), pa.array([r.tobytes() for r in np.ascontiguousarray(flat)], pa.binary()), lead, np.searchsorted(cuts, lead)]
+            yield b.column("uid"), [list(leading(b)[1])]
+
+    def tree_of(batches):
+        lead = [b.column("lead").flatten().to_numpy().reshape(-1, min(d, LEADING)) for b in batches if b.num_rows]
+        axis, cut = halving(np.concatenate(lead), leaves)
+        yield pa.array([0]), [[axis.tobytes()], [cut.tobytes()]]
 
-    cells = scratch.save(map_columns(whole.select("uid", "copies", "vector"), "uid long, copies long, vector binary, lead double, cell int", cell))
-    sizes = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}
-    base = np.cumsum([0] + [-(-sizes.get(k, 0) // tile) for k in range(n_cells)])
-    split = spark.sparkContext.broadcast(base)
+    chosen = whole.select("uid", "vector").where(F.pmod(F.xxhash64("uid"), F.lit(max(1, count // CUT_FROM))) == 0)
+    tree = map_columns(map_columns(chosen, "uid long, lead array<double>", project).repartition(1).sortWithinPartitions("uid"), "k long, axis binary, cut binary", tree_of).first()
+    sent = spark.sparkContext.broadcast((np.frombuffer(tree["axis"], np.int64), np.frombuffer(tree["cut"])))
 
-    def spread(batches):
-        base = split.value
+    def place(batches):
+        axis, cut = sent.value
         for b in batches:
-            k = b.column("cell").to_numpy()
-            part = b.column("uid").to_numpy().view(np.uint64) % np.maximum(1, np.diff(base))[k].astype(np.uint64)
-            yield b.column("uid"), [b.column("copies"), b.column("vector"), b.column("lead"), base[k] + part.astype(np.int64)]
+            flat, lead = leading(b)
+            yield b.column("uid"), [b.column("copies"), pa.array([r.tobytes() for r in np.ascontiguousarray(flat)], pa.binary()), list(lead), leaf_of(lead, axis, cut)]
 
-    placed = map_columns(cells, "uid long, copies long, vector binary, lead double, tile long", spread)
+    placed = scratch.save(map_columns(whole.select("uid", "copies", "vector"), "uid long, copies long, vector binary, lead array<double>, leaf long", place))
+    # a leaf that holds more than its share is split by hash, so no tile outgrows a task
+    sizes = placed.groupBy("leaf").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / tile)).alias("parts"))
+    tiled = placed.join(F.broadcast(sizes), "leaf")  # one row for each leaf, at most CUT_FROM / 16
+    tiled = tiled.withColumn("tile", F.col("leaf") * (1 << 32) + F.pmod("uid", "parts")).drop("leaf", "parts")
 
     def assemble(t: pa.Table) -> pa.Table:
         t = t.sort_by("uid")
-        return pa.table(
-            {
-                "tile": t.column("tile")[:1],
-                "lo": [min(t.column("lead").to_pylist())],
-                "hi": [max(t.column("lead").to_pylist())],
-                "uids": [t.column("uid").to_numpy().tobytes()],
-                "copies": [t.column("copies").to_numpy().tobytes()],
-                "body": [b"".join(t.column("vector").to_pylist())],
-            },
-            schema=pa.schema([("tile", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("uids", pa.binary()), ("copies", pa.binary()), ("body", pa.binary())]),
-        )
-
-    tiles = scratch.save(placed.groupBy("tile").applyInArrow(assemble, "tile long, lo double, hi double, uids binary, copies binary, body binary"))
-    # one row a tile: the tiles that each one meets lie in a run, as they are in the order of the first axis
-    meta = sorted((r["tile"], r["lo"], r["hi"]) for r in tiles.select("tile", "lo", "hi").collect())
-    numbers, lows, highs = (np.array(x) for x in zip(*meta, strict=True))
-    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
-    floor = np.minimum.accumulate(lows[::-1])[::-1]  # least first coordinate from a tile on
-    runs = [(int(numbers[k]), int(numbers[max(k, int(np.searchsorted(floor, highs[k] + reach, "right")) - 1)])) for k in range(len(meta))]
-    pairs = spark.createDataFrame(runs, "i long, last long").select("i", F.explode(F.sequence("i", "last")).alias("j"))
-    left = tiles.select(*(F.col(c).alias("x_" + c) for c in tiles.columns))
-    right = tiles.select(*(F.col(c).alias("y_" + c) for c in tiles.columns))
-    met = pairs.join(left, F.col("i") == F.col("x_tile")).join(right, F.col("j") == F.col("y_tile"))
-    met = met.where((F.col("y_lo") <= F.col("x_hi") + F.lit(float(reach))) & (F.col("x_lo") <= F.col("y_hi") + F.lit(float(reach)))).repartition(F.col("i"), F.col("j"))
+        lead = np.array(t.column("lead").to_pylist())
+        cells = {"lo": [lead.min(axis=0)], "hi": [lead.max(axis=0)], "uids": [t.column("uid").to_numpy().tobytes()], "copies": [t.column("copies").to_numpy().tobytes()], "body": [b"".join(t.column("vector").to_pylist())]}
+        kinds = dict.fromkeys(("lo", "hi"), pa.list_(pa.float64())) | dict.fromkeys(("uids", "copies", "body"), pa.binary())
+        return pa.table({"tile": t.column("tile")[:1]} | {c: pa.array(v, kinds[c]) for c, v in cells.items()})
+
+    tiles = scratch.save(tiled.groupBy("tile").applyInArrow(assemble, "tile long, lo array<double>, hi array<double>, uids binary, copies binary, body binary"))
+    scratch.drop(placed)
+    pairs = near_tiles(tiles, float(np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK))
+    left = tiles.select(*(F.col(c).alias("x_" + c) for c in ("tile", "uids", "copies", "body")))
+    right = tiles.select(*(F.col(c).alias("y_" + c) for c in ("tile", "uids", "copies", "body")))
+    met = pairs.join(left, F.col("i") == F.col("x_tile")).join(right, F.col("j") == F.col("y_tile")).repartition(F.col("i"), F.col("j"))
     met = met.select("i", "j", *(f"{s}_{c}" for s in "xy" for c in ("uids", "copies", "body")))
 
     def compare(batches):
-        axes = sent.value[0]
         for b in batches:
             for r in range(b.num_rows):
                 get = lambda name, kind, r=r, b=b: np.frombuffer(b.column(name)[r].as_buffer(), kind)
