@@ -57,6 +57,12 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, n, percent, frequen
     assert len(got) == len(texts) + 1
     assert {r.doc_id: r.n_shingles for r in got} == {i + 10: len(s) for i, s in enumerate(sets)}
     assert {r.doc_id: r.component_id for r in got} == want
+    degree = {i: 0 for i in want}
+    for a, b in links:
+        degree[a] += 1 + (b == 10)  # the first row stands there twice
+        degree[b] += 1 + (a == 10)
+    degree[10] += 1
+    assert {r.doc_id: r.n_links for r in got} == degree
     assert len(links) > 200
 
 
@@ -81,7 +87,7 @@ def test_sketches_never_rule_out_a_link():
         base = rng.integers(0, 1 << 63, int(rng.integers(3, 900)), dtype=np.uint64) * np.uint64(2)
         for _ in range(6):
             sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > 0.05], rng.integers(0, 1 << 63, 3, dtype=np.uint64)])))
-        real = jaccard_join.similar_edges(sets, 80)
+        real, _ = jaccard_join.similar_edges(sets, 80)
         seen = jaccard_join.possible_edges(np.array([len(s) for s in sets]), [jaccard_join.sketch(s) for s in sets], 80)
         a, b = least_reachable(range(6), seen), least_reachable(range(6), real)
         assert all(a[i] == a[j] for i in range(6) for j in range(6) if b[i] == b[j])
@@ -91,7 +97,7 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.cluster_sets(empty).count() == 0
     nulls = spark.createDataFrame([(None, "a b c d e f"), (1, None), (2, "a b c d e f")], "doc_id long, text string")
-    assert {(r.doc_id, r.component_id) for r in jaccard_join.cluster_sets(nulls).collect()} == {(None, None), (1, 1), (2, 2)}
+    assert {(r.doc_id, r.component_id, r.n_links) for r in jaccard_join.cluster_sets(nulls).collect()} == {(None, None, 0), (1, 1, 0), (2, 2, 0)}
     assert vector_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 

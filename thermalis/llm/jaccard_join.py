@@ -23,7 +23,8 @@ allows is out. Lists give edges of a spanning forest, never all pairs; lists lon
 *Verification.* Sets of one cluster meet in one group (large clusters again chunk
 against chunk) and every pair whose sizes fit is counted exactly, in integers.
 
-Equal sets are folded into one before the join. Only sets in clusters travel; nothing of
+Equal sets are folded into one before the join, and count as many partners as they stand
+for. Sets travel only if they are in clusters, and their texts are found by a join on the id; nothing of
 all documents reaches the driver but counts of frequency classes and the frequent tokens
 (at most ``max_frequent``).
 
@@ -141,11 +142,14 @@ def possible_edges(sizes: np.ndarray, sketches: list[np.ndarray], percent: int)
     return edges
 
 
-def similar_edges(sets: list[np.ndarray], percent: int, split: int | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * overlap >= percent * union, counted exactly.
+def similar_edges(sets: list[np.ndarray], percent: int, split: int | None = None, copies: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """The pairs with 100 * overlap >= percent * union, counted exactly: a spanning forest, and each set's number of partners.
 
-    With ``split`` only pairs of one set before and one from that position on count.
+    With ``split`` only pairs of one set before and one from that position on count. A partner
+    counts as many times as ``copies`` says, else once.
     """
+    copies = np.ones(len(sets), np.int64) if copies is None else copies
+    partners = np.zeros(len(sets), np.int64)
     sizes = np.array([len(s) for s in sets], np.int64)
     tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -164,10 +168,12 @@ def similar_edges(sets: list[np.ndarray], percent: int, split: int | None = None
             on[: max(split, i + 1)] = False
             if i >= split:
                 break
+        partners[i] += copies[on].sum()
+        partners[on] += copies[i]
         for j in np.flatnonzero(on).tolist():
             if forest.join(i, j):
                 edges.append((i, j))
-    return edges
+    return edges, partners
 
 
 def grouped(batches, key: str):
@@ -201,7 +207,7 @@ def _chunk_pairs(rows: DataFrame, group: str, chunk: str, scratch: Scratch) -> D
 
 
 def cluster_sets(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_frequent: int = 1 << 19, chunk: int = 1024) -> DataFrame:
-    """Per row: id, n_shingles and component_id, the least id reachable by links of similarity >= percent / 100."""
+    """Per row: id, n_shingles, component_id (the least id reachable by links of similarity >= percent / 100) and n_links (other rows linked directly, copies and all)."""
     spark = df.sparkSession
     scratch = Scratch(spark)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -350,10 +356,11 @@ def cluster_sets(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     proposed = map_columns(members.repartition("meet").sortWithinPartitions("meet"), "a long, b long", propose)
     clusters = components(proposed.distinct(), scratch)
 
-    # Verification: only sets in clusters travel, one document for each set.
-    chosen = docs.where("id is not null and n > 0").groupBy("uid").agg(F.min("id").alias("id")).join(clusters.withColumnRenamed("node", "uid"), "uid")
+    # Verification: one document for each set in a cluster, with the number of its copies.
+    distinct = docs.where("id is not null and n > 0").groupBy("uid").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    chosen = distinct.join(clusters.withColumnRenamed("node", "uid"), "uid")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
-    chosen = chosen.join(sizes, "component").select("id", "uid", "component", F.pmod(F.xxhash64("uid"), F.ceil(F.col("members") / chunk)).cast("int").alias("chunk"))
+    chosen = chosen.join(sizes, "component").select("id", "uid", "copies", "component", F.pmod(F.xxhash64("uid"), F.ceil(F.col("members") / chunk)).cast("int").alias("chunk"))
     wanted = texts.where(F.col("id").isNotNull()).join(chosen, "id")
 
     def fetch(batches):
@@ -361,27 +368,40 @@ def cluster_sets(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
             for part in slices(batch, "text"):
                 sets = text_sets(part.column("text"), n)
                 same = [k for k, (s, u) in enumerate(zip(sets, part.column("uid").to_pylist(), strict=True)) if set_id(s) == u]
-                yield part.column("component").take(pa.array(same, pa.int64())), [part.column("uid").take(pa.array(same, pa.int64())), part.column("chunk").take(pa.array(same, pa.int64())), _pack([sets[k] for k in same])]
+                at = pa.array(same, pa.int64())
+                yield part.column("component").take(at), [*(part.column(c).take(at) for c in ("uid", "copies", "chunk")), _pack([sets[k] for k in same])]
 
-    bodies = map_columns(wanted.select("component", "uid", "chunk", "text"), "component long, uid long, chunk int, body binary", fetch)
+    bodies = map_columns(wanted.select("component", "uid", "copies", "chunk", "text"), "component long, uid long, copies long, chunk int, body binary", fetch)
     bodies = scratch.save(bodies)
-    meeting = _chunk_pairs(bodies, "component", "chunk", scratch).select("meet", "side", "uid", "body").repartition("meet").sortWithinPartitions("meet", "side", "uid")
+    meeting = _chunk_pairs(bodies, "component", "chunk", scratch).select("meet", "side", "uid", "copies", "body").repartition("meet").sortWithinPartitions("meet", "side", "uid")
 
     def verify(batches):
+        """Links (a, b) of a forest, and the number n of partners that the set ``a`` met here."""
         for t in grouped(batches, "meet"):
             side, uid = t.column("side").to_numpy(), t.column("uid").to_numpy()
             keep = np.concatenate([[True], (uid[1:] != uid[:-1]) | (side[1:] != side[:-1])])
-            side, uid = side[keep], uid[keep]
+            side, uid, copies = side[keep], uid[keep], t.column("copies").to_numpy()[keep]
             sets = [np.frombuffer(x, np.uint64) for x, k in zip(t.column("body").to_pylist(), keep, strict=True) if k]
-            split = int((side == 1).sum()) if side[0] == 1 else None
+            split = int((side == 1).sum()) if side[0] else None  # a chunk that is empty meets nothing
             if len(sets) > 1:
-                edges = similar_edges(sets, percent, split)
-                if edges:
-                    yield pa.array([uid[a] for a, _ in edges]), [[uid[b] for _, b in edges]]
-
-    links = components(map_columns(meeting, "a long, b long", verify).distinct(), scratch)
+                edges, partners = similar_edges(sets, percent, split, copies)
+                linked = np.flatnonzero(partners)
+                if len(linked):
+                    a = np.concatenate([uid[[i for i, _ in edges]], uid[linked]])
+                    b = pa.array([*(int(uid[j]) for _, j in edges), *[None] * len(linked)], pa.int64())
+                    yield pa.array(a), [b, pa.array([*[None] * len(edges), *partners[linked].tolist()], pa.int64())]
+
+    met = scratch.save(map_columns(meeting, "a long, b long, n long", verify))
+    links = components(met.where("b is not null").select("a", "b").distinct(), scratch)
+    partners = met.where("b is null").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("partners"))
     scratch.drop(seen, listed, bodies)
-    known = docs.where("id is not null and n > 0").groupBy("uid").agg(F.min("id").alias("id")).join(links.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    known = distinct.join(links.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = known.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = known.join(least, "component").select("uid", "component_id")
-    return docs.join(named, "uid", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id")).alias("component_id"))
+    named = known.join(least, "component").join(partners, "uid", "left").select("uid", "component_id", (F.coalesce("partners", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    of_set = F.col("id").isNotNull() & (F.col("n") > 0)
+    return docs.join(named, "uid", "left").select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(of_set, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        F.when(of_set, F.col("n_links")).otherwise(0).alias("n_links"),
+    )

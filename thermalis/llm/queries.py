@@ -106,8 +106,10 @@ o as (select x.doc_id as a, y.doc_id as b, any_value(x.n) as n, any_value(y.n) a
 links as (select a, b from o where 100 * k >= 85 * (n + m - k)),
 reach(a, b) as (
   select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
-c as (select a, min(b) as m from reach group by a)
-select s.doc_id, len(s.s)::bigint as n_shingles, least(s.doc_id, coalesce(c.m, s.doc_id)) as component_id from s left join c on s.doc_id = c.a
+c as (select a, min(b) as m from reach group by a),
+k as (select a, count(*) as n from links group by a)
+select s.doc_id, len(s.s)::bigint as n_shingles, least(s.doc_id, coalesce(c.m, s.doc_id)) as component_id, coalesce(k.n, 0)::bigint as n_links
+from s left join c on s.doc_id = c.a left join k on s.doc_id = k.a
 """,
     "op2_url_filter": r"""
 with u as (
