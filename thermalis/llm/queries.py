@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermalis.llm import bpe_codec, chat_format, decontaminate, jaccard_join, pitman_yor, scratch, token_counts, token_shards, toxicity, url_filter, vector_dedup
+from thermalis.llm import bpe_codec, chat_format, decontaminate, jaccard_join, pitman_yor, rank_bpe, scratch, token_counts, token_shards, toxicity, url_filter, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(chat_format.format_turns(turns))
 
 
+def op13_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = rank_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return rank_bpe.digests(encoded)
+
+
 ORACLE_SQL = {
     "op5_vector_dedup": r"""
 with recursive v as (
