@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermalis.llm import bpe_codec, chat_format, decontaminate, jaccard_join, pitman_yor, rank_bpe, scratch, token_counts, token_shards, toxicity, url_filter, vector_dedup
+from thermalis.llm import bpe_codec, chat_format, decontaminate, jaccard_join, merkle, pitman_yor, rank_bpe, scratch, token_counts, token_shards, toxicity, url_filter, vector_codes, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,12 +78,65 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(chat_format.format_turns(turns))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering deletes the line ends of the text in rows whose id has an even CRC-32; null ids and null texts are left as they are."""
+    documents = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    leaves = documents.select(
+        "doc_id",
+        "source",
+        merkle.leaf_digest(*fields, F.col("text")).alias("leaf"),
+        F.when(changed & F.contains("text", F.lit("\n")), merkle.leaf_digest(*fields, F.translate("text", "\n", ""))).alias("tampered"),
+    )
+    proven = merkle.manifest(leaves, "source", "doc_id", "leaf", ["tampered"])
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    out = proven.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.with_label_errors(vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
 def op13_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = rank_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return rank_bpe.digests(encoded)
 
 
+def _codes_sql(rounds: int = 6) -> str:
+    """Lloyd's rounds one after another, every part compared with every entry."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} as materialized (
+  select r, p, any_value(x) as x, min({{'d': list_sum(list_transform(range(1, len(x) + 1), lambda j: (x[j] - c[j]) * (x[j] - c[j])))::bigint, 'k': k}}) as m
+  from parts join c{r} using (p) group by r, p)""")
+        if r < rounds:
+            steps.append(f"""
+n{r} as (
+  select p, k, list(m order by j) as c from (
+    select p, m.k as k, j, floor(sum(x[j])::double / count(*))::bigint as m from a{r}, lateral (select unnest(range(1, len(x) + 1)) as j) group by all) group by p, k),
+c{r + 1} as materialized (select c{r}.p, c{r}.k, coalesce(n{r}.c, c{r}.c) as c from c{r} left join n{r} on c{r}.p = n{r}.p and c{r}.k = n{r}.k)""")
+    return f"""
+with v as materialized (
+  select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (select r, vec_id, p, e[p * len(e) // 8 + 1 : (p + 1) * len(e) // 8] as x from v, (select unnest(range(8)) as p)),
+c0 as materialized (select p, k, x as c from (select p, x, row_number() over (partition by p order by vec_id nulls last) - 1 as k from parts) where k < 16),
+{",".join(steps)},
+coded as (
+  select r, string_agg(printf('%02x', m.k), '' order by p) as code, sum(m.d)::bigint as error from a{rounds} group by r),
+books as (
+  select sha256(string_agg(c[j]::varchar, ',' order by p, k, j)) as h from c{rounds}, lateral (select unnest(range(1, len(c) + 1)) as j)),
+labels as (select v.label, sum(error)::bigint as label_error from v join coded using (r) group by v.label)
+select v.vec_id, code, error, label_error, books.h as codebooks_sha256
+from v join coded using (r) join labels on v.label is not distinct from labels.label, books
+"""
+
+
 ORACLE_SQL = {
+    "op12_vector_codes": _codes_sql(),
     "op5_vector_dedup": r"""
 with recursive v as (
   select row_number() over () as r, vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
@@ -131,6 +184,50 @@ m as (
     row_number() over (partition by page_id, host, path order by length(rule) desc nulls last) k
   from u left join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath))
 select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from m where k = 1
+""",
+    "op11_merkle_manifest": r"""
+with recursive c as (
+  select list_transform(range(256), lambda b: list_reduce(list_prepend(b::bigint, range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) as t),
+d as (
+  select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda y: ord(y)::bigint)),
+      lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1]))) as crc
+  from documents, c),
+e as (
+  select doc_id, source, crc, text,
+    coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head
+  from d),
+f as (
+  select doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    case when crc % 2 = 0 then replace(text, chr(10), '') else text end as changed, head
+  from e),
+g as (
+  select doc_id, source, leaf, sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) as other, row_number() over () as r,
+    row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n
+  from f),
+low(source, k, i, n, h) as (
+  select source, 0::bigint, i, n, leaf from g
+  union all
+  select source, k + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' order by i)) from low where n > 1 group by source, k, i // 3, n),
+subs as (select source, h, row_number() over (order by source nulls first) - 1 as i, count(*) over () as n from low where n = 1),
+high(k, i, n, h) as (
+  select 0::bigint, i, n, h from subs
+  union all
+  select k + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' order by i)) from high where n > 1 group by k, i // 3, n),
+steps as (
+  select g.r, low.k, coalesce(string_agg(low.h, '' order by low.i) filter (low.i < g.i // (3 ** low.k)::bigint), '') as a, coalesce(string_agg(low.h, '' order by low.i) filter (low.i > g.i // (3 ** low.k)::bigint), '') as b
+  from g join low on g.source is not distinct from low.source and low.n > 1 and low.i // 3 = g.i // (3 ** (low.k + 1))::bigint group by g.r, low.k
+  union all
+  select g.r, 1000 + high.k, coalesce(string_agg(high.h, '' order by high.i) filter (high.i < subs.i // (3 ** high.k)::bigint), ''), coalesce(string_agg(high.h, '' order by high.i) filter (high.i > subs.i // (3 ** high.k)::bigint), '')
+  from g join subs on g.source is not distinct from subs.source join high on high.n > 1 and high.i // 3 = subs.i // (3 ** (high.k + 1))::bigint group by g.r, high.k),
+walk as (select *, row_number() over (partition by r order by k) as s from steps),
+folded(r, s, h) as (
+  select r, 0::bigint, other from g
+  union all
+  select f.r, w.s, sha256(w.a || f.h || w.b) from folded f join walk w on w.r = f.r and w.s = f.s + 1),
+ends as (select r, arg_max(h, s) as h from folded group by r),
+proofs as (select r, sha256(string_agg(a || b, '' order by k)) as p from steps group by r)
+select g.doc_id, g.leaf, subs.h as subroot, root.h as root, coalesce(p, sha256('')) as proof_sha256, ends.h as folded_root, ends.h = root.h as verified
+from g join subs on g.source is not distinct from subs.source join ends on g.r = ends.r left join proofs on g.r = proofs.r, (select h from high where n = 1) root
 """,
     "op8_chat_format": r"""
 with t as (
