@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermalis.functions import lexicon
@@ -272,6 +272,42 @@ def pool_effects(effects: DataFrame) -> DataFrame:
     return effects.groupBy("type", "class").applyInPandas(fit, "type string, class string, studies long, b1 double, b2 double, b3 double, v11 double, v22 double, v33 double, converged boolean")
 
 
+def _inverse(m: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Column]:
+    """Inverse of a symmetric 3 x 3 matrix given by its lower triangle; null where it has none."""
+    at = lambda i, j: m[max(i, j), min(i, j)]
+    # cofactors: with cyclic indices their signs come out right
+    minor = lambda i, j: at((i + 1) % 3, (j + 1) % 3) * at((i + 2) % 3, (j + 2) % 3) - at((i + 1) % 3, (j + 2) % 3) * at((i + 2) % 3, (j + 1) % 3)
+    whole = at(0, 0) * minor(0, 0) + at(0, 1) * minor(0, 1) + at(0, 2) * minor(0, 2)
+    return {(i, j): F.try_divide(minor(i, j), whole) for j in range(3) for i in range(j, 3)}
+
+
+def pool_fixed(effects: DataFrame, keys: tuple[str, ...] = ("type", "class")) -> DataFrame:
+    """Fixed-effect pooling of b1-b3 in closed form: generalised least squares with each study's covariance.
+
+    Studies are weighted by their inverse covariances, which are added up before the shuffle; no study is moved. Also Cochran's Q
+    and its degrees of freedom. Studies with a null, or without an inverse, are left out.
+    """
+    low = [(i, j) for j in range(3) for i in range(j, 3)]
+    given = {(i, j): F.col(f"v{i + 1}{j + 1}") for i, j in low}
+    b = [F.col(f"b{k}") for k in (1, 2, 3)]
+    weights = effects.withColumns({f"_w{i}{j}": c for (i, j), c in _inverse(given).items()})
+    w = lambda i, j: F.col(f"_w{max(i, j)}{min(i, j)}")
+    turned = [sum((w(i, j) * b[j] for j in range(1, 3)), w(i, 0) * b[0]) for i in range(3)]
+    usable = weights.where(w(0, 0).isNotNull() & b[0].isNotNull() & b[1].isNotNull() & b[2].isNotNull())
+    sums = usable.groupBy(*keys).agg(
+        F.count("*").alias("studies"),
+        *(F.sum(w(i, j)).alias(f"_s{i}{j}") for i, j in low),
+        *(F.sum(t).alias(f"_t{i}") for i, t in enumerate(turned)),
+        F.sum(b[0] * turned[0] + b[1] * turned[1] + b[2] * turned[2]).alias("_q"),
+    )
+    out = sums.withColumns({f"v{i + 1}{j + 1}": c for (i, j), c in _inverse({(i, j): F.col(f"_s{i}{j}") for i, j in low}).items()})
+    v = lambda i, j: F.col(f"v{max(i, j) + 1}{min(i, j) + 1}")
+    t = [F.col(f"_t{i}") for i in range(3)]
+    out = out.withColumns({f"b{i + 1}": v(i, 0) * t[0] + v(i, 1) * t[1] + v(i, 2) * t[2] for i in range(3)})
+    out = out.withColumn("q", F.greatest(F.lit(0.0), F.col("_q") - (F.col("b1") * t[0] + F.col("b2") * t[1] + F.col("b3") * t[2]))).withColumn("df", 3 * (F.col("studies") - 1))
+    return out.select(*keys, "studies", "b1", "b2", "b3", *(f"v{i + 1}{j + 1}" for i, j in low), "q", "df")
+
+
 def pooled_rr(pooled: DataFrame, lag_factor: float = 1.0, cap: float = 3.0) -> DataFrame:
     """Pooled relative risks, upper bounds cut at ``cap`` for plotting.
 
