@@ -60,23 +60,77 @@ def count_of(text: Column, patterns: list[str]) -> Column:
     return sum((F.when(matches(text, p), 1).otherwise(0) for p in patterns), F.lit(0))
 
 
+def required_words(pattern: str) -> list[str]:
+    """Words that every match of ``pattern`` holds as runs of a-z and 0-9 between other characters.
+
+    Parts that may be absent or may continue a word count for nothing; a pattern of which too little is known gives none.
+    """
+    p = re.sub(r"\((?:\?:)?[^()|]*\)\?", "\0", pattern)
+    p = re.sub(r"\[[^\]]*\][?*+]?|\\w[*+]?", "\0", p)
+    p = re.sub(r"\\[sb][+*]?", " ", p)
+    if re.search(r"[a-z0-9][?*+{]|[|()\\]", p):
+        return []
+    return list(dict.fromkeys(w for w in re.split("[^a-z0-9\0]+", p) if w and "\0" not in w))
+
+
 def term_pattern(term: str) -> str:
     return r"(?<!\w)" + re.escape(term).replace(r"\ ", r"\s+") + r"(?!\w)"
 
 
-def lexicon_matches(text: Column) -> Column:
-    """Map from category to the terms found, in the list's order; no empty categories.
+def term_words(term: str) -> list[str]:
+    return re.findall("[a-z0-9]+", term)
 
-    ``text`` is a normal form (lower case, single spaces), so a substring test goes before each pattern.
+
+class Spotted:
+    """Patterns looked for in a text by way of the set of its words.
+
+    A text is cut into words once and met with the vocabulary of all patterns at once, whatever their number; a
+    pattern is tried only where all its words occur. In a normal form a pattern that is one whole word needs no trial.
+    ``words`` is an expression to be stored as a column before use (``held``), so that it is worked out once a row.
     """
+
+    def __init__(self, text: Column, plain: bool, patterns: list[str], terms: list[str] = ()):
+        self.text, self.plain, self.held = text, plain, None
+        vocabulary = sorted({w for p in patterns for w in required_words(p)} | {w for t in terms for w in term_words(t)})
+        cut = F.split(F.translate(text, "'", " "), " ") if plain else F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))
+        self.words = F.array_intersect(cut, F.array(*map(F.lit, vocabulary)))
+
+    def has(self, words: list[str]) -> Column:
+        out = F.array_contains(self.held, words[0])
+        for w in words[1:]:
+            out = out & F.array_contains(self.held, w)
+        return out
+
+    def term(self, term: str) -> Column:
+        """A lexicon term between characters that are no word characters; normal forms only."""
+        words = term_words(term)
+        return self.has(words) if words == [term] else self.has(words) & self.text.rlike(term_pattern(term))
+
+    def pattern(self, pattern: str) -> Column:
+        words, flags = required_words(pattern), "" if self.plain else "(?iU)"
+        if not words:
+            literal = max(re.findall("[a-z0-9]+", re.sub(r"\\\w", " ", pattern)), key=len, default="")
+            return self.text.contains(literal) & self.text.rlike(flags + pattern)
+        return self.has(words) if self.plain and pattern == rf"\b{words[0]}\b" else self.has(words) & self.text.rlike(flags + pattern)
+
+    def any(self, patterns: list[str]) -> Column:
+        found = [self.pattern(p) for p in patterns]
+        out = found[0]
+        for f in found[1:]:
+            out = out | f
+        return out
+
+
+def lexicon_matches(spotted: Spotted) -> Column:
+    """Map from category to the terms found in a normal form, in the list's order; no empty categories."""
     keys = F.array(*(F.lit(k) for k in lexicon.POSITIVE_LEXICON))
-    values = F.array(*(F.filter(F.array(*(F.when(text.contains(t) & text.rlike(term_pattern(t)), F.lit(t)) for t in terms)), lambda x: x.isNotNull()) for terms in lexicon.POSITIVE_LEXICON.values()))
+    values = F.array(*(F.filter(F.array(*(F.when(spotted.term(t), F.lit(t)) for t in terms)), lambda x: x.isNotNull()) for terms in lexicon.POSITIVE_LEXICON.values()))
     return F.map_filter(F.map_from_arrays(keys, values), lambda _, v: F.size(v) > 0)
 
 
-def rule_hits(text: Column) -> Column:
-    """Array of (family, subcategory), one for each exclusion pattern that lower-cased ``text`` matches, in order."""
-    found = [F.when(matches(text, p, True), F.struct(F.lit(f).alias("family"), F.lit(s).alias("subcategory"))) for f, s, patterns in lexicon.EXCLUSION_RULES for p in patterns]
+def rule_hits(spotted: Spotted) -> Column:
+    """Array of (family, subcategory), one for each exclusion pattern that the lower-cased text matches, in order."""
+    found = [F.when(spotted.pattern(p), F.struct(F.lit(f).alias("family"), F.lit(s).alias("subcategory"))) for f, s, patterns in lexicon.EXCLUSION_RULES for p in patterns]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 

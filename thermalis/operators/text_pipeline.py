@@ -24,7 +24,9 @@ def retrieve_candidates(df: DataFrame, text_col: str = "sentence", keep_all: boo
     out = df.withColumn("normalized_text", text.normalise(text.clean(F.col(text_col)), lemmas=lemmas))
     n = F.col("normalized_text")
     cues = {"has_first_person_cue": lexicon.FIRST_PERSON, "has_outdoor_cue": lexicon.OUTDOOR, "has_negation_pattern": lexicon.NEGATION}
-    out = out.withColumns({"retrieval_matches": text.lexicon_matches(n), **{k: text.any_of(n, p, plain=True).cast("int") for k, p in cues.items()}})
+    spotted = text.Spotted(n, True, [p for patterns in cues.values() for p in patterns], [t for terms in lexicon.POSITIVE_LEXICON.values() for t in terms])
+    out, spotted.held = out.withColumn("_words", spotted.words), F.col("_words")
+    out = out.withColumns({"retrieval_matches": text.lexicon_matches(spotted), **{k: spotted.any(p).cast("int") for k, p in cues.items()}}).drop("_words")
     found = F.map_keys("retrieval_matches")
     strong = F.arrays_overlap(found, F.array(*map(F.lit, ("physiological", "psychological", "coping_individual"))))
     ambient = F.array_contains(found, "ambient_heat")
@@ -46,8 +48,11 @@ def apply_rules(df: DataFrame, text_col: str = "sentence", keep_all: bool = True
     """Exclusion rules with the personal-exposure override; the first hit names the decision."""
     require(df, text_col)
     base, low = df.withColumn("_low", F.lower(text.clean(F.col(text_col)))), F.col("_low")
-    personal = text.any_of(low, lexicon.RULE_FIRST_PERSON, True) & (text.any_of(low, lexicon.RULE_OUTDOOR, True) | text.any_of(low, lexicon.RULE_DEICTIC, True) | text.any_of(low, lexicon.RULE_PHYSIOLOGY, True))
-    out = base.withColumn("rule_hits", text.rule_hits(low)).withColumn("explicit_personal_exposure", personal.cast("int"))
+    context = lexicon.RULE_OUTDOOR + lexicon.RULE_DEICTIC + lexicon.RULE_PHYSIOLOGY
+    spotted = text.Spotted(low, False, [p for _, _, patterns in lexicon.EXCLUSION_RULES for p in patterns] + lexicon.RULE_FIRST_PERSON + context)
+    base, spotted.held = base.withColumn("_words", spotted.words), F.col("_words")
+    personal = spotted.any(lexicon.RULE_FIRST_PERSON) & spotted.any(context)
+    out = base.withColumn("rule_hits", text.rule_hits(spotted)).withColumn("explicit_personal_exposure", personal.cast("int"))
     hit, override = F.size("rule_hits") > 0, F.col("explicit_personal_exposure") == 1
     out = out.withColumns(
         {
@@ -56,7 +61,7 @@ def apply_rules(df: DataFrame, text_col: str = "sentence", keep_all: bool = True
             "rule_filter_subcategory": F.when(~hit, "").when(override, "override").otherwise(F.try_element_at("rule_hits", F.lit(1))["subcategory"]),
             "rule_filter_matches": F.transform("rule_hits", lambda h: F.concat_ws(":", h["family"], h["subcategory"])),
         }
-    ).drop("rule_hits", "_low")
+    ).drop("rule_hits", "_low", "_words")
     return out if keep_all else out.where("rule_filter_pass = 1")
 
 
