@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from thermalis.operators import evaluation as ev
 from thermalis.operators import exposure as ex
 from thermalis.operators import glm, minhash, training
+from thermalis.operators.percentiles import exact_percentiles
 from thermalis.plans import bindings as b
 from thermalis.plans.exposure_queries import PANEL, PERCEPTION
 from thermalis.plans.rounding import rounded
@@ -95,7 +96,18 @@ def reloaded_model(s, d):
     return rounded(training.predict_batched(t, {0: state}).select("row_index", "label", "pred_label", "pred_prob_1"))
 
 
-QUERIES = {f.__name__: f for f in (minhash_pairs, minhash_rows, glm_by_sums, joint_rr_by_sums, winners_of_fits, pooled_fixed, meta_fixed_rr, epoch_training, epoch_heldout, fold_summary_trained, reloaded_model)}
+QUANTILES = [0.0, 0.01, 0.3, 0.5, 0.7, 0.95, 0.99, 1.0]
+
+
+def hot_group_percentiles(s, d):
+    """Exact percentiles of the few groups that hold all line items, and of one that is nearly constant."""
+    line = b.read(s, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("price"), "l_quantity")
+    wide = exact_percentiles(line, ["flag"], "price", QUANTILES).withColumn("measure", F.lit("price"))
+    flat = exact_percentiles(line, ["flag"], "l_quantity", QUANTILES).withColumn("measure", F.lit("quantity"))
+    return rounded(wide.unionByName(flat))
+
+
+QUERIES = {f.__name__: f for f in (minhash_pairs, minhash_rows, glm_by_sums, joint_rr_by_sums, winners_of_fits, pooled_fixed, meta_fixed_rr, hot_group_percentiles, epoch_training, epoch_heldout, fold_summary_trained, reloaded_model)}
 
 SETS = f"""{TWEETS}, w as (select row_index, regexp_extract_all(lower(trim(coalesce(text, ''))), '[{ALNUM}]+') as w from tweets),
 s as (select row_index, case when len(w) = 0 then [] else list_sort(list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], ' ')))) end as s from w),
@@ -136,6 +148,9 @@ ends as (select row_index as a, other as b from pairs union all select other, ro
 l as (select a, count(*) as set_links, sum(copies)::bigint as text_links from ends join c on b = representative group by a)
 select m.row_index, m.representative, n::int as n_shingles, coalesce(set_links, 0)::bigint as set_links, case when n = 0 then 0 else coalesce(text_links, 0) + copies - 1 end::bigint as text_links
 from m join c on m.representative = c.representative left join l on l.a = m.representative""",
+    "hot_group_percentiles": " union all ".join(
+        f"select l_returnflag as flag, '{measure}' as measure, {', '.join(f'round(quantile_cont({c}, {q}), 6) + 0.0 as q{i}' for i, q in enumerate(QUANTILES))} from lineitem group by l_returnflag" for measure, c in (("price", "l_extendedprice"), ("quantity", "l_quantity"))
+    ),
     "pooled_fixed": f"""with {PANEL}, rows_ as (select type, class, city, temp as b1, hp / 100 as b2, month::double as b3 from panel),
 st as (select type, class, city, avg(b1) as b1, avg(b2) as b2, avg(b3) as b3, {", ".join(f"covar_samp(r.b{i}, r.b{j}) / count(*) as v{i}{j}" for i, j in _LOW)} from rows_ r group by type, class, city having count(*) > 20),
 wt as (select *, {", ".join(f"{e} as w{i}{j}" for (i, j), e in _inverse("v").items())} from st),
