@@ -14,6 +14,7 @@ from thermalis.plans.rounding import rounded
 from thermalis.plans.text_queries import ALNUM, TWEETS
 from thermalis.sources.models import load_model, save_model
 from thermalis.sources.scratch import fresh_folder
+from thermalis.streaming.city_day import drained, read_stream, streaming_city_day, streaming_spells
 
 
 def _similar(s, d):
@@ -107,7 +108,26 @@ def hot_group_percentiles(s, d):
     return rounded(wide.unionByName(flat))
 
 
-QUERIES = {f.__name__: f for f in (minhash_pairs, minhash_rows, glm_by_sums, joint_rr_by_sums, winners_of_fits, pooled_fixed, meta_fixed_rr, hot_group_percentiles, epoch_training, epoch_heldout, fold_summary_trained, reloaded_model)}
+def _event_stream(s, d):
+    # a pattern, since a stream does not read a single file by its name
+    e = read_stream(s, f"{d}/event[s].parquet", b.read(s, d, "events").schema)
+    return e.select(F.col("event_id").alias("row_index"), F.col("ts").cast("timestamp").alias("ts"), "user_id", (F.col("user_id") % 25).cast("string").alias("city"), (F.col("event_type") == "error").cast("int").alias("indicator"))
+
+
+def stream_city_day(s, d):
+    """City-day counts of the event stream that are final at its end: days that the watermark has passed."""
+    days = drained(s, streaming_city_day(_event_stream(s, d)), "city-days")
+    return days.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+def stream_spells(s, d):
+    """Finished spells of activity of every user, from keyed state."""
+    spells = drained(s, streaming_spells(_event_stream(s, d), "user_id"), "spells")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return spells.select("user_id", shown("first_ts"), shown("last_ts"), "first_row", "posts")
+
+
+QUERIES = {f.__name__: f for f in (minhash_pairs, minhash_rows, glm_by_sums, joint_rr_by_sums, winners_of_fits, pooled_fixed, meta_fixed_rr, hot_group_percentiles, stream_city_day, stream_spells, epoch_training, epoch_heldout, fold_summary_trained, reloaded_model)}
 
 SETS = f"""{TWEETS}, w as (select row_index, regexp_extract_all(lower(trim(coalesce(text, ''))), '[{ALNUM}]+') as w from tweets),
 s as (select row_index, case when len(w) = 0 then [] else list_sort(list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], ' ')))) end as s from w),
@@ -151,6 +171,14 @@ from m join c on m.representative = c.representative left join l on l.a = m.repr
     "hot_group_percentiles": " union all ".join(
         f"select l_returnflag as flag, '{measure}' as measure, {', '.join(f'round(quantile_cont({c}, {q}), 6) + 0.0 as q{i}' for i, q in enumerate(QUANTILES))} from lineitem group by l_returnflag" for measure, c in (("price", "l_extendedprice"), ("quantity", "l_quantity"))
     ),
+    "stream_city_day": """with w as (select max(ts) - interval 1 day as passed from events)
+select (user_id % 25)::varchar as city, strftime(cast(ts as date), '%Y-%m-%d') as date, sum((event_type = 'error')::int)::bigint as heat_posts, count(*) as observed_posts
+from events, w where ts is not null group by user_id % 25, cast(ts as date), passed having cast(ts as date) + interval 1 day <= date_trunc('millisecond', passed)""",
+    "stream_spells": """with e as (select user_id, event_id, epoch_us(ts) as t from events where user_id is not null and ts is not null),
+g as (select *, coalesce(t - lag(t) over k >= 6 * 3600 * 1000000::bigint, true)::int as starts from e window k as (partition by user_id order by t, event_id)),
+n as (select *, sum(starts) over (partition by user_id order by t, event_id rows unbounded preceding) as spell from g)
+select user_id, strftime(make_timestamp(min(t)), '%Y-%m-%d %H:%M:%S.%f') as first_ts, strftime(make_timestamp(max(t)), '%Y-%m-%d %H:%M:%S.%f') as last_ts, arg_min(event_id, (t, event_id)) as first_row, count(*) as posts from n group by user_id, spell
+having max(t) + 6 * 3600 * 1000000::bigint <= (select max(t) // 1000 * 1000 - 24 * 3600 * 1000000::bigint from e)""",
     "pooled_fixed": f"""with {PANEL}, rows_ as (select type, class, city, temp as b1, hp / 100 as b2, month::double as b3 from panel),
 st as (select type, class, city, avg(b1) as b1, avg(b2) as b2, avg(b3) as b3, {", ".join(f"covar_samp(r.b{i}, r.b{j}) / count(*) as v{i}{j}" for i, j in _LOW)} from rows_ r group by type, class, city having count(*) > 20),
 wt as (select *, {", ".join(f"{e} as w{i}{j}" for (i, j), e in _inverse("v").items())} from st),
