@@ -9,7 +9,7 @@ from thermalis.operators import evaluation as ev
 from thermalis.operators import exposure as ex
 from thermalis.operators import glm, training
 from thermalis.plans import model_queries
-from thermalis.sources import models
+from thermalis.sources import models, versions
 
 
 @pytest.fixture(scope="module")
@@ -156,7 +156,7 @@ def test_batches_equal_the_pipeline_and_survive_a_reload(spark, tmp_path):
         for r in training.predict_batched(df, {0: training.State.of_pipeline(loaded)}, batch=batch).collect():
             assert abs(r.pred_prob_1 - whole[r.row_index].pred_prob_1) < 1e-9 and r.pred_label == whole[r.row_index].pred_label
     second = models.save_model(ev.fit_baseline(df.where("row_index > 20")), folder, spark)
-    assert models.current_version(spark, folder) == second and models.versions(spark, folder) == sorted([first, second])
+    assert versions.current_version(spark, folder) == second and versions.versions(spark, folder) == sorted([first, second])
     old = models.load_model(folder, spark=spark, version=first)
     assert old.stages[3].intercept == model.stages[3].intercept
     with pytest.raises(FileNotFoundError):

@@ -253,17 +253,13 @@ def typology(seasons: DataFrame, by_month: DataFrame) -> DataFrame:
     )
 
 
-def index_run(posts: DataFrame, totals: DataFrame | None = None, total_col: str | None = None, cfg: IndexConfig = IndexConfig(), normalise: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All tables of an index run by name, and its summary (one row), which says what the run rests on.
-
-    The tables: city days, months, seasons, typology, polarisation, volume strata, eligibility.
-    """
-    raw = city_day(posts, totals, total_col, cfg)
+def index_tables(raw: DataFrame, cfg: IndexConfig = IndexConfig(), normalise: bool = False) -> dict[str, DataFrame]:
+    """All tables of an index run by name, from its city days: days, months, seasons, typology, polarisation, volume strata, eligibility."""
     every = normalise_city_month(raw, cfg) if normalise else raw
     days = eligible_days(every, cfg)
     by_month, seasons = monthly(days), with_levels(seasonal(days, cfg), cfg)
     strata = volume_strata(days)
-    tables = {
+    return {
         "city_day": days,
         "city_month": by_month,
         "city_season": with_volume(seasons, strata),
@@ -272,6 +268,15 @@ def index_run(posts: DataFrame, totals: DataFrame | None = None, total_col: str
         "volume_strata": strata,
         "city_eligibility": eligibility(every, cfg),
     }
+
+
+def index_run(posts: DataFrame, totals: DataFrame | None = None, total_col: str | None = None, cfg: IndexConfig = IndexConfig(), normalise: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables of an index run by name, and its summary (one row), which says what the run rests on.
+
+    Lazy; ``sources.runs`` writes a run and reads its posts once.
+    """
+    tables = index_tables(city_day(posts, totals, total_col, cfg), cfg, normalise)
+    days, seasons = tables["city_day"], tables["city_season"]
     part = lambda c: (F.avg(F.col(c).cast("double")) if c in days.columns else F.lit(0.0)).alias(c.replace("is_", "") + "_fraction")
     summary = days.agg(F.count("*").alias("city_days"), F.count_distinct("city").alias("cities"), F.sum("heat_posts").alias("heat_posts"), F.sum("total_posts").alias("total_posts"), part("denominator_is_proxy"), part("date_is_synthetic"), part("hemisphere_is_inferred"))
     return tables, summary.crossJoin(F.broadcast(breaks_table(seasons, "seasonal_hpii_percent", cfg.classes)))  # one row each

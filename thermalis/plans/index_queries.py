@@ -8,6 +8,8 @@ from thermalis.functions import calendar
 from thermalis.operators import city_index as ix
 from thermalis.plans import bindings as b
 from thermalis.plans.rounding import rounded
+from thermalis.sources.runs import read_index_run, write_index_run
+from thermalis.sources.scratch import fresh_folder
 
 
 def _days(s, d):
@@ -92,6 +94,29 @@ def index_run_summary(s, d):
     return rounded(summary.withColumn("breaks", F.array_join(F.transform("breaks", lambda x: F.format_string("%.4f", x)), " ")))
 
 
+def _written(s, d):
+    folder = fresh_folder(s, "index")
+    write_index_run(b.posts(s, d), folder, cfg=ix.IndexConfig(apply_eligibility_filters=False), indicator="indicator")
+    return read_index_run(s, folder)
+
+
+def index_run_seasons(s, d):
+    """City seasons of a written run, read back."""
+    tables, _ = _written(s, d)
+    return rounded(tables["city_season"].select("city", "season", "seasonal_heat_posts", "seasonal_total_posts", "seasonal_hpii_percent", "hpii_level", "tweet_volume_stratum"))
+
+
+def index_run_written(s, d):
+    """Rows of every table of a written run, beside the counts that its summary states."""
+    tables, summary = _written(s, d)
+    sizes = None
+    for name, t in sorted(tables.items()):
+        one = t.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        sizes = one if sizes is None else sizes.unionByName(one)
+    stated = s.createDataFrame([(f"summary {k}", summary[k]) for k in ("n_city_days", "n_city_months", "n_city_seasons", "n_cities", "n_continents")], "name string, n long")
+    return sizes.unionByName(stated)
+
+
 def all_cities_eligible(s, d):
     return rounded(ix.eligibility(_days(s, d), ix.IndexConfig(apply_eligibility_filters=False)))
 
@@ -128,7 +153,7 @@ def event_city_days(s, d):
     return rounded(_dates(days.select("city", "date", "heat_posts", "observed_posts", "daily_hpii_raw")))
 
 
-QUERIES = {f.__name__: f for f in (city_day_counts, city_day_external_denominator, city_day_own_denominator, city_month_index, city_season_index, hpvi_city_season, normalized_city_month, coverage, eligible_cities, eligible_city_days, peak_month, volume_strata, season_with_volume, polarization, city_typology, index_run_summary, all_cities_eligible, jenks_levels, season_calendar, month_and_hemisphere, synthetic_dates, event_city_days)}
+QUERIES = {f.__name__: f for f in (city_day_counts, city_day_external_denominator, city_day_own_denominator, city_month_index, city_season_index, hpvi_city_season, normalized_city_month, coverage, eligible_cities, eligible_city_days, peak_month, volume_strata, season_with_volume, polarization, city_typology, index_run_summary, index_run_seasons, index_run_written, all_cities_eligible, jenks_levels, season_calendar, month_and_hemisphere, synthetic_dates, event_city_days)}
 
 SEASON = """list_extract(['Winter','Spring','Summer','Fall'], 1 + ((({m}) % 12) // 3 + case when {h} = 'south' then 2 else 0 end) % 4)"""
 POSTS = f"""
@@ -271,6 +296,11 @@ days as (select d.* exclude (n), coalesce(t, n)::bigint as total_posts, (t is nu
 seasons as (select city, season, sum(heat_posts) / sum(total_posts)::double as seasonal_hpii from days group by all){BREAKS.split(",\nlevels as")[0]}
 select count(*) as city_days, count(distinct city) as cities, sum(heat_posts)::bigint as heat_posts, sum(total_posts)::bigint as total_posts, round(avg(denominator_is_proxy), 6) as denominator_proxy_fraction, 0.0::double as date_synthetic_fraction, 0.0::double as hemisphere_inferred_fraction,
   array_to_string(list_transform((select breaks from breaks), lambda x: printf('%.4f', x)), ' ') as breaks from days""",
+    "index_run_seasons": f"with {SEASONS}{BREAKS}{VOLUME} select l.city, season, seasonal_heat_posts, seasonal_total_posts, round(seasonal_hpii * 100, 6) as seasonal_hpii_percent, hpii_level, tweet_volume_stratum from levels l left join volume v on l.city = v.city",
+    "index_run_written": f"""with {SEASONS}, x as (select (select count(*) from days) as d, (select count(*) from monthly) as m, (select count(*) from seasons) as s, (select count(distinct city) from days) as c, (select count(distinct continent) from days) as k,
+  (select count(*) from (select distinct continent, season from seasons)) as p)
+select unnest(['city_day', 'city_month', 'city_season', 'city_typology', 'polarization', 'volume_strata', 'city_eligibility', 'summary n_city_days', 'summary n_city_months', 'summary n_city_seasons', 'summary n_cities', 'summary n_continents']) as name,
+  unnest([d, m, s, c, p, c, c, d, m, s, c, k]) as n from x""",
     "all_cities_eligible": f"with {ELIGIBLE} select city, total_heat_posts, active_days, season_n, round(coverage_min_frac, 6) as coverage_min_frac, round(coverage_mean_frac, 6) as coverage_mean_frac, expected_days_total, observed_days_total, 1 as eligible_city from elig",
     "season_calendar": f"with {POSTS}, s as (select date, unnest(['north', 'south']) as hemisphere from posts) select hemisphere, month(date)::int as month_num, {SEASON.format(m='month(date)', h='hemisphere')} as season, count(*) as n, min(year(date))::int as first_year from s group by all",
     "month_and_hemisphere": """with e as (select list_extract(['2022-03-05','Mar','sept',' 7 ','13','junk','11.0','October',''], (event_id % 9 + 1)::int) as raw, list_extract(['AUS',' bra','USA','XXX'], (event_id % 4 + 1)::int) as country, list_extract(['Oceania','europe','South America'], (event_id % 3 + 1)::int) as continent from events)

@@ -1,55 +1,17 @@
-"""Fitted models on the shared folder: each save is a new version, and a pointer names the one in use.
-
-A version is written whole before the pointer is replaced by one rename, so a reader sees the old
-model or the new one, and a writer that dies leaves only a folder that nothing points to.
-"""
+"""Fitted models on the shared folder: each save is a new version, and a pointer names the one in use."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 
-POINTER = "CURRENT"
-
-
-def _path(spark: SparkSession, *parts: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path("/".join(parts))
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _point_to(spark: SparkSession, folder: str, version: str) -> None:
-    """Replace the pointer's file in one step."""
-    new, fs = _path(spark, folder, f".{POINTER}-{uuid.uuid4().hex}")
-    out = fs.create(new, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    old = fs.makeQualified(_path(spark, folder, POINTER)[0])
-    how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
-    how[0] = hadoop.Options.Rename.OVERWRITE
-    hadoop.FileContext.getFileContext(old.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), old, how)
-
-
-def current_version(spark: SparkSession, folder: str) -> str:
-    path, fs = _path(spark, folder, POINTER)
-    if not fs.exists(path):
-        raise FileNotFoundError(f"no model in {folder}")
-    return spark.read.text(path.toString()).first()[0]
-
-
-def versions(spark: SparkSession, folder: str) -> list[str]:
-    """All versions written, the unused ones too."""
-    path, fs = _path(spark, folder)
-    return sorted(f.getPath().getName() for f in fs.listStatus(path) if f.isDirectory()) if fs.exists(path) else []
+from thermalis.sources.versions import current_version, new_version, point_to
 
 
 def save_model(model, folder: str, spark: SparkSession | None = None) -> str:
     """Write ``model`` (anything with Spark's ``write()``) as a new version of ``folder`` and point to it; the version."""
-    spark = spark or SparkSession.active()
-    version = f"v-{uuid.uuid4().hex}"
+    spark, version = spark or SparkSession.active(), new_version()
     model.write().save(f"{folder}/{version}")
-    _point_to(spark, folder, version)
+    point_to(spark, folder, version)
     return version
 
 
