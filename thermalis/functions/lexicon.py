@@ -101,5 +101,17 @@ ACCOUNT_COLUMNS = ["user_id", "account_id", "username", "screen_name", "user_nam
 SOUTHERN_COUNTRIES = ["AUS", "NZL", "FJI", "ARG", "BRA", "CHL", "URY", "PRY", "ZAF"]
 NORTHERN_COUNTRIES = ["KEN", "EGY", "COL", "USA", "CAN", "MEX", "GBR", "DEU", "ESP", "FRA", "ITA", "IND", "JPN", "PHL", "CHN"]
 SOUTHERN_CONTINENTS = ["oceania", "south america"]
+CITY_POOL = {
+    "Africa": ["EGY", "KEN", "ZAF"],
+    "Asia": ["IND", "JPN", "PHL"],
+    "Europe": ["DEU", "ESP", "GBR"],
+    "North America": ["CAN", "MEX", "USA"],
+    "South America": ["ARG", "BRA", "COL"],
+    "Oceania": ["AUS", "NZL", "FJI"],
+}
+GOLD_COLUMNS = [
+    "sample_id", "tweet_id", "sentence", "label", "city_id", "continent", "country", "month", "original_split", "source_platform",
+    "metadata_is_synthetic", "needs_metadata_backfill", "is_synthetic_example", "synthetic_example_type",
+]
 OUTCOME_TYPES = {"Death": "Death", "Hospitalization": "Hospitlization", "ED": "Emergency department visit"}
 # End of fixed values.

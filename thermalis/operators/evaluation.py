@@ -91,14 +91,14 @@ def audit_allocation(df: DataFrame, month: str = "month", stratum: str = "contin
 
 
 def audit_sample(df: DataFrame, month: str = "month", stratum: str = "continent", per_month: int = 500, seed: int = 42) -> DataFrame:
-    """Rows chosen by hash order inside each stratum, with empty review columns.
+    """Rows chosen in the order of a digest of seed and row inside each stratum, with empty review columns.
 
     A row competes first inside one of 32 slices of its stratum, so a stratum with most of
     the rows is not ordered in one task.
     """
     take = audit_allocation(df, month, stratum, per_month).where("n_take > 0").select(F.col("month").alias("m"), F.col("stratum").alias("s"), "n_take")
     joined = df.join(take, (F.col(month) == F.col("m")) & (F.col(stratum) == F.col("s")))
-    order = F.xxhash64(F.lit(seed), "row_index")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_index").cast("string")).cast("binary"))
     cut = joined.withColumn("slice", F.pmod(F.xxhash64("row_index"), F.lit(32)))
     first = cut.withColumn("r", F.row_number().over(Window.partitionBy("m", "s", "slice").orderBy(order, "row_index"))).where("r <= n_take")
     last = first.withColumn("r", F.row_number().over(Window.partitionBy("m", "s").orderBy(order, "row_index"))).where("r <= n_take")

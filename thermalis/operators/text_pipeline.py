@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermalis.functions import lexicon, text
+from thermalis.operators import minhash
+from thermalis.sources.scratch import saved
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -79,18 +81,27 @@ def month_or_unknown(df: DataFrame, month_col: str = "month") -> Column:
     return F.lit("unknown")
 
 
-def exact_duplicates(df: DataFrame, text_col: str = "sentence") -> DataFrame:
-    """``duplicate_of``: the first row with the same normalised text (null for the first itself).
+def duplicate_ids(df: DataFrame, text_col: str = "sentence") -> DataFrame:
+    """(row_index, duplicate_of) of every row whose normalised text an earlier row has.
 
-    The first rows are found by aggregation, which combines before the shuffle, so a text
-    that very many rows share is not gathered in one window.
+    The first rows are found by aggregation, which combines before the shuffle; only keys and row numbers
+    are joined, so a text that very many rows share moves no texts and is gathered in no window.
     """
     require(df, text_col, "row_index")
-    out = df.withColumn("normalized_dedup", text.normalise(text.clean(F.col(text_col)), "alnum"))
-    key = F.sha2("normalized_dedup", 256)
-    first = out.groupBy(key.alias("text_key")).agg(F.min("row_index").alias("first_index"))
-    joined = out.withColumn("text_key", key).join(first, "text_key").drop("text_key")
-    return joined.withColumn("duplicate_of", F.when(F.col("first_index") < F.col("row_index"), F.col("first_index"))).drop("first_index")
+    keyed = df.select("row_index", F.sha2(text.normalise(text.clean(F.col(text_col)), "alnum"), 256).alias("key"))
+    first = keyed.groupBy("key").agg(F.min("row_index").alias("duplicate_of"))
+    return keyed.join(first, "key").where("duplicate_of < row_index").select("row_index", "duplicate_of")
+
+
+def exact_duplicates(df: DataFrame, text_col: str = "sentence") -> DataFrame:
+    """``normalized_dedup`` and ``duplicate_of``: the first row with the same normalised text (null for the first itself)."""
+    out = df.join(duplicate_ids(df, text_col), "row_index", "left")
+    return out.select(*df.columns, text.normalise(text.clean(F.col(text_col)), "alnum").alias("normalized_dedup"), "duplicate_of")
+
+
+def _block(words: Column) -> Column:
+    """Rows share a block if their first four words and their size classes of words and characters agree."""
+    return F.xxhash64(F.array_join(F.slice(words, 1, 4), " "), F.floor(F.size(words) / 5), F.floor(F.length(F.array_join(words, " ")) / 20))
 
 
 def greedy_near_duplicates(df: DataFrame, text_col: str = "sentence", threshold: float = 0.85, most: int = 200) -> DataFrame:
@@ -102,7 +113,7 @@ def greedy_near_duplicates(df: DataFrame, text_col: str = "sentence", threshold:
     """
     words = text.tokens(text.clean(F.col(text_col)), "alnum")
     rows = df.select("row_index", words.alias("w")).withColumn("norm", F.array_join("w", " "))
-    rows = rows.withColumn("block", F.xxhash64(F.array_join(F.slice("w", 1, 4), " "), F.floor(F.size("w") / 5), F.floor(F.length("norm") / 20)))
+    rows = rows.withColumn("block", _block(F.col("w")))
     order = Window.partitionBy("block").orderBy("row_index")
     first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     packed = first.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("row_index", F.length("norm").alias("n"), text.shingles(F.col("w")).alias("s")))).alias("xs")).where(F.size("xs") > 1)
@@ -120,6 +131,40 @@ def greedy_near_duplicates(df: DataFrame, text_col: str = "sentence", threshold:
     return done.select(F.explode("dups").alias("d")).select(F.col("d.row_index").alias("row_index"), F.col("d.rep").alias("near_duplicate_of"))
 
 
+def near_duplicates_without_cap(df: DataFrame, text_col: str = "sentence", threshold: float = 0.85) -> DataFrame:
+    """(row_index, near_duplicate_of) as ``greedy_near_duplicates`` gives them, but with every row of a block compared.
+
+    Rows of a block with equal shingles stand or fall together, so the first of them speaks for all. Links between
+    these come from MinHash bands inside the block (recall above 0.9999 at 0.85) and an exact check. Then all blocks are decided
+    at once, in rounds: a row whose earlier partners are all taken in represents, and its later partners are taken in, each
+    by the first representative it is linked to. No block is gathered in a task.
+    """
+    words = text.tokens(text.clean(F.col(text_col)), "alnum")
+    blocks = df.select("row_index", _block(words).alias("block"))
+    found = saved(minhash.described(df.withColumn(text_col, text.clean(F.col(text_col))), text_col).join(blocks, "row_index"), "described")
+    keys = ["block", "hi", "lo", "n"]
+    first = found.groupBy(*keys).agg(F.min("row_index").alias("head"), F.count("*").alias("copies"))
+    held = saved(found.select("row_index", *keys).join(first, keys).select("row_index", "head"), "heads")
+    heads = found.where("n > 0").join(held.where("row_index = head").select("row_index"), "row_index", "left_semi")
+    # bands are keyed with the block, so only rows of one block meet
+    sets = saved(heads.select(F.col("row_index").alias("representative"), "shingles", F.transform("bands", lambda k: F.xxhash64(k, F.col("block"))).alias("bands")), "sets")
+    tiles = max(1, -(-sets.count() // minhash.BLOCK))
+    links = minhash.compared(saved(minhash.candidates(sets), "candidates"), sets, threshold, tiles).select(F.col("row_index").alias("early"), F.col("other").alias("late"))
+    links = saved(links, "links")
+    taken, open_ = links.select("late").limit(0), links
+    while not open_.isEmpty():
+        # rows without an earlier partner represent; all that are linked to them are taken in
+        first_ones = open_.select("early").distinct().join(open_.select(F.col("late").alias("early")), "early", "left_anti")
+        now = saved(open_.join(first_ones, "early").select("late").distinct(), "taken")
+        taken = taken.unionByName(now)
+        rest = open_.join(first_ones, "early", "left_anti").join(now, "late", "left_anti")
+        open_ = saved(rest.join(now.withColumnRenamed("late", "early"), "early", "left_anti"), "open")
+    taken = saved(taken, "taken")
+    decided = links.join(taken, "late").join(taken.withColumnRenamed("late", "early"), "early", "left_anti").groupBy("late").agg(F.min("early").alias("by"))
+    out = held.join(decided, F.col("head") == F.col("late"), "left").withColumn("near_duplicate_of", F.coalesce("by", "head"))
+    return out.where("near_duplicate_of <> row_index").select("row_index", "near_duplicate_of")
+
+
 def account_hygiene(df: DataFrame, text_col: str = "sentence", user_col: str | None = None, month_col: str = "month", least: int = 5) -> DataFrame:
     """Per account and month of at least ``least`` rows: duplicate and promotion ratios and the flag.
 
@@ -140,15 +185,16 @@ def account_hygiene(df: DataFrame, text_col: str = "sentence", user_col: str | N
     return ratios.withColumn("hygiene_flag", F.when(F.col("dup_ratio") >= 0.8, "templated_posting").when(F.col("promo_ratio") >= 0.6, "bulk_promotional_behavior"))
 
 
-def dedup_funnel(df: DataFrame, text_col: str = "sentence", user_col: str | None = None, month_col: str = "month", threshold: float = 0.85, most: int = 200) -> DataFrame:
-    """Every row with ``removal_reason`` (null: kept) and ``duplicate_of``.
+def dedup_funnel(df: DataFrame, text_col: str = "sentence", user_col: str | None = None, month_col: str = "month", threshold: float = 0.85, most: int | None = 200) -> DataFrame:
+    """Every row with ``removal_reason`` (null: kept) and ``duplicate_of``; without ``most`` no block is cut short.
 
     Reposts, then exact duplicates (of any row), then near duplicates, then hygiene; each
     step sees what the earlier ones left, and the first removal counts.
     """
-    rows = exact_duplicates(df, text_col).drop("normalized_dedup")
+    rows = df.join(duplicate_ids(df, text_col), "row_index", "left")
     rows = rows.withColumn("reason", F.when(text.is_repost(text.clean(F.col(text_col))), "rt_or_qt").when(F.col("duplicate_of").isNotNull(), "exact_duplicate"))
-    near = greedy_near_duplicates(rows.where("reason is null"), text_col, threshold, most)
+    left = rows.where("reason is null")
+    near = greedy_near_duplicates(left, text_col, threshold, most) if most else near_duplicates_without_cap(left, text_col, threshold)
     rows = rows.join(near, "row_index", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("near_duplicate_of").isNotNull(), "near_duplicate")))
     user = account_column(df, user_col)
     if user is None:
@@ -160,6 +206,18 @@ def dedup_funnel(df: DataFrame, text_col: str = "sentence", user_col: str | None
     return flagged.select(*df.columns, F.coalesce("reason", "hygiene_flag").alias("removal_reason"), duplicate.alias("duplicate_of"))
 
 
+def removal_log(funnel: DataFrame, user_col: str | None = None, threshold: float = 0.85) -> DataFrame:
+    """The rows that a funnel removes: row_index, removal_reason, duplicate_of and notes on why."""
+    reason = F.col("removal_reason")
+    notes = F.when(reason == "rt_or_qt", "pattern match").when(reason == "exact_duplicate", "normalized text duplicate").when(reason == "near_duplicate", f"jaccard>={threshold}").otherwise(f"user_col={user_col}")
+    return funnel.where("removal_reason is not null").select("row_index", "removal_reason", "duplicate_of", notes.alias("notes"))
+
+
+def kept_and_audit(ruled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that pass the rules, and the audit relation of those that fail."""
+    return ruled.where("rule_filter_pass = 1"), ruled.where("rule_filter_pass = 0")
+
+
 def tagged_union(train: DataFrame | None = None, test: DataFrame | None = None, combined: DataFrame | None = None) -> DataFrame:
     """One relation of labelled rows with ``original_split``."""
     if combined is not None:
@@ -169,21 +227,51 @@ def tagged_union(train: DataFrame | None = None, test: DataFrame | None = None,
     return train.withColumn("original_split", F.lit("train")).unionByName(test.withColumn("original_split", F.lit("test")), allowMissingColumns=True)
 
 
+def city_pool(cities: int = 60) -> list[tuple[str, str, str]]:
+    """(city_id, continent, country) of made-up cities: equal shares for the continents in turn, their countries by turns; the rest by turns of both."""
+    lands, pool = list(lexicon.CITY_POOL.items()), []
+    each = max(1, cities // len(lands))
+    for k in range(cities):
+        (continent, countries), turn = (lands[k // each], k % each) if k < each * len(lands) else (lands[k % len(lands)], k)
+        country = countries[turn % len(countries)]
+        pool.append((f"SYN_{country}_CITY_{k + 1:03d}", continent, country))
+    return pool
+
+
+def _of_pool(place: Column, cities: int) -> dict[str, Column]:
+    pool = city_pool(cities)
+    return {name: F.get(F.array(*(F.lit(c[i]) for c in pool)), F.pmod(place, F.lit(len(pool))).cast("int")) for i, name in enumerate(("city_id", "continent", "country"))}
+
+
+def _pool_month(place: Column) -> Column:
+    """Twelve months from March 2022, over and over."""
+    return F.date_format(F.add_months(F.lit("2022-03-01").cast("date"), F.pmod(place, F.lit(12)).cast("int")), "yyyy-MM")
+
+
 def synthetic_metadata(df: DataFrame, cities: int = 60, seed: int = 42, overwrite: bool = True) -> DataFrame:
-    """City and month by round robin inside each label, in hash order.
+    """City and month by round robin inside each label, in the order of a digest of seed and row; flags that say so.
 
-    ``overwrite=False`` fills only columns that the input lacks.
+    ``overwrite=False`` fills only columns that the input lacks; a platform that is there is kept either way.
     """
-    order = Window.partitionBy("label", "slice").orderBy(F.xxhash64(F.lit(seed), "row_index"), "row_index")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_index").cast("string")).cast("binary"))
     # the round robin runs inside slices of a label, so no label is ordered in one task
-    place = df.withColumn("slice", F.pmod(F.xxhash64("row_index", F.lit(seed + 1)), F.lit(64))).withColumn("j", F.row_number().over(order) - 1 + F.col("slice"))
-    city = F.pmod("j", F.lit(cities))
+    place = df.withColumn("_digest", digest).withColumn("_slice", F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int") % 64)
+    order = Window.partitionBy("label", "_slice").orderBy("_digest", "row_index")
+    place = place.withColumn("_j", F.row_number().over(order) - 1 + F.col("_slice"))
     made = {
+        "sample_id": F.format_string("sample_%06d", F.col("row_index") + 1),
         "tweet_id": (F.col("row_index") + 100001).cast("string"),
-        "city_id": F.concat(F.lit("city_"), F.lpad((city + 1).cast("string"), 3, "0")),
-        "month": F.date_format(F.add_months(F.lit("2022-03-01").cast("date"), F.pmod(F.col("j") + F.col("label"), F.lit(12)).cast("int")), "yyyy-MM"),
+        **_of_pool(F.col("_j"), cities),
+        "month": _pool_month(F.col("_j") + F.col("label")),
+        "metadata_is_synthetic": F.lit(1),
+        "needs_metadata_backfill": F.lit(1),
+        "is_synthetic_example": F.lit(0),
+        "synthetic_example_type": F.lit(""),
     }
-    return place.withColumns({k: v for k, v in made.items() if overwrite or k not in df.columns}).drop("j", "slice")
+    made = {k: v for k, v in made.items() if overwrite or k not in df.columns}
+    if "source_platform" not in df.columns:
+        made["source_platform"] = F.lit("X")
+    return place.withColumns(made).drop("_digest", "_slice", "_j")
 
 
 #: Boundary cases of the rules, our own wording: (sentence, label, category).
@@ -208,9 +296,27 @@ def boundary_examples(spark, start_id: int = 900001) -> DataFrame:
     return spark.createDataFrame(rows, "row_index long, sentence string, label int, example_category string")
 
 
-def gold_labels(df: DataFrame, augment: bool = False, cities: int = 60, seed: int = 42) -> DataFrame:
-    """Labelled rows with synthetic metadata, boundary examples on request, preferred columns first."""
-    base = df.unionByName(boundary_examples(df.sparkSession).withColumn("original_split", F.lit("boundary")), allowMissingColumns=True) if augment else df
-    out = synthetic_metadata(base, cities, seed)
-    first = [c for c in ("tweet_id", "sentence", "label", "city_id", "month", "original_split", "example_category") if c in out.columns]
-    return out.select(*first, *(c for c in out.columns if c not in first))
+def gold_boundary_rows(spark, cities: int = 60, start_id: int = 900001) -> DataFrame:
+    """The boundary examples as rows of the gold table, with ids, places and months of their own."""
+    i = F.col("row_index") - start_id
+    made = {
+        "sample_id": F.format_string("synthetic_boundary_%03d", i + 1),
+        "tweet_id": F.col("row_index").cast("string"),
+        **_of_pool(i, cities),
+        "month": _pool_month(i),
+        "original_split": F.lit("synthetic_boundary"),
+        "source_platform": F.lit("X"),
+        "metadata_is_synthetic": F.lit(1),
+        "needs_metadata_backfill": F.lit(1),
+        "is_synthetic_example": F.lit(1),
+        "synthetic_example_type": F.col("example_category"),
+    }
+    return boundary_examples(spark, start_id).withColumns(made).select(*lexicon.GOLD_COLUMNS)
+
+
+def gold_labels(df: DataFrame, augment: bool = False, cities: int = 60, seed: int = 42, overwrite: bool = True) -> DataFrame:
+    """Labelled rows with synthetic metadata, boundary examples on request; the fourteen gold columns first, others behind."""
+    require(df, "row_index", "sentence", "label", "original_split")
+    out = synthetic_metadata(df, cities, seed, overwrite)
+    out = out.unionByName(gold_boundary_rows(df.sparkSession, cities), allowMissingColumns=True) if augment else out
+    return out.select(*lexicon.GOLD_COLUMNS, *(c for c in out.columns if c not in lexicon.GOLD_COLUMNS))

@@ -8,6 +8,8 @@ from thermalis.operators import exposure as ex
 from thermalis.plans import bindings as b
 from thermalis.plans.index_queries import POSTS
 from thermalis.plans.rounding import rounded
+from thermalis.sources.scratch import fresh_folder
+from thermalis.sources.workbook import register
 
 #: Perception threshold and classes that suit the bound panel.
 PERCEPTION, CLASSES = 50.0, ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "none"]
@@ -44,6 +46,14 @@ def winner_grid(s, d):
     return _grid(s, d)
 
 
+def winner_workbook(s, d):
+    """The winner grid, written as workbooks and read back."""
+    register(s)
+    grid, folder = _grid(s, d), fresh_folder(s, "winners")
+    grid.write.format("workbook").mode("append").save(folder)
+    return s.read.format("workbook").schema(grid.schema).load(folder)
+
+
 def winner_long(s, d):
     return rounded(ex.winner_long(_grid(s, d)))
 
@@ -92,7 +102,7 @@ def meta_pooled_rr(s, d):
     return rounded(ex.pooled_rr(ex.pool_effects(ex.joint_effects(ex.lag_basis(_rows(s, d, "all"))))), 4)
 
 
-QUERIES = {f.__name__: f for f in (heat_exposure, joint_exposure_counts, lag_basis, winner_grid, winner_long, winrate_rollup, winrate_annotation, ivw_pool, truncated_effects, figure5_rows, glm_model_comparison, joint_rr, meta_pooled_rr)}
+QUERIES = {f.__name__: f for f in (heat_exposure, joint_exposure_counts, lag_basis, winner_grid, winner_workbook, winner_long, winrate_rollup, winrate_annotation, ivw_pool, truncated_effects, figure5_rows, glm_model_comparison, joint_rr, meta_pooled_rr)}
 
 PANEL = (
     POSTS
@@ -127,6 +137,7 @@ ORACLE_SQL = {
     "lag_basis": f"""with {PANEL}, lg as (select city, class, {_LAG("heatday")} as t, {_LAG("percep")} as p, {", ".join(f"{_LAG(f'(comb_exp = {k})::int')} as c{k}" for k in (2, 3, 4))} from ex where warm_season = 1 window s as (partition by country, city, type, class order by date))
 select city, class, sum(t)::bigint as cb_temp, sum(p)::bigint as cb_perc, sum(c2)::bigint as cb2, sum(c3)::bigint as cb3, sum(c4)::bigint as cb4, count(t) as usable from lg group by all""",
     "winner_grid": f"with {GRID} select * from grid",
+    "winner_workbook": f"with {GRID} select * from grid",
     "winner_long": f"with {GRID}, lng as ({LONG}) select *, round(n * 100.0 / city_num::double, 6) as pct from lng",
     "winrate_rollup": f"with {GRID}{RATES} select type, n_pairs, {', '.join(f'n_{k}' for k in _F)}, {', '.join(f'round(pct_{k}, 6) as pct_{k}' for k in _F)} from rates",
     "winrate_annotation": f"with {GRID}{RATES} " + " union all ".join(f"select type, '{k}' as category, round(pct_{k}, 6) as pct, 'P ' || round(pct_P_either)::int || '% | S ' || round(pct_S_both)::int || '% | T ' || round(pct_T_either)::int || '%' as annotation from rates" for k in ("P_both", "P_QAIC_only", "P_R2_only", "S_both", "T_R2_only", "T_QAIC_only", "T_both")),

@@ -86,7 +86,32 @@ def gold_union(s, d):
 
 
 def gold_labels(s, d):
-    return tp.gold_labels(tp.tagged_union(combined=_labelled(s, d).select("row_index", "sentence", "label")), augment=True)
+    out = tp.gold_labels(tp.tagged_union(combined=_labelled(s, d).select("row_index", "sentence", "label")), augment=True)
+    return out.withColumn("sentence", F.sha2("sentence", 256))
+
+
+def near_dup_uncapped(s, d):
+    """As ``near_dup_greedy``, with every row of a block compared."""
+    return tp.near_duplicates_without_cap(b.tweets(s, d).select("row_index", F.col("text").alias("sentence")))
+
+
+def removal_log(s, d):
+    t = b.tweets(s, d).select("row_index", "author_id", "month", F.col("text").alias("sentence"))
+    return tp.removal_log(tp.dedup_funnel(t, user_col="author_id"), "author_id")
+
+
+def rule_audit(s, d):
+    """The rows that the rules remove, by decision, beside those that they keep."""
+    kept, audit = tp.kept_and_audit(tp.apply_rules(b.tweets(s, d)))
+    counted = lambda df, name: df.groupBy(F.lit(name).alias("relation"), "rule_filter_decision", "rule_filter_subcategory").agg(F.count("*").alias("n"), F.min("row_index").alias("first_row"))
+    return counted(kept, "kept").unionByName(counted(audit, "audit"))
+
+
+def hygiene_by_created_at(s, d):
+    """Account hygiene with months taken from a time stamp, some of which say nothing."""
+    stamp = F.when(F.col("row_index") % 11 == 0, "no date").when(F.col("row_index") % 7 > 0, F.concat("month", F.lit("-15 08:30:00")))
+    t = b.tweets(s, d).select("row_index", F.col("author_id").alias("username"), stamp.alias("created_at"), F.col("text").alias("sentence"))
+    return rounded(tp.account_hygiene(t))
 
 
 def overall_metrics(s, d):
@@ -132,7 +157,7 @@ def baseline_classifier(s, d):
     return rounded(ev.monthly_metrics(ev.cross_validate(t, "city_id", folds=3)))
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, candidate_retrieval, retrieval_reason_counts, rule_filter, rule_summary, exact_dedup, rt_qt_filter, promo_score, account_hygiene, shingle_jaccard_pairs, near_dup_greedy, dedup_funnel, gold_union, gold_labels, overall_metrics, monthly_metrics, classification_report, fold_summary, class_weights, monthly_positive_rate, audit_allocation, audit_sample, group_kfold, baseline_classifier)}
+QUERIES = {f.__name__: f for f in (normalize_text, candidate_retrieval, retrieval_reason_counts, rule_filter, rule_summary, exact_dedup, rt_qt_filter, promo_score, account_hygiene, shingle_jaccard_pairs, near_dup_greedy, near_dup_uncapped, dedup_funnel, removal_log, rule_audit, hygiene_by_created_at, gold_union, gold_labels, overall_metrics, monthly_metrics, classification_report, fold_summary, class_weights, monthly_positive_rate, audit_allocation, audit_sample, group_kfold, baseline_classifier)}
 
 _PHRASES = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in b.PHRASES) + "]"
 TWEETS = f"""tweets as (
@@ -179,6 +204,37 @@ per as (select class::varchar as class, coalesce(h / nullif(q, 0)::double, 0) as
 ALLOC = """n as (select month, continent as stratum, count(*) as n from pred group by all), tt as (select *, sum(n) over (partition by month) as total, least(20, sum(n) over (partition by month)) as target from n),
 sh as (select *, round_even(n / total::double * target, 0)::bigint as share from tt), df as (select *, target - sum(share) over (partition by month) as diff, row_number() over (partition by month order by n desc, stratum) - 1 as k, count(*) over (partition by month) as strata from sh)"""
 
+
+
+def _near(most: int | None = None) -> str:
+    """Greedy near duplicates of w0(row_index, t): a table ``near`` with each row's representative."""
+    return f"""w as (select row_index, regexp_extract_all(lower(trim(t)), '[{ALNUM}]+') as w from w0),
+n as (select row_index, length(array_to_string(w, ' ')) as n, array_to_string(w[1:4], ' ') || chr(1) || len(w) // 5 || chr(1) || length(array_to_string(w, ' ')) // 20 as block,
+  case when len(w) = 0 then [] else list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], ' '))) end as s from w),
+p as (select *, row_number() over (partition by block order by row_index) as k, count(*) over (partition by block) as many from n), x as (select * from p where many > 1{f" and k <= {most}" if most else ""}),
+r(block, k, row_index, rep, reps) as (
+  select block, 1::bigint, row_index, null::bigint, [{{'row_index': row_index, 'n': n, 's': s}}] from x where k = 1
+  union all select block, k, row_index, rep, case when rep is null then list_append(reps, {{'row_index': row_index, 'n': n, 's': s}}) else reps end from (
+    select x.block, x.k, x.row_index, x.n, x.s, r.reps, list_filter(r.reps, lambda q: abs(q.n - x.n) <= 40 and case when len(list_distinct(list_concat(q.s, x.s))) = 0 then 1 else len(list_intersect(q.s, x.s)) / len(list_distinct(list_concat(q.s, x.s)))::double end >= 0.85)[1].row_index as rep
+    from r join x on x.block = r.block and x.k = r.k + 1)),
+near as (select row_index, rep from r where rep is not null)"""
+
+
+#: Accounts of m(author_id, month, t): a table ``hygiene``.
+HYGIENE = f"""hx as (select author_id as account, month, {NORM.format(t="t", c=ALNUM)} as norm, {_any("t", lexicon.PROMOTION)}::int as promo from m),
+hy as (select *, (count(*) over (partition by account, month, norm) > 1)::int as rep from hx), hygiene as (select account, month, count(*) as posts, avg(rep) as dr, avg(promo) as pr, case when avg(rep) >= 0.8 then 'templated_posting' when avg(promo) >= 0.6 then 'bulk_promotional_behavior' end as hygiene_flag from hy group by all having count(*) >= 5)"""
+FUNNEL = f"""{TWEETS}, f0 as (select row_index, author_id, month, coalesce(text, 'nan') as t from tweets),
+f1 as (select *, {_any("trim(t)", lexicon.REPOSTS)} as repost, min(row_index) over (partition by {NORM.format(t="t", c=ALNUM)}) as first_row from f0),
+f2 as (select *, case when repost then 'rt_or_qt' when first_row < row_index then 'exact_duplicate' end as early from f1),
+w0 as (select row_index, t from f2 where early is null), {_near(200)},
+f3 as (select f2.*, near.rep, coalesce(early, case when near.rep is not null then 'near_duplicate' end) as reason from f2 left join near on f2.row_index = near.row_index),
+m as (select author_id, month, t from f3 where reason is null), {HYGIENE},
+final as (select f3.*, hygiene_flag from f3 left join hygiene on f3.author_id is not distinct from account and f3.month = hygiene.month)"""
+_LANDS = list(lexicon.CITY_POOL)
+#: City, continent and country of the k-th of 60 made-up cities, ten to a continent.
+_POOL = f"""'SYN_' || list_extract(list_extract([{", ".join("[" + ", ".join(f"'{c}'" for c in lexicon.CITY_POOL[n]) + "]" for n in _LANDS)}], (k // 10 + 1)::int), (k % 10 % 3 + 1)::int) || printf('_CITY_%03d', k + 1) as city_id, list_extract([{", ".join(f"'{n}'" for n in _LANDS)}], (k // 10 + 1)::int) as continent,
+  list_extract(list_extract([{", ".join("[" + ", ".join(f"'{c}'" for c in lexicon.CITY_POOL[n]) + "]" for n in _LANDS)}], (k // 10 + 1)::int), (k % 10 % 3 + 1)::int) as country"""
+
 ORACLE_SQL = {
     "normalize_text": f"with {TWEETS} select row_index, sha256({NORM.format(t='sentence', c=WORDS)}) as words_sha256, sha256({NORM.format(t='sentence', c=ALNUM)}) as alnum_sha256, len(regexp_extract_all(lower(trim(sentence)), '[{WORDS}]+'))::bigint as n_tokens from tweets",
     "candidate_retrieval": RETRIEVED
@@ -211,16 +267,23 @@ r(k, city_id, n, fold, loads) as (
   select 0::bigint, null::varchar, 0::bigint, 0::bigint, list_transform(range((select least(5, count(*)) from g)), lambda x: 0::bigint)
   union all select g.k, g.city_id, g.n, list_position(loads, list_min(loads)) - 1, list_transform(loads, lambda v, i: case when i = list_position(loads, list_min(loads)) then v + g.n else v end) from r join g on g.k = r.k + 1)
 select city_id, n, fold::int as fold from r where k > 0""",
-    "near_dup_greedy": f"""with recursive w as (select doc_id as row_index, regexp_extract_all(lower(trim(coalesce(text, 'nan'))), '[{ALNUM}]+') as w from documents where doc_id is not null),
-n as (select row_index, length(array_to_string(w, ' ')) as n, array_to_string(w[1:4], ' ') || chr(1) || len(w) // 5 || chr(1) || length(array_to_string(w, ' ')) // 20 as block,
-  case when len(w) = 0 then [] else list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], ' '))) end as s from w),
-p as (select *, row_number() over (partition by block order by row_index) as k, count(*) over (partition by block) as many from n), x as (select * from p where many > 1 and k <= 200),
-r(block, k, row_index, rep, reps) as (
-  select block, 1::bigint, row_index, null::bigint, [{{'row_index': row_index, 'n': n, 's': s}}] from x where k = 1
-  union all select block, k, row_index, rep, case when rep is null then list_append(reps, {{'row_index': row_index, 'n': n, 's': s}}) else reps end from (
-    select x.block, x.k, x.row_index, x.n, x.s, r.reps, list_filter(r.reps, lambda q: abs(q.n - x.n) <= 40 and case when len(list_distinct(list_concat(q.s, x.s))) = 0 then 1 else len(list_intersect(q.s, x.s)) / len(list_distinct(list_concat(q.s, x.s)))::double end >= 0.85)[1].row_index as rep
-    from r join x on x.block = r.block and x.k = r.k + 1))
-select row_index, rep as near_duplicate_of from r where rep is not null""",
+    "near_dup_greedy": f"with recursive w0 as (select doc_id as row_index, coalesce(text, 'nan') as t from documents where doc_id is not null), {_near(200)} select row_index, rep as near_duplicate_of from near",
+    "near_dup_uncapped": f"with recursive w0 as (select doc_id as row_index, coalesce(text, 'nan') as t from documents where doc_id is not null), {_near()} select row_index, rep as near_duplicate_of from near",
+    "dedup_funnel": f"with recursive {FUNNEL} select row_index, coalesce(reason, hygiene_flag) as removal_reason, case when reason = 'exact_duplicate' then first_row when reason = 'near_duplicate' then rep end as duplicate_of from final",
+    "removal_log": f"""with recursive {FUNNEL} select row_index, coalesce(reason, hygiene_flag) as removal_reason, case when reason = 'exact_duplicate' then first_row when reason = 'near_duplicate' then rep end as duplicate_of,
+  case reason when 'rt_or_qt' then 'pattern match' when 'exact_duplicate' then 'normalized text duplicate' when 'near_duplicate' then 'jaccard>=0.85' else 'user_col=author_id' end as notes from final where coalesce(reason, hygiene_flag) is not null""",
+    "rule_audit": RULED + " select case when rule_filter_pass = 1 then 'kept' else 'audit' end as relation, rule_filter_decision, rule_filter_subcategory, count(*) as n, min(row_index) as first_row from d group by all",
+    "hygiene_by_created_at": f"with {TWEETS}, m as (select author_id, case when row_index % 11 <> 0 and row_index % 7 > 0 then month else 'unknown' end as month, coalesce(text, 'nan') as t from tweets), {HYGIENE} select account, month, posts, round(dr, 6) as dup_ratio, round(pr, 6) as promo_ratio, hygiene_flag from hygiene",
+    "gold_labels": f"""with {PRED}, pool as (select k, {_POOL} from range(60) p(k)),
+x as (select t.row_index, t.sentence, quality as label, md5('42:' || t.row_index) as h from tweets t join labels l on t.row_index = l.doc_id),
+y as (select *, ('0x' || substr(h, 1, 2))::int % 64 as s from x), z as (select *, row_number() over (partition by label, s order by h, row_index) - 1 + s as j from y),
+o as (select sample_id, sentence, label, i from (select unnest([{", ".join(f"{{'s': '{_q(t)}', 'l': {y}, 'c': '{c}'}}" for t, y, c in tp.BOUNDARY_EXAMPLES)}]) as e, unnest(range({len(tp.BOUNDARY_EXAMPLES)})) as i) q, lateral (select e.c as sample_id, e.s as sentence, e.l as label))
+select printf('sample_%06d', row_index + 1) as sample_id, (row_index + 100001)::varchar as tweet_id, sha256(sentence) as sentence, label::int as label, city_id, continent, country, strftime(date '2022-03-01' + to_months(((j + label) % 12)::int), '%Y-%m') as month,
+  'combined' as original_split, 'X' as source_platform, 1 as metadata_is_synthetic, 1 as needs_metadata_backfill, 0 as is_synthetic_example, '' as synthetic_example_type, row_index from z join pool on k = j % 60
+union all select printf('synthetic_boundary_%03d', i + 1), (900001 + i)::varchar, sha256(sentence), label, city_id, continent, country, strftime(date '2022-03-01' + to_months(i::int), '%Y-%m'), 'synthetic_boundary', 'X', 1, 1, 1, sample_id, null from o join pool on k = i""",
+    "audit_sample": f"""with {PRED}, {ALLOC}, take as (select month, stratum, least(n, greatest(0, share + sign(diff) * (abs(diff) // strata + (k < abs(diff) % strata)::int)))::bigint as n_take from df),
+r as (select pred.*, n_take, row_number() over (partition by pred.month, continent order by md5('42:' || row_index), row_index) as r from pred join take on pred.month = take.month and continent = stratum)
+select row_index, continent, month, label, pred_label, '' as manual_label, '' as manual_review_notes, 'pending' as audit_status from r where r <= n_take""",
     "class_weights": f"with {PRED}, k as (select label, count(*) as n_class from pred group by label) select label, n_class, round((select count(*) from pred) / ((select count(*) from k) * n_class)::double, 6) as class_weight from k",
     "monthly_positive_rate": f"with {PRED} select month, count(*) as n, round(avg(label), 6) as positive_rate from pred group by month",
     "audit_allocation": f"""with {PRED}, {ALLOC} select month, stratum, n, least(n, greatest(0, share + sign(diff) * (abs(diff) // strata + (k < abs(diff) % strata)::int)))::bigint as n_take from df""",
