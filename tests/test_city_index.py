@@ -111,3 +111,41 @@ def test_typology_without_summer(spark):
     days = ix.city_day(posts(spark, rows))
     r = ix.typology(ix.with_levels(ix.seasonal(days)), ix.monthly(days)).first()
     assert (r.peak_season, r.counter_seasonal_label, r.peak_total_coincide) == ("Winter", "Both", 1)
+
+
+def plain_breaks(values, classes=7):
+    """Boundaries by trying every start of every class."""
+    x = np.sort(np.asarray(values, float))
+    n, k = len(x), max(2, min(classes, len(x)))
+    s1, s2 = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
+    cost, start = np.full((k + 1, n + 1), np.inf), np.ones((k + 1, n + 1), int)
+    cost[1, 1:], cost[1:, 1] = s2[1:] - s1[1:] ** 2 / np.arange(1, n + 1), 0.0
+    for j in range(2, k + 1):
+        for end in range(2, n + 1):
+            for first in range(2, end + 1):
+                c = s2[end] - s2[first - 1] - (s1[end] - s1[first - 1]) ** 2 / (end - first + 1) + cost[j - 1, first - 1]
+                if c < cost[j, end]:
+                    cost[j, end], start[j, end] = c, first
+    return cost[k, n], k
+
+
+def spread(x, breaks):
+    """Squared deviation of the classes that breaks cut a sorted array into; a class ends with its break."""
+    x, total, low = np.sort(np.asarray(x, float)), 0.0, -np.inf
+    for b in breaks[1:]:
+        part = x[(x > low) & (x <= b)]
+        total, low = total + (((part - part.mean()) ** 2).sum() if len(part) else 0.0), b
+    return total
+
+
+def test_breaks_are_the_best_ones():
+    rng = np.random.default_rng(5)
+    for i in range(60):
+        x = rng.integers(0, 12, rng.integers(3, 40)).astype(float) if i % 2 else rng.gamma(2, 3, rng.integers(3, 40))
+        if x.min() == x.max():
+            continue
+        best, k = plain_breaks(x)
+        got = ix.natural_breaks(x)
+        assert got == sorted(got) and got[0] == x.min() and got[-1] == x.max() and len(got) == k + 1
+        assert spread(x, got) <= best + 1e-7 * max(1.0, best)
+    assert len(ix.natural_breaks(rng.normal(size=50_000))) == 8

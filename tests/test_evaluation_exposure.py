@@ -131,3 +131,30 @@ def test_streaming_city_day(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.city, str(r.date), r.heat_posts, r.observed_posts) for r in spark.table("days").collect()] == [("a", "2024-01-01", 1, 2)]
+
+
+def test_labels_and_their_order(spark):
+    df = spark.createDataFrame([("MEXICO CITY", "zz"), ("Sao Paulo", "male"), ("são paulo", "A"), ("Lima", "all-cause"), ("Lima", "B")], "city string, class string")
+    out = ex.in_order(df.withColumn("class", ex.recoded(F.col("class"), {"male": "Male", "all-cause": "All-cause"})), "class", ["All-cause", "Female", "Male"], "place")
+    assert {r["class"]: r.place for r in out.collect()} == {"All-cause": 1, "Male": 2, "A": 3, "B": 4, "zz": 5}
+    assert {r.c for r in df.select(ex.city_label(F.col("city")).alias("c")).collect()} == {"Mexico City", "São Paulo", "Lima"}
+    assert df.select(ex.short_case(F.lit("Category 3")).alias("c")).first().c == "Cat3"
+    kinds = spark.createDataFrame([("Hospitlization",), ("other",)], "type string").select(ex.outcome_label().alias("o"))
+    assert [r.o for r in kinds.collect()] == ["Hospitalization", "other"]
+
+
+def test_subgroup_table(spark):
+    df = spark.createDataFrame([("Death", "male", 1.0), ("Death", "B", 2.0), ("Hospitlization", "male", 3.0)], "type string, class string, rr double")
+    assert sorted((r["class"], r.class_place) for r in ex.subgroup_table(df).collect()) == [("B", 2), ("Male", 1)]
+
+
+def test_row_index_and_dates_in_ranges(spark, monkeypatch):
+    from thermalis.functions import calendar
+
+    monkeypatch.setattr(calendar, "RANGE", 3)
+    df = tables.with_row_index(spark.range(40).selectExpr("39 - id as k", "if(id % 3 = 0, null, 'c') as city", "'2022-05' as month"), "k")
+    assert [(r.k, r.row_index) for r in df.orderBy("k").collect()] == [(k, k) for k in range(40)]
+    got = {(r.city, r.row_index): r.date.day for r in calendar.with_dates(df).collect()}
+    for city in (None, "c"):
+        own = sorted(k for c, k in got if c == city)
+        assert [got[city, k] for k in own] == [i % 28 + 1 for i in range(len(own))]

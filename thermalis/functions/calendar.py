@@ -41,6 +41,10 @@ def with_calendar(df: DataFrame, date: str = "date", side: str = "hemisphere") -
     return out.withColumns({"year": F.year(date), "month_num": F.month(date), "month": F.date_format(date, "yyyy-MM"), "season": season(F.month(date), F.col(side))})
 
 
+#: Row numbers in a range of ``with_dates``.
+RANGE = 1 << 16
+
+
 def with_dates(df: DataFrame, city: str = "city", date: str = "date", month: str = "month", start_year: int = 2022, start_month: int = 3) -> DataFrame:
     """Parsed dates if any parses; else the month (and year) with days dealt out in row order.
 
@@ -62,5 +66,13 @@ def with_dates(df: DataFrame, city: str = "city", date: str = "date", month: str
         k = F.lit(start_month - 1) + F.pmod(F.col("row_index"), F.lit(12))
         year, number = (F.lit(start_year) + F.floor(k / 12)).cast("int"), (F.pmod(k, F.lit(12)) + 1).cast("int")
     dated = df.withColumns({"_y": year, "_m": number})
-    place = F.row_number().over(Window.partitionBy(city, "_y", "_m").orderBy("row_index")) - 1
-    return dated.withColumn(date, F.make_date("_y", "_m", (place % 28 + 1).cast("int"))).withColumn("date_is_synthetic", F.lit(1)).drop("_y", "_m")
+    # a city's month is counted in ranges of rows, so that no window holds more than a range
+    keys = [F.col(city).alias("_c"), "_y", "_m", F.floor(F.col("row_index") / RANGE).alias("_r")]
+    ranges = dated.groupBy(*keys).agg(F.count("*").alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("_c", "_y", "_m").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(F.struct("_c", "_y", "_m", "_r").alias("_k"), earlier.alias("_before"))
+    dated = dated.withColumn("_k", F.struct(*keys)).join(ranges, "_k")  # structs meet nulls
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_k").orderBy("row_index")) - 1
+    dated = dated.withColumn("_place", place)
+    place = F.col("_place")
+    return dated.withColumn(date, F.make_date("_y", "_m", (place % 28 + 1).cast("int"))).withColumn("date_is_synthetic", F.lit(1)).drop("_y", "_m", "_k", "_before", "_place")

@@ -113,5 +113,14 @@ GOLD_COLUMNS = [
     "sample_id", "tweet_id", "sentence", "label", "city_id", "continent", "country", "month", "original_split", "source_platform",
     "metadata_is_synthetic", "needs_metadata_backfill", "is_synthetic_example", "synthetic_example_type",
 ]
+CLASS_NAMES = {"all-cause": "All-cause", "age0_69": "Age 0-69", "age70_": "Age 70+", "female": "Female", "male": "Male"}
+CITY_NAMES = {
+    "mexico city": "Mexico City",
+    "puerto vallarta": "Puerto Vallarta",
+    "playa del carmen": "Playa del Carmen (b)",
+    "porto alegre": "Porto Alegre",
+    "rio de janeiro": "Rio de Janeiro",
+}
+OUTCOME_LABELS = {"Death": "Death", "Hospitlization": "Hospitalization", "Emergency department visit": "Emergency\ndept. visits"}
 OUTCOME_TYPES = {"Death": "Death", "Hospitalization": "Hospitlization", "ED": "Emergency department visit"}
 # End of fixed values.

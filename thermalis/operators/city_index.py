@@ -163,6 +163,40 @@ def seasonal(days: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
     return out.join(peaks, ["city", "season"], "left").join(variability(days, cfg), keys, "left")
 
 
+def _next_class(s1: np.ndarray, s2: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least cost, first element of the last class) up to each element, given the costs with one class less.
+
+    The best start never moves back as the end moves on, so the ends are halved again and again: each
+    level looks only between the starts found beside it, all of a level's ends at once.
+    """
+    n = len(cost) - 1
+    out, start = np.full(n + 1, np.inf), np.ones(n + 1, int)
+    out[1] = 0.0
+    step = 1 << max(0, (n - 1).bit_length())
+    done = np.zeros(n + 2, bool)
+    while step:
+        ends = np.arange(step + 1, n + 1, 2 * step) if step > 1 or n > 1 else np.zeros(0, int)
+        ends = ends[(ends >= 2) & ~done[ends]]
+        if len(ends):
+            left, right = ends - step, ends + step
+            lo = np.where((left >= 2) & done[np.maximum(left, 0)], start[np.maximum(left, 0)], 2)
+            inside = right <= n
+            hi = np.where(inside & done[np.minimum(right, n)], start[np.minimum(right, n)], ends)
+            lo, hi = np.maximum(lo, 2), np.minimum(hi, ends)
+            size = np.maximum(hi - lo, 0) + 1
+            at = np.cumsum(size) - size
+            first = np.arange(size.sum()) - np.repeat(at, size) + np.repeat(lo, size)
+            end = np.repeat(ends, size)
+            total = s2[end] - s2[first - 1] - (s1[end] - s1[first - 1]) ** 2 / (end - first + 1) + cost[first - 1]
+            best = np.minimum.reduceat(total, at)
+            hit = np.flatnonzero(total == np.repeat(best, size))
+            which = np.searchsorted(at, hit, side="right") - 1
+            _, earliest = np.unique(which, return_index=True)
+            out[ends], start[ends], done[ends] = best, first[hit[earliest]], True
+        step //= 2
+    return out, start
+
+
 def natural_breaks(values: np.ndarray, classes: int = 7) -> list[float]:
     """Boundaries of the partition into classes of least squared deviation, first and last included.
 
@@ -177,22 +211,15 @@ def natural_breaks(values: np.ndarray, classes: int = 7) -> list[float]:
         return [float(x[0])] * (classes + 1)
     k = max(2, min(classes, n))
     s1, s2 = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
-    cost = np.full((k + 1, n + 1), np.inf)
-    start = np.ones((k + 1, n + 1), int)
-    m = np.arange(1, n + 1)
-    cost[1, 1:] = s2[1:] - s1[1:] ** 2 / m
-    cost[1:, 1] = 0.0
-    for j in range(2, k + 1):
-        for end in range(2, n + 1):
-            first = np.arange(2, end + 1)  # first element of the last class
-            own = s2[end] - s2[first - 1] - (s1[end] - s1[first - 1]) ** 2 / (end - first + 1)
-            total = own + cost[j - 1, first - 1]
-            best = int(np.argmin(total))
-            cost[j, end], start[j, end] = total[best], first[best]
+    cost = np.concatenate([[np.inf], s2[1:] - s1[1:] ** 2 / np.arange(1, n + 1)])
+    starts = [np.ones(n + 1, int)]
+    for _ in range(2, k + 1):
+        cost, start = _next_class(s1, s2, cost)
+        starts.append(start)
     breaks, end = [float(x[-1])], n
     for j in range(k, 1, -1):
-        breaks.append(float(x[max(0, start[j, end] - 2)]))
-        end = start[j, end] - 1
+        breaks.append(float(x[max(0, starts[j - 1][end] - 2)]))
+        end = starts[j - 1][end] - 1
     return [float(x[0]), *reversed(breaks)] if len(breaks) == k else breaks
 
 

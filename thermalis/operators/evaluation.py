@@ -59,24 +59,31 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def group_folds(df: DataFrame, group: str = "city_id", folds: int = 5) -> DataFrame:
-    """(group, n, fold): groups by size descending (then name) go to the lightest fold.
+    """(group, n, fold): groups by size descending (then name) go to the lightest fold, of equals to the first.
 
-    The number of groups is small beside the rows; their sizes are combined before the
-    shuffle and only (size, name) pairs meet.
+    The sizes are combined before the shuffle; then one row for each group streams past a heap of the folds' loads.
+    Fewer than two groups are an error.
     """
     sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
-    packed = sizes.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus"), F.col(group).alias("g")))).alias("xs"))
-    k = F.least(F.lit(folds), F.size("xs"))
-    checked = F.when(k >= 2, F.col("xs")).otherwise(F.raise_error(F.lit("grouped folds need two groups")))
-    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), F.least(F.lit(folds), F.size("xs"))).alias("load"), F.array().cast(f"array<struct<g:{df.schema[group].dataType.simpleString()},n:bigint,fold:int>>").alias("out"))
-
-    def step(acc, x):
-        at = F.array_position(acc["load"], F.array_min(acc["load"])).cast("int")
-        load = F.transform(acc["load"], lambda v, i: F.when(i == at - 1, v - x["minus"]).otherwise(v))
-        return F.struct(load.alias("load"), F.concat(acc["out"], F.array(F.struct(x["g"].alias("g"), (-x["minus"]).alias("n"), (at - 1).alias("fold")))).alias("out"))
-
-    done = packed.select(F.explode(F.aggregate(checked, start, step, lambda acc: acc["out"])).alias("o"))
-    return done.select(F.col("o.g").alias(group), F.col("o.n").alias("n"), F.col("o.fold").alias("fold"))
+
+    def deal(batches):
+        import heapq
+
+        heap, seen = [(0, k) for k in range(folds)], 0
+        for b in batches:
+            placed = []
+            for n in b["n"]:
+                load, fold = heap[0]
+                heapq.heapreplace(heap, (load + int(n), fold))
+                placed.append(fold)
+            seen += len(placed)
+            b["fold"] = placed
+            yield b
+        if min(seen, folds) < 2:
+            raise ValueError("grouped folds need two groups")
+
+    kind = df.schema[group].dataType.simpleString()
+    return sizes.repartition(1).sortWithinPartitions(F.desc("n"), group).mapInPandas(deal, f"`{group}` {kind}, n long, fold int")
 
 
 def audit_allocation(df: DataFrame, month: str = "month", stratum: str = "continent", per_month: int = 500) -> DataFrame:

@@ -335,7 +335,7 @@ def forest_rows(city_rr: DataFrame, pooled: DataFrame, positions: dict[str, floa
     """City, pooled and combined rows of cases 2-4 with labels and plot positions; rows without a position go."""
     code = F.when(F.col("case") == CASES[1], "Cat2").when(F.col("case") == CASES[2], "Cat3").when(F.col("case") == CASES[3], "Cat4")
     cols = ["row_label", "case", "rr", "rrlow", "rrhigh", "is_pooled", "is_combined"]
-    city = city_rr.select(F.col("city").alias("row_label"), "case", "rr", "rrlow", "rrhigh", F.lit(False).alias("is_pooled"), F.lit(False).alias("is_combined"))
+    city = city_rr.select(city_label(F.col("city")).alias("row_label"), "case", "rr", "rrlow", "rrhigh", F.lit(False).alias("is_pooled"), F.lit(False).alias("is_combined"))
     pool = pooled.select(F.concat(F.lit("Pooled: "), "type").alias("row_label"), "case", "rr", "rrlow", "rrhigh", F.lit(True).alias("is_pooled"), F.lit(False).alias("is_combined"))
     both = inverse_variance_pool(pooled.where(F.col("case") == CASES[3]), ["case"]).select(F.lit("Combined").alias("row_label"), "case", "rr", "rrlow", "rrhigh", F.lit(True).alias("is_pooled"), F.lit(True).alias("is_combined"))
     rows = city.select(cols).unionByName(pool.select(cols)).unionByName(both.select(cols)).withColumn("cat", code).where("cat is not null")
@@ -345,7 +345,49 @@ def forest_rows(city_rr: DataFrame, pooled: DataFrame, positions: dict[str, floa
     return rows.withColumns({"y_plot": F.col("y_center") + shift, "rr_hi_p": F.least("rrhigh", F.lit(cap)), "trunc": F.col("rrhigh") > cap})
 
 
-def outcome_label(kind: str = "type"):
-    """The stored type codes under their display names."""
-    names = F.create_map(*(F.lit(x) for k, v in lexicon.OUTCOME_TYPES.items() for x in (v, k)))
-    return F.coalesce(names[F.col(kind)], F.col(kind))
+def recoded(column: Column, names: dict[str, str]) -> Column:
+    """A column under other names; what has none keeps its own."""
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.coalesce(table[column], column)
+
+
+def outcome_label(kind: str = "type") -> Column:
+    """The stored type codes under the names that inputs use."""
+    return recoded(F.col(kind), {v: k for k, v in lexicon.OUTCOME_TYPES.items()})
+
+
+def city_label(city: Column) -> Column:
+    """Display name of a city, whatever its case; every spelling of São Paulo is one."""
+    known = F.coalesce(F.create_map(*(F.lit(x) for pair in lexicon.CITY_NAMES.items() for x in pair))[F.lower(city)], city)
+    return F.when(known.rlike("(?i)paulo"), "São Paulo").otherwise(known)
+
+
+def short_case(case: Column) -> Column:
+    """``Category 2`` as ``Cat2``."""
+    return F.regexp_replace(case, "^Category ", "Cat")
+
+
+def in_order(df: DataFrame, column: str, first: list[str], out: str) -> DataFrame:
+    """``out``: place of each label among those that occur, ``first`` ones in their order, then the others by name.
+
+    The labels of a figure are few; they are gathered as one small array.
+    """
+    labels = df.agg(F.collect_set(column).alias("_labels"))
+    named = F.array(*map(F.lit, first))
+    levels = F.concat(F.filter(named, lambda x: F.array_contains("_labels", x)), F.array_sort(F.array_except("_labels", named)))
+    return df.crossJoin(F.broadcast(labels.select(levels.alias("_levels")))).withColumn(out, F.array_position("_levels", F.col(column)).cast("int")).drop("_levels")  # one row
+
+
+def supplement_bars(grid: DataFrame) -> DataFrame:
+    """Shares of the nine winners by outcome and class, under display names, with the places of bars and fills."""
+    rows = winner_long(grid.where("city_num > 0")).where("pct is not null")
+    rows = rows.withColumn("outcome", recoded(F.col("type"), lexicon.OUTCOME_LABELS)).withColumn("class", recoded(F.col("class"), lexicon.CLASS_NAMES))
+    rows = in_order(rows, "class", list(lexicon.CLASS_NAMES.values()), "class_place")
+    outcomes = F.array(*map(F.lit, lexicon.OUTCOME_LABELS.values()))
+    return rows.withColumn("fill_place", F.array_position(F.array(*map(F.lit, WINNERS)), F.col("winner")).cast("int")).withColumn("outcome_place", F.array_position(outcomes, F.col("outcome")).cast("int")).drop("type")
+
+
+def subgroup_table(pooled: DataFrame, kind: str = "Death") -> DataFrame:
+    """Pooled rows of one outcome by class, under display names and in the order of figures."""
+    rows = pooled.where(F.col("type") == kind).withColumn("class", recoded(F.col("class"), lexicon.CLASS_NAMES))
+    return in_order(rows, "class", list(lexicon.CLASS_NAMES.values()), "class_place")

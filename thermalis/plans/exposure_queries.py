@@ -58,6 +58,19 @@ def winner_long(s, d):
     return rounded(ex.winner_long(_grid(s, d)))
 
 
+def supplement_bars(s, d):
+    """The winner grid's shares as a figure shows them; two classes under names that figures know."""
+    known = ex.recoded(F.col("class"), {"MACHINERY": "male", "BUILDING": "all-cause"})
+    out = ex.supplement_bars(_grid(s, d).withColumn("class", known))
+    return rounded(out.withColumn("outcome", F.regexp_replace("outcome", "\n", " ")))
+
+
+def excluded_city(s, d):
+    """Exposure levels without one city, whose rows take no part in any quantile either."""
+    rows = ex.exposures(b.panel(s, d), "all", perception=PERCEPTION, excluded="NATION_3")
+    return rows.groupBy("city", "comb_exp").agg(F.count("*").alias("n"))
+
+
 def winrate_rollup(s, d):
     return rounded(ex.win_rates(_grid(s, d)))
 
@@ -102,7 +115,7 @@ def meta_pooled_rr(s, d):
     return rounded(ex.pooled_rr(ex.pool_effects(ex.joint_effects(ex.lag_basis(_rows(s, d, "all"))))), 4)
 
 
-QUERIES = {f.__name__: f for f in (heat_exposure, joint_exposure_counts, lag_basis, winner_grid, winner_workbook, winner_long, winrate_rollup, winrate_annotation, ivw_pool, truncated_effects, figure5_rows, glm_model_comparison, joint_rr, meta_pooled_rr)}
+QUERIES = {f.__name__: f for f in (heat_exposure, joint_exposure_counts, lag_basis, winner_grid, winner_workbook, winner_long, supplement_bars, excluded_city, winrate_rollup, winrate_annotation, ivw_pool, truncated_effects, figure5_rows, glm_model_comparison, joint_rr, meta_pooled_rr)}
 
 PANEL = (
     POSTS
@@ -139,6 +152,11 @@ select city, class, sum(t)::bigint as cb_temp, sum(p)::bigint as cb_perc, sum(c2
     "winner_grid": f"with {GRID} select * from grid",
     "winner_workbook": f"with {GRID} select * from grid",
     "winner_long": f"with {GRID}, lng as ({LONG}) select *, round(n * 100.0 / city_num::double, 6) as pct from lng",
+    "supplement_bars": f"""with {GRID}, named as (select * replace (case class when 'MACHINERY' then 'Male' when 'BUILDING' then 'All-cause' else class end as class) from grid where city_num > 0), lng as ({LONG.replace(" from grid", " from named")}),
+seen as (select class, row_number() over (order by coalesce(list_position(['All-cause', 'Age 0-69', 'Age 70+', 'Female', 'Male'], class), 9), class)::int as class_place from (select distinct class from named))
+select l.class, city_num, winner, n, round(n * 100.0 / city_num::double, 6) as pct, case type when 'Hospitlization' then 'Hospitalization' when 'Emergency department visit' then 'Emergency dept. visits' else type end as outcome, class_place,
+  list_position([{", ".join(f"'{x}'" for x in ex.WINNERS)}], winner)::int as fill_place, list_position(['Death', 'Hospitlization', 'Emergency department visit'], type)::int as outcome_place from lng l join seen on l.class = seen.class""",
+    "excluded_city": f"with {PANEL} select city, comb_exp, count(*) as n from ex where city <> 'NATION_3' group by all",
     "winrate_rollup": f"with {GRID}{RATES} select type, n_pairs, {', '.join(f'n_{k}' for k in _F)}, {', '.join(f'round(pct_{k}, 6) as pct_{k}' for k in _F)} from rates",
     "winrate_annotation": f"with {GRID}{RATES} " + " union all ".join(f"select type, '{k}' as category, round(pct_{k}, 6) as pct, 'P ' || round(pct_P_either)::int || '% | S ' || round(pct_S_both)::int || '% | T ' || round(pct_T_either)::int || '%' as annotation from rates" for k in ("P_both", "P_QAIC_only", "P_R2_only", "S_both", "T_R2_only", "T_QAIC_only", "T_both")),
     "ivw_pool": f"with {EFFECTS}, w as (select class, sum({_W} * ln(rr)) / sum({_W}) as m, sqrt(1 / sum({_W})) as s, count(*) as n from eff group by class) select class, n, round(exp(m), 6) as rr, round(exp(m - 1.96 * s), 6) as rrlow, round(exp(m + 1.96 * s), 6) as rrhigh from w",

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType, StructType
 
+from thermalis.sources.scratch import saved
+
 #: Tokens that count as missing in delimited text.
 MISSING = ["", "#N/A", "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null", "None"]
 
@@ -38,11 +40,11 @@ def resolve(df: DataFrame, required: list[str] = (), defaults: dict | None = Non
 
 
 def with_row_index(df: DataFrame, *keys: str) -> DataFrame:
-    """A stable ``row_index`` from the order of ``keys``: ranks inside hash-free ranges plus the ranges' offsets.
+    """A stable ``row_index`` from the order of ``keys``: ranks inside ranges plus the ranges' offsets.
 
-    Only one count for each range reaches the driver.
+    The ordered rows are written once, so a lost executor cannot renumber ties. Only one count for each range reaches the driver.
     """
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).persist()
+    ranged = saved(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_at", 33)
     sizes = sorted((r["p"], r["n"]) for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     offset, start = [], 0
