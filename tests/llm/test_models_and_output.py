@@ -128,7 +128,7 @@ def brute_matches(doc, items, n=5, threshold=0.8):
     for k, item in enumerate(items):
         w = item.lower().split()
         if len(w) < n:
-            if w and w == d:
+            if w and any(d[a : a + len(w)] == w for a in range(len(d) - len(w) + 1)):
                 out.add(k)
             continue
         size = min(len(w), len(d))
@@ -144,7 +144,7 @@ def brute_matches(doc, items, n=5, threshold=0.8):
 def test_contamination_equals_brute_force(spark):
     rng = random.Random(12)
     vocabulary = ["".join(rng.choices("abcdef", k=3)) for _ in range(60)]
-    items = [" ".join(rng.choices(vocabulary, k=rng.randint(5, 40))) for _ in range(25)] + ["ab cd", "", None, "ab cd", "x " * 30]
+    items = [" ".join(rng.choices(vocabulary, k=rng.randint(5, 40))) for _ in range(25)] + ["ab cd", "", None, "ab cd", "x " * 30, "one two three FOUR", "lonely"]
     docs = []
     for _ in range(150):
         body = rng.choices(vocabulary, k=rng.randint(0, 120))
@@ -157,7 +157,7 @@ def test_contamination_equals_brute_force(spark):
             k = rng.randint(0, len(body))
             body[k:k] = leak
         docs.append("\n".join(body))
-    docs += [None, "", "ab cd", "AB  cd", "ab cd e", "x " * 29, "w " * 20000]
+    docs += [None, "", "ab cd", "AB  cd", "ab cd e", "x " * 29, "w " * 20000, "zero one two three four five six seven", "one two three", "lonely " * 50, "ab", "cd", "w lonely"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = {(i, k) for i, t in enumerate(docs) for k in brute_matches(t or "", [x or "" for x in items])}
@@ -165,6 +165,8 @@ def test_contamination_equals_brute_force(spark):
     for part_bytes in (1 << 24, 400):
         rows = decontaminate.find_contamination(df, bench, part_bytes=part_bytes).collect()
         assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
+        place = {(r.doc_id, r.item_id): (r.first_word, r.n_words) for r in rows}
+        assert place[len(docs) - 6, len(items) - 2] == (1, 4) and place[len(docs) - 1, len(items) - 1] == (1, 1)
     assert decontaminate.find_contamination(df.limit(0), bench).count() == 0
     assert decontaminate.find_contamination(df, bench.limit(0)).count() == 0
 

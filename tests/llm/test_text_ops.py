@@ -89,14 +89,14 @@ def brute_rule(host, path, rules):
     return max(fits)[3:] if fits else (None, "allow")
 
 
-URLS = [None, "", "no scheme", "http://", "http://Example.COM/en/7?x#y", "https://a.example.com/en/71", "https://notexample.com/en/7", "x://com/en/", "x://example.net/de/8#", "x://org", "x://.com/en/", "x://a..net/de/", "a://b://c/d", "x://www.example.net:80/de/8", "x://b.org/es/\nq"]
+URLS = [None, "", "no scheme", "http://", "http://Example.COM/en/7?x#y", "https://a.example.com/en/71", "https://notexample.com/en/7", "x://com/en/", "x://example.net/de/8#", "x://org", "x://.com/en/", "x://a..net/de/", "a://b://c/d", "x://www.example.net:80/de/8", "x://b.org/es/\nq", "x://a\x01b.com/en/", "x://\x01x.example.com/en/7", "x://\x01.net/de/", "x://a.\x01com/en/"]
 
 
 @pytest.mark.parametrize("bound", [1 << 20, 0])
 def test_url_rules_equal_brute_force(spark, bound):
     rng = random.Random(8)
-    rules = [*queries.URL_RULES, ("allow", "org/es/"), ("block", "a.org/")]
-    urls = URLS + [f"http://{'.'.join(rng.choices(['a', 'www', 'example', 'b'], k=rng.randint(0, 3)) + [rng.choice(['com', 'net', 'org'])])}/{rng.choice(['en', 'de', 'es'])}/{rng.randint(0, 90)}" for _ in range(400)] + ["http://hot.example.com/en/7"] * 300
+    rules = [*queries.URL_RULES, ("allow", "org/es/"), ("block", "a.org/"), ("block", "\x01x.example.com/en/7"), ("block", "b.com/en/")]
+    urls = URLS + [f"http://{'.'.join(rng.choices(['a', 'www', 'example', 'b'], k=rng.randint(0, 3)) + [rng.choice(['com', 'net', 'org'])])}/{rng.choice(['en', 'de', 'es'])}/{rng.randint(0, 90)}" for _ in range(400)] + ["http://hot.example.com/en/7"] * 300 + ["x://\x01x.example.com/en/7", "x://example.com/en/7"] * 40
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string").repartition(3)
     got = url_filter.filter_urls(df, rules, max_broadcast_bytes=bound, ranges=8).collect()
     assert sorted(r.page_id for r in got) == list(range(len(urls)))

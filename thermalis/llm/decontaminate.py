@@ -18,8 +18,8 @@ The benchmark is sent to all tasks in parts of at most ``part_bytes`` of text, o
 of the documents for each part. Documents stay where they are: no shuffle, and neither
 a hot source nor long texts or repeated passages gather anywhere.
 
-Null and empty texts match nothing. An item of fewer than five words matches only
-documents that consist of just its words; an item without words matches nothing. Texts
+Null and empty texts match nothing. An item of fewer than five words has one
+shingle, its whole sequence, so it matches where a document holds just these words in a row; an item without words matches nothing. Texts
 of any length count whole. Rows with a null id are judged like others.
 Repeated documents and repeated items all give rows. Extra columns are ignored; empty
 tables give an empty result.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermalis.llm.arrowio import give_back, map_columns, slices
-from thermalis.llm.words import mix, shingles, words
+from thermalis.llm.words import combine, mix, shingles, words
 
 #: Bits of a block, and what tells the second block's hashes from the first's.
 BITS, SECOND = 64, np.uint64(0x6A09E667F3BCC909)
@@ -110,20 +110,35 @@ class Benchmark:
         cut = np.searchsorted(rows, np.arange(len(ids) + 1))
         self.bags = [np.unique(found[a:b], return_counts=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         self.prints, self.radius = [simhash(*bag) for bag in self.bags], radius
-        self.short: dict[tuple, list[int]] = {}
-        for r in range(len(ids)):
-            if 0 < self.size[r] < n:
-                self.short.setdefault(tuple(hashes[offsets[r] : offsets[r + 1]].tolist()), []).append(r)
+        #: Items of fewer than ``n`` words, by their number of words and the hash of these.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for r in np.flatnonzero((self.size > 0) & (self.size < n)).tolist():
+            words_ = int(self.size[r])
+            own = int(combine(hashes[offsets[r] : offsets[r + 1]], words_)[0])
+            self.short.setdefault(words_, {}).setdefault(own, []).append(r)
+
+    def short_matches(self, hashes: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+        """The first window of each document that is word for word an item of fewer than ``n`` words."""
+        out, row = [], np.repeat(np.arange(len(counts)), counts)
+        begin = np.cumsum(counts) - counts
+        for size, items in self.short.items():
+            if len(hashes) < size:
+                continue
+            runs = combine(hashes, size)
+            hits = np.flatnonzero(np.isin(runs, np.array(list(items), np.uint64)) & (row[: len(runs)] == row[size - 1 :]))
+            order = np.lexsort((hits, runs[hits], row[hits]))
+            hits = hits[order]
+            new = np.ones(len(hits), bool)
+            new[1:] = (row[hits[1:]] != row[hits[:-1]]) | (runs[hits[1:]] != runs[hits[:-1]])
+            out += [(int(row[h]), item, 1.0, int(h - begin[row[h]]), size) for h in hits[new] for item in items[int(runs[h])]]
+        return out
 
     def matches(self, texts: pa.Array, threshold: float) -> list[tuple[int, int, float, int, int]]:
         """(row, item, similarity, first word, words) of the best window of each item found."""
         hashes, offsets = words(texts)
         found, rows = shingles(hashes, offsets, self.n)
         counts = np.diff(offsets)
-        out = []
-        for r in np.flatnonzero((counts > 0) & (counts < self.n)) if self.short else ():
-            for item in self.short.get(tuple(hashes[offsets[r] : offsets[r + 1]].tolist()), ()):
-                out.append((int(r), item, 1.0, 0, int(counts[r])))
+        out = self.short_matches(hashes, counts) if self.short else []
         hits = np.flatnonzero(self.known[(found & np.uint64((1 << 20) - 1)).astype(np.int64)])
         lo, hi = np.searchsorted(self.shingles, found[hits], "left"), np.searchsorted(self.shingles, found[hits], "right")
         real = hi > lo
