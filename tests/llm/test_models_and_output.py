@@ -269,3 +269,18 @@ def test_noisy_or_against_plain_python(spark):
 
 def test_leaks_in_the_sample_are_found(spark, sf):
     assert queries.op9_decontamination(spark, sf).count() > 0
+
+
+def test_repeated_passages_against_alike_items(spark):
+    rng = random.Random(31)
+    base = [f"w{rng.randint(0, 25)}" for _ in range(24)]
+    items = []
+    for _ in range(12):
+        item = list(base)
+        item[rng.choice([0, 1, 22, 23, 12])] = f"z{rng.randint(0, 9)}"
+        items.append(" ".join(item))
+    docs = [" ".join(base * 40), " ".join((base[:10] + ["a", "a", "a", "a", "a", "a"]) * 20), " ".join(["a"] * 300), " ".join(base[::-1] * 3)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate([*items, "a " * 12])), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(df, bench).collect()}
+    assert got == {(i, k) for i, t in enumerate(docs) for k in brute_matches(t, [*items, "a " * 12])} and len(got) > 5
