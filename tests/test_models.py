@@ -139,6 +139,15 @@ def _first_best(history, fold):
     return h.epoch[h.f1.idxmax()]
 
 
+def test_the_final_model_learns_from_all_rows(spark):
+    df = labelled(spark)
+    state = training.train_final(df, epochs=6)
+    seen = training.predict_batched(df.where("label is not null"), {0: state})
+    assert ev.overall_metrics(seen).first().f1 > 0.85
+    again = training.train_final(df.repartition(5), epochs=6)
+    assert np.array_equal(state.weights, again.weights)
+
+
 def test_one_class_is_an_error(spark):
     with pytest.raises(ValueError, match="two classes"):
         training.train_by_epochs(labelled(spark).withColumn("label", F.lit(1)).withColumn("fold_id", F.col("row_index").cast("int") % 3), folds=3)

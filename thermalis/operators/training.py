@@ -231,11 +231,11 @@ def _quality(tp: int, fp: int, fn: int, tn: int) -> tuple[float, float, float, f
 def train_by_epochs(df: DataFrame, fold_col: str = "fold_id", folds: int = 5, text_col: str = "sentence", label_col: str = "label", epochs: int = 8, rate: float = 0.05, decay: float = 0.01, seed: int = 42, features: int = FEATURES) -> Trained:
     """One model a fold, each trained on the rows of all other folds and validated on its own after every epoch.
 
-    The steps are Adam's with weight decay. A fold whose training rows lack a class is an error, as for ``class_weights``.
+    Rows whose fold is ``folds`` belong to none: every model learns from them. A fold without own rows keeps its last state. The steps are Adam's with weight decay. A fold whose training rows lack a class is an error, as for ``class_weights``.
     """
     rows = df.where(F.col(label_col).isin(0, 1)).select(F.col(fold_col).cast("int").alias("fold"), F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text"))
-    rows = saved(_featured(rows.where(F.col("fold").between(0, folds - 1)), features), "features")
-    labels, found = _frequencies(rows, folds, features)
+    rows = saved(_featured(rows.where(F.col("fold").between(0, folds)), features), "features")
+    labels, found = _frequencies(rows, folds + 1, features)
     states, weights = [], np.zeros((folds, 2))
     for k in range(folds):
         n = labels.sum(axis=0) - labels[k]
@@ -253,7 +253,7 @@ def train_by_epochs(df: DataFrame, fold_col: str = "fold_id", folds: int = 5, te
             total = max(sums[k, 2 * features + 3] / _UNIT, 1e-300)
             quality = _quality(*map(int, sums[k, -4:]))
             history.append((k, epoch, sums[k, 2 * features + 2] / _UNIT / total, *quality))
-            if epoch and (k not in best or quality[3] > best[k][0]):
+            if epoch and (k not in best or not sums[k, -4:].any() or quality[3] > best[k][0]):
                 best[k] = quality[3], state
             if epoch < epochs:
                 slope = np.column_stack([sums[k, : 2 * features].reshape(2, features), sums[k, 2 * features : 2 * features + 2]]) / _UNIT / total
@@ -266,6 +266,11 @@ def train_by_epochs(df: DataFrame, fold_col: str = "fold_id", folds: int = 5, te
     return Trained({k: s for k, (_, s) in best.items()}, kept.astype({"fold": "int32", "epoch": "int32"}))
 
 
+def train_final(df: DataFrame, **how) -> State:
+    """The last state of one model trained on all rows, with nothing held out."""
+    return train_by_epochs(df.withColumn("_fold", F.lit(1)), "_fold", 1, **how).states[0]
+
+
 def cross_train(df: DataFrame, group: str = "city_id", folds: int = 5, **how) -> tuple[Trained, DataFrame]:
     """Trained folds by whole groups, and every row predicted by the model that did not see its group.
 

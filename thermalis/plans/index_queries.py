@@ -10,6 +10,7 @@ from thermalis.plans import bindings as b
 from thermalis.plans.rounding import rounded
 from thermalis.sources.runs import read_index_run, write_index_run
 from thermalis.sources.scratch import fresh_folder
+from thermalis.sources.tables import read_csv, write_csv
 
 
 def _days(s, d):
@@ -25,6 +26,15 @@ def city_day_counts(s, d):
     return rounded(_dates(days))
 
 
+def city_day_from_csv(s, d):
+    """City days of posts that were written as delimited text and read back under a schema."""
+    folder = fresh_folder(s, "posts")
+    posts = b.posts(s, d).select("row_index", "city", "country", "continent", "hemisphere", "date", "indicator")
+    write_csv(posts, folder)
+    back = calendar.with_calendar(read_csv(s, folder, posts.schema))
+    return rounded(_dates(ix.city_day(back).select("city", "date", "heat_posts", "observed_posts", "daily_hpii_raw")))
+
+
 def city_day_external_denominator(s, d):
     days = ix.city_day(b.posts(s, d), totals=b.totals(s, d))
     return rounded(_dates(days.select("city", "date", "heat_posts", "observed_posts", "total_posts", "denominator_source", "denominator_is_proxy", "daily_hpii_raw")))
@@ -153,7 +163,7 @@ def event_city_days(s, d):
     return rounded(_dates(days.select("city", "date", "heat_posts", "observed_posts", "daily_hpii_raw")))
 
 
-QUERIES = {f.__name__: f for f in (city_day_counts, city_day_external_denominator, city_day_own_denominator, city_month_index, city_season_index, hpvi_city_season, normalized_city_month, coverage, eligible_cities, eligible_city_days, peak_month, volume_strata, season_with_volume, polarization, city_typology, index_run_summary, index_run_seasons, index_run_written, all_cities_eligible, jenks_levels, season_calendar, month_and_hemisphere, synthetic_dates, event_city_days)}
+QUERIES = {f.__name__: f for f in (city_day_counts, city_day_from_csv, city_day_external_denominator, city_day_own_denominator, city_month_index, city_season_index, hpvi_city_season, normalized_city_month, coverage, eligible_cities, eligible_city_days, peak_month, volume_strata, season_with_volume, polarization, city_typology, index_run_summary, index_run_seasons, index_run_written, all_cities_eligible, jenks_levels, season_calendar, month_and_hemisphere, synthetic_dates, event_city_days)}
 
 SEASON = """list_extract(['Winter','Spring','Summer','Fall'], 1 + ((({m}) % 12) // 3 + case when {h} = 'south' then 2 else 0 end) % 4)"""
 POSTS = f"""
@@ -253,6 +263,7 @@ def _signal(column: str, kind: str) -> str:
 
 ORACLE_SQL = {
     "city_day_counts": f"with {DAYS} select city, strftime(date, '%Y-%m-%d') as date, continent, country, hemisphere, year, month, season, heat_posts, observed_posts, total_posts, denominator_is_proxy, round(h, 6) as daily_hpii_raw from days",
+    "city_day_from_csv": f"with {DAYS} select city, strftime(date, '%Y-%m-%d') as date, heat_posts, observed_posts, round(h, 6) as daily_hpii_raw from days",
     "city_day_external_denominator": f"""with {DAYS}{TOTALS}
 select d.city, strftime(d.date, '%Y-%m-%d') as date, heat_posts, observed_posts, coalesce(t, observed_posts)::bigint as total_posts,
   case when t is null then 'observed_input_rows_proxy' else 'external_city_day_totals' end as denominator_source, (t is null)::int as denominator_is_proxy, round(heat_posts / coalesce(t, observed_posts)::double, 6) as daily_hpii_raw

@@ -88,6 +88,13 @@ def fold_summary_trained(s, d):
     return rounded(ev.fold_summary(held.groupBy("fold_id").agg(*ev.confusion_metrics())))
 
 
+def final_fit_monthly(s, d):
+    """A model trained on nine months of rows, and its metrics in each of the months after them."""
+    t = _labelled(s, d)
+    state = training.train_final(t.where("month < '2022-12'"))
+    return rounded(ev.monthly_metrics(training.predict_batched(t.where("month >= '2022-12'"), {0: state})))
+
+
 def reloaded_model(s, d):
     """Predictions, in batches, of a fitted pipeline that was saved and loaded again."""
     t = _labelled(s, d)
@@ -127,7 +134,7 @@ def stream_spells(s, d):
     return spells.select("user_id", shown("first_ts"), shown("last_ts"), "first_row", "posts")
 
 
-QUERIES = {f.__name__: f for f in (minhash_pairs, minhash_rows, glm_by_sums, joint_rr_by_sums, winners_of_fits, pooled_fixed, meta_fixed_rr, hot_group_percentiles, stream_city_day, stream_spells, epoch_training, epoch_heldout, fold_summary_trained, reloaded_model)}
+QUERIES = {f.__name__: f for f in (minhash_pairs, minhash_rows, glm_by_sums, joint_rr_by_sums, winners_of_fits, pooled_fixed, meta_fixed_rr, hot_group_percentiles, stream_city_day, stream_spells, epoch_training, epoch_heldout, fold_summary_trained, final_fit_monthly, reloaded_model)}
 
 SETS = f"""{TWEETS}, w as (select row_index, regexp_extract_all(lower(trim(coalesce(text, ''))), '[{ALNUM}]+') as w from tweets),
 s as (select row_index, case when len(w) = 0 then [] else list_sort(list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], ' ')))) end as s from w),

@@ -17,6 +17,16 @@ def normalize_text(s, d):
     return t.select("row_index", F.sha2(text.normalise(F.col("sentence")), 256).alias("words_sha256"), F.sha2(text.normalise(F.col("sentence"), "alnum"), 256).alias("alnum_sha256"), F.size(text.tokens(F.col("sentence"))).cast("long").alias("n_tokens"))
 
 
+#: A small table of lemmas, of frequent words of the bound texts and of the phrases.
+LEMMAS = {"sweating": "sweat", "walked": "walk", "is": "be", "opens": "open", "was": "be", "lexicon": "word"}
+
+
+def lemmatised_text(s, d):
+    """Normal forms whose words are replaced by lemmas."""
+    t = b.tweets(s, d)
+    return t.select("row_index", F.sha2(text.normalise(F.col("sentence"), lemmas=LEMMAS), 256).alias("lemmas_sha256"))
+
+
 def candidate_retrieval(s, d):
     out = tp.retrieve_candidates(b.tweets(s, d))
     return out.select("row_index", "retrieval_categories", "has_first_person_cue", "has_outdoor_cue", "has_negation_pattern", "candidate_flag", "candidate_reason", F.coalesce(F.array_join(F.flatten(F.map_values("retrieval_matches")), "|"), F.lit("")).alias("matched_terms"))
@@ -157,7 +167,7 @@ def baseline_classifier(s, d):
     return rounded(ev.monthly_metrics(ev.cross_validate(t, "city_id", folds=3)))
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, candidate_retrieval, retrieval_reason_counts, rule_filter, rule_summary, exact_dedup, rt_qt_filter, promo_score, account_hygiene, shingle_jaccard_pairs, near_dup_greedy, near_dup_uncapped, dedup_funnel, removal_log, rule_audit, hygiene_by_created_at, gold_union, gold_labels, overall_metrics, monthly_metrics, classification_report, fold_summary, class_weights, monthly_positive_rate, audit_allocation, audit_sample, group_kfold, baseline_classifier)}
+QUERIES = {f.__name__: f for f in (normalize_text, lemmatised_text, candidate_retrieval, retrieval_reason_counts, rule_filter, rule_summary, exact_dedup, rt_qt_filter, promo_score, account_hygiene, shingle_jaccard_pairs, near_dup_greedy, near_dup_uncapped, dedup_funnel, removal_log, rule_audit, hygiene_by_created_at, gold_union, gold_labels, overall_metrics, monthly_metrics, classification_report, fold_summary, class_weights, monthly_positive_rate, audit_allocation, audit_sample, group_kfold, baseline_classifier)}
 
 _PHRASES = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in b.PHRASES) + "]"
 TWEETS = f"""tweets as (
@@ -237,6 +247,7 @@ _POOL = f"""'SYN_' || list_extract(list_extract([{", ".join("[" + ", ".join(f"'{
 
 ORACLE_SQL = {
     "normalize_text": f"with {TWEETS} select row_index, sha256({NORM.format(t='sentence', c=WORDS)}) as words_sha256, sha256({NORM.format(t='sentence', c=ALNUM)}) as alnum_sha256, len(regexp_extract_all(lower(trim(sentence)), '[{WORDS}]+'))::bigint as n_tokens from tweets",
+    "lemmatised_text": f"with {TWEETS} select row_index, sha256(array_to_string(list_transform(regexp_extract_all(lower(trim(sentence)), '[{WORDS}]+'), lambda w: case w {' '.join(f"when '{k}' then '{v}'" for k, v in LEMMAS.items())} else w end), ' ')) as lemmas_sha256 from tweets",
     "candidate_retrieval": RETRIEVED
     + f""" select row_index, array_to_string(list_filter([{", ".join(f"case when {c} then '{c}' end" for c in sorted(_LEX))}], lambda x: x is not null), '|') as retrieval_categories, fp::int as has_first_person_cue, od::int as has_outdoor_cue, ng::int as has_negation_pattern,
   (candidate_reason in ('strong_positive_lexicon', 'ambient_heat_plus_personal_or_outdoor_cue'))::int as candidate_flag, candidate_reason, matched_terms from c""",
