@@ -8,6 +8,7 @@ from thermalis.operators import exposure as ex
 from thermalis.plans import bindings as b
 from thermalis.plans.index_queries import POSTS
 from thermalis.plans.rounding import rounded
+from thermalis.sources import rds
 from thermalis.sources.scratch import fresh_folder
 from thermalis.sources.workbook import register
 
@@ -27,6 +28,15 @@ def joint_exposure_counts(s, d):
     return ex.joint_counts(_rows(s, d, "all"))
 
 
+def panel_from_rds(s, d):
+    """Days in each joint level of a panel that was written in R's serialised form and read back."""
+    rds.register(s)
+    panel, folder = b.panel(s, d), fresh_folder(s, "panel")
+    panel.write.format("rds").mode("append").save(folder)
+    back = s.read.format("rds").schema(panel.schema).load(folder)
+    return ex.joint_counts(ex.exposures(back, "all", perception=PERCEPTION))
+
+
 def lag_basis(s, d):
     rows = ex.lag_basis(_rows(s, d))
     return rows.groupBy("city", "class").agg(*(F.sum(c).alias(c) for c in ("cb_temp", "cb_perc", "cb2", "cb3", "cb4")), F.count("cb_temp").alias("usable"))
@@ -115,7 +125,7 @@ def meta_pooled_rr(s, d):
     return rounded(ex.pooled_rr(ex.pool_effects(ex.joint_effects(ex.lag_basis(_rows(s, d, "all"))))), 4)
 
 
-QUERIES = {f.__name__: f for f in (heat_exposure, joint_exposure_counts, lag_basis, winner_grid, winner_workbook, winner_long, supplement_bars, excluded_city, winrate_rollup, winrate_annotation, ivw_pool, truncated_effects, figure5_rows, glm_model_comparison, joint_rr, meta_pooled_rr)}
+QUERIES = {f.__name__: f for f in (heat_exposure, joint_exposure_counts, panel_from_rds, lag_basis, winner_grid, winner_workbook, winner_long, supplement_bars, excluded_city, winrate_rollup, winrate_annotation, ivw_pool, truncated_effects, figure5_rows, glm_model_comparison, joint_rr, meta_pooled_rr)}
 
 PANEL = (
     POSTS
@@ -169,3 +179,4 @@ pos as (select n_name as row_label, 9.0 + row_number() over (order by n_name) as
 select e.row_label, "case", round(rr, 6) as rr, round(rrlow, 6) as rrlow, round(rrhigh, 6) as rrhigh, is_pooled, is_combined, cat, y::double as y_center, round(y::double + shift, 6) as y_plot, round(least(rrhigh, 4), 6) as rr_hi_p, rrhigh > 4 as "trunc"
 from e join cs on e.class = cs.class join pos on e.row_label = pos.row_label""",
 }
+ORACLE_SQL["panel_from_rds"] = ORACLE_SQL["joint_exposure_counts"]

@@ -16,15 +16,16 @@ import datetime as dt
 import json
 import math
 import re
-import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BooleanType, DateType, DoubleType, FloatType, IntegralType, StringType, StructType, TimestampNTZType, TimestampType
 
+from thermalis.sources.files import PartWriter, files_below, store_of
+
 SHEET_ROWS, SAMPLE = 1_048_575, 100
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -33,26 +34,6 @@ _UNFIT = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff\r]|_(?=x[0-9A-Fa-f]
 _ESCAPED = re.compile("_x([0-9A-Fa-f]{4})_")
 
 
-def _store(path: str):
-    """(file system, path on it) of a path or URI, for use in Python tasks."""
-    from pyarrow import fs
-
-    if re.match(r"\w+://", path) and not path.startswith("file:"):
-        return fs.FileSystem.from_uri(re.sub("^s3a://", "s3://", path))
-    return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
-
-
-def _files(path: str) -> list[str]:
-    from pyarrow import fs
-
-    store, at = _store(path)
-    if store.get_file_info(at).type == fs.FileType.File:
-        return [path]
-    found = store.get_file_info(fs.FileSelector(at, allow_not_found=False))
-    names = sorted(f.base_name for f in found if f.type == fs.FileType.File and f.base_name.endswith(".xlsx") and not f.base_name.startswith((".", "_", "~")))
-    return [f"{path.rstrip('/')}/{n}" for n in names]
-
-
 def _column(reference: str) -> int:
     """A1, B7, AA3, ... as 0, 1, 26, ..."""
     out = 0
@@ -78,7 +59,7 @@ class Book:
     """An open workbook."""
 
     def __init__(self, path: str):
-        store, at = _store(path)
+        store, at = store_of(path)
         self.file = store.open_input_file(at)
         self.zip = zipfile.ZipFile(self.file)
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(self.zip.read("xl/_rels/workbook.xml.rels"))}
@@ -166,7 +147,7 @@ class WorkbookReader(DataSourceReader):
 
     def partitions(self) -> list[SheetPart]:
         out = []
-        for path in _files(self.options["path"]):
+        for path in files_below(self.options["path"], ".xlsx"):
             with Book(path) as book:
                 names = list(book.sheets)
             chosen = names if self.options.get("sheets") == "all" else [self.options.get("sheet", names[0])]
@@ -182,16 +163,8 @@ class WorkbookReader(DataSourceReader):
                 yield tuple(_fitted(row[i], kind) if i < len(row) else None for i, kind in places)
 
 
-class WorkbookCommit(WriterCommitMessage):
-    def __init__(self, names: list[str]):
-        self.names = names
-
-
-class WorkbookWriter(DataSourceWriter):
-    def __init__(self, schema: StructType, options: dict, overwrite: bool):
-        self.names, self.overwrite = schema.names, overwrite
-        self.path = options["path"].rstrip("/")
-        self.job = f"_job-{uuid.uuid4().hex}"
+class WorkbookWriter(PartWriter):
+    suffix = ".xlsx"
 
     def _cell(self, value, at: str) -> str:
         if value is None:
@@ -211,18 +184,9 @@ class WorkbookWriter(DataSourceWriter):
         cells = "".join(self._cell(v, f"{_letters(i)}{number}") for i, v in enumerate(values))
         return f'<row r="{number}">{cells}</row>'.encode()
 
-    def write(self, iterator: Iterator) -> WorkbookCommit:
-        from pyspark import TaskContext
-
-        first = next(iterator, None)
-        context = TaskContext.get()
-        if first is None and context.partitionId():
-            return WorkbookCommit([])  # of an empty table one task leaves the names
-        name = f"part-{context.partitionId():05d}-{uuid.uuid4().hex}.xlsx"
-        store, at = _store(f"{self.path}/{self.job}")
-        store.create_dir(at, recursive=True)
-        with store.open_output_stream(f"{at}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            sheets, row = 0, first
+    def write_part(self, out, rows: Iterator) -> None:
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            sheets, row = 0, next(rows, None)
             while row is not None or not sheets:
                 sheets += 1
                 with z.open(f"xl/worksheets/sheet{sheets}.xml", "w", force_zip64=True) as f:
@@ -231,10 +195,9 @@ class WorkbookWriter(DataSourceWriter):
                     while row is not None and number <= SHEET_ROWS:
                         number += 1
                         f.write(self._row(number, row))
-                        row = next(iterator, None)
+                        row = next(rows, None)
                     f.write(b"</sheetData></worksheet>")
             self._frame(z, sheets)
-        return WorkbookCommit([name])
 
     @staticmethod
     def _frame(z: zipfile.ZipFile, sheets: int) -> None:
@@ -249,24 +212,6 @@ class WorkbookWriter(DataSourceWriter):
         links = "".join(f'<Relationship Id="rId{i}" Type="{_REL}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in each)
         z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{_PACK}/relationships">{links}</Relationships>')
 
-    def commit(self, messages: list[WorkbookCommit | None]) -> None:
-        store, at = _store(self.path)
-        old = [_store(f)[1] for f in _files(self.path)] if self.overwrite else []
-        for name in (n for m in messages if m for n in m.names):
-            store.move(f"{at}/{self.job}/{name}", f"{at}/{name}")
-        for f in old:
-            store.delete_file(f)
-        with store.open_output_stream(f"{at}/_SUCCESS"):
-            pass
-        self.abort([])
-
-    def abort(self, messages: list[WorkbookCommit | None]) -> None:
-        from pyarrow import fs
-
-        store, at = _store(f"{self.path}/{self.job}")
-        if store.get_file_info(at).type == fs.FileType.Directory:
-            store.delete_dir(at)
-
 
 class Workbooks(DataSource):
     @classmethod
@@ -275,7 +220,7 @@ class Workbooks(DataSource):
 
     def schema(self) -> StructType:
         """Names of the first sheet; types by its first rows."""
-        files = _files(self.options["path"])
+        files = files_below(self.options["path"], ".xlsx")
         if not files:
             raise ValueError(f"no workbook in {self.options['path']}")
         with Book(files[0]) as book:
