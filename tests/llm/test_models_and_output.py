@@ -5,6 +5,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from thermalis.llm import decontaminate, queries, token_shards, toxicity, words
@@ -101,6 +102,30 @@ def test_shards_round_trip(spark, tmp_path):
     assert token_shards.write_shards(df.limit(0), f"file://{tmp_path}/none", path, pattern, 50256, 7).count() == 0
 
 
+def test_shards_several_a_partition_nulls_and_repeats(spark, tmp_path, monkeypatch):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    monkeypatch.setattr(token_shards, "MOST_PARTS", 2)
+    df = spark.createDataFrame([(None, "the cat"), (4, "a dog"), (4, "a dog"), (5, "long text " * 9000), (None, None)], "doc_id long, text string")
+    out = f"file://{tmp_path}/shards"
+    rows = sorted(token_shards.write_shards(df, out, path, pattern, 50256, 7, length=8, per_shard=50).collect(), key=lambda r: r.slot)
+    back = list(token_shards.read_sequences(out))
+    assert [r.slot for r in rows] == list(range(len(back))) and rows[-1].shard > 4
+    tokens = [x for r, ids in zip(rows, back, strict=True) for x in ids[: r.n_tokens].tolist()]
+    encode = token_shards.WordTokens(path, pattern, 50256).ordinary
+    assert len(tokens) == sum(len(encode(t or "")) + 1 for (_, t) in df.collect())
+    assert {d for r in rows for d in r.doc_ids} == {None, 4, 5}
+
+
+def test_a_failed_run_leaves_no_manifest(spark, tmp_path):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 299, F.lit("some text ")).otherwise(F.raise_error(F.lit("lost"))).alias("text"))
+    with pytest.raises(Exception, match="lost"):
+        token_shards.write_shards(df, f"file://{tmp_path}/shards", path, pattern, 50256, 7, length=8, per_shard=5)
+    assert not (tmp_path / "shards" / "manifest.json").exists()
+    token_shards.write_shards(df.where("doc_id < 299"), f"file://{tmp_path}/shards", path, pattern, 50256, 7, length=8, per_shard=5)
+    assert (tmp_path / "shards" / "manifest.json").exists()
+
+
 def test_permutation_is_a_bijection():
     for n in (1, 2, 3, 17, 1000, 4097):
         slots = token_shards.permute(np.arange(n), n, 99)

@@ -13,9 +13,10 @@ reader starts or resumes at any slot with one seek and reads on sequentially.
 The numbered sequences are written once to the shared checkpoint folder (zstd),
 since their number is needed before the first slot is known; what the driver gets is
 one count for each input partition. A shard is written under a name of its own and
-renamed when complete, so tasks that are run again or twice leave the same files.
+renamed when complete, so tasks that are run again or twice leave the same files. The manifest comes last.
 
-Null and empty texts are an end token alone. Repeated rows are kept. Extra columns are
+Null and empty texts are an end token alone; very long texts run over as many sequences as they need. Null ids are kept as nulls in
+``doc_ids``; ties and repeated rows are kept, each with its tokens. Extra columns are
 ignored. An empty table has no sequences and no shard.
 """
 
@@ -167,27 +168,34 @@ def unpacker(dictionary: bytes):
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
 
+#: Reduce partitions at most; beyond, a partition holds several shards, one after another.
+MOST_PARTS = 20_000
+
+
+def store_of(uri: str):
+    """(file system, path on it), for use in Python tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3a://", "s3://", uri))
+
+
 def write_shards(df: DataFrame, out_uri: str, tokenizer_path: str, pattern: str, end: int, key: int, length: int = 1024, per_shard: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards and return one row for each sequence.
 
     Columns: slot, shard, byte_offset, n_tokens (without padding), doc_ids (documents
-    with tokens in it, in order) and sha256 of the bytes written. The files appear when
-    the result is computed. ``out_uri/manifest.json`` states the layout.
+    with tokens in it, in order) and sha256 of the bytes written. When this returns all shards are there, and
+    after them ``out_uri/manifest.json``, which states the layout; a run that fails leaves none.
     """
-    from pyarrow import fs
-
-    spark = df.sparkSession
-    cut = Scratch(spark).save(sequences(df, tokenizer_path, pattern, end, length, id_col, text_col), "zstd")
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession)
+    cut = scratch.save(sequences(df, tokenizer_path, pattern, end, length, id_col, text_col), "zstd")
     shared = spark.sparkContext.broadcast(packing_dictionary([bytes(r["body"]) for r in cut.select("body").limit(DICTIONARY_FROM).collect()]))
     counts = sorted((r["part"], r["count"]) for r in cut.groupBy("part").count().collect())
     total = sum(n for _, n in counts)
     starts = np.cumsum([0] + [n for _, n in counts])
     parts = np.array([p for p, _ in counts], np.int64)
     width = word_tokens(tokenizer_path, pattern, end).dtype.itemsize
-    store, root = fs.FileSystem.from_uri(out_uri)
+    store, root = store_of(out_uri)
     store.create_dir(root, recursive=True)
-    with store.open_output_stream(f"{root}/manifest.json") as f:
-        f.write(json.dumps({"sequences": total, "length": length, "width": width, "per_shard": per_shard, "key": key, "end": end}).encode())
 
     def place(batches):
         pack = packer(shared.value).compress
@@ -198,14 +206,15 @@ def write_shards(df: DataFrame, out_uri: str, tokenizer_path: str, pattern: str,
 
     placed = map_columns(cut.select("part", "number", "n_tokens", "doc_ids", "body"), "part int, slot long, shard long, n_tokens int, doc_ids array<long>, body binary", place).drop("part")
     n_shards = max(1, -(-total // per_shard))
-    # the ranges are known, so they are dealt by number: no sampling pass over what is packed
-    dealt = placed.repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
+    # the ranges are known, so they are dealt by number: no sampling pass over what is packed; neighbouring shards go together where there are many
+    together = -(-n_shards // MOST_PARTS)
+    dealt = placed.repartitionById(-(-n_shards // together), F.floor(F.col("shard") / together).cast("int")).sortWithinPartitions("slot")
 
     def write(batches):
         import hashlib
 
         unpack = unpacker(shared.value).decompress
-        store, root = fs.FileSystem.from_uri(out_uri)
+        store, root = store_of(out_uri)
         now, stream, name = None, None, None
 
         def close():
@@ -228,14 +237,16 @@ def write_shards(df: DataFrame, out_uri: str, tokenizer_path: str, pattern: str,
         if stream is not None:
             close()
 
-    return map_columns(dealt, "slot long, shard long, byte_offset long, n_tokens int, doc_ids array<long>, sha256 string", write)
+    written = scratch.save(map_columns(dealt, "slot long, shard long, byte_offset long, n_tokens int, doc_ids array<long>, sha256 string", write))
+    scratch.drop(cut)
+    with store.open_output_stream(f"{root}/manifest.json") as f:
+        f.write(json.dumps({"sequences": total, "length": length, "width": width, "per_shard": per_shard, "key": key, "end": end}).encode())
+    return written
 
 
 def read_sequences(out_uri: str, start: int = 0, count: int | None = None):
     """Yield the ids of ``count`` sequences from slot ``start`` on, one seek and then sequentially."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(out_uri)
+    store, root = store_of(out_uri)
     with store.open_input_stream(f"{root}/manifest.json") as f:
         m = json.loads(f.read())
     stop = m["sequences"] if count is None else min(m["sequences"], start + count)
