@@ -26,8 +26,8 @@ from thermalis.sources.scratch import saved
 BANDS, ROWS = 20, 6
 #: Words of texts hashed at a time inside a task; one longer text forms a slice of its own.
 SLICE_WORDS = 1 << 19
-#: Sets in a block, on average.
-BLOCK = 2048
+#: Sets in a block, and bytes of their shingles, on average.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,6 +139,12 @@ def candidates(sets: DataFrame) -> DataFrame:
     return met.select("a", "b")
 
 
+def blocks_for(sets: DataFrame) -> int:
+    """Blocks that keep to BLOCK and BLOCK_BYTES."""
+    n, held = sets.agg(F.count("*"), F.sum(8 * F.size("shingles"))).first()
+    return max(1, -(-n // BLOCK), -(-(held or 0) // BLOCK_BYTES))
+
+
 def compared(pairs: DataFrame, sets: DataFrame, threshold: float, blocks: int) -> DataFrame:
     """The pairs whose sets' Jaccard similarity is at least ``threshold``, compared tile by tile."""
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
@@ -175,5 +181,4 @@ def similar_texts(df: DataFrame, text_col: str = "sentence", threshold: float =
     # texts without words stand for themselves
     members = found.select("row_index", "hi", "lo", "n").join(heads, ["hi", "lo", "n"], "left").select("row_index", F.coalesce("representative", "row_index").alias("representative"), "n")
     sets = saved(found.join(heads.select(F.col("representative").alias("row_index")), "row_index", "left_semi").select(F.col("row_index").alias("representative"), "shingles", "bands"), "minhash-sets")
-    blocks = max(1, -(-sets.count() // BLOCK))
-    return SimilarTexts(members, compared(saved(candidates(sets), "minhash-pairs"), sets, threshold, blocks))
+    return SimilarTexts(members, compared(saved(candidates(sets), "minhash-pairs"), sets, threshold, blocks_for(sets)))

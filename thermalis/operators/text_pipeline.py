@@ -148,8 +148,7 @@ def near_duplicates_without_cap(df: DataFrame, text_col: str = "sentence", thres
     heads = found.where("n > 0").join(held.where("row_index = head").select("row_index"), "row_index", "left_semi")
     # bands are keyed with the block, so only rows of one block meet
     sets = saved(heads.select(F.col("row_index").alias("representative"), "shingles", F.transform("bands", lambda k: F.xxhash64(k, F.col("block"))).alias("bands")), "sets")
-    tiles = max(1, -(-sets.count() // minhash.BLOCK))
-    links = minhash.compared(saved(minhash.candidates(sets), "candidates"), sets, threshold, tiles).select(F.col("row_index").alias("early"), F.col("other").alias("late"))
+    links = minhash.compared(saved(minhash.candidates(sets), "candidates"), sets, threshold, minhash.blocks_for(sets)).select(F.col("row_index").alias("early"), F.col("other").alias("late"))
     links = saved(links, "links")
     taken, open_ = links.select("late").limit(0), links
     while not open_.isEmpty():
