@@ -50,6 +50,12 @@ class PartWriter(DataSourceWriter):
         self.kinds, self.names, self.overwrite = schema, schema.names, overwrite
         self.path, self.job = options["path"].rstrip("/"), f"_job-{uuid.uuid4().hex}"
 
+    def begin(self) -> PartWriter:
+        """Make the job's folder; tasks don't, so one that outlives an abort has nowhere to write."""
+        store, at = store_of(f"{self.path}/{self.job}")
+        store.create_dir(at, recursive=True)
+        return self
+
     def write_files(self, rows: Iterator) -> Iterator:
         """The rows of each file of a part; one file by default."""
         yield rows
@@ -64,7 +70,6 @@ class PartWriter(DataSourceWriter):
         if first is None and part:
             return Written([])
         store, at = store_of(f"{self.path}/{self.job}")
-        store.create_dir(at, recursive=True)
         for rows in self.write_files(chain([] if first is None else [first], iterator)):
             names.append(f"part-{part:05d}-{uuid.uuid4().hex}{self.suffix}")
             with store.open_output_stream(f"{at}/{names[-1]}", compression=None) as out:

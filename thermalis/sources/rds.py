@@ -314,7 +314,7 @@ class RdsFiles(DataSource):
         return RdsReader(schema, dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> RdsWriter:
-        return RdsWriter(schema, dict(self.options), overwrite)
+        return RdsWriter(schema, dict(self.options), overwrite).begin()
 
 
 def register(spark) -> None:

@@ -237,7 +237,7 @@ class Workbooks(DataSource):
         return WorkbookReader(schema, dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> WorkbookWriter:
-        return WorkbookWriter(schema, dict(self.options), overwrite)
+        return WorkbookWriter(schema, dict(self.options), overwrite).begin()
 
 
 def register(spark) -> None:
