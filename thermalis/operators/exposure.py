@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from thermalis.functions import lexicon
 from thermalis.operators.percentiles import exact_percentiles
+from thermalis.sources.scratch import saved
 
 SERIES = ["country", "city", "type", "class"]
 WINNERS = [f"{q}-{r}" for q in "PST" for r in "PST"]
@@ -28,12 +29,14 @@ def exposures(panel: DataFrame, season_mode: str = "warm", quantile: float = 0.9
     """Warm season, hot days (over the city's own quantile), high perception and their joint level 1-4.
 
     The quantile is found by passes that count (``percentiles``) and joined, so a city's rows stay spread and no task
-    holds its values. A null temperature is an error.
+    holds its values. The rows are written once before: a temperature that is a mean may differ in its last bit when it is
+    worked out again, and all passes and the comparison need the same one. A null temperature is an error.
     """
     rows = panel.where(F.col("city") != excluded) if excluded else panel
     rows = rows.withColumn("temp", F.when(F.col("temp").isNull(), F.raise_error(F.lit("a row has no temperature"))).otherwise(F.col("temp")))
     mexico, mid = F.col("country") == "Mexico", F.col("month").between(5, 9)
     rows = rows.withColumn("warm_season", F.when(mexico, mid).otherwise(~mid).cast("int"))
+    rows = saved(rows, "exposures")
     cut = exact_percentiles(rows, ["city"], "temp", [quantile]).withColumnRenamed("q0", "cut")
     rows = rows.join(cut, "city").withColumn("heatday", (F.col("temp") > F.col("cut")).cast("int")).drop("cut")
     rows = rows.withColumn("percep", (F.col("heatPerception") >= perception).cast("int"))
