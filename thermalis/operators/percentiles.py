@@ -20,15 +20,19 @@ MOST = 10_000
 
 
 def _narrowed(rows: DataFrame, open_: DataFrame) -> DataFrame:
-    """The brackets in ``open_`` after one pass over the rows inside them."""
+    """The brackets in ``open_`` after one pass over the rows inside them.
+
+    Ranks that share a bracket share its bins. Brackets of a group are equal or disjoint, so a row is counted once a pass.
+    """
     probabilities = F.array(*(F.lit((k + 1) / (EDGES + 1)) for k in range(EDGES)))
-    inside = rows.join(open_.select("g", "r", "lo", "hi"), "g").where(F.col("v").between(F.col("lo"), F.col("hi")))
-    edges = inside.groupBy("g", "r").agg(F.array_distinct(F.percentile_approx("v", probabilities, 1000)).alias("edges"))
+    spans = open_.select("g", "lo", "hi").distinct()
+    inside = rows.join(spans, "g").where(F.col("v").between(F.col("lo"), F.col("hi"))).select("g", F.col("lo").alias("of"), "v")
+    edges = saved(inside.groupBy("g", "of").agg(F.array_distinct(F.percentile_approx("v", probabilities, 1000)).alias("edges")), "edges")
     # bin 2k lies between edges, bin 2k + 1 is an edge itself
     place = 2 * F.size(F.filter("edges", lambda e: e < F.col("v"))) + F.array_contains("edges", F.col("v")).cast("int")
-    bins = inside.join(edges, ["g", "r"]).groupBy("g", "r", place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    through = F.sum("n").over(Window.partitionBy("g", "r").orderBy("bin"))
-    ranked = bins.withColumn("through", through).join(open_.select("g", "r", "below"), ["g", "r"])
+    bins = inside.join(edges, ["g", "of"]).groupBy("g", "of", place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    through = F.sum("n").over(Window.partitionBy("g", "of").orderBy("bin"))
+    ranked = bins.withColumn("through", through).join(open_.select("g", "r", F.col("lo").alias("of"), "below"), ["g", "of"])
     before = F.col("below") + F.col("through") - F.col("n")
     held = ranked.where((before <= F.col("r")) & (F.col("r") < F.col("below") + F.col("through")))
     return held.select("g", "r", "lo", "hi", before.alias("below"), F.col("n").alias("inside"))
@@ -49,8 +53,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], column: str, quantiles: li
     wide = (F.col("inside") > most) & (F.col("lo") < F.col("hi"))
     while not state.where(wide).isEmpty():
         state = saved(state.where(~wide).unionByName(_narrowed(rows, state.where(wide))), "brackets")
-    held = rows.join(state.where("lo < hi"), "g").where(F.col("v").between(F.col("lo"), F.col("hi")))
-    found = held.groupBy("g", "r", "below").agg(F.sort_array(F.collect_list("v")).alias("vs")).select("g", "r", F.element_at("vs", (F.col("r") - F.col("below") + 1).cast("int")).alias("x"))
+    spans = state.where("lo < hi").select("g", "lo", "hi").distinct()
+    held = rows.join(spans, "g").where(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("g", "lo").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    found = held.join(state.where("lo < hi"), ["g", "lo"]).select("g", "r", F.element_at("vs", (F.col("r") - F.col("below") + 1).cast("int")).alias("x"))
     found = saved(found.unionByName(state.where("lo >= hi").select("g", "r", F.col("lo").alias("x"))), "ranks")
     ends = [found.select("g", F.col("r").alias(f"r{k}"), F.col("x").alias(f"x{k}")) for k in (0, 1)]
     both = wanted.join(ends[0], ["g", "r0"]).join(ends[1], ["g", "r1"])
