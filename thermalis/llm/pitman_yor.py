@@ -64,6 +64,11 @@ CELL_BYTES, CELLS, PACK_BYTES = 4 << 20, 4, 18 << 20
 BUCKETS = 1 << 16
 #: Bits of a pack's number that count packs inside a task.
 PACK_BITS = 20
+#: Bundles for each part, at most twice as many, once there are so many parts (as a power of two); below, up to four parts a bundle.
+#: Each bundle sends a body to each part, so their number grows with the square of the bundles, divided by this.
+BUNDLES_A_PART, LEAST_PART_BITS = 8, 6
+#: Bytes up to which arrays count as small, and how an Arrow stream begins (a small body's length never does).
+SMALL, STREAM = 1 << 16, b"\xff\xff\xff\xff"
 #: Kinds of rows: asked by word, asked by context, statistics of a bundle, its tables, packed tokens, documents of a pack,
 #: and where a bundle's words and contexts stand among those it asked for.
 WORD, CONTEXT, STATISTICS, TABLES, TOKENS, DOCUMENTS, PLACES = range(7)
@@ -78,7 +83,9 @@ def fit(a: np.ndarray) -> np.ndarray:
 def to_body(**arrays: np.ndarray) -> bytes:
     """Arrays of any lengths as one compressed Arrow stream: a record with a list for each.
 
-    Whole numbers of 16 bits or more are two lists, of their low bytes and of the rest, which pack better.
+    Whole numbers of 16 bits or more are two lists, of their low bytes and of the rest, which pack better. Small arrays, for
+    which a stream would cost more than they hold, are one compressed block: its length, names, kinds and lengths, then the
+    arrays, each from a multiple of eight bytes on.
     """
     split = {}
     for k, a in arrays.items():
@@ -86,6 +93,10 @@ def to_body(**arrays: np.ndarray) -> bytes:
             split[k + "/low"], split[k + "/rest"] = (a & a.dtype.type(255)).astype(np.uint8), fit(a >> a.dtype.type(8))
         else:
             split[k] = a
+    if sum(a.nbytes for a in split.values()) <= SMALL:
+        parts = [";".join(f"{k}:{a.dtype.str}:{len(a)}" for k, a in split.items()).encode() + b"\n", *(a.tobytes() for a in split.values())]
+        raw = b"".join(x + bytes(-len(x) % 8) for x in parts)
+        return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
     lists = {k: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a)) for k, a in split.items()}
     batch, sink = pa.record_batch(lists), pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
@@ -93,10 +104,26 @@ def to_body(**arrays: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _small_arrays(body: pa.Buffer) -> dict[str, np.ndarray]:
+    raw = pa.decompress(body.slice(8), int.from_bytes(body.slice(0, 8).to_pybytes(), "little"), "zstd", asbytes=True)
+    end = raw.index(b"\n")
+    found, at = {}, end + 1
+    for field in raw[:end].decode().split(";") if end else ():
+        name, kind, n = field.split(":")
+        at += -at % 8
+        found[name] = np.frombuffer(raw, kind, int(n), at) if int(n) else np.zeros(0, kind)
+        at += found[name].nbytes
+    return found
+
+
 def from_body(body) -> dict[str, np.ndarray]:
-    with pa.ipc.open_stream(pa.py_buffer(body), options=pa.ipc.IpcReadOptions(use_threads=False)) as stream:
-        batch = stream.read_next_batch()
-    found = {k: batch.column(k).values.to_numpy(zero_copy_only=False) for k in batch.schema.names}
+    body = pa.py_buffer(body)
+    if body.slice(0, 4).to_pybytes() != STREAM:
+        found = _small_arrays(body)
+    else:
+        with pa.ipc.open_stream(body, options=pa.ipc.IpcReadOptions(use_threads=False)) as stream:
+            batch = stream.read_next_batch()
+        found = {k: batch.column(k).values.to_numpy(zero_copy_only=False) for k in batch.schema.names}
     for k in [k.removesuffix("/low") for k in found if k.endswith("/low")]:
         low, rest = found.pop(k + "/low"), found.pop(k + "/rest")
         wide = np.dtype(f"u{min(8, 2 * rest.dtype.itemsize)}")
@@ -115,6 +142,12 @@ def word_hashes(body: dict[str, np.ndarray]) -> np.ndarray:
         return np.cumsum(body["low"].view("<u4").astype(np.uint64) | body["middle"].view("<u2").astype(np.uint64) << np.uint64(32) | body["high"].astype(np.uint64) << np.uint64(48), dtype=np.uint64)
 
 
+def bits_of_parts(bundles: int) -> int:
+    """How many leading bits of a key name its part."""
+    bits = (bundles - 1).bit_length()
+    return max(min(bits + 1, LEAST_PART_BITS), min(16, bits - BUNDLES_A_PART.bit_length() + 1), 1)
+
+
 def freed(work):
     """``work`` on a group's table; what it leaves unused goes back before the next group."""
 
@@ -258,7 +291,7 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
     n_cells, bucket = bundles * CELLS, np.zeros(BUCKETS)
     bucket[list(measured)] = list(measured.values())
     sent = spark.sparkContext.broadcast(np.maximum(1, np.ceil(bucket * n_cells / max(1.0, bucket.sum()))).astype(np.uint64))
-    part_bits = min(16, max(1, (bundles - 1).bit_length() + 1))
+    part_bits = bits_of_parts(bundles)
 
     def splits(b: np.ndarray) -> np.ndarray:
         return sent.value[(mix(b) >> np.uint64(48)).astype(np.int64)]
